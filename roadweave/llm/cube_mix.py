@@ -48,7 +48,21 @@ def flight(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, land:
         step([1.0, -1.0])
     if land and open_:
         p[open_[0]] = float(draw() < p[open_[0]])
-    return np.array(p)
+    return near(np.array(p), chance, size) if land else np.array(p)
+
+
+def near(landed: np.ndarray, chance: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The landing's last step: while the words are off, turns the one choice that brings them nearest, among those left to chance."""
+    landed, size = landed.copy(), size.astype(float)
+    free = np.flatnonzero((chance > EPS) & (chance < 1 - EPS) & (size > 0))
+    off = float(((landed - chance) * size).sum())
+    for _ in range(len(free)):
+        turned = off + np.where(landed[free] > 0.5, -size[free], size[free])
+        k = int(np.abs(turned).argmin()) if len(free) else 0
+        if abs(turned[k]) >= abs(off):
+            break
+        landed[free[k]], off = 1 - landed[free[k]], float(turned[k])
+    return landed
 
 
 def targets(totals: DataFrame, cap: float = 3.0) -> DataFrame:

@@ -105,8 +105,8 @@ class Limits:
     """Distances above which a document goes, and the least lengths at which each is looked at."""
 
     classes: float = 0.25
-    words: float = 0.8
-    least_chars: int = 200
+    words: float = 0.4
+    least_chars: int = 400
     least_words: int = 100
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cube_mix, divergence_rules, jump_shards, lang_hier, token_files
+from . import bottomk, bpe, cube_mix, divergence_rules, jump_shards, lang_hier, token_files
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=80)
+
+
 def op9_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
@@ -41,6 +45,6 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_cube_mix, op5_divergence_rules, op6_bpe, op9_language_families, op10_jump_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_cube_mix, op5_divergence_rules, op6_bpe, op8_bottomk, op9_language_families, op10_jump_shards)}
 
 ORACLE_SQL: dict[str, str] = {}
