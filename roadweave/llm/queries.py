@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, bpe, cube_mix, divergence_rules, jump_shards, lang_hier, token_files
+from . import bottomk, bpe, cube_mix, divergence_rules, gru_lm, jump_shards, lang_hier, token_files
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,12 @@ def op2_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    return gru_lm.score(table(spark, sf_dir, "documents"), learn=fold != 0).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return divergence_rules.judge(docs, divergence_rules.references(docs))
@@ -45,6 +51,6 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_cube_mix, op5_divergence_rules, op6_bpe, op8_bottomk, op9_language_families, op10_jump_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_cube_mix, op3_gru_lm, op5_divergence_rules, op6_bpe, op8_bottomk, op9_language_families, op10_jump_shards)}
 
 ORACLE_SQL: dict[str, str] = {}
