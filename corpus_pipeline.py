@@ -1,6 +1,62 @@
-STAGES = []
+"""A training corpus from raw documents, in five stages: each works on all rows that the one before kept, and is written as Parquet
+before the next reads it."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadweave.llm import bottomk, bpe, cube_mix, lang_hier, secret_forest
+from roadweave.llm.common import shared_path
+from roadweave.llm.queries import TOKENIZER
+
+#: A prediction under this leaves the language open.
+LEAST_SURE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those without a letter, or torn between languages, go."""
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(False))
+    told = lang_hier.identified(docs, lang_hier.fit(docs, learn=fold))
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id; of rows with one id, one."""
+    groups = bottomk.near_duplicates(docs, width=5, threshold=80).filter("kept").select("doc_id").distinct()
+    nameless = docs.filter(F.col("doc_id").isNull())
+    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked and n_chars counted anew."""
+    clean = secret_forest.redact(docs, secret_forest.fit(secret_forest.labelled_findings(spark)))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once, or up to three times. Rows without an id stay once."""
+    copies = cube_mix.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
+    taken = docs.join(copies, F.col("doc_id") == F.col("taken_id")).withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return taken.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each row that is left."""
+    return bpe.bpe_round_trip(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("tokens", tokens)]
+
+#: Learned models and hashes that SQL has no words for; tests/llm hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = shared_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

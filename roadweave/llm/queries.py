@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, bpe, cube_mix, divergence_rules, gru_lm, jump_shards, lang_hier, token_files
+from . import bottomk, bpe, cube_mix, divergence_rules, gru_lm, jump_shards, lang_hier, learned_partitions, secret_forest, token_files
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op3_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(table(spark, sf_dir, "documents"), learn=fold != 0).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return divergence_rules.judge(docs, divergence_rules.references(docs))
@@ -35,6 +39,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_forest.scan(table(spark, sf_dir, "documents"), secret_forest.fit(secret_forest.labelled_findings(spark)))
+    return found.select("doc_id", "place", "key", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability", "secret")
+
+
 def op8_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=80)
 
@@ -51,6 +60,6 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_cube_mix, op3_gru_lm, op5_divergence_rules, op6_bpe, op8_bottomk, op9_language_families, op10_jump_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_cube_mix, op3_gru_lm, op4_learned_partitions, op5_divergence_rules, op6_bpe, op7_secret_forest, op8_bottomk, op9_language_families, op10_jump_shards)}
 
 ORACLE_SQL: dict[str, str] = {}
