@@ -324,9 +324,9 @@ def degrees(spark, d):
     return G.degrees(L.arcs(spark, d))
 
 
-@query("SELECT a.src AS node, round(avg(s.s_acctbal), 6) AS mean_down FROM arcs a JOIN supplier s ON s.s_suppkey = a.dst GROUP BY 1", "arcs")
+@query("SELECT a.src AS node, round(avg(s.s_acctbal) + 1e-7, 4) AS mean_down FROM arcs a JOIN supplier s ON s.s_suppkey = a.dst GROUP BY 1", "arcs")
 def neighbour_mean(spark, d):
-    return G.neighbour_mean(L.arcs(spark, d), L.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("value"))).withColumn("mean_down", F.round("mean_down", 6))
+    return G.neighbour_mean(L.arcs(spark, d), L.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("value"))).withColumn("mean_down", r4(F.col("mean_down") + 1e-7))
 
 
 @query("SELECT node, min(hops)::INT AS hops FROM (SELECT 1::BIGINT AS node, 0 AS hops UNION ALL SELECT dst, 1 FROM arcs WHERE src = 1 UNION ALL SELECT b.dst, 2 FROM arcs a JOIN arcs b ON a.dst = b.src WHERE a.src = 1) GROUP BY node", "arcs")
