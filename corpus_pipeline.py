@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.llm import bottomk, bpe, cube_mix, lang_hier, secret_forest
-from roadweave.llm.common import shared_path
+from roadweave.llm.common import shared_path, written
 from roadweave.llm.queries import TOKENIZER
 
 #: A prediction under this leaves the language open.
@@ -24,9 +24,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id; of rows with one id, one."""
-    groups = bottomk.near_duplicates(docs, width=5, threshold=80).filter("kept").select("doc_id").distinct()
-    nameless = docs.filter(F.col("doc_id").isNull())
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless)
+    groups = written(bottomk.near_duplicates(docs, width=5, threshold=80).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    n, most = groups.agg(F.count("*"), F.max("rows")).first()
+    ids = groups.select("doc_id")
+    # Few ids, 8 MB at most, go to the texts; more are joined by a shuffle. Texts are dealt by id only if an id does repeat.
+    kept = docs.join(F.broadcast(ids) if n <= bottomk.MAX_BROADCAST else ids, "doc_id", "left_semi")
+    kept = kept.dropDuplicates(["doc_id"]) if (most or 1) > 1 else kept
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
