@@ -263,10 +263,10 @@ def policy_ranking(spark, d):
     return means.withColumn("place", F.rank().over(W.Window.orderBy("mean")))  # one row a policy
 
 
-@query("SELECT o_orderpriority AS cohort, count(*) AS trips, count(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS arrived, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS mean_s, round(quantile_cont(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, 0.5), 2) AS median_s, round(quantile_cont(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, 0.95), 2) AS p95_s FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority AS cohort, count(*) AS trips, count(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS arrived, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) + 1e-6, 2) AS mean_s, round(quantile_cont(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, 0.5) + 1e-6, 2) AS median_s, round(quantile_cont(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, 0.95) + 1e-6, 2) AS p95_s FROM orders GROUP BY 1")
 def trip_outcomes(spark, d):
     t = L.table(spark, d, "orders").select(F.col("o_orderpriority").alias("cohort"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("seconds"))
-    return A.trip_outcomes(t).select("cohort", "trips", "arrived", *(F.round(c, 2).alias(c) for c in ("mean_s", "median_s", "p95_s")))
+    return A.trip_outcomes(t).select("cohort", "trips", "arrived", *(F.round(F.col(c) + 1e-6, 2).alias(c) for c in ("mean_s", "median_s", "p95_s")))
 
 
 @query("SELECT l_suppkey AS run, count(*) AS trips, round(count_if(l_discount > 0.08) * 1000.0 / count(*), 4) AS late_per_1000, count_if(l_discount > 0.08) * 1000.0 / count(*) > 200 AS review FROM lineitem GROUP BY 1")
