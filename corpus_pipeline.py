@@ -53,7 +53,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("tokens", tokens)]
 
-#: Learned models and hashes that SQL has no words for; tests/llm hold each stage against brute force.
+#: Learned models and hashes that SQL has no words for; tests/llm hold the operators against brute force.
 ORACLE_SQL = None
 
 
