@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +37,41 @@ def earliest_arrival(arcs: DataFrame, sources: DataFrame, rounds: int) -> DataFr
         step = arcs.join(best.withColumnRenamed("cost", "so_far"), F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost"))
         best = best.unionByName(step).groupBy("node").agg(F.min("cost").alias("cost"))
     return best
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the checkpoint folder that the cluster names; one of its own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node, component: the smallest node that it is connected with, itself included. edges: src, dst, in any direction; self-loops give their
+    node alone, nulls are left out. Each round hangs larger, then smaller neighbours on the least one known, so rounds grow with the logarithm
+    of a component's size; minima are combined before the shuffle, and no neighbourhood is gathered."""
+    e = edges.filter("src is not null and dst is not null").select("src", "dst")
+    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
+    e = cut(e.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    state = None
+    while True:
+        both = e.union(e.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            return nodes.join(e.groupBy("u").agg(F.min("v").alias("component")), F.col("node") == F.col("u"), "left").select("node", F.coalesce("component", "node").alias("component"))
+        state = now
+
+
+def merge_classes(records: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, winner, kept: the record of highest priority in the component wins, the smallest id among equals. records: id, priority; edges:
+    src, dst. Records without an edge win alone."""
+    c = connected_components(edges)
+    r = records.join(c, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    best = r.groupBy("component").agg(F.min(F.struct((-F.col("priority")).alias("p"), "id")).getField("id").alias("winner"))
+    return r.join(best, "component").select("id", "winner", (F.col("id") == F.col("winner")).alias("kept"))

@@ -13,14 +13,20 @@ def cell(lon: Column, lat: Column, size: float) -> Column:
     return F.struct(F.floor(lon / size).alias("x"), F.floor(lat / size).alias("y"))
 
 
-def nearest_within(points: DataFrame, places: DataFrame, radius_m: float, k: int | None = None) -> DataFrame:
-    """point_id, place_id, metres, rank of the places within the radius, nearest first. points: point_id, lon, lat; places: place_id,
-    plon, plat. A place lies in one cell and a point looks into the nine around it, so a pair comes up once."""
+def near_pairs(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs within the radius, with all columns of both and metres. points: lon, lat, ...; places: plon, plat, ... A place lies in one cell and
+    a point looks into the nine around it, so a pair comes up once."""
     size = radius_m / 75_000.0  # degrees; a degree of longitude has over 75 km up to 47 degrees of latitude
     around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((F.floor(F.col("lon") / size) + i).alias("x"), (F.floor(F.col("lat") / size) + j).alias("y"))))))
-    p = points.select("point_id", "lon", "lat", around.alias("cell"))
-    q = places.select("place_id", "plon", "plat", cell(F.col("plon"), F.col("plat"), size).alias("cell"))
-    near = p.join(q, "cell").withColumn("metres", haversine_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))).filter(F.col("metres") <= radius_m)
+    p = points.withColumn("__cell", around)
+    q = places.withColumn("__cell", cell(F.col("plon"), F.col("plat"), size))
+    return p.join(q, "__cell").withColumn("metres", haversine_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))).filter(F.col("metres") <= radius_m).drop("__cell")
+
+
+def nearest_within(points: DataFrame, places: DataFrame, radius_m: float, k: int | None = None) -> DataFrame:
+    """point_id, place_id, metres, rank of the places within the radius, nearest first. points: point_id, lon, lat; places: place_id,
+    plon, plat."""
+    near = near_pairs(points.select("point_id", "lon", "lat"), places.select("place_id", "plon", "plat"), radius_m)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("metres", "place_id"))).select("point_id", "place_id", "metres", "rank")
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 

@@ -11,6 +11,8 @@ from roadweave.functions import scalars as S
 from roadweave.operators import aggregates as A
 from roadweave.operators import graph as G
 from roadweave.operators import joins as J
+from roadweave.operators import matching as M
+from roadweave.operators import scoring as P
 from roadweave.operators import windows as W
 from roadweave.plans import lenses as L
 from roadweave.sources import tables as T
@@ -405,3 +407,185 @@ def heat_density(spark, d):
 def settle_reward(spark, d):
     k = F.col("o_orderkey")
     return L.table(spark, d, "orders").select("o_orderkey", S.settle_reward(k % 7 != 0, F.col("o_orderstatus") != "O", k % 5 != 0, F.col("o_totalprice"), F.lit(120_000.0)).alias("state"))
+
+
+def doubles(df: DataFrame, *columns: str) -> DataFrame:
+    """Integers that may be missing, as doubles: both sides then show a missing one alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
+def requests(spark, d):
+    o = L.table(spark, d, "orders")
+    at = lambda k, a, b: ((F.lit(-122.53) + F.pmod(k * a, F.lit(179)) / 1000.0), (F.lit(37.69) + F.pmod(k * b, F.lit(149)) / 1000.0))
+    (olon, olat), (dlon, dlat) = at(F.col("o_custkey"), 13, 29), at(F.col("o_orderkey"), 17, 11)
+    return o.select(F.col("o_orderkey").alias("request"), olon.alias("o_lon"), olat.alias("o_lat"), dlon.alias("d_lon"), dlat.alias("d_lat"))
+
+
+def places_of(spark, d, kind, key):
+    """Events of one kind as something at a point."""
+    return L.points(spark, d).filter(F.col("event_type") == kind).select(F.col("event_id").alias(key), "lon", "lat", "t")
+
+
+NEAREST = "SELECT * FROM (SELECT {a}, {b}, m, row_number() OVER (PARTITION BY {a} ORDER BY m, {b}) AS k FROM (SELECT {a}, {b}, " + HAV.format(a="x.", b="q.p").replace("q.plat", "q.plat") + " AS m FROM {x} x JOIN places q ON abs(x.lat - q.plat) < 0.05) WHERE m <= {r}) WHERE k = 1"
+
+
+@query(
+    """SELECT event, venue, round(metres, 3) AS metres, named FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY NOT named, metres, venue) AS k FROM (SELECT event_id AS event, place_id AS venue, """ + HAV.format(a="p.", b="q.p")
+    + """ AS metres, contains((event_id % 40)::VARCHAR, (place_id % 9 + 1)::VARCHAR) AS named FROM points p JOIN places q ON abs(p.lat - q.plat) < 0.02) WHERE metres <= 800 AND (named OR metres <= 60)) WHERE k = 1""",
+    "points", "places",
+)
+def match_venue(spark, d):
+    events = L.points(spark, d).select(F.col("event_id").alias("event"), (F.col("event_id") % 40).cast("string").alias("name"), "lon", "lat")
+    venues = L.places(spark, d).select(F.col("place_id").alias("venue"), (F.col("place_id") % 9 + 1).cast("string").alias("venue_name"), "plon", "plat")
+    return M.match_venue(events, venues).withColumn("metres", F.round("metres", 3))
+
+
+@query(
+    """, c AS (SELECT event_id AS closure, lon, lat, t AS c_start, CASE WHEN event_id % 7 <> 0 THEN t + (event_id % 5) * 3600 ELSE t + 10800 END AS c_end FROM points WHERE event_type = 'click'),
+    e AS (SELECT event_id AS event, lon AS plon, lat AS plat, t AS e_start, t + 7200 AS e_end FROM points WHERE event_type = 'purchase'),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY closure ORDER BY m, event) AS k FROM (SELECT closure, event, e_start, e_end, """.lstrip() + HAV.format(a="c.", b="e.p")
+    + """ AS m FROM c JOIN e ON e_start <= c_end AND c_start <= e_end) WHERE m <= 3000) WHERE k = 1)
+    SELECT c.closure, f.event::DOUBLE AS event, CASE WHEN f.event IS NULL THEN 'closure' ELSE 'public_event' END AS kind, coalesce(f.e_start, c_start) AS start_s, coalesce(f.e_end, c_end) AS end_s FROM c LEFT JOIN f ON c.closure = f.closure""",
+    "points",
+)
+def closure_event_cases(spark, d):
+    end = F.when(F.col("closure") % 7 != 0, F.col("t") + (F.col("closure") % 5) * 3600)
+    closures = places_of(spark, d, "click", "closure").select("closure", "lon", "lat", F.col("t").alias("c_start"), end.alias("c_end"))
+    events = places_of(spark, d, "purchase", "event").select("event", F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.col("t").alias("e_start"), (F.col("t") + 7200).alias("e_end"))
+    return doubles(M.closure_event_cases(closures, events, 3000.0, 10_800), "event")
+
+
+@query(
+    """, c AS (SELECT route, pos, seg, arrive_s % 8640000 AS t FROM trips), p AS (SELECT seg % 100 AS seg, t % 8640000 AS t, max(speed) AS delay FROM readings GROUP BY 1, 2),
+    a AS (SELECT c.*, p.t AS t1, p.delay AS d1 FROM c ASOF LEFT JOIN p ON c.seg = p.seg AND c.t >= p.t), b AS (SELECT a.*, p.t AS t2, p.delay AS d2 FROM a ASOF LEFT JOIN p ON a.seg = p.seg AND a.t <= p.t),
+    h AS (SELECT route, CASE WHEN t2 IS NULL OR t - t1 <= t2 - t THEN t - t1 ELSE t2 - t END AS gap, CASE WHEN t2 IS NULL OR t - t1 <= t2 - t THEN d1 ELSE d2 END AS d FROM b)
+    SELECT route, round(sum(d) FILTER (WHERE gap <= 86400), 4) AS delay, count(d) FILTER (WHERE gap <= 86400) AS matched, count(*) AS cells FROM h GROUP BY route""".lstrip(),
+    "trips", "readings",
+)
+def nearest_forecast(spark, d):
+    cells = L.trips(spark, d).select("route", "pos", "seg", (F.col("arrive_s") % 8_640_000).alias("t"))
+    preds = L.readings(spark, d).groupBy((F.col("seg") % 100).alias("seg"), (F.col("t") % 8_640_000).alias("t")).agg(F.max("speed").alias("delay"))
+    return M.nearest_forecast(cells, preds, 86_400).withColumn("delay", r4("delay"))
+
+
+@query(
+    """, o AS (SELECT o_orderkey AS request, -122.53 + ((o_custkey * 13) % 179) / 1000.0 AS lon, 37.69 + ((o_custkey * 29) % 149) / 1000.0 AS lat FROM orders), dd AS (SELECT o_orderkey AS request, -122.53 + ((o_orderkey * 17) % 179) / 1000.0 AS lon, 37.69 + ((o_orderkey * 11) % 149) / 1000.0 AS lat FROM orders),
+    a AS (""".lstrip() + NEAREST.format(a="request", b="place_id", x="o", r=1500) + "), b AS (" + NEAREST.format(a="request", b="place_id", x="dd", r=1500)
+    + """) SELECT o.request, a.place_id::DOUBLE AS origin, b.place_id::DOUBLE AS dest, CASE WHEN a.place_id IS NULL THEN 'no_origin' WHEN b.place_id IS NULL THEN 'no_dest' WHEN a.place_id = b.place_id THEN 'same_road' ELSE 'ok' END AS outcome
+    FROM o LEFT JOIN a ON a.request = o.request LEFT JOIN b ON b.request = o.request""",
+    "places",
+)
+def snap_requests(spark, d):
+    return doubles(M.snap_requests(requests(spark, d), L.places(spark, d), 1500.0), "origin", "dest")
+
+
+@query(
+    "SELECT event_id AS point_id, CASE WHEN m <= 1000 THEN 'near' WHEN m <= 3000 THEN 'between' ELSE 'far' END AS zone FROM (SELECT event_id, min(" + HAV.format(a="p.", b="q.p") + ") AS m FROM points p JOIN places q ON place_id % 10 = 1 GROUP BY event_id)",
+    "points", "places",
+)
+def near_far_mask(spark, d):
+    roads = L.points(spark, d).select(F.col("event_id").alias("point_id"), "lon", "lat")
+    return M.near_far_mask(roads, L.places(spark, d).filter("place_id % 10 = 1"))
+
+
+PAIRED = "SELECT o_custkey % 40 AS family, o_orderkey % 9 AS seed, o_orderkey AS run, o_orderkey % 2 = 0 AS with_event, o_custkey % 5 AS part FROM orders WHERE o_totalprice < 60000"
+
+
+@query(
+    f"""SELECT family, seed, event_run::DOUBLE AS event_run, control_run::DOUBLE AS control_run, CASE WHEN e = 0 THEN 'no_event' WHEN c = 0 THEN 'no_control' WHEN e > 1 OR c > 1 THEN 'ambiguous' WHEN parts > 1 THEN 'crosses_parts' ELSE 'paired' END AS status FROM
+    (SELECT family, seed, count(*) FILTER (WHERE with_event) AS e, count(*) FILTER (WHERE NOT with_event) AS c, min(run) FILTER (WHERE with_event) AS event_run, min(run) FILTER (WHERE NOT with_event) AS control_run, count(DISTINCT part) AS parts FROM ({PAIRED}) GROUP BY 1, 2)"""
+)
+def event_control_pairs(spark, d):
+    o = L.table(spark, d, "orders").filter("o_totalprice < 60000")
+    runs = o.select((F.col("o_custkey") % 40).alias("family"), (F.col("o_orderkey") % 9).alias("seed"), F.col("o_orderkey").alias("run"), (F.col("o_orderkey") % 2 == 0).alias("with_event"), (F.col("o_custkey") % 5).alias("part"))
+    return doubles(M.event_control_pairs(runs, "family", "seed"), "event_run", "control_run")
+
+
+def candidate_cells(spark, d):
+    return L.trips(spark, d).select(F.col("route").alias("request"), F.col("pos").alias("candidate"), "seg", F.col("length").alias("eta"))
+
+
+SCORED = """, load AS (SELECT seg, count(*) AS load FROM trips GROUP BY seg), s AS (SELECT route AS request, pos AS candidate, sum(length) AS eta, sum((2 * load + 1) / 100.0) AS delta FROM trips JOIN load USING (seg) GROUP BY 1, 2)"""
+
+
+@query(SCORED.lstrip() + " SELECT request, candidate, eta, round(delta, 4) AS delta, row_number() OVER (PARTITION BY request ORDER BY eta + 0.5 * delta, candidate) = 1 AS best FROM s", "trips")
+def score_candidates(spark, d):
+    load = L.trips(spark, d).groupBy("seg").agg(F.count("*").alias("load"))
+    return P.score_candidates(candidate_cells(spark, d), load, 0.5, 10.0).select("request", "candidate", "eta", r4("delta").alias("delta"), "best")
+
+
+@query(
+    """SELECT request, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'several' WHEN eta IS NULL THEN 'unknown' WHEN eta - fastest > least(180, fastest * 0.15) THEN 'detour' END AS problem FROM (SELECT route AS request, min(length) AS fastest FROM trips GROUP BY 1)
+    LEFT JOIN (SELECT o_orderkey AS request, 1 + o_custkey % 4 AS candidate, 1 + (o_custkey % 11 = 0)::INT AS n FROM orders WHERE o_custkey % 13 <> 0) USING (request) LEFT JOIN (SELECT route AS request, pos AS candidate, min(length) AS eta FROM trips GROUP BY 1, 2) USING (request, candidate)""",
+    "trips",
+)
+def validate_choices(spark, d):
+    o = L.table(spark, d, "orders").filter("o_custkey % 13 <> 0").select(F.col("o_orderkey").alias("request"), (1 + F.col("o_custkey") % 4).cast("int").alias("candidate"), "o_custkey")
+    return P.validate_choices(candidate_cells(spark, d), o.unionByName(o.filter("o_custkey % 11 = 0")).drop("o_custkey"))
+
+
+VERSUS = "(SELECT r.policy, r.block, r.metric - b.metric AS diff, b.metric AS base FROM runs r JOIN runs b ON r.block = b.block AND b.policy = '5-LOW' WHERE r.policy <> '5-LOW')"
+
+
+@query(
+    f"""SELECT *, reduced AND consistent AND guarded AS promote FROM (SELECT policy, sum(diff) / sum(base) <= -0.01 AS reduced, count(*) FILTER (WHERE diff < 0) > count(*) FILTER (WHERE diff > 0) AS consistent, max(diff / base) <= 0.5 AS guarded FROM {VERSUS} GROUP BY policy)""",
+    "runs",
+)
+def target_checks(spark, d):
+    return P.target_checks(A.policy_vs_base(L.runs(spark, d), "5-LOW", "metric"), 0.01, 0.5)
+
+
+@query("SELECT policy, round(mean, 3) AS mean, CASE k WHEN 1 THEN 'best' ELSE 'challenger' END AS role FROM (SELECT policy, avg(metric) AS mean, row_number() OVER (ORDER BY avg(metric), policy) AS k FROM runs WHERE block % 3 = 0 GROUP BY policy) WHERE k <= 2", "runs")
+def select_policy(spark, d):
+    return P.select_policy(L.runs(spark, d), F.col("block") % 3 == 0).withColumn("mean", F.round("mean", 3))
+
+
+@query(
+    """, g AS (SELECT seg % 20 AS crowd, route % 3 = 0 AS p, CASE WHEN pos < 6 THEN length END AS s FROM trips)
+    SELECT crowd, count(*) FILTER (WHERE p) AS part_trips, round(count(s) FILTER (WHERE p) / count(*) FILTER (WHERE p), 4) AS part_arrived, round(avg(s) FILTER (WHERE p), 4) AS part_mean_s,
+    count(*) FILTER (WHERE NOT p) AS other_trips, round(count(s) FILTER (WHERE NOT p) / count(*) FILTER (WHERE NOT p), 4) AS other_arrived, round(avg(s) FILTER (WHERE NOT p), 4) AS other_mean_s FROM g GROUP BY crowd""".lstrip(),
+    "trips",
+)
+def group_outcomes(spark, d):
+    trips = L.trips(spark, d).select((F.col("seg") % 20).alias("crowd"), (F.col("route") % 3 == 0).alias("participant"), F.when(F.col("pos") < 6, F.col("length")).alias("seconds"))
+    out = P.group_outcomes(trips, "crowd")
+    return out.select(*(r4(c).alias(c) if c.endswith(("arrived", "mean_s")) else c for c in out.columns))
+
+
+@query("SELECT seg, t - t % 300 AS win, sum(weight)::BIGINT AS observed_s, coalesce(sum(weight) FILTER (WHERE speed < 40), 0)::BIGINT AS congested_s, coalesce(sum(weight) FILTER (WHERE speed < 5), 0)::BIGINT AS stopped_s FROM readings GROUP BY 1, 2", "readings")
+def congestion_exposure(spark, d):
+    return P.congestion_exposure(L.readings(spark, d).withColumnRenamed("weight", "seconds"), 40, 5)
+
+
+@query(
+    """, h AS (SELECT seg % 50 AS seg, t - t % 86400 AS bucket, round(avg(speed) FILTER (WHERE source = 'click'), 6) - round(avg(speed) FILTER (WHERE source = 'view'), 6) AS diff FROM readings GROUP BY 1, 2),
+    top AS (SELECT seg, bucket AS peak_bucket, diff AS peak FROM h WHERE diff IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seg ORDER BY diff DESC, bucket) = 1)
+    SELECT seg, peak_bucket, round(peak, 4) AS peak, (min(bucket) FILTER (WHERE bucket > peak_bucket AND diff < 0.1 * peak))::DOUBLE AS recovered FROM top JOIN h USING (seg) GROUP BY seg, peak_bucket, peak""".lstrip(),
+    "readings",
+)
+def pair_impact(spark, d):
+    side = lambda s: F.round(F.avg(F.when(F.col("source") == s, F.col("speed"))), 6)
+    cells = L.readings(spark, d).groupBy((F.col("seg") % 50).alias("seg"), (F.col("t") - F.col("t") % 86400).alias("bucket")).agg(side("click").alias("event"), side("view").alias("control"))
+    return doubles(P.pair_impact(cells), "recovered").withColumn("peak", r4("peak"))
+
+
+@query(
+    """, f AS (SELECT seg, bucket AS a, bucket + 600 + 600 * (n % 2) AS b, CASE WHEN speed >= 1 THEN speed END AS speed, speed / 90 AS ratio FROM (SELECT seg, bucket, count(*) AS n, round(max(speed), 6) AS speed FROM buckets GROUP BY 1, 2)), g AS (SELECT *, lead(a) OVER (PARTITION BY seg ORDER BY a) AS nxt FROM f)
+    SELECT problem, count(*) AS rows FROM (SELECT unnest([CASE WHEN b <= a THEN 'empty_interval' END, CASE WHEN nxt > b THEN 'gap' END, CASE WHEN nxt < b THEN 'overlap' END, CASE WHEN speed IS NULL THEN 'no_speed' END, CASE WHEN ratio NOT BETWEEN 0 AND 1 THEN 'ratio_range' END]) AS problem FROM g) WHERE problem IS NOT NULL GROUP BY problem""".lstrip(),
+    "readings", "buckets",
+)
+def validate_forecast(spark, d):
+    f = buckets(spark, d).groupBy("seg", F.unix_timestamp("bucket").alias("valid_from")).agg(F.count("*").alias("n"), F.round(F.max("speed"), 6).alias("speed"))
+    return P.validate_forecast(f.select("seg", "valid_from", (F.col("valid_from") + 600 + 600 * (F.col("n") % 2)).alias("valid_to"), F.when(F.col("speed") >= 1, F.col("speed")).alias("speed"), (F.col("speed") / 90).alias("ratio")))
+
+
+@query(
+    """RECURSIVE e AS (SELECT c_custkey AS a, CASE WHEN c_custkey % 24 = 7 THEN c_custkey + 1 ELSE c_custkey - c_custkey % 8 END AS b FROM customer WHERE c_custkey % 3 > 0), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach AS (SELECT c_custkey AS id, c_custkey AS other FROM customer UNION SELECT r.id, b.b FROM reach r JOIN both_ways b ON r.other = b.a), comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id),
+    win AS (SELECT component, arg_min(id, {'p': -(id % 5), 'i': id}) AS winner FROM comp GROUP BY component) SELECT id, winner, id = winner AS kept FROM comp JOIN win USING (component)""".replace("RECURSIVE", "WITH RECURSIVE", 1)
+)
+def merge_classes(spark, d):
+    k = F.col("c_custkey")
+    c = L.table(spark, d, "customer")
+    edges = c.filter(k % 3 > 0).select(k.alias("src"), F.when(k % 24 == 7, k + 1).otherwise(k - k % 8).alias("dst"))
+    return G.merge_classes(c.select(k.alias("id"), (k % 5).alias("priority")), edges)
