@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import scalars as S
 from roadweave.operators import graph as G
+from roadweave.operators import matching as M
+from roadweave.operators import scoring as P
 from roadweave.operators import windows as W
 from roadweave.plans import lenses, queries
 from roadweave.sources import tables as T
@@ -72,3 +74,28 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {(r["bucket"], r["seg"], r["source"]): round(r["speed"], 6) for r in queries.buckets(spark, DATA).collect()}
     assert all(want[k] == v for k, v in got.items())
     assert all((closed - k[0]).total_seconds() <= 1800 for k in want.keys() - got.keys())
+
+
+def test_components_of_cycles_loops_and_nulls(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 9), (9, 8), (5, 5), (None, 4), (12, 11), (11, 10), (10, 3)], "src long, dst long")
+    assert {r["node"]: r["component"] for r in G.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 7: 7, 8: 7, 9: 7, 10: 1, 11: 1, 12: 1}
+    assert G.connected_components(edges.limit(0)).count() == 0
+
+
+def test_nearest_forecast_prefers_the_earlier_and_keeps_unmatched(spark):
+    cells = spark.createDataFrame([("a", 0, 1, 10), ("a", 1, 1, 100), ("b", 0, 2, 5)], "route string, pos int, seg int, t int")
+    preds = spark.createDataFrame([(1, 5, 2.0), (1, 15, 8.0), (1, 99, 1.0)], "seg int, t int, delay double")
+    got = {r["route"]: (r["delay"], r["matched"], r["cells"]) for r in M.nearest_forecast(cells, preds, 20).collect()}
+    assert got == {"a": (3.0, 2, 2), "b": (None, 0, 1)}
+    assert [r["delay"] for r in M.nearest_forecast(cells, preds.limit(0), 20).orderBy("route").collect()] == [None, None]
+
+
+def test_choices_have_one_problem_each(spark):
+    candidates = spark.createDataFrame([(r, c, e) for r in range(1, 6) for c, e in ((1, 100.0), (2, 110.0), (3, 200.0))], "request int, candidate int, eta double")
+    choices = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (4, 1), (4, 2)], "request int, candidate int")
+    assert {r["request"]: r["problem"] for r in P.validate_choices(candidates, choices).collect()} == {1: None, 2: "detour", 3: "unknown", 4: "several", 5: "missing"}
+
+
+def test_impact_without_recovery_or_without_a_side(spark):
+    cells = spark.createDataFrame([(1, 0, 9.0, 1.0), (1, 1, 5.0, 1.0), (2, 0, 9.0, 1.0), (2, 1, 1.0, 1.0), (3, 0, None, 1.0)], "seg int, bucket int, event double, control double")
+    assert {r["seg"]: (r["peak"], r["recovered"]) for r in P.pair_impact(cells).collect()} == {1: (8.0, None), 2: (8.0, 1)}
