@@ -75,3 +75,35 @@ def merge_classes(records: DataFrame, edges: DataFrame) -> DataFrame:
     r = records.join(c, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     best = r.groupBy("component").agg(F.min(F.struct((-F.col("priority")).alias("p"), "id")).getField("id").alias("winner"))
     return r.join(best, "component").select("id", "winner", (F.col("id") == F.col("winner")).alias("kept"))
+
+
+def reach(arcs: DataFrame, start: DataFrame) -> DataFrame:
+    """node: all that arcs lead to from the start nodes, themselves included; a frontier join a hop. arcs: src, dst; start: node."""
+    seen = frontier = cut(start.select("node").distinct())
+    while not frontier.isEmpty():
+        step = arcs.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen, "node", "left_anti"))
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
+def largest_scc(arcs: DataFrame) -> DataFrame:
+    """node of the largest strongly connected component; among equals that of the first pivot. arcs: src, dst; nulls and loops are left out.
+
+    What a pivot reaches and is reached by is its component; the pivot is the node of most ways through. It ends as soon as fewer nodes are
+    left than the best component has: on a road network, whose nodes are mostly of one component, after a pivot or two.
+    """
+    e = cut(arcs.filter("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
+    best, most = e.select(F.col("src").alias("node")).limit(0), 0
+    while True:
+        d = degrees(e).filter("out_degree > 0 and in_degree > 0")
+        if d.count() <= most:
+            return best
+        pivot = cut(d.orderBy(F.desc(F.col("out_degree") * F.col("in_degree")), "node").limit(1).select("node"))
+        scc = reach(e, pivot).join(reach(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivot), "node", "left_semi")
+        scc = cut(scc)
+        n = scc.count()
+        if n > most and n > 1:
+            best, most = scc, n
+        e = e.join(scc.withColumnRenamed("node", "src"), "src", "left_anti").join(scc.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        e = cut(e.select("src", "dst"))

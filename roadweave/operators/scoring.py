@@ -73,3 +73,20 @@ def validate_forecast(forecast: DataFrame) -> DataFrame:
     rules = {"empty_interval": F.col("valid_to") <= F.col("valid_from"), "gap": F.col("after") > F.col("valid_to"), "overlap": F.col("after") < F.col("valid_to"), "no_speed": F.col("speed").isNull(), "ratio_range": ~F.col("ratio").between(0, 1)}
     found = F.filter(F.array(*(F.when(rule, name) for name, rule in rules.items())), lambda x: x.isNotNull())
     return f.select(F.explode(found).alias("problem")).groupBy("problem").agg(F.count("*").alias("rows"))
+
+
+def warning_scores(scored: DataFrame, *keys: str, recall: float = 0.7) -> DataFrame:
+    """How well a score warns, by keys: threshold of the best f1 (the higher score among equals), f1, recall_threshold (the highest score that
+    finds that share of the positives), brier, average_precision, mean_score and rate. scored: keys, score, label; null scores take no part,
+    a null label is none. Rows are counted by distinct score first, so windows see scores, not rows: round scores to a grid beforehand."""
+    s = scored.filter("score is not null").groupBy(*keys, "score").agg(F.count("*").alias("n"), F.count_if(F.col("label")).alias("pos"))
+    mine = Window.partitionBy(*keys)
+    down = mine.orderBy(F.desc("score"))
+    s = s.withColumn("seen", F.sum("n").over(down)).withColumn("hit", F.sum("pos").over(down)).withColumn("every", F.sum("pos").over(mine))
+    n, pos, score, every = (F.col(c) for c in ("n", "pos", "score", "every"))
+    s = s.withColumn("f1", 2 * F.col("hit") / (F.col("seen") + every))
+    rows = F.sum("n")
+    return s.groupBy(*keys).agg(
+        F.max(F.struct("f1", "score")).getField("score").alias("threshold"), F.max("f1").alias("f1"), F.max(F.when(F.try_divide("hit", "every") >= recall, score)).alias("recall_threshold"),
+        (F.sum(n * score * score - 2 * score * pos + pos) / rows).alias("brier"), F.sum(F.try_divide(F.col("hit") / F.col("seen") * pos, every)).alias("average_precision"), (F.sum(n * score) / rows).alias("mean_score"), (F.sum("pos") / rows).alias("rate"),
+    )

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from roadweave.functions import scalars as S
 from roadweave.operators import graph as G
 from roadweave.operators import matching as M
+from roadweave.operators import routing as R
 from roadweave.operators import scoring as P
+from roadweave.operators import streets as X
 from roadweave.operators import windows as W
-from roadweave.plans import lenses, queries
+from roadweave.plans import lenses, queries, road_queries  # noqa: F401
 from roadweave.sources import tables as T
 from roadweave.streaming import jobs
 
@@ -99,3 +101,44 @@ def test_choices_have_one_problem_each(spark):
 def test_impact_without_recovery_or_without_a_side(spark):
     cells = spark.createDataFrame([(1, 0, 9.0, 1.0), (1, 1, 5.0, 1.0), (2, 0, 9.0, 1.0), (2, 1, 1.0, 1.0), (3, 0, None, 1.0)], "seg int, bucket int, event double, control double")
     assert {r["seg"]: (r["peak"], r["recovered"]) for r in P.pair_impact(cells).collect()} == {1: (8.0, None), 2: (8.0, 1)}
+
+
+def test_links_prefer_a_shared_name_and_fall_back(spark):
+    edges = spark.createDataFrame([(1, -122.4, 37.7, "Oak"), (2, -122.0, 37.0, "Elm"), (3, None, 37.7, "Oak")], "edge int, lon double, lat double, name string")
+    streets = spark.createDataFrame([(7, -122.4, 37.7001, "Elm", 30), (8, -122.4, 37.70015, "Oak", 0), (8, -122.4, 37.70015, "Oak", 35), (8, -122.4, 37.701, "Oak", 99)], "street int, plon double, plat double, sname string, posted int")
+    got = lambda **k: {r["edge"]: (r["street"], r["limit"]) for r in X.link_streets(edges, streets, 25.0, **k).collect()}
+    assert got() == {1: (7, 30), 2: (None, None), 3: (None, None)}
+    assert got(bonus_m=10.0, default=25) == {1: (8, 35), 2: (None, 25), 3: (None, 25)}
+
+
+def test_turns_that_do_not_meet_forbid_nothing(spark):
+    edges = spark.createDataFrame([(1, "a", "n"), (2, "n", "b"), (3, "n", "c"), (4, "c", "d")], "seg int, src string, dst string")
+    rel = spark.createDataFrame([(1, "n", 2, "only_straight_on"), (1, "n", 4, "no_left_turn"), (1, "n", 2, "no_u_turn"), (1, "n", 2, None)], "from_seg int, node string, to_seg int, kind string")
+    assert {tuple(r) for r in X.turn_prohibitions(rel, edges).collect()} == {(1, 3), (1, 2)}
+
+
+def test_time_route_crosses_buckets_and_counts_missing(spark):
+    cells = spark.createDataFrame([("r", 1, 1, 10.0), ("r", 2, 1, 10.0), ("r", 3, 2, 5.0)], "route string, pos int, seg int, length double")
+    leave = spark.createDataFrame([("r", 5), ("empty", 3)], "route string, depart_s long")
+    forecast = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 1, 9.0), (2, 0, None)], "seg int, bucket long, pace double")
+    got = {r["route"]: (r["roads"], r["arrive_s"], r["missing"]) for r in R.time_route(cells, leave, forecast, 10).collect()}
+    assert got == {"r": (3, 35.0, 1), "empty": (0, 3.0, 0)}
+
+
+def test_top_candidates_drop_what_follows_the_fastest(spark):
+    rows = [(1, "a", 1, 50.0, 10.0), (1, "a", 2, 50.0, 10.0), (1, "b", 1, 95.0, 20.0), (1, "b", 3, 5.0, 1.0), (1, "c", 4, 80.0, 25.0), (1, "d", 5, 80.0, 99.0)]
+    cells = spark.createDataFrame(rows, "request int, candidate string, seg int, length double, eta double")
+    assert [(r["candidate"], r["rank"]) for r in R.top_candidates(cells).orderBy("rank").collect()] == [("a", 1), ("c", 2)]
+    assert R.top_candidates(cells.limit(0)).count() == 0
+
+
+def test_warning_scores_without_positives(spark):
+    s = spark.createDataFrame([("a", 0.9, True), ("a", 0.5, None), ("a", 0.1, False), ("b", 0.3, False), ("b", None, True)], "g string, score double, label boolean")
+    got = {r["g"]: (r["threshold"], r["f1"], r["recall_threshold"], r["average_precision"]) for r in P.warning_scores(s, "g").collect()}
+    assert got == {"a": (0.9, 1.0, 0.9, 1.0), "b": (0.3, 0.0, None, None)}
+
+
+def test_largest_scc_of_two(spark):
+    arcs = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 3), (5, 5), (None, 1), (6, 3)], "src int, dst int")
+    assert {r["node"] for r in G.largest_scc(arcs).collect()} == {3, 4, 5}
+    assert G.largest_scc(arcs.filter("src = 3")).count() == 0
