@@ -42,7 +42,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or up to three times. Rows without an id stay once."""
     copies = cube_mix.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    taken = docs.join(copies, F.col("doc_id") == F.col("taken_id")).withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    # Texts are dealt by id at every size; the ids, not the texts, are the side that is hashed.
+    taken = docs.join(copies.hint("shuffle_hash"), F.col("doc_id") == F.col("taken_id")).withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
     return taken.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
