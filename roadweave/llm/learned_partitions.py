@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, written
 
-#: Rows of the sample at most; neighbours in its graph; vectors a part should hold; parts at most; rows of a block at most.
-SAMPLE, NEIGHBOURS, PART_ROWS, MAX_PARTS, BLOCK_ROWS = 8192, 10, 1500, 512, 3000
+#: Rows of the sample, or SAMPLE_A_PART for each part if those are more; neighbours in its graph; vectors a part should hold; parts at most;
+#: rows of a block and of a slice of queries, about.
+SAMPLE, NEIGHBOURS, PART_ROWS, MAX_PARTS, BLOCK_ROWS, SLICE_ROWS = 8192, 10, 250, 512, 3000, 10_000
+#: Sample rows that a part needs for its cut to be learned, and those that are asked for.
+LEAST_A_PART, SAMPLE_A_PART = 20, 24
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -112,8 +115,10 @@ class Router:
 
 
 def fit(sample: np.ndarray, parts: int, want: float = 0.98, k: int = 5) -> Router:
-    """Learns from four fifths of the sample and sets the visits by the recall of the rest among them."""
-    if parts < 2 or len(sample) < 20 * parts:
+    """Learns from four fifths of the sample and sets the visits by the recall of the rest among them. A sample too small
+    for so many parts gets fewer."""
+    parts = min(parts, len(sample) // LEAST_A_PART)
+    if parts < 2:
         return Router([], 1)
     x = unit(sample)
     held, own = x[::5], np.delete(x, np.s_[::5], axis=0)
@@ -173,8 +178,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row where is_query (over vec_id) holds, its own id left out.
 
-    Fitted on SAMPLE rows at most, those of lowest hash; every row is filed. A part of many rows is split into blocks by a hash of the
-    id, each visited by the part's queries. Repeated ids are candidates row by row; a query id that repeats with another vector is
+    Fitted on a sample that grows with the parts, the rows of lowest hash; every row is filed. A part of many rows is split into blocks by
+    a hash of the id, and its queries into slices; each slice visits each block. Repeated ids are candidates row by row; a query id that repeats with another vector is
     answered for each vector. Rows that take no part: see usable. Empty tables and lone rows give no rows.
     """
     spark = vectors.sparkSession
@@ -182,9 +187,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     rows = usable(vectors, id_col, vector_col)
     total = rows.count()
     parts = int(min(MAX_PARTS, total // part_rows))
-    share = min(1.0, 1.2 * SAMPLE / max(1, total))
-    sample = rows.filter(F.xxhash64("vec_id") <= int(-(2**63) + share * (2**64 - 2**12))).select("vec_id", "v").limit(2 * SAMPLE).collect() if parts > 1 else []
-    held = spark.sparkContext.broadcast(fit(np.array([r["v"] for r in sorted(sample, key=lambda r: (r["vec_id"], r["v"]))[:SAMPLE]]), parts) if sample else Router([], 1))
+    wanted = max(SAMPLE, SAMPLE_A_PART * parts)
+    share = min(1.0, 1.2 * wanted / max(1, total))
+    sample = rows.filter(F.xxhash64("vec_id", "v") <= int(-(2**63) + share * (2**64 - 2**12))).select("vec_id", "v").limit(2 * wanted).collect() if parts > 1 else []
+    held = spark.sparkContext.broadcast(fit(np.array([r["v"] for r in sorted(sample, key=lambda r: (r["vec_id"], r["v"]))[:wanted]]), parts) if sample else Router([], 1))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = held.value
@@ -196,10 +202,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
 
     filed = written(rows.mapInArrow(file, "vec_id long, v array<double>, parts array<int>"), "filed")
     sizes = filed.groupBy(F.col("parts")[0].alias("part")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    sizes = F.broadcast(sizes)  # one row a part, MAX_PARTS at most
-    base = filed.select("vec_id", "v", F.col("parts")[0].alias("part")).join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    calls = filed.filter(is_query).select(F.explode("parts").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("slices"))
+    sizes = F.broadcast(sizes.join(F.broadcast(calls), "part"))  # one row a part that has rows and queries, MAX_PARTS at most
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = filed.select("vec_id", "v", F.col("parts")[0].alias("part")).join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("slice", each("slices"))
     asked = filed.filter(is_query).dropDuplicates(["vec_id", "v"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.xxhash64("v").alias("mark"), F.explode("parts").alias("part")).join(sizes, "part")
-    asked = asked.select("query_id", "q", "mark", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asked = asked.withColumn("slice", F.pmod(F.xxhash64("query_id", "mark"), "slices").cast("int")).select("query_id", "q", "mark", "part", "slice", each("blocks").alias("block"))
 
     def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -207,7 +215,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         i, ids, scores = nearest_in_block(right["query_id"].to_numpy(), np.stack(right["q"].to_list()), left["vec_id"].to_numpy(), np.stack(left["v"].to_list()), k)
         return pd.DataFrame({"query_id": right["query_id"].to_numpy()[i], "mark": right["mark"].to_numpy()[i], "vec_id": ids, "score": scores})
 
-    asked = asked.select("query_id", "q", "mark", F.col("part").alias("to_part"), F.col("block").alias("to_block"))
-    found = base.groupBy("part", "block").cogroup(asked.groupBy("to_part", "to_block")).applyInPandas(visit, "query_id long, mark long, vec_id long, score double")
+    asked = asked.select("query_id", "q", "mark", F.col("part").alias("to_part"), F.col("block").alias("to_block"), F.col("slice").alias("to_slice"))
+    found = base.groupBy("part", "block", "slice").cogroup(asked.groupBy("to_part", "to_block", "to_slice")).applyInPandas(visit, "query_id long, mark long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
