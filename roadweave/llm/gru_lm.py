@@ -169,7 +169,7 @@ def outputs(w: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray, le
 
 
 class Learner:
-    """Adam on windows of a group of lanes; the state runs through every window, each every-th is learned from."""
+    """Adam on windows of a group of lanes; the state runs through every window, and each is learned from."""
 
     def __init__(self, weights: dict[str, np.ndarray], rate: float):
         self.w = {k: v.copy() for k, v in weights.items()}
@@ -177,14 +177,13 @@ class Learner:
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
         self.rate, self.steps = rate, 0
 
-    def learn(self, docs: list[np.ndarray], every: int = 1) -> None:
+    def learn(self, docs: list[np.ndarray]) -> None:
         lanes = Lanes(docs)
         h = np.zeros((lanes.target.shape[1], UNITS), np.float32)
-        for k, a in enumerate(range(0, len(lanes.target), WINDOW)):
+        for a in range(0, len(lanes.target), WINDOW):
             b = min(a + WINDOW, len(lanes.target))
             h, past = run_window(self.w, lanes, a, b, h)
-            if k % every == 0:
-                self.step(lanes, a, past)
+            self.step(lanes, a, past)
 
     def step(self, lanes: Lanes, a: int, past: list[tuple]) -> None:
         w = self.w
@@ -285,22 +284,21 @@ def shaped(x: np.ndarray) -> dict[str, np.ndarray]:
     return {k: v.reshape(s).astype(np.float32) for (k, s), v in zip(SHAPES.items(), np.split(x, cuts), strict=True)}
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 1000, learn_every: int = 4) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 1000) -> dict[str, np.ndarray]:
     """Weights learned from all rows of the column text: a start from some warm_rows of them in one task, then every partition goes on from
-    there over all its documents, and the results are averaged by tokens. The state runs over all text; each learn_every-th window is
-    learned from. Only averaged weights, under a megabyte, reach the driver."""
+    there over all its documents, and the results are averaged by tokens. Every window is learned from. Only averaged weights, under a megabyte, reach the driver."""
     spark = docs.sparkSession
     total = max(1, vocabulary.ends)
     size = len(flat(start_weights()))
     held = spark.sparkContext.broadcast(vocabulary)
 
-    def learner(weights: dict[str, np.ndarray], rate: float, passes: int, every: int):
+    def learner(weights: dict[str, np.ndarray], rate: float, passes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, tokens, v = Learner(weights, rate), 0, held.value
             for _, _, codes in groups(batches, v, 0):
                 inputs = [v.inputs[c] for c in codes]
                 for _ in range(passes):
-                    own.learn(inputs, every)
+                    own.learn(inputs)
                 tokens += sum(map(len, codes))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([flat(own.w)], pa.list_(pa.float32()))], names=["tokens", "weights"])
@@ -310,9 +308,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 1000, learn_
     weights = start_weights()
     share = min(1.0, 1.2 * warm_rows / total)
     few = docs.filter(F.xxhash64("text") <= int(-(2**63) + share * (2**64 - 2**12))).select("text").limit(2 * warm_rows)
-    for r in few.coalesce(1).mapInArrow(learner(weights, 0.01, 2, 1), "tokens long, weights array<float>").collect():
+    for r in few.coalesce(1).mapInArrow(learner(weights, 0.01, 2), "tokens long, weights array<float>").collect():
         weights = shaped(np.array(r["weights"], np.float32))
-    parts = docs.select("text").mapInArrow(learner(weights, 0.003, 1, learn_every), "tokens long, weights array<float>")
+    parts = docs.select("text").mapInArrow(learner(weights, 0.003, 1), "tokens long, weights array<float>")
     means = parts.select("tokens", F.posexplode("weights").alias("place", "x")).groupBy("place").agg((F.sum(F.col("tokens") * F.col("x").cast("double")) / F.sum("tokens")).alias("x")).collect()
     if means:
         mean = np.zeros(size, np.float32)

@@ -146,6 +146,22 @@ def test_network_probabilities_sum_to_one():
     assert np.exp(logp).sum() == pytest.approx(1.0, abs=1e-4)
 
 
+def test_every_window_is_learned_from(spark):
+    """One partition equals a warm start and a pass over it by hand, with a step for each window."""
+    texts = [" ".join(f"w{(k * j) % 31}" for j in range(60)) for k in range(1, 30)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    counts = Counter(w for t in texts for w in gru_lm.words_of(t))
+    v = gru_lm.Vocabulary.of(sorted(counts.items(), key=lambda x: (-x[1], x[0])), counts.total() + len(texts), len(counts) + 1, len(texts))
+    inputs = [v.inputs[np.append(v.codes(gru_lm.words_of(t)), np.int32(len(v.words) + 1))] for t in texts]
+    warm = gru_lm.Learner(gru_lm.start_weights(), 0.01)
+    warm.learn(inputs)
+    warm.learn(inputs)
+    last = gru_lm.Learner(warm.w, 0.003)
+    last.learn(inputs)
+    assert last.steps == -(-61 // gru_lm.WINDOW)
+    assert np.abs(gru_lm.flat(gru_lm.train(rows, v)) - gru_lm.flat(last.w)).max() < 1e-4
+
+
 def test_search(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 8))
