@@ -40,7 +40,8 @@ def family_of(lang: str) -> str:
 
 @lru_cache(1)
 def letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(1 << 16)])
+    """Whether a code point is a letter, for all there are."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def features(text: str | None) -> np.ndarray | None:
@@ -49,7 +50,7 @@ def features(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4")
-    is_letter = letters()[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+    is_letter = letters()[c]
     if not is_letter.any():
         return None
     c = np.where(is_letter, c, 32)

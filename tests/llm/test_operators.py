@@ -122,6 +122,18 @@ def test_language(spark, docs):
     assert odd[10_001] == odd[10_002] == "und"
 
 
+def test_only_letters_tell_a_language(spark):
+    """Emoji and marks above the basic plane are no letters, letters there are."""
+    texts = ["\U0001f600 12 !", "\U0001f680\U0001f1e9\U0001f1ea", "\U0001d7ce\U0001f3fd", "\U00010330\U00010331\U00010332"]
+    assert [lang_hier.features(t) is None for t in texts] == [True, True, True, False]
+    plain, decked = (lang_hier.features(t) for t in ("good day", "good \U0001f600 day"))
+    assert np.array_equal(plain, decked)
+    given = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = spark.createDataFrame(list(enumerate(texts[:3])), "doc_id long, text string")
+    out = lang_hier.identify(rows, lang_hier.fit(given, F.lit(True))).collect()
+    assert [(r["lang_pred"], r["score"]) for r in out] == [("und", 0.0)] * 3
+
+
 def test_quality(spark, docs):
     assert divergence_rules.repeat_words(b"a b c d e f g h a b c d e f g h x".split()) == 16
     refs = divergence_rules.references(docs)
