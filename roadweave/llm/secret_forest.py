@@ -11,10 +11,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A stretch of text between white space that may hold a secret: an optional key, then 12 characters or more of a token's alphabet.
-KEYED = r"""^["'(\[{]*(?:([A-Za-z_][A-Za-z0-9_.-]{1,40})["']?[=:]+)?["']?([A-Za-z0-9+/_=.-]{12,})["')\]},;.]*$"""
-#: Up to two words, then a word of 12 characters or more with two digits or more; the next word is seen, not taken.
-HIT = r"(?<!\S)(?:\S{1,40}\s{1,3}){0,2}?(?=\S{12})(?=[^\s0-9]*[0-9]\S*?[0-9])\S+(?=\s{0,2}(\S{0,30}))"
 #: Words around secrets, around harmless tokens, in placeholders; common words and letter pairs of prose.
 SECRET_WORDS = "passw|passwd|pwd|secret|token|api[_-]?key|apikey|auth|credential|private|access|bearer|signing"
 HARMLESS_WORDS = "commit|sha1|sha256|sha512|md5|hash|digest|checksum|etag|uuid|guid|version|build|revision|href|isbn|order|invoice|phone|serial|session_id|trace"
@@ -23,6 +19,24 @@ COMMON_WORDS = "the|and|that|with|this|from|have|not|are|was|you|for|key|name|us
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|ch|ge|un|ie|el|la|qu|ci"
 PREFIXES = "^(AKIA|ASIA|ghp_|gho_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ)"
 TEST_PATHS = "test|example|fixture|sample|docs?/|mock"
+#: A token: a known prefix and 8 characters or more, or 12 or more of a token's alphabet up to a prefix; = only at the end.
+_STARTS = f"(?:{PREFIXES[2:-1]})"
+_PREFIXED = rf"{_STARTS}[A-Za-z0-9+/_.-]{{8,}}={{0,2}}"
+_RUN = rf"(?:(?!(?<![A-Za-z0-9]){_STARTS}[A-Za-z0-9+/_.-]{{8}})[A-Za-z0-9+/_.-]){{12,}}+={{0,2}}"
+#: What follows a secret's name may be shorter and hold other marks.
+_WIDE = r"""[^\s"'<>,;&(){}\[\]\\]{6,}"""
+_NAMED = f"(?i:{SECRET_WORDS})[A-Za-z0-9_.-]{{0,60}}[\"']?[=:]+[\"']?"
+#: A lone token; candidates of a word. Groups: a URL's password; a secret's name, its value in quotes of either kind or bare; a key and its token; a lone token.
+LONE = rf"((?<![A-Za-z0-9]){_PREFIXED}|(?<![A-Za-z0-9+/_.-]){_RUN})"
+PIECE = (
+    r"""://[^\s/:@"']{0,64}:([^\s/@"']{4,})@"""
+    rf"""|((?=[A-Za-z0-9_.-]{{0,60}}?(?i:{SECRET_WORDS}))[A-Za-z_][A-Za-z0-9_.-]{{0,80}})["']?[=:]+(?:"([^"\s\\]{{6,}})"|'([^'\s\\]{{6,}})'|["']?({_WIDE}))"""
+    rf"""|([A-Za-z_][A-Za-z0-9_.-]{{0,60}})["']?[=:]+["']?({_PREFIXED}|{_RUN})"""
+    rf"|{LONE}"
+)
+#: A word with a candidate; a word that ends in a secret's name and = or :; a word that is such a mark.
+HIT = rf"[A-Za-z0-9+/_.-]{{12}}|://[^\s/:@]{{0,64}}:[^\s/@]{{4,}}@|{_NAMED}[^\s]{{6}}"
+NAME_AHEAD, NAME, MARK = f"{_NAMED}$", f"(?i:{SECRET_WORDS})", "^(=|:|=>|:=)$"
 
 FEATURES = ("length", "digits", "uppers", "lowers", "marks", "transitions", "distinct", "covered", "pairs", "hex", "only_digits", "prefix", "placeholder", "key_secret", "key_harmless", "near_secret", "near_harmless", "slashes", "dotted", "test_path")
 
@@ -50,7 +64,7 @@ def features(value: Column, key: Column, left: Column, right: Column, path: Colu
     ]
 
 
-def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """Reviewed findings to learn from when no others are given: value, key, left, right, path, secret. Shapes of tokens with their keys, and
     of what resembles them: digests of commits and files, ids, paths, placeholders, long names, numbers."""
     h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512)
@@ -59,6 +73,10 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
     word = lambda k: F.element_at(F.array(*map(F.lit, ["user", "profile", "street", "event", "report", "service", "config", "road", "image", "group", "setting", "table"])), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(12)) + 1).cast("int"))
     near = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.pmod(F.xxhash64("id", F.lit(99)), F.lit(len(x))) + 1).cast("int"))
     none, digits = F.lit(None).cast("string"), F.translate(h, "abcdef", "123456")
+    prose = lambda k: F.element_at(F.array(*map(F.lit, ["understanding", "communication", "international", "neighbourhood", "particularly", "Verantwortung", "Geschwindigkeit", "Zusammenarbeit", "selbstverständlich", "responsabilidad", "desarrolladores", "conocimiento", "aujourd'hui", "gouvernement", "particulièrement", "environnement", "required", "invalid", "missing", "everything", "something", "expired", "nothing", "unknown"])), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(24)) + 1).cast("int"))
+    syllable = lambda k: F.element_at(F.array(*map(F.lit, ["th", "er", "on", "an", "re", "in", "tion", "che", "lich", "ung", "de", "la", "ou", "que", "es", "ent", "ar", "os", "ich", "schen", "wh", "ly", "st", "eau"])), (F.pmod(F.xxhash64("id", F.lit(200 + k)), F.lit(24)) + 1).cast("int"))
+    letters = F.translate(mixed, "0123456789", "qWzRkTvLxJ")
+    secret_key = near("password", "passwd", "db_password", "secret", "api_key", "token", "PWD")
     cut = lambda c, a, b: F.substring(c, 1, F.lit(a) + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(b - a + 1)).cast("int"))
     kinds = [
         (F.concat(F.lit("AKIA"), F.substring(big, 1, 16)), none, near("of", "the", "key", "and"), True),
@@ -77,6 +95,19 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
         (F.substring(digits, 1, 16), none, near("order", "phone", "the", "number"), False),
         (F.concat_ws("-", F.substring(digits, 1, 3), F.substring(digits, 4, 4), F.substring(digits, 8, 4)), none, near("call", "tel", "the"), False),
         (F.concat(word(1), word(2), word(3), F.substring(digits, 1, 2)), none, near("the", "of", "and"), False),
+        (F.concat(near("AKIA", "ASIA"), F.upper(F.substring(letters, 1, 16))), none, near("of", "the", "key", "and"), True),
+        (cut(letters, 14, 40), secret_key, near("the", "set", "export"), True),
+        (cut(mixed, 7, 12), secret_key, near("the", "set", "de"), True),
+        (F.concat(near("T", "r", "K"), F.substring(letters, 1, 4), near("@", "!", "#", "$", "%"), F.substring(mixed, 6, 5), near("!", "", "%")), secret_key, near("the", "set", "und"), True),
+        (F.concat(word(1), near("@", "!", "#", "$", "%"), word(2), near("!", "", "$")), secret_key, near("the", "set", "und"), True),
+        (F.concat(word(1), F.substring(digits, 1, 3)), near("password", "passwd", "pwd", "PASSWORD", "url_password"), near("the", "set", "und"), True),
+        (prose(1), none, near("the", "of", "and", "die", "la"), False),
+        *((case(F.concat(*(syllable(k) for k in range(n)))), none, near("the", "of", "and", "secret", "die", None), False) for case in (F.lower, F.initcap, F.upper) for n in (5, 7)),
+        (prose(1), none, near("secret", "access token", "password", "private"), False),
+        (prose(1), secret_key, near("the", "a", "error"), False),
+        (F.concat(prose(1), near("-", ".", "/", "_"), prose(2)), near(None, None, "path", "title"), near("the", "of", "und"), False),
+        (F.concat(F.lit("//www."), word(1), F.lit(".com/"), prose(2)), near("https", "http"), near("see", "at"), False),
+        (F.concat(word(1), near("_", "-", ""), word(2)), secret_key, near("the", "a", "error"), False),
     ]
     pick = F.col("id") % len(kinds)
     chosen = lambda k: reduce(lambda so_far, x: so_far.when(pick == x[0], x[1][k]), list(enumerate(kinds))[1:], F.when(pick == 0, kinds[0][k]))
@@ -109,12 +140,29 @@ def as_column(model: RandomForestClassificationModel, cols: list[Column]) -> Col
 def with_findings(docs: DataFrame, model: RandomForestClassificationModel, text_col: str, path_col: str | None, limit: float) -> DataFrame:
     """docs with findings: for each candidate its place among them, key, value, probability and whether it is a secret."""
     text = F.col(f"`{text_col}`")
-    hits, rights = F.regexp_extract_all(text, F.lit(HIT), F.lit(0)), F.regexp_extract_all(text, F.lit(HIT), F.lit(1))
-    docs = docs.withColumn("__hits", F.when(text.rlike("[0-9]"), F.arrays_zip(hits.alias("hit"), rights.alias("right"))))
+    docs = docs.withColumn("__words", F.split(text, "\\s+"))
+    at = lambda k: F.coalesce(F.get("__words", k), F.lit(""))
+    ahead = lambda i: F.when(F.substring(at(i - 1), -1, 1).isin("=", ":", '"', "'"), F.when(at(i - 1).rlike(MARK), at(i - 2).rlike(NAME)).otherwise(at(i - 1).rlike(NAME_AHEAD))).otherwise(F.lit(False))
+    words = F.transform("__words", lambda w, i: F.when(((F.length(w) >= 10) & w.rlike(HIT)) | ((F.length(w) >= 6) & ahead(i)), F.struct(w.alias("w"), i.alias("i"))))
+    docs = docs.withColumn("__hits", F.filter(words, lambda x: x.isNotNull()))
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
-    word = lambda x: F.regexp_extract(x["hit"], "\\S+$", 0)
-    cut = F.transform("__hits", lambda x, i: F.struct(i.alias("place"), F.regexp_extract(word(x), KEYED, 1).alias("key"), F.regexp_extract(word(x), KEYED, 2).alias("value"), F.regexp_replace(x["hit"], "\\S+$", "").alias("left"), x["right"].alias("right")))
-    raw = F.filter(cut, lambda x: x["value"] != "")
+
+    def pieces(x: Column) -> Column:
+        """The candidates in a word: those with a key of their own, else what follows a secret's name, else lone tokens."""
+        found = F.arrays_zip(*(F.regexp_extract_all(x["w"], F.lit(PIECE), F.lit(k)).alias(f"g{k}") for k in range(1, 9)))
+        i = x["i"]
+        named = F.when(at(i - 1).rlike(MARK), at(i - 2)).otherwise(at(i - 1))
+        left = F.concat(F.substring(at(i - 2), -40, 40), F.lit(" "), F.substring(at(i - 1), -40, 40), F.lit(" "))
+        side = [left.alias("left"), F.substring(at(i + 1), 1, 30).alias("right")]
+        full = F.transform(found, lambda g: F.struct(F.when(g["g1"] != "", F.lit("url_password")).otherwise(F.concat(g["g2"], g["g6"])).alias("key"), F.regexp_replace(F.concat(*(g[f"g{k}"] for k in (1, 3, 4, 5, 7, 8))), "[.:]+$", "").alias("value"), *side))
+        lone = F.transform(F.regexp_extract_all(x["w"], F.lit(LONE), F.lit(1)), lambda v: F.struct(F.lit("").alias("key"), F.regexp_replace(v, "[.:]+$", "").alias("value"), *side))
+        named = F.array(F.struct(F.regexp_replace(named, "^[^A-Za-z_]+|[^A-Za-z0-9]+$", "").alias("key"), F.regexp_replace(F.regexp_extract(x["w"], _WIDE, 0), "[.:]+$", "").alias("value"), *side))
+        # Only a word with a mark can hold a key; in an array of one, so that it is worked out once.
+        own = F.array(F.when(x["w"].rlike("[=:]"), full).otherwise(lone))
+        return F.flatten(F.transform(own, lambda o: F.when(ahead(i) & ~F.exists(o, lambda p: p["key"] != ""), named).otherwise(o)))
+
+    raw = F.filter(F.flatten(F.transform("__hits", pieces)), lambda x: x["value"] != "")
+    raw = F.transform(raw, lambda x, i: F.struct(i.alias("place"), x["key"].alias("key"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
     docs = docs.withColumn("__raw", F.coalesce(raw, F.array().cast("array<struct<place:int,key:string,value:string,left:string,right:string>>")))
     seen = F.transform("__raw", lambda x: F.struct(x.alias("x"), F.array(*features(x["value"], x["key"], x["left"], x["right"], path)).alias("f")))
     docs = docs.withColumn("__seen", seen)
@@ -122,7 +170,7 @@ def with_findings(docs: DataFrame, model: RandomForestClassificationModel, text_
     judged = F.transform("__seen", lambda s: F.struct(s["x"]["place"].alias("place"), s["x"]["key"].alias("key"), s["x"]["value"].alias("value"), chance(s).alias("probability")))
     docs = docs.withColumn("__judged", judged)
     final = F.transform("__judged", lambda s: F.struct(s["place"].alias("place"), s["key"].alias("key"), s["value"].alias("value"), s["probability"].alias("probability"), (s["probability"] >= limit).alias("secret")))
-    return docs.withColumn("__findings", final).drop("__hits", "__raw", "__seen", "__judged")
+    return docs.withColumn("__findings", final).drop("__words", "__hits", "__raw", "__seen", "__judged")
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", limit: float = 0.5) -> DataFrame:
@@ -131,13 +179,15 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
     Words are separated by space and U+0009 to U+000D. Null and empty texts have no candidates; repeated rows are scanned each; a null
     path is no path; the whole text counts. No shuffle.
     """
+    # explode would have its filter pushed down, which puts the split of the text in for each word.
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.col(path_col) if path_col else F.lit("")).alias("path"))
-    return with_findings(rows, model, "text", "path", limit).select("doc_id", F.explode("__findings").alias("x")).select("doc_id", "x.*")
+    return with_findings(rows, model, "text", "path", limit).select("doc_id", F.explode_outer("__findings").alias("x")).filter("x is not null").select("doc_id", "x.*")
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str | None = "source", limit: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
     """docs with every secret in the text replaced by mask; all rows stay, and other columns are as they were."""
     found = with_findings(docs, model, text_col, path_col, limit)
     values = F.transform(F.filter("__findings", lambda x: x["secret"]), lambda x: x["value"])
-    clean = F.aggregate(F.array_distinct(values), F.col(f"`{text_col}`"), lambda text, v: F.replace(text, v, F.lit(mask)))
+    whole = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9](?=[A-Za-z0-9]))\Q"), v, F.lit(r"\E(?!(?<=[A-Za-z0-9])[A-Za-z0-9])"))
+    clean = F.aggregate(F.array_distinct(values), F.col(f"`{text_col}`"), lambda text, v: F.regexp_replace(text, whole(v), F.lit(mask)))
     return found.withColumn(text_col, clean).drop("__findings")
