@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import pieces, written
 from .components import connected_components
 
 K, LEAST_SHARE = 48, 0.42
@@ -58,23 +58,23 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), digest of the set (null if empty) and its K lowest values."""
+    """doc_id, text_mark, n (set size), digest of the set (null if empty) and its K lowest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text=1):
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "low"]
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "text_mark", "n", "digest", "low"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, low array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_mark")).mapInArrow(run, "doc_id long, text_mark long, n long, digest binary, low array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, g, nb and the whole set as bytes, from doc_id, text, g, nb."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text=1):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "g", "nb", "items"])
 
     return docs.mapInArrow(run, "doc_id long, g long, nb int, items binary")
@@ -140,7 +140,7 @@ def candidate_edges(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs: documents of at least threshold % similarity are linked, and
+    """doc_id, n_shingles, component_id, kept, text_mark (xxhash64 of the text) for each row of docs: documents of at least threshold % similarity are linked, and
     component_id is the smallest id that links reach.
 
     Texts without words have empty sets and are alone. A null id is linked with nothing, has a null component and is kept; rows with
@@ -149,8 +149,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     if not 80 <= threshold <= 100:
         raise ValueError("threshold must be 80 to 100")
     spark = docs.sparkSession
-    arrow_rows(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     all_rows = written(sketches(docs, width), "sketches")
     known = all_rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = written(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low")), "representatives")
@@ -185,9 +184,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     found = connected_components(links)
     classes = reps.select("digest", F.col("doc_id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component"))
     classes = written(classes, "classes")
-    out = all_rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
+    out = all_rows.select("doc_id", "text_mark", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_mark")
 
 
 def exact_components(rows: list[tuple[int, str | None]], width: int, threshold: int) -> dict[int, int]:

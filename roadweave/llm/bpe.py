@@ -19,8 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .common import arrow_rows
+from .common import pieces
 
 #: Chunks and words kept by a worker; at the bound they are forgotten and built anew.
 CACHE_ENTRIES = 400_000
@@ -74,15 +75,16 @@ class Codec:
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.strings[i] = token
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.library = Tokenizer.from_file(path)
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.bytes = byte_symbols()
         self.known_words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {"": b""}
 
     def word(self, word: str) -> bytes:
-        """Ids of one word of the pattern, as little-endian unsigned 32-bit integers."""
+        """Ids of one word, given as the characters that stand for its bytes, as little-endian unsigned 32-bit integers."""
         if (ids := self.known_words.get(word)) is None:
-            symbols = [self.bytes[b] for b in word.encode()]
+            symbols = list(word)
             symbols[-1] += self.suffix
             ids = np.array([self.vocab[s] for s in merge_symbols(symbols, self.ranks) if s in self.vocab], "<u4").tobytes()
             if len(self.known_words) >= CACHE_ENTRIES:
@@ -97,10 +99,17 @@ class Codec:
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
             elif part:
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # a final sigma is lowered as any other
-                out += map(self.word, self.words.findall(plain))
+                out += map(self.word, self.split(part))
         return b"".join(out)
 
+    def split(self, part: str) -> list[str]:
+        """The words of a stretch. Its letters are told apart here where they are Latin; for all others the library's own normalizer
+        and pattern are asked, as versions of Unicode differ in what they call a letter."""
+        if max(part) < "\u0250":
+            plain = unicodedata.normalize("NFC", part).lower()
+            return ["".join([self.bytes[b] for b in w.encode()]) for w in self.words.findall(plain)]
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids of a whole text; none for null."""
         known, out = self.known, []
@@ -134,7 +143,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in pieces(batches, text=1):
             rows = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if keep_ids else {})
             for text in batch.column(1).to_pylist():
                 ids = own.encode(text)
@@ -147,7 +156,6 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     rows["decoded"].append(decoded)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | rows, schema=schema)
 
-    arrow_rows(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + ([("ids", pa.list_(pa.int64())), ("decoded", pa.string())] if keep_ids else []))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees. Only where the session names none, as in tests, one is made."""
+    """The folder of spark.checkpoint.dir, which every executor sees. Only a local session that names none, as in tests, gets one made."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if own:
         return own.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -41,9 +47,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
-    """Rows a batch that goes to Python; long texts need small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 4096, text: int | None = None, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most rows rows and, where text names a column, about most bytes of it, one row at least.
+
+    Spark bounds a batch by 64 MB or one row (spark.sql.execution.arrow.maxBytesPerBatch), whatever the texts' lengths; a slice bounds
+    what a task makes of it at once.
+    """
+    for batch in batches:
+        at = 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if text is not None and batch.num_rows else None
+        while at < batch.num_rows:
+            n = rows if ends is None else min(rows, max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")) - at))
+            yield batch.slice(at, n)
+            at += n
 
 
 def word_count(text: Column) -> Column:

@@ -51,17 +51,27 @@ def flight(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, land:
     return near(np.array(p), chance, size) if land else np.array(p)
 
 
-def near(landed: np.ndarray, chance: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The landing's last step: while the words are off, turns the one choice that brings them nearest, among those left to chance."""
+def near(landed: np.ndarray, chance: np.ndarray, size: np.ndarray, most: int = 3) -> np.ndarray:
+    """The landing's last step: exchanges a taken document for one left out, both left to chance, where that brings the words nearer to
+    their total. The number of documents stays. At most `most` exchanges, the best one first."""
     landed, size = landed.copy(), size.astype(float)
-    free = np.flatnonzero((chance > EPS) & (chance < 1 - EPS) & (size > 0))
+    free = (chance > EPS) & (chance < 1 - EPS)
     off = float(((landed - chance) * size).sum())
-    for _ in range(len(free)):
-        turned = off + np.where(landed[free] > 0.5, -size[free], size[free])
-        k = int(np.abs(turned).argmin()) if len(free) else 0
-        if abs(turned[k]) >= abs(off):
+    for _ in range(most):
+        taken, out = np.flatnonzero(free & (landed > 0.5)), np.flatnonzero(free & (landed < 0.5))
+        if not len(taken) or not len(out):
             break
-        landed[free[k]], off = 1 - landed[free[k]], float(turned[k])
+        out = out[np.argsort(size[out], kind="stable")]
+        # For each taken document the one left out whose size is nearest to what would clear the difference.
+        at = np.searchsorted(size[out], size[taken] - off)
+        at = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(out) - 1)])
+        after = np.abs(off - size[taken] + size[out][at])
+        side, k = np.unravel_index(after.argmin(), after.shape)
+        if after[side, k] >= abs(off):
+            break
+        i, j = taken[k], out[at[side, k]]
+        landed[i], landed[j] = 0.0, 1.0
+        off += size[j] - size[i]
     return landed
 
 
@@ -86,22 +96,24 @@ def targets(totals: DataFrame, cap: float = 3.0) -> DataFrame:
     return ranked.select("source", "source_size", "n", F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * rate).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 7, block_rows: int = 500, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken (words, repeats counted), one row for each row of docs.
+def mix(docs: DataFrame, seed: int = 7, block_rows: int = 500, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken (words, repeats counted), source and the columns carry, one row for each row of docs.
 
-    Blocks hold about block_rows rows of a source, by a hash of id and size, and a random generator each, seeded by source and block:
-    reruns agree. Rows alike in id and size are interchangeable. A null source is a source of its own, last in order; a null text has
+    Blocks hold about block_rows rows of a source, by a hash of id and text, and a random generator each, seeded by source and block:
+    reruns agree. Rows alike in id and text are interchangeable. A null source is a source of its own, last in order; a null text has
     size 0, and documents of no words take part without weight in words. An empty table gives an empty result.
     """
-    size = F.coalesce(word_count(F.col(text_col)), F.lit(0)).cast("long") if size is None else size
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    text = F.col(f"`{text_col}`")
+    size = F.coalesce(word_count(text), F.lit(0)).cast("long") if size is None else size
+    mixed = F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(seed))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), mixed.alias("mixed"), *carry)
     rows = written(rows, "mix-sizes")
     totals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), cap)
     totals = totals.withColumnRenamed("source", "of").withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + EPS).cast("int")
     rows = rows.join(totals, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", "blocks", whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("chance"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("mixed")
+        "doc_id", "source", "size", "source_size", "target", "blocks", whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("chance"), "mixed", *carry
     ).withColumn("block", F.pmod("mixed", "blocks").cast("int"))
 
     def fly(last: bool):
@@ -127,4 +139,4 @@ def mix(docs: DataFrame, seed: int = 7, block_rows: int = 500, cap: float = 3.0,
     for x in done[1:]:
         out = out.unionByName(x)
     copies = F.col("whole") + F.col("chance").cast("int")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "source", *carry)

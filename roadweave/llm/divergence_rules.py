@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import pieces, written
 
 CLASSES = ("lower", "upper", "other letter", "digit", "space", "line end", "stop", "symbol", "other")
 STOPS, SYMBOLS, SPACES = ".,;:!?'\"()-", "#*$%&|<>", " \t\n\v\f\r"
@@ -127,7 +127,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.string(), pa.int64())], names=["lang", "kind", "key", "n"])
 
-        for batch in batches:
+        for batch in pieces(batches, text=0):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for k, n in enumerate(class_counts(text).tolist()):
                     if n:
@@ -139,11 +139,8 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 yield out()
         yield out()
 
-    arrow_rows(docs.sparkSession)
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counted = rows.mapInArrow(run, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    from .common import written
-
     counted = written(counted, "histograms")
     small = counted.filter(F.col("kind") == "c").collect()
     sizes = {r["lang"]: r["n"] for r in small if r["key"] == "words"}
@@ -173,7 +170,7 @@ def judge(docs: DataFrame, refs: list[Reference], limits: Limits = Limits(), id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = [{w: k for k, w in enumerate(r.words)} for r in refs]
-        for batch in batches:
+        for batch in pieces(batches, text=1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words, base = base_counts(text)
@@ -194,7 +191,6 @@ def judge(docs: DataFrame, refs: list[Reference], limits: Limits = Limits(), id_
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    arrow_rows(docs.sparkSession)
     long, real = pa.int64(), pa.float64()
     schema = pa.schema([(n, long) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("nearest", pa.string()), ("class_distance", real), ("word_distance", real)])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(

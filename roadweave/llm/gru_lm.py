@@ -1,51 +1,68 @@
 """LM scoring by a gated recurrent network in numpy: truncated backpropagation through time, an output softmax factored by classes, and a
 state carried from window to window, so a score is the log-likelihood of a complete document.
 
-Words are bytes between white space, A-Z lower-cased. The corpus gives counts of all words. The HEAD most frequent ones go to every
-task (bounded); the network knows the first TOP of them one by one, in classes of WIDTH, and the rest in BANDS of equal counts, inside
-which a word has its share of the counts. All other words are one class to the network, and their share in it comes from a join on
-the word, so the vocabulary may be of any size.
+Words are bytes between white space, A-Z lower-cased. The corpus gives counts of all words. Its most frequent ones, HEAD of them at
+most, go to every task; the network knows the first TOP of them one by one, in classes of WIDTH, and the rest in BANDS of equal
+counts, inside which a word has its share of the counts. All other words are one class to the network, and their share in it comes
+from a join on the word, so the vocabulary may be of any size.
+
+Texts are read twice: to count words, and to write each document as network inputs with the words outside the head. Training and
+scoring read those.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import pieces, written
 
-HEAD, TOP, WIDTH, BANDS, UNITS = 1 << 17, 1024, 32, 8, 16
+#: Head words and their longest length in bytes (together 8 MB at most), words with a row of their own, words in a class, bands, units.
+HEAD, LONGEST, TOP, WIDTH, BANDS, UNITS = 1 << 17, 64, 2048, 64, 8, 24
 TAIL_IN, END_IN = TOP + BANDS, TOP + BANDS + 1
-TAIL_CLASS, END_CLASS = TOP // WIDTH + BANDS, TOP // WIDTH + BANDS + 1
-INPUTS, CLASSES = END_IN + 1, END_CLASS + 1
-LANES, WINDOW, SCORE_WINDOW, BUFFER = 384, 16, 96, 600_000
-FLUSH = 400_000
-SHAPES = {"gates": (INPUTS, 3 * UNITS), "state": (UNITS, 3 * UNITS), "classes": (UNITS, CLASSES), "class_bias": (CLASSES,), "words": (TOP, UNITS), "word_bias": (TOP,)}
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+TAIL_CLASS = TOP // WIDTH + BANDS
+INPUTS, CLASSES = END_IN + 1, TAIL_CLASS + 2
+#: Documents side by side; steps that are learned from, or scored, at a time, at least and, where few documents run, at most.
+LANES, WINDOW, LONG_WINDOW, SCORE_WINDOW = 384, 16, 128, 64
+#: Documents of up to so many tokens wait together, until there are so many tokens of them: lanes then end at about the same step.
+POOLS = ((1024, 400_000), (4096, 1_600_000), (1 << 62, 4_000_000))
+FLUSH = 600_000
+#: A word's row holds its weights, then its bias.
+SHAPES = {"gates": (INPUTS, 3 * UNITS), "state": (3 * UNITS, UNITS), "classes": (CLASSES, UNITS + 1), "words": (TOP, UNITS + 1)}
+#: Logits are held within this, so that no exponent leaves the range of single precision.
+STEEPEST = 60.0
 
 
 def start_weights(seed: int = 3) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return {k: (np.zeros(s) if "bias" in k else rng.normal(0, 0.1, s)).astype(np.float32) for k, s in SHAPES.items()}
+    w = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in SHAPES.items()}
+    w["classes"][:, -1] = w["words"][:, -1] = 0
+    return w
+
+
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of some texts, as numbers into the distinct ones, and the text of each. A null text has none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = split.flatten()
+    owner = np.repeat(np.arange(len(split)), split.value_lengths().to_numpy())
+    real = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(real).dictionary_encode(), owner[real.to_numpy(zero_copy_only=False)]
 
 
 @dataclass
 class Vocabulary:
-    """Head words by falling count; of each: input row, class, log10 of its base probability, and log10 of its share in a band (0 in TOP).
+    """Head words by falling count; of each: input row, log10 of its base probability, and log10 of its share in a band (0 in TOP). One more
+    entry stands for words outside the head (base 0: it comes from the join), and a last one for the end.
     n, v: all training tokens and distinct ones; tail_n, tail_v: those outside the head; ends: training documents."""
 
-    words: dict[bytes, int]
+    words: list[str]
     inputs: np.ndarray
     base: np.ndarray
     share: np.ndarray
@@ -56,223 +73,274 @@ class Vocabulary:
     ends: int
 
     @classmethod
-    def of(cls, head: list[tuple[bytes, int]], n: int, v: int, ends: int) -> Vocabulary:
+    def of(cls, head: list[tuple[str, int]], n: int, v: int, ends: int) -> Vocabulary:
         counts = np.array([c for _, c in head], float)
         rest = counts[TOP:]
         edge = np.cumsum(rest) / max(1.0, rest.sum())
         band = np.minimum((edge * BANDS - 1e-9).astype(int), BANDS - 1) if len(rest) else np.empty(0, int)
         sums = np.bincount(band, weights=rest, minlength=BANDS)
-        inputs = np.concatenate([np.arange(min(TOP, len(head))), TOP + band, [TAIL_IN, END_IN]]).astype(np.int32)
+        inputs = np.concatenate([np.arange(min(TOP, len(head))), TOP + band, [TAIL_IN, END_IN]]).astype(np.uint16)
         whole = n + 0.1 * (v + 1)
-        base = np.log10((np.concatenate([counts, [0.9, ends]]) + 0.1) / whole)
+        base = np.concatenate([np.log10((counts + 0.1) / whole), [0.0, np.log10((ends + 0.1) / whole)]])
         share = np.concatenate([np.zeros(min(TOP, len(head))), np.log10(rest / sums[band]), [0.0, 0.0]])
-        return cls({w: k for k, (w, _) in enumerate(head)}, inputs, base, share, n, v, int(n - ends - counts.sum()), v - len(head) - bool(ends), ends)
+        return cls([w for w, _ in head], inputs, base, share, n, v, int(n - ends - counts.sum()), v - len(head) - bool(ends), ends)
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """Place in the head of each word, then that of the end; len(words) stands for the tail."""
-        tail = len(self.words)
-        get = self.words.get
-        return np.fromiter(map(get, words, repeat(tail)), np.int32, len(words))
+    def codes(self, distinct: pa.Array) -> np.ndarray:
+        """Place in the head of each word; the number of head words for one outside it."""
+        return pc.index_in(distinct, value_set=pa.array(self.words, pa.string())).fill_null(len(self.words)).to_numpy(zero_copy_only=False)
 
 
 class Lanes:
     """Documents laid end to end in lanes of like length, longest lane first, so a step is one operation over all that still run."""
 
     def __init__(self, docs: list[np.ndarray]):
-        n = min(LANES, len(docs))
+        sizes = [len(d) for d in docs]
+        n = max(1, min(LANES, len(docs), -(-sum(sizes) // max(sizes))))
         loads, mine = [(0, k) for k in range(n)], [[] for _ in range(n)]
-        for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
+        for d in sorted(range(len(docs)), key=lambda d: -sizes[d]):
             load, k = heapq.heappop(loads)
             mine[k].append(d)
-            heapq.heappush(loads, (load + len(docs[d]), k))
-        mine.sort(key=lambda ds: -sum(len(docs[d]) for d in ds))
+            heapq.heappush(loads, (load + sizes[d], k))
+        mine.sort(key=lambda ds: -sum(sizes[d] for d in ds))
         self.docs = mine
-        lengths = np.array([sum(len(docs[d]) for d in ds) for ds in mine])
+        lengths = np.array([sum(sizes[d] for d in ds) for ds in mine])
         steps = int(lengths.max())
-        self.target = np.zeros((steps, n), np.int32)
-        self.source = np.full((steps, n), END_IN, np.int32)
-        self.keep = np.ones((steps, n, 1), np.float32)
+        self.target = np.zeros((steps, n), np.uint16)
+        self.source = np.full((steps, n), END_IN, np.uint16)
+        self.keep = np.ones((steps, n), bool)
         self.starts = []
         for k, ds in enumerate(mine):
             row = np.concatenate([docs[d] for d in ds])
             self.target[: len(row), k] = row
             self.source[1 : len(row), k] = row[:-1]
-            at = np.cumsum([0, *(len(docs[d]) for d in ds)])[:-1]
+            at = np.cumsum([0, *(sizes[d] for d in ds)])[:-1]
             self.source[at, k] = END_IN
-            self.keep[at, k] = 0
+            self.keep[at, k] = False
             self.starts.append(at)
         self.active = np.searchsorted(-lengths, -np.arange(steps), side="left")
 
+    def windows(self, length: int) -> Iterator[Window]:
+        for a in range(0, len(self.target), length):
+            yield Window(self, a, min(a + length, len(self.target)))
+
 
-def class_of(inputs: np.ndarray) -> np.ndarray:
-    return np.where(inputs < TOP, inputs // WIDTH, inputs - TOP + TOP // WIDTH)
+class Window:
+    """Steps a to b - 1 of all lanes that run, one after another; cuts are where each step begins, keep is 0 where a document does."""
 
+    def __init__(self, lanes: Lanes, a: int, b: int):
+        sizes = lanes.active[a:b]
+        self.a, self.cuts = a, np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        runs = np.arange(lanes.target.shape[1]) < sizes[:, None]
+        self.source, self.target, self.keep = lanes.source[a:b][runs], lanes.target[a:b][runs], lanes.keep[a:b][runs].astype(np.float32)
 
-def run_window(w: dict[str, np.ndarray], lanes: Lanes, a: int, b: int, h: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-    """The state after steps a to b - 1, and what each step did."""
-    past = []
-    for t in range(a, b):
-        n = int(lanes.active[t])
-        before = h[:n] * lanes.keep[t, :n]
-        x = w["gates"][lanes.source[t, :n]]
-        u = before @ w["state"]
-        zr = x[:, : 2 * UNITS] + u[:, : 2 * UNITS]
+
+def forward(w: dict[str, np.ndarray], x: Window, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The state after a window, and what its steps did; arrays are units by tokens, so each gate is one stretch of memory."""
+    n, inputs = len(x.source), np.ascontiguousarray(w["gates"][x.source].T)
+    past = {k: np.empty((UNITS, n), np.float32) for k in ("before", "z", "r", "new", "u")}
+    states = np.ones((UNITS + 1, n), np.float32)
+    for s, e in zip(x.cuts, x.cuts[1:]):
+        before = h[:, : e - s] * x.keep[s:e]
+        u = w["state"] @ before
+        zr = inputs[: 2 * UNITS, s:e] + u[: 2 * UNITS]
         np.exp(np.negative(zr, out=zr), out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :UNITS], zr[:, UNITS:]
-        new = np.tanh(x[:, 2 * UNITS :] + r * u[:, 2 * UNITS :])
-        after = new + z * (before - new)
-        past.append((n, before, z, r, new, u[:, 2 * UNITS :], after))
-        h = after
-    return h, past
+        z, r, u = zr[:UNITS], zr[UNITS:], u[2 * UNITS :]
+        new = r * u
+        new += inputs[2 * UNITS :, s:e]
+        np.tanh(new, out=new)
+        h = before - new
+        h *= z
+        h += new
+        for k, v in (("before", before), ("z", z), ("r", r), ("new", new), ("u", u)):
+            past[k][:, s:e] = v
+        states[:UNITS, s:e] = h
+    return h, past | {"states": states}
+
+
+def softmax(logits: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Natural log of the probability that each column gives its picked row; logits become probabilities times their sum."""
+    at = np.arange(logits.shape[1])
+    np.clip(logits, -STEEPEST, STEEPEST, out=logits)
+    own = logits[picked, at]
+    np.exp(logits, out=logits)
+    return own - np.log(logits.sum(axis=0))
 
 
 def outputs(w: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None, dict]:
     """log probability (natural) of each target's class and word; with learn, the gradients of the sum's negative."""
-    cls = class_of(target)
-    e = states @ w["classes"] + w["class_bias"]
-    e -= e.max(axis=1, keepdims=True)
-    rows = np.arange(len(target))
-    picked = e[rows, cls]
-    np.exp(e, out=e)
-    sums = e.sum(axis=1)
-    logp = picked - np.log(sums)
-    grads, back = {}, None
-    if learn:
-        e /= sums[:, None]
-        e[rows, cls] -= 1
-        back = e @ w["classes"].T
-        grads = {"classes": states.T @ e, "class_bias": e.sum(axis=0), "words": np.zeros(SHAPES["words"], np.float32), "word_bias": np.zeros(TOP, np.float32)}
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(TOP // WIDTH + 1))
-    for c in range(TOP // WIDTH):
-        at = order[cuts[c] : cuts[c + 1]]
-        if not len(at):
-            continue
-        own = slice(c * WIDTH, (c + 1) * WIDTH)
-        s, place = states[at], target[at] - c * WIDTH
-        e = s @ w["words"][own].T + w["word_bias"][own]
-        e -= e.max(axis=1, keepdims=True)
-        k = np.arange(len(at))
-        picked = e[k, place]
-        np.exp(e, out=e)
-        sums = e.sum(axis=1)
-        logp[at] += picked - np.log(sums)
-        if learn:
-            e /= sums[:, None]
-            e[k, place] -= 1
-            back[at] += e @ w["words"][own]
-            grads["words"][own] = e.T @ s
-            grads["word_bias"][own] = e.sum(axis=0)
+    cls = np.where(target < TOP, target // WIDTH, target - (TOP - TOP // WIDTH)).astype(np.intp)
+    e = w["classes"] @ states
+    logp = softmax(e, cls)
+    order = np.flatnonzero(target < TOP)
+    order = order[np.argsort(target[order], kind="stable")]
+    own = target[order]
+    cuts = np.searchsorted(own, np.arange(0, TOP + 1, WIDTH)).tolist()
+    s, place = states[:, order], (own % WIDTH).astype(np.intp)
+    f = np.empty((WIDTH, len(order)), np.float32)
+    spans = [(slice(c * WIDTH, (c + 1) * WIDTH), slice(a, b)) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    for rows, at in spans:
+        f[:, at] = w["words"][rows] @ s[:, at]
+    logp[order] += softmax(f, place)
+    if not learn:
+        return logp, None, {}
+    for x, picked in ((e, cls), (f, place)):
+        x /= x.sum(axis=0)
+        x[picked, np.arange(x.shape[1])] -= 1
+    grads = {"classes": e @ states.T, "words": np.zeros(SHAPES["words"], np.float32)}
+    back, part = w["classes"][:, :-1].T @ e, np.empty((UNITS, len(order)), np.float32)
+    for rows, at in spans:
+        part[:, at] = w["words"][rows, :-1].T @ f[:, at]
+        grads["words"][rows] = f[:, at] @ s[:, at].T
+    back[:, order] += part
     return logp, back, grads
 
 
 class Learner:
-    """Adam on windows of a group of lanes; the state runs through every window, and each is learned from."""
+    """Adam on windows of a group of lanes; the state runs through every window, and each is learned from. mean: the weights on the way,
+    averaged by tokens."""
 
     def __init__(self, weights: dict[str, np.ndarray], rate: float):
         self.w = {k: v.copy() for k, v in weights.items()}
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.rate, self.steps = rate, 0
+        self.mean = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.rate, self.steps, self.tokens = rate, 0, 0
 
     def learn(self, docs: list[np.ndarray]) -> None:
         lanes = Lanes(docs)
-        h = np.zeros((lanes.target.shape[1], UNITS), np.float32)
-        for a in range(0, len(lanes.target), WINDOW):
-            b = min(a + WINDOW, len(lanes.target))
-            h, past = run_window(self.w, lanes, a, b, h)
-            self.step(lanes, a, past)
-
-    def step(self, lanes: Lanes, a: int, past: list[tuple]) -> None:
-        w = self.w
-        target = np.concatenate([lanes.target[a + k, : x[0]] for k, x in enumerate(past)])
-        source = np.concatenate([lanes.source[a + k, : x[0]] for k, x in enumerate(past)])
-        _, back, grads = outputs(w, np.concatenate([x[6] for x in past]), target, True)
-        gates, state, dh, end = np.empty((len(target), 3 * UNITS), np.float32), np.zeros(SHAPES["state"], np.float32), None, len(target)
-        for k in range(len(past) - 1, -1, -1):
-            n, before, z, r, new, u, _ = past[k]
-            d = back[end - n : end]
-            if dh is not None:
-                d[: len(dh)] += dh
-            dn = d * (1 - z) * (1 - new * new)
-            g = gates[end - n : end]
-            g[:, :UNITS] = d * (before - new) * z * (1 - z)
-            g[:, UNITS : 2 * UNITS] = dn * u * r * (1 - r)
-            g[:, 2 * UNITS :] = dn
-            du = g.copy()
-            du[:, 2 * UNITS :] = dn * r
-            state += before.T @ du
-            dh = (d * z + du @ w["state"].T) * lanes.keep[a + k, :n]
-            end -= n
-        order = np.argsort(source, kind="stable")
-        first = np.flatnonzero(np.diff(source[order], prepend=-1))
-        grads["gates"] = np.zeros(SHAPES["gates"], np.float32)
-        grads["gates"][source[order][first]] = np.add.reduceat(gates[order], first, axis=0)
-        grads["state"] = state
-        self.steps += 1
-        size = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / len(target)
-        scale = min(1.0, 1.0 / (size + 1e-9)) / len(target)
-        rate = self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        h = np.zeros((UNITS, lanes.target.shape[1]), np.float32)
+        for x in lanes.windows(min(LONG_WINDOW, WINDOW * LANES // h.shape[1])):
+            h, past = forward(self.w, x, h)
+            self.update(gradients(self.w, x, past), len(x.target))
+
+    def update(self, grads: dict[str, np.ndarray], tokens: int) -> None:
+        self.steps, self.tokens = self.steps + 1, self.tokens + tokens
+        part = np.float32(tokens / self.tokens)
+        size = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / tokens
+        scale = np.float32(min(1.0, 1.0 / (size + 1e-9)) / tokens)
+        rate = np.float32(self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
         for k, g in grads.items():
             g = g * scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            w[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+            m, v = self.m[k], self.v[k]
+            m += 0.1 * (g - m)
+            g *= g
+            g -= v
+            g *= np.float32(0.01)
+            v += g
+            root = np.sqrt(v)
+            root += np.float32(1e-8)
+            np.divide(m, root, out=root)
+            root *= rate
+            self.w[k] -= root
+            np.subtract(self.w[k], self.mean[k], out=root)
+            root *= part
+            self.mean[k] += root
+
+
+def gradients(w: dict[str, np.ndarray], x: Window, past: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Gradients of a window's negative log probability, backwards through its steps and no further."""
+    _, back, grads = outputs(w, past["states"], x.target, True)
+    before, z, r, new, u = (past[k] for k in ("before", "z", "r", "new", "u"))
+    to_new = (1 - z) * (1 - new * new)
+    to_z = (before - new) * z * (1 - z)
+    to_r = u * r * (1 - r)
+    gates, through = np.empty((3 * UNITS, len(x.target)), np.float32), np.empty((3 * UNITS, len(x.target)), np.float32)
+    turned, later = np.ascontiguousarray(w["state"].T), None
+    for s, e in zip(x.cuts[-2::-1], x.cuts[:0:-1]):
+        d = back[:, s:e]
+        if later is not None:
+            d[:, : later.shape[1]] += later
+        dn = d * to_new[:, s:e]
+        du = np.concatenate([d * to_z[:, s:e], dn * to_r[:, s:e], dn * r[:, s:e]])
+        through[:, s:e] = du
+        gates[2 * UNITS :, s:e] = dn
+        later = turned @ du
+        later += d * z[:, s:e]
+        later *= x.keep[s:e]
+    gates[: 2 * UNITS] = through[: 2 * UNITS]
+    order = np.argsort(x.source, kind="stable")
+    source = x.source[order]
+    first = np.flatnonzero(np.diff(source.astype(np.int32), prepend=-1))
+    grads["gates"] = np.zeros(SHAPES["gates"], np.float32)
+    grads["gates"][source[first]] = np.add.reduceat(np.ascontiguousarray(gates.T)[order], first, axis=0)
+    grads["state"] = through @ before.T
+    return grads
 
 
 def score_documents(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     """log10 of class and word probabilities summed over each document (input rows, the end included)."""
     lanes = Lanes(docs)
-    h = np.zeros((lanes.target.shape[1], UNITS), np.float32)
-    logp = np.zeros(lanes.target.shape)
-    for a in range(0, len(lanes.target), SCORE_WINDOW):
-        b = min(a + SCORE_WINDOW, len(lanes.target))
-        h, past = run_window(w, lanes, a, b, h)
-        found, _, _ = outputs(w, np.concatenate([x[6] for x in past]), np.concatenate([lanes.target[a + k, : x[0]] for k, x in enumerate(past)]), False)
-        at = 0
-        for k, x in enumerate(past):
-            logp[a + k, : x[0]] = found[at : at + x[0]]
-            at += x[0]
+    h = np.zeros((UNITS, lanes.target.shape[1]), np.float32)
+    logp = np.zeros(lanes.target.shape, np.float32)
+    for x in lanes.windows(SCORE_WINDOW):
+        h, past = forward(w, x, h)
+        found, _, _ = outputs(w, past["states"], x.target, False)
+        for t, (s, e) in enumerate(zip(x.cuts, x.cuts[1:])):
+            logp[x.a + t, : e - s] = found[s:e]
     out = np.zeros(len(docs))
     for k, (ds, starts) in enumerate(zip(lanes.docs, lanes.starts, strict=True)):
-        out[ds] = np.add.reduceat(logp[:, k], starts)
+        out[ds] = np.add.reduceat(logp[:, k].astype(float), starts)
     return out / np.log(10)
 
 
-def groups(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, column: int) -> Iterator[tuple[list, list[list[bytes]], list[np.ndarray]]]:
-    """Rows, their words and codes (the end last), some BUFFER tokens at a time."""
-    rows, words, codes, n = [], [], [], 0
-    end = len(vocabulary.words) + 1
+def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """The first column's values and the second's network inputs, in groups of documents of like length."""
+    held: list[tuple[list[int], list[np.ndarray]]] = [([], []) for _ in POOLS]
+    sizes = [0] * len(POOLS)
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
-            own = words_of(row[column])
-            rows.append(row[:column] + row[column + 1 :])
-            words.append(own)
-            codes.append(np.append(vocabulary.codes(own), np.int32(end)))
-            n += len(own) + 1
-            if n >= BUFFER:
-                yield rows, words, codes
-                rows, words, codes, n = [], [], [], 0
-    if rows:
-        yield rows, words, codes
+        for uid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(data, np.uint16)
+            k = next(k for k, (longest, _) in enumerate(POOLS) if len(x) <= longest)
+            held[k][0].append(uid)
+            held[k][1].append(x)
+            sizes[k] += len(x)
+            if sizes[k] >= POOLS[k][1]:
+                yield held[k]
+                held[k], sizes[k] = ([], []), 0
+    yield from (x for x in held if x[0])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word (binary) and n over all rows of the column text. Tasks add up what they can hold before anything is shuffled."""
+    """word and n over all rows of the column text. Tasks add up what they can hold before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-            if len(counts) > FLUSH:
-                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-                counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        held, rows = [], 0
+        total = lambda: pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+        for batch in pieces(batches, text=0):
+            words, _ = split_words(batch.column(0))
+            found = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            held.append(pa.table({"word": words.dictionary, "n": found.astype(np.int64)}))
+            rows += len(found)
+            if rows > 2 * FLUSH:
+                whole = total()
+                held, rows = [whole.rename_columns(["word", "n"])], len(whole)
+                if rows > FLUSH:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from total().rename_columns(["word", "n"]).to_batches()
+
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def head_words(counts: DataFrame, most: int = HEAD) -> list[tuple[str, int]]:
+    """The most frequent words of at most LONGEST bytes and their counts, by falling count; most of them at most.
+
+    Counts fall into classes, an eighth of an octave each. Whole classes are taken from the top; of the first that is too large
+    those words whose hash is low. So what reaches the driver is a few hundred numbers and the head itself.
+    """
+    rows = counts.filter(F.octet_length("word") <= LONGEST).withColumn("class", F.floor(F.log2("n") * 8).cast("int"))
+    left, whole, some, share = most, 1 << 30, None, 0.0
+    for r in rows.groupBy("class").count().orderBy(F.desc("class")).collect():
+        if r["count"] > left:
+            some, share = r["class"], left / r["count"]
+            break
+        left, whole = left - r["count"], r["class"]
+    low = F.xxhash64("word") <= int(-(2**63) + max(0.0, share - 3 * (share / max(1, left)) ** 0.5 * share**0.5) * (2**64 - 2**12))
+    chosen = rows.filter((F.col("class") >= whole) | ((F.col("class") == some) & low) if some is not None else F.col("class") >= whole)
+    return sorted(((r["word"], r["n"]) for r in chosen.select("word", "n").collect()), key=lambda x: (-x[1], x[0]))[:most]
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -284,96 +352,119 @@ def shaped(x: np.ndarray) -> dict[str, np.ndarray]:
     return {k: v.reshape(s).astype(np.float32) for (k, s), v in zip(SHAPES.items(), np.split(x, cuts), strict=True)}
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 1000) -> dict[str, np.ndarray]:
-    """Weights learned from all rows of the column text: a start from some warm_rows of them in one task, then every partition goes on from
-    there over all its documents, and the results are averaged by tokens. Every window is learned from. Only averaged weights, under a megabyte, reach the driver."""
-    spark = docs.sparkSession
-    total = max(1, vocabulary.ends)
-    size = len(flat(start_weights()))
-    held = spark.sparkContext.broadcast(vocabulary)
+def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """uid, doc_id and learn as they are, n_tokens, known (tokens of the head that were learned from), base and share (sums over them), inputs
+    (of the network, two bytes each), and the words outside the head with their times."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = held.value
+        tail = len(v.words)
+        for batch in pieces(batches, text=3):
+            n = batch.num_rows
+            words, owner = split_words(batch.column(3))
+            place = words.indices.to_numpy()
+            codes = v.codes(words.dictionary)[place]
+            sizes = np.bincount(owner, minlength=n)
+            ends = np.cumsum(sizes)
+            base, share = (np.bincount(owner, x[codes], n) for x in (v.base, v.share))
+            inputs = np.insert(v.inputs[codes], ends, END_IN)
+            starts = np.concatenate([[0], ends + np.arange(1, n + 1)]).astype(np.int32) * 2
+            out = np.flatnonzero(codes == tail)
+            pairs, times = np.unique(owner[out] * len(words.dictionary) + place[out], return_counts=True)
+            lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(pairs // max(1, len(words.dictionary)), minlength=n))]).astype(np.int32))
+            known = sizes - np.bincount(owner[out], minlength=n) + bool(v.ends)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), batch.column(2), pa.array(sizes + 1), pa.array(known), pa.array(base + v.base[-1]), pa.array(share),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(starts.tobytes()), pa.py_buffer(inputs.tobytes())]),
+                    pa.ListArray.from_arrays(lists, words.dictionary.take(pa.array(pairs % max(1, len(words.dictionary))))), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int64))),
+                ], names=["uid", "doc_id", "learn", "n_tokens", "known", "base", "share", "inputs", "tail", "times"],
+            )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "learn", "text")
+    return rows.mapInArrow(run, "uid long, doc_id long, learn boolean, n_tokens long, known long, base double, share double, inputs binary, tail array<string>, times array<long>")
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """One row of parts (tokens, weights as bytes): weights times tokens, summed in a tree of tasks of 64 rows each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, total = 0, 0.0
+        for batch in batches:
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens, total = tokens + n, total + np.frombuffer(data, np.float64)
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["tokens", "weights"])
+
+    n = parts.count()
+    while n > 1:
+        n = -(-n // 64)
+        parts = parts.repartition(n).mapInArrow(run, "tokens long, weights binary")
+    return parts
+
+
+def train(codes: DataFrame, documents: int, warm_rows: int = 1000) -> dict[str, np.ndarray]:
+    """Weights learned from all rows of the column inputs, documents many: a start from some warm_rows of them in one task, then every
+    partition goes on from there over all its documents, and the results are averaged by tokens. Every window is learned from. Only
+    averaged weights, under a megabyte, reach the driver."""
+    rows = codes.select(F.lit(0).alias("uid"), "inputs")
 
     def learner(weights: dict[str, np.ndarray], rate: float, passes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, tokens, v = Learner(weights, rate), 0, held.value
-            for _, _, codes in groups(batches, v, 0):
-                inputs = [v.inputs[c] for c in codes]
+            own, tokens = Learner(weights, rate), 0
+            for _, docs in pooled(batches):
                 for _ in range(passes):
-                    own.learn(inputs)
-                tokens += sum(map(len, codes))
+                    own.learn(docs)
+                tokens += sum(map(len, docs))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([flat(own.w)], pa.list_(pa.float32()))], names=["tokens", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(flat(own.mean).astype(np.float64) * tokens).tobytes()], pa.binary())], names=["tokens", "weights"])
 
         return run
 
-    weights = start_weights()
-    share = min(1.0, 1.2 * warm_rows / total)
-    few = docs.filter(F.xxhash64("text") <= int(-(2**63) + share * (2**64 - 2**12))).select("text").limit(2 * warm_rows)
-    for r in few.coalesce(1).mapInArrow(learner(weights, 0.01, 2), "tokens long, weights array<float>").collect():
-        weights = shaped(np.array(r["weights"], np.float32))
-    parts = docs.select("text").mapInArrow(learner(weights, 0.003, 1), "tokens long, weights array<float>")
-    means = parts.select("tokens", F.posexplode("weights").alias("place", "x")).groupBy("place").agg((F.sum(F.col("tokens") * F.col("x").cast("double")) / F.sum("tokens")).alias("x")).collect()
-    if means:
-        mean = np.zeros(size, np.float32)
-        mean[[r["place"] for r in means]] = [r["x"] for r in means]
-        weights = shaped(mean)
-    return weights
+    def mean(parts: DataFrame, otherwise: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        found = parts.collect()
+        return shaped(np.frombuffer(found[0]["weights"], np.float64) / found[0]["tokens"]) if found else otherwise
+
+    share = min(1.0, 1.2 * warm_rows / max(1, documents))
+    few = rows.filter(F.xxhash64("inputs") <= int(-(2**63) + share * (2**64 - 2**12))).limit(2 * warm_rows)
+    weights = mean(few.coalesce(1).mapInArrow(learner(start_weights(), 0.01, 2), "tokens long, weights binary"), start_weights())
+    return mean(summed(written(rows.mapInArrow(learner(weights, 0.003, 1), "tokens long, weights binary"), "weights")), weights)
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out (not learn), n_tokens, n_known, train_tokens, base_score, score for each row of docs, learning from rows where learn
-    holds (null: not).
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs, learning from rows where learn holds (null: not).
 
     A null or empty text is one end token. Repeated ids are scored row by row. If nothing is learned from, all words are unknown and
-    the network is untrained. Scores are log10 and finite.
+    the network is untrained. Scores are log10 and finite. Other columns are left out.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     lessons = docs.filter("learn")
     counts = written(count_words(lessons), "word-counts")
     ends = lessons.count()
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
-    vocabulary = Vocabulary.of(head, totals[0] + ends, totals[1] + bool(ends), ends)
-    weights = train(lessons, vocabulary)
-    held = spark.sparkContext.broadcast(vocabulary)
+    v = Vocabulary.of(head_words(counts), totals[0] + ends, totals[1] + bool(ends), ends)
+    codes = written(coded(docs, v), "coded")
+    weights = train(codes.filter("learn"), ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = held.value
-        tail = len(v.words)
-        for rows, words, codes in groups(batches, v, 2):
-            sums = score_documents(weights, [v.inputs[c] for c in codes])
-            # A row for each document, its key a word that no text has, then rows for its words outside the head.
-            docs_out: list[tuple] = []
-            tails: list[bytes] = []
-            times: list[int] = []
-            sizes: list[int] = []
-            for (uid, doc_id), own, c, s in zip(rows, words, codes, sums.tolist(), strict=True):
-                out = c == tail
-                head_codes = c[~out]
-                docs_out.append((b"\t%d" % uid, uid, doc_id, 0, len(c), len(head_codes) - (not v.ends), float(v.base[head_codes].sum()), s + float(v.share[head_codes].sum())))
-                found = Counter(compress(own, out[:-1].tolist())) if len(head_codes) < len(c) else {}
-                tails += found.keys()
-                times += found.values()
-                sizes.append(len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*docs_out, strict=True), types, strict=True)], names=names)
-            owners = np.repeat(np.array([x[1] for x in docs_out], np.int64), sizes)
-            for at in range(0, len(tails), 50_000):
-                part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(tails[part], pa.binary()), pa.array(owners[part]), pa.nulls(len(tails[part]), pa.int64()), pa.array(times[part], pa.int64()), *(pa.nulls(len(tails[part]), t) for t in types[4:])], names=names)
-
-    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    names = ["word", "uid", "doc_id", "times", "n_tokens", "n_known", "base", "score"]
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, "word binary, uid long, doc_id long, times long, n_tokens long, n_known long, base double, score double")
-    # Words of the head never come up here, so no word is frequent in this join.
-    rows = rows.join(counts.withColumnRenamed("n", "c"), "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    tails = F.sum("times")
-    logs = F.coalesce(F.sum(F.when(F.col("times") > 0, F.col("times") * F.log10(c + F.lit(0.1)))), F.lit(0.0))
-    v = vocabulary
+        for uids, rows in pooled(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(score_documents(weights, rows))], names=["uid", "score"])
+
+    # The network's sum, the document's own sums, and those over its words outside the head, each of which comes from a join on the word;
+    # words of the head never come up there, so no word is frequent in it.
+    fields = ["doc_id", "n_tokens", "known", "base", "score", "tails", "logs"]
+    empty = {"doc_id": "long", "n_tokens": "long", "known": "long", "base": "double", "score": "double", "tails": "long", "logs": "double"}
+    sums = lambda df, **own: df.select("uid", *(own.get(k, F.lit(None).cast(t)).alias(k) for k, t in empty.items()))
+    network = sums(codes.select("uid", "inputs").mapInArrow(run, "uid long, score double"), score=F.col("score"))
+    plain = sums(codes, doc_id=F.col("doc_id"), n_tokens=F.col("n_tokens"), known=F.col("known"), base=F.col("base"), score=F.col("share"))
+    tail = codes.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("uid", F.col("x.tail").alias("word"), F.col("x.times").alias("times")).join(counts, "word", "left")
+    c = F.coalesce("n", F.lit(0))
+    tail = sums(tail, known=F.when(c > 0, F.col("times")), tails=F.col("times"), logs=F.col("times") * F.log10(c + F.lit(0.1)))
     whole, rest = float(np.log10(v.n + 0.1 * (v.v + 1))), float(np.log10(v.tail_n + 0.1 * (v.tail_v + 1)))
-    out = rows.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(c > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        (F.max("base") + logs - tails * F.lit(whole)).alias("base_score"), (F.max("score") + logs - tails * F.lit(rest)).alias("score"),
+    of = {k: F.coalesce(F.sum(k), F.lit(0)) if k != "doc_id" else F.max(k) for k in fields}
+    out = network.unionByName(plain).unionByName(tail).groupBy("uid").agg(*(of[k].alias(k) for k in fields))
+    return out.select(
+        "doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(v.n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("logs") - F.col("tails") * F.lit(whole)).alias("base_score"), (F.col("score") + F.col("logs") - F.col("tails") * F.lit(rest)).alias("score"),
     )
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(v.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -13,10 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_rows
+from .common import pieces
 
 DIMS = 1 << 13
+#: Rows whose features, 32 kB each, are held at once.
+SLICE = 256
 
 #: Families of ISO 639-1 codes. A language that isn't here is a family of its own.
 FAMILIES = {
@@ -137,11 +140,10 @@ def fit(docs: DataFrame, learn: Column, rows_a_language: int = 400, id_col: str
         low = low | ((F.col("lang") == lang) & (F.col("mixed") <= int(-(2**63) + share * (2**64 - 2**12))))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, SLICE):
             found = [(a, m, v) for a, t, m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if (v := features(t)) is not None]
             yield pa.RecordBatch.from_pydict({"lang": [a for a, _, _ in found], "mixed": [m for _, m, _ in found], "v": [v.astype(np.float16).tobytes() for _, _, v in found]}, schema=pa.schema([("lang", pa.string()), ("mixed", pa.int64()), ("v", pa.binary())]))
 
-    arrow_rows(docs.sparkSession)
     held = defaultdict(list)
     for r in rows.filter(low).mapInArrow(embed, "lang string, mixed long, v binary").collect():
         held[r["lang"]].append((r["mixed"], bytes(r["v"])))
@@ -166,6 +168,16 @@ def fit(docs: DataFrame, learn: Column, rows_a_language: int = 400, id_col: str
     return model
 
 
+def told(texts: pa.Array, model: Model) -> tuple[list[str], list[float]]:
+    """Language and score of each text; `und` and 0 for null, for a text without a letter, and if nothing was learned."""
+    found = [features(t) if model.languages else None for t in texts.to_pylist()]
+    lang, score, at = ["und"] * len(found), [0.0] * len(found), [k for k, v in enumerate(found) if v is not None]
+    if at:
+        for k, a, s in zip(at, *model.predict(np.stack([found[k] for k in at])), strict=True):
+            lang[k], score[k] = a, float(s)
+    return lang, score
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, for each row of docs in place, without a shuffle. Only the text is an input; the whole of it counts.
 
@@ -173,33 +185,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(t) if model.languages else None for t in batch.column(1).to_pylist()]
-            lang, score, at = ["und"] * len(found), [0.0] * len(found), [k for k, v in enumerate(found) if v is not None]
-            if at:
-                for k, a, s in zip(at, *model.predict(np.stack([found[k] for k in at])), strict=True):
-                    lang[k], score[k] = a, float(s)
+        for batch in pieces(batches, SLICE):
+            lang, score = told(batch.column(1), model)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": lang, "score": score}, schema=pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]))
 
-    arrow_rows(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score appended, other columns as they are."""
-    names = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+def identified(docs: DataFrame, model: Model, text_col: str = "text", lang_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
+    """docs with the columns lang_to and score_to appended, rows and other columns as they are; names that docs has already are an error."""
+    if {lang_to, score_to} & set(docs.columns):
+        raise ValueError(f"docs has a column {lang_to} or {score_to} already")
+    text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-            found = [features(t) if model.languages else None for t in texts]
-            lang, score, at = ["und"] * len(found), [0.0] * len(found), [k for k, v in enumerate(found) if v is not None]
-            if at:
-                for k, a, s in zip(at, *model.predict(np.stack([found[k] for k in at])), strict=True):
-                    lang[k], score[k] = a, float(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-
-    arrow_rows(docs.sparkSession)
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    return docs.select(*(F.col(f"`{f.name}`") for f in names)).mapInArrow(run, StructType([*names, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+        for batch in pieces(batches, SLICE):
+            lang, score = told(batch.column(text), model)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, lang_to, score_to])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_to, StringType()), StructField(score_to, DoubleType())]))

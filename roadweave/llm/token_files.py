@@ -9,14 +9,15 @@ document index: for each document its id, frame, first byte, byte length and crc
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -24,19 +25,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, shared_path, written
+from .common import pieces, shared_path, written
 
 #: Fixed values of the seekable zstandard format.
 SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("at", "<u4"), ("length", "<u4"), ("crc32", "<u4")])
-CACHE_ENTRIES = 400_000
-#: A Latin word with at most one mark behind it: it splits into two stretches that the tokenizer treats apart.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Parts of stretches that a worker keeps; at the bound they are forgotten and asked for anew.
+CACHE_ENTRIES = 600_000
+#: A Latin word with marks behind it: it splits into two parts that the tokenizer treats apart.
+PLAIN = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?#$%&*()+=-]*)$"
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of values from each start on, one after another."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
-    """The tokenizers library behind a bounded cache of the stretches between white space, which it treats independently."""
+    """The tokenizers library behind a bounded cache of the stretches between white space, which it treats independently.
+
+    Arrow splits a slice of texts, numbers its stretches and cuts plain ones into a word and marks; only parts not met before are
+    seen by Python. The ids of all parts lie in one array, from which whole texts are gathered.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,23 +58,44 @@ class Encoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.width = "<u2" if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        if len(self.parts) >= CACHE_ENTRIES:
-            self.parts.clear()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        cut = {c: (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c, "") for c in new}
-        if ask := list({p for pair in cut.values() for p in pair}.difference(self.parts)):
-            for part, found in zip(ask, self.lib.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-                self.parts[part] = np.array(found.ids, self.width).tobytes()
-        for c, (a, b) in cut.items():
-            self.known[c] = self.parts[a] + self.parts[b]
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts = pa.array([], pa.string())
+        self.ids, self.starts, self.lengths = np.empty(0, self.width), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def learn(self, new: pa.Array) -> None:
+        """Asks the library for parts that aren't known."""
+        found = [x.ids for x in self.lib.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.parts = pa.concat_arrays([self.parts, new])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.width, int(lengths.sum()))])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each text has. A null text has none."""
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        own = words.dictionary
+        cut = pc.extract_regex(own, PLAIN)
+        word = pc.if_else(cut.is_null(), own, pc.utf8_lower(pc.struct_field(cut, "word")))
+        parts = pa.concat_arrays([word, pc.fill_null(pc.struct_field(cut, "marks"), "")]).dictionary_encode()
+        place = pc.index_in(parts.dictionary, value_set=self.parts)
+        if len(self.parts) + place.null_count > CACHE_ENTRIES:
+            self.clear()
+            place = pc.index_in(parts.dictionary, value_set=self.parts)
+        new = parts.dictionary.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[place < 0] = len(self.parts) + np.arange(len(new))
+        self.learn(new)
+        # Of each distinct stretch its word, then its marks; of each stretch of the texts its distinct one.
+        both = place[parts.indices.to_numpy()].reshape(2, -1).T.ravel()
+        ids, sizes = gathered(self.ids, self.starts[both], self.lengths[both]), self.lengths[both].reshape(-1, 2).sum(axis=1)
+        at = words.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return gathered(ids, (np.cumsum(sizes) - sizes)[at], n), np.diff(ends[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])])
 
 
 @lru_cache(4)
@@ -164,22 +197,24 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id
         part, n, tokens, writer = task.partitionId(), 0, 0, None
         path = f"{root}/part-{part:07d}.tok"
         tried = f"{path}.{task.taskAttemptId()}"
-        for batch in batches:
-            if writer is None and batch.num_rows:
+        for batch in pieces(batches, text=1):
+            if writer is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(tried)
                 writer = TokenFileWriter(out, frame_bytes)
-            for doc_id, data in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
-                writer.add(doc_id, data + end)
-                n += 1
-                tokens += (len(data) + len(end)) // int(own.width[-1])
+            ids, sizes = own.encode(batch.column(1))
+            data, at, width = memoryview(ids.tobytes()), 0, ids.itemsize
+            for doc_id, size in zip(batch.column(0).to_pylist(), (sizes * width).tolist(), strict=True):
+                writer.add(doc_id, bytes(data[at : at + size]) + end)
+                at += size
+            n += len(sizes)
+            tokens += len(ids) + len(sizes) * (len(end) // width)
         if writer:
             writer.close()
             out.close()
             fs.move(tried, path)
             yield pa.RecordBatch.from_pylist([{"part": part, "path": f"part-{part:07d}.tok", "width": own.width, "documents": n, "tokens": tokens}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
-    arrow_rows(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_last()]
