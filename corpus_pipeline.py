@@ -1,54 +1,81 @@
 """A training corpus from raw documents, in five stages: each works on all rows that the one before kept, and is written as Parquet
-before the next reads it."""
+before the next reads it. Extra columns of any name pass through all stages but the last."""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.llm import bottomk, bpe, cube_mix, lang_hier, secret_forest
 from roadweave.llm.common import shared_path, written
 from roadweave.llm.queries import TOKENIZER
 
-#: A prediction under this leaves the language open.
-LEAST_SURE = 0.3
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as keep it apart from the columns of docs, whatever their case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter, or torn between languages, go."""
+    """Documents whose language can be told. Those without a letter go: null and empty texts, digits, marks and emoji only.
+
+    Rows are judged one by one: repeated rows and null ids stay or go with their text. If nothing can be learned, since no row has a
+    language, all go. An empty table stays empty.
+    """
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(False))
-    told = lang_hier.identified(docs, lang_hier.fit(docs, learn=fold))
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    lang, score = unused(docs, "lang_pred"), unused(docs, "score")
+    told = lang_hier.identified(docs, lang_hier.fit(docs, learn=fold), lang_to=lang, score_to=score)
+    return told.filter(F.col(lang) != "und").select(*own_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id; of rows with one id, one."""
-    groups = written(bottomk.near_duplicates(docs, width=5, threshold=80).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    """One document of each group of near duplicates, that of the smallest id.
+
+    An id stays once: of several rows with it whose text is kept, that of the lowest text hash. Rows without an id stay. Texts without
+    words are alone. An empty table stays empty.
+    """
+    decided = bottomk.near_duplicates(docs, width=5, threshold=80).filter("doc_id is not null")
+    groups = written(decided.groupBy("doc_id").agg(F.min(F.when(F.col("kept"), F.col("text_mark"))).alias("mark"), F.count("*").alias("rows")).filter("mark is not null"), "kept")
     n, most = groups.agg(F.count("*"), F.max("rows")).first()
-    ids = groups.select("doc_id")
-    # Few ids, 8 MB at most, go to the texts; more are joined by a shuffle. Texts are dealt by id only if an id does repeat.
-    kept = docs.join(F.broadcast(ids) if n <= bottomk.MAX_BROADCAST else ids, "doc_id", "left_semi")
+    kept_id, kept_mark = unused(docs, "kept_id"), unused(docs, "kept_mark")
+    ids = groups.select(F.col("doc_id").alias(kept_id), F.col("mark").alias(kept_mark))
+    # Few ids, 16 MB at most, go to the texts; more are joined by a shuffle. Texts are dealt by id only if an id does repeat.
+    kept = docs.join(F.broadcast(ids) if n <= bottomk.MAX_BROADCAST else ids, (F.col("doc_id") == F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_mark)), "left_semi")
     kept = kept.dropDuplicates(["doc_id"]) if (most or 1) > 1 else kept
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return kept.select(*own_columns(docs)).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked and n_chars counted anew."""
+    """All rows, with secrets masked and n_chars counted anew; a null text stays null, with null n_chars."""
     clean = secret_forest.redact(docs, secret_forest.fit(secret_forest.labelled_findings(spark)))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*own_columns(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once, or up to three times. Rows without an id stay once."""
-    copies = cube_mix.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    # Texts are dealt by id at every size; the ids, not the texts, are the side that is hashed.
-    taken = docs.join(copies.hint("shuffle_hash"), F.col("doc_id") == F.col("taken_id")).withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
-    return taken.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Each row as often as the mix takes it: not at all, once, or up to three times.
+
+    A number for each row, fixed in a table, leads its decision back to it, so repeated rows and ids, and null ones, have a decision
+    each. A null source is a source of its own; a row without words may be taken or not. An empty table stays empty.
+    """
+    row, taken = unused(docs, "row_number"), unused(docs, "taken_row")
+    times = unused(docs, "times")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    copies = cube_mix.mix(rows, carry=(row,)).filter("copies > 0").select(F.col(row).alias(taken), F.col("copies").alias(times))
+    # Texts are dealt by row at every size; the decisions, not the texts, are the side that is hashed.
+    found = rows.join(copies.hint("shuffle_hash"), F.col(row) == F.col(taken))
+    return found.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*own_columns(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each row that is left."""
+    """Token counts and digests of each row that is left, repeated rows included; a null or empty text has no tokens. Other columns end here."""
     return bpe.bpe_round_trip(docs, public_tokenizers.path(TOKENIZER))
 
 
