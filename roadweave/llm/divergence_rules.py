@@ -193,6 +193,6 @@ def judge(docs: DataFrame, refs: list[Reference], limits: Limits = Limits(), id_
 
     long, real = pa.int64(), pa.float64()
     schema = pa.schema([(n, long) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("nearest", pa.string()), ("class_distance", real), ("word_distance", real)])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
         run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, nearest string, class_distance double, word_distance double"
     )

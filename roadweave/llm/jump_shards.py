@@ -44,8 +44,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     with equal ids share a shard and have different places. An empty table gives an empty result. Other columns are left out.
     """
     bins = bins or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     mixed = F.xxhash64("doc_id")
     rows = rows.select("*", jump_shard(mixed, shards).alias("shard"), jump_shard(mixed, shards + 1).alias("grown_shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(bins)).cast("int").alias("bin"))
     counts = rows.groupBy("shard", "bin").agg(F.count("*").alias("n"))

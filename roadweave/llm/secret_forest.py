@@ -11,6 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Words around secrets, around harmless tokens, in placeholders; common words and letter pairs of prose.
 SECRET_WORDS = "passw|passwd|pwd|secret|token|api[_-]?key|apikey|auth|credential|private|access|bearer|signing"
 HARMLESS_WORDS = "commit|sha1|sha256|sha512|md5|hash|digest|checksum|etag|uuid|guid|version|build|revision|href|isbn|order|invoice|phone|serial|session_id|trace"
@@ -67,15 +69,15 @@ def features(value: Column, key: Column, left: Column, right: Column, path: Colu
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """Reviewed findings to learn from when no others are given: value, key, left, right, path, secret. Shapes of tokens with their keys, and
     of what resembles them: digests of commits and files, ids, paths, placeholders, long names, numbers."""
-    h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512)
-    big = F.translate(F.upper(h), "01", "XQ")
-    mixed = F.translate(F.base64(F.unhex(h)), "+/=", "xYz")
+    ids = spark.range(rows).withColumn("h", F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512))
+    ids = ids.withColumns({"big": F.translate(F.upper("h"), "01", "XQ"), "mixed": F.translate(F.base64(F.unhex("h")), "+/=", "xYz"), "digits": F.translate("h", "abcdef", "123456")})
+    ids = ids.withColumn("letters", F.translate("mixed", "0123456789", "qWzRkTvLxJ"))
+    h, big, mixed, digits, letters = (F.col(c) for c in ("h", "big", "mixed", "digits", "letters"))
     word = lambda k: F.element_at(F.array(*map(F.lit, ["user", "profile", "street", "event", "report", "service", "config", "road", "image", "group", "setting", "table"])), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(12)) + 1).cast("int"))
     near = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.pmod(F.xxhash64("id", F.lit(99)), F.lit(len(x))) + 1).cast("int"))
-    none, digits = F.lit(None).cast("string"), F.translate(h, "abcdef", "123456")
+    none = F.lit(None).cast("string")
     prose = lambda k: F.element_at(F.array(*map(F.lit, ["understanding", "communication", "international", "neighbourhood", "particularly", "Verantwortung", "Geschwindigkeit", "Zusammenarbeit", "selbstverständlich", "responsabilidad", "desarrolladores", "conocimiento", "aujourd'hui", "gouvernement", "particulièrement", "environnement", "required", "invalid", "missing", "everything", "something", "expired", "nothing", "unknown"])), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(24)) + 1).cast("int"))
     syllable = lambda k: F.element_at(F.array(*map(F.lit, ["th", "er", "on", "an", "re", "in", "tion", "che", "lich", "ung", "de", "la", "ou", "que", "es", "ent", "ar", "os", "ich", "schen", "wh", "ly", "st", "eau"])), (F.pmod(F.xxhash64("id", F.lit(200 + k)), F.lit(24)) + 1).cast("int"))
-    letters = F.translate(mixed, "0123456789", "qWzRkTvLxJ")
     secret_key = near("password", "passwd", "db_password", "secret", "api_key", "token", "PWD")
     cut = lambda c, a, b: F.substring(c, 1, F.lit(a) + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(b - a + 1)).cast("int"))
     kinds = [
@@ -112,14 +114,14 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     pick = F.col("id") % len(kinds)
     chosen = lambda k: reduce(lambda so_far, x: so_far.when(pick == x[0], x[1][k]), list(enumerate(kinds))[1:], F.when(pick == 0, kinds[0][k]))
     secret = F.when(pick.isin([k for k, x in enumerate(kinds) if x[3]]), 1.0).otherwise(0.0)
-    return spark.range(rows).select(chosen(0).alias("value"), chosen(1).alias("key"), chosen(2).alias("left"), F.lit("and").alias("right"), near("src/app", "tests/fixture", "docs/page", "src3").alias("path"), secret.alias("secret"))
+    return ids.select(chosen(0).alias("value"), chosen(1).alias("key"), chosen(2).alias("left"), F.lit("and").alias("right"), near("src/app", "tests/fixture", "docs/page", "src3").alias("path"), secret.alias("secret"))
 
 
 def fit(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11, most_rows: int = 20_000) -> RandomForestClassificationModel:
     """A forest on at most most_rows labelled findings; columns value, key, left, right, path, secret (1 or 0)."""
     cols = features(*(F.col(c) for c in ("value", "key", "left", "right", "path")))
-    rows = findings.filter(F.col("value").isNotNull() & (F.length("value") > 0) & F.col("secret").isNotNull()).limit(most_rows)
-    table = rows.select(F.col("secret").cast("double").alias("label"), *(c.alias(n) for c, n in zip(cols, FEATURES, strict=True)))
+    rows = written(findings.filter(F.col("value").isNotNull() & (F.length("value") > 0) & F.col("secret").isNotNull()).limit(most_rows), "findings")
+    table = written(rows.select(F.col("secret").cast("double").alias("label"), *(c.alias(n) for c, n in zip(cols, FEATURES, strict=True))), "labelled")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table))
 
 
@@ -180,7 +182,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
     path is no path; the whole text counts. No shuffle.
     """
     # explode would have its filter pushed down, which puts the split of the text in for each word.
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.col(path_col) if path_col else F.lit("")).alias("path"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), (F.col(f"`{path_col}`") if path_col else F.lit("")).alias("path"))
     return with_findings(rows, model, "text", "path", limit).select("doc_id", F.explode_outer("__findings").alias("x")).filter("x is not null").select("doc_id", "x.*")
 
 

@@ -216,7 +216,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id
             yield pa.RecordBatch.from_pylist([{"part": part, "path": f"part-{part:07d}.tok", "width": own.width, "documents": n, "tokens": tokens}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     order = [F.col("doc_id").asc_nulls_last()]
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     return written(ranged.mapInArrow(run, "part int, path string, width string, documents long, tokens long"), "manifest")
