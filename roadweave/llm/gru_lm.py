@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import pieces, written
 
 #: Head words and their longest length in bytes (together 8 MB at most), words with a row of their own, words in a class, bands, units.
-HEAD, LONGEST, TOP, WIDTH, BANDS, UNITS = 1 << 17, 64, 2048, 64, 8, 24
+HEAD, LONGEST, TOP, WIDTH, BANDS, UNITS = 1 << 17, 64, 1024, 32, 8, 16
 TAIL_IN, END_IN = TOP + BANDS, TOP + BANDS + 1
 TAIL_CLASS = TOP // WIDTH + BANDS
 INPUTS, CLASSES = END_IN + 1, TAIL_CLASS + 2
@@ -386,24 +386,28 @@ def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return rows.mapInArrow(run, "uid long, doc_id long, learn boolean, n_tokens long, known long, base double, share double, inputs binary, tail array<string>, times array<long>")
 
 
-def summed(parts: DataFrame) -> DataFrame:
-    """One row of parts (tokens, weights as bytes): weights times tokens, summed in a tree of tasks of 64 rows each."""
+def averaged(parts: DataFrame, fan_in: int = 16) -> DataFrame:
+    """One row of parts (tokens, weights): the mean of weights by tokens, in a tree of tasks of fan_in rows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, total = 0, 0.0
         for batch in batches:
             for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens, total = tokens + n, total + np.frombuffer(data, np.float64)
+                tokens, total = tokens + n, total + np.frombuffer(data, np.float32).astype(np.float64) * n
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["tokens", "weights"])
+            yield weights_row(tokens, total / tokens)
 
     n = parts.count()
     while n > 1:
-        n = -(-n // 64)
+        n = -(-n // fan_in)
         parts = parts.repartition(n).mapInArrow(run, "tokens long, weights binary")
     return parts
 
 
+def weights_row(tokens: int, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([weights.astype(np.float32).tobytes()], pa.binary())], names=["tokens", "weights"])
+
+
 def train(codes: DataFrame, documents: int, warm_rows: int = 1000) -> dict[str, np.ndarray]:
     """Weights learned from all rows of the column inputs, documents many: a start from some warm_rows of them in one task, then every
     partition goes on from there over all its documents, and the results are averaged by tokens. Every window is learned from. Only
@@ -418,18 +422,18 @@ def train(codes: DataFrame, documents: int, warm_rows: int = 1000) -> dict[str,
                     own.learn(docs)
                 tokens += sum(map(len, docs))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(flat(own.mean).astype(np.float64) * tokens).tobytes()], pa.binary())], names=["tokens", "weights"])
+                yield weights_row(tokens, flat(own.mean))
 
         return run
 
     def mean(parts: DataFrame, otherwise: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         found = parts.collect()
-        return shaped(np.frombuffer(found[0]["weights"], np.float64) / found[0]["tokens"]) if found else otherwise
+        return shaped(np.frombuffer(found[0]["weights"], np.float32)) if found else otherwise
 
     share = min(1.0, 1.2 * warm_rows / max(1, documents))
     few = rows.filter(F.xxhash64("inputs") <= int(-(2**63) + share * (2**64 - 2**12))).limit(2 * warm_rows)
     weights = mean(few.coalesce(1).mapInArrow(learner(start_weights(), 0.01, 2), "tokens long, weights binary"), start_weights())
-    return mean(summed(written(rows.mapInArrow(learner(weights, 0.003, 1), "tokens long, weights binary"), "weights")), weights)
+    return mean(averaged(written(rows.mapInArrow(learner(weights, 0.003, 1), "tokens long, weights binary"), "weights")), weights)
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
