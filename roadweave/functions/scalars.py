@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-EARTH_M = 6_371_000.0
+EARTH_M = 6_371_008.8
 LOCAL_ZONE = "America/Los_Angeles"
 
 
@@ -73,84 +74,165 @@ def tile_of(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     return F.floor((lon + 180.0) / 360.0 * n), F.floor((1 - F.log(F.tan(r) + 1 / F.cos(r)) / F.lit(3.141592653589793)) / 2 * n)
 
 
-#: Keywords of incident categories, first match wins.
-INCIDENT_RULES = (("collision", "COLLISION|CRASH|HIT AND RUN|ACCIDENT"), ("hazard", "HAZARD|DEBRIS|OBSTRUCT"), ("closure", "CLOSURE|CLOSED|ROAD WORK"), ("stalled", "STALL|DISABLED"), ("event", "EVENT|PARADE|FAIR"))
+#: Parts of a call's text by incident category; the first category that matches wins.
+INCIDENT_RULES = (
+    ("other", ("TRAFFIC STOP",)),
+    ("collision", ("COLLISION", "COLLN", "ACCIDENT", "HIT AND RUN", "HIT & RUN", "HIT/RUN", "1179", "1180", "1181", "1182", "1183", "20001", "20002")),
+    ("closure", ("ROAD CLOSURE", "SIGALERT", "SIG ALERT", "1184")),
+    ("hazard", ("HAZARD", "DEBRIS", "OBSTRUCTION", "BLOCKED", "STALL", "DISABLED", "ANIMAL", "FLOOD", "SPILL", "1125", "1126")),
+    ("fire", ("FIRE",)),
+)
+
+
+def first_match(rules: list[tuple[Column, str]], otherwise: Column | str) -> Column:
+    """The value of the first condition that holds."""
+    head, *rest = rules
+    return reduce(lambda c, r: c.when(*r), rest, F.when(*head)).otherwise(otherwise)
 
 
 def incident_category(text: Column) -> Column:
     upper = F.upper(F.coalesce(text, F.lit("")))
-    return reduce(lambda c, r: c.when(upper.rlike(r[1]), r[0]), INCIDENT_RULES[1:], F.when(upper.rlike(INCIDENT_RULES[0][1]), INCIDENT_RULES[0][0])).otherwise("other")
+    return first_match([(upper.rlike("|".join(parts)), name) for name, parts in INCIDENT_RULES], "other")
 
 
 def norm_name(name: Column) -> Column:
-    """Lower case, no leading "the", only letters and digits between single spaces."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", " "))
-    return F.regexp_replace(plain, "^the ", "")
+    """Lower case without a leading "the" and white space behind it; only letters and digits between single spaces."""
+    bare = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "^the\\s+", "")
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
-STREET_STOP_WORDS = ("at", "and", "of", "the", "near", "on")
+def street_title(text: Column) -> Column:
+    """Words capitalized but for between and and; null for an empty text."""
+    words = F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")
+    return F.when(text != "", F.array_join(F.transform(words, lambda w: F.when(w.isin("between", "and"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30)))), " "))
 
 
-def location_tokens(text: Column) -> Column:
-    """Distinct sorted tokens of an address: no stop words, no numbers of more than three digits."""
-    words = F.split(norm_name(text), " ")
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*STREET_STOP_WORDS) & ~w.rlike("^[0-9]{4,}$"))))
+#: Shortened words of addresses, and words that name no street.
+ADDRESS_WORDS = {
+    "STREET": "ST", "AVENUE": "AVE", "BOULEVARD": "BLVD", "DRIVE": "DR", "ROAD": "RD", "HIGHWAY": "HWY", "FREEWAY": "FWY", "INTERSTATE": "I", "NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W",
+    "OFFRAMP": "OFR", "ONRAMP": "ONR", "US101": "101", "I280": "280", "I80": "80", "SR1": "1",
+}
+STREET_STOP_WORDS = ("AT", "AND", "THE", "OF", "ON", "TO", "FROM", "NEAR", "BLOCK", "SAN", "FRANCISCO", "SF", "CA", "SB", "NB", "EB", "WB", "N", "S", "E", "W", "ST", "AVE", "BLVD", "DR", "RD")
 
 
-def stable_key(*parts: Column, length: int = 16) -> Column:
-    return F.substring(F.sha1(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))), 1, length)
+def location_tokens(*texts: Column) -> Column:
+    """Distinct sorted tokens of addresses, upper case and shortened: no stop words, no numbers of more than three digits."""
+    words = F.regexp_extract_all(F.upper(F.concat_ws(" ", *texts)), F.lit("[A-Z0-9]+"), 0)
+    short = F.create_map(*(F.lit(x) for pair in ADDRESS_WORDS.items() for x in pair))
+    words = F.transform(words, lambda w: F.coalesce(F.try_element_at(short, w), w))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: ~w.isin(*STREET_STOP_WORDS) & ~w.rlike("^[0-9]{4,}$"))))
 
 
-def unit_draw(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash; the same parts give the same number."""
-    text = F.concat_ws(":", *(p.cast("string") for p in parts))
-    return F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+def id_key(value: Column) -> Column:
+    """A whole number as text, whatever its decimals; null for what is no number."""
+    return value.try_cast("double").cast("long").cast("string")
 
 
-def congestion_ratio(speed: Column, free_flow: Column) -> Column:
-    """1 - speed / free flow, within 0 and 1; null without a free flow."""
-    return F.when(free_flow > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - speed / free_flow)))
+def truthy(value: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(value.cast("string"), F.lit("")))).isin("true", "1", "y", "yes", "t")
 
 
-def z_transform(tt: Column, free_flow_tt: Column, floor: float = 0.1) -> Column:
-    return F.log(F.greatest(tt, F.lit(floor)) / F.greatest(free_flow_tt, F.lit(floor)))
+def first_of_list(text: Column) -> Column:
+    """The first entry of a list written as "['a', 'b']", without quotes; other texts as they are; null for an empty list."""
+    inner = F.filter(F.transform(F.split(F.substring(text, 2, F.length(text) - 2), ","), F.trim), lambda x: x != "")
+    return F.when(text.rlike("^\\[.*\\]$"), F.regexp_replace(F.get(inner, 0), "^['\"]+|['\"]+$", "")).otherwise(text)
 
 
-#: Crowd factor by kind of event, and minutes of delay by tier.
-CROWD_FACTORS = {"concert": 1.0, "sports": 1.2, "festival": 1.1, "conference": 0.6}
-TIER_MINUTES = {"high": 15.0, "medium": 8.0, "low": 3.0}
+def maxspeed_mph(text: Column) -> Column:
+    """The lowest limit in a text; numbers without mph are kilometres an hour, to a tenth of a mile."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit("([0-9]+(?:\\.[0-9]+)?)\\s*(mph)?"), 1).alias("n"), F.regexp_extract_all(text, F.lit("([0-9]+(?:\\.[0-9]+)?)\\s*(mph)?"), 2).alias("u"))
+    return F.array_min(F.transform(found, lambda x: F.when(x["u"] == "mph", x["n"].cast("double")).otherwise(F.round(x["n"].cast("double") / 1.609344, 1))))
 
 
-def event_crowd(attendance: Column, capacity: Column, kind: Column) -> Column:
-    factor = reduce(lambda c, k: c.when(kind == k, CROWD_FACTORS[k]), list(CROWD_FACTORS)[1:], F.when(kind == "concert", CROWD_FACTORS["concert"])).otherwise(0.8)
-    return F.coalesce(attendance, capacity, F.lit(3000.0)) * factor
+#: Miles an hour on roads without a limit, by class, and on all others.
+CLASS_MPH, UNPOSTED_MPH = {"motorway": 55.0, "motorway_link": 35.0, "trunk": 40.0, "trunk_link": 30.0}, 25.0
 
 
-def event_tier(crowd: Column, high: float = 15_000, medium: float = 5_000) -> Column:
-    return F.when(crowd >= high, "high").when(crowd >= medium, "medium").otherwise("low")
+def free_flow_fallback(posted: Column, maxspeed: Column, road_class: Column) -> tuple[Column, Column]:
+    """Free flow where none is measured, and where it comes from: posted, maxspeed, class or default. Zero counts as none."""
+    by_class = first_match([(road_class == k, F.lit(v)) for k, v in CLASS_MPH.items()], F.lit(None).cast("double"))
+    value = F.coalesce(F.when(posted > 0, posted.cast("double")), F.when(maxspeed > 0, maxspeed.cast("double")), by_class, F.lit(UNPOSTED_MPH))
+    return value, first_match([(posted > 0, "posted"), (maxspeed > 0, "maxspeed"), (by_class.isNotNull(), "class")], "default")
 
 
-def tier_minutes(tier: Column) -> Column:
-    return F.when(tier == "high", TIER_MINUTES["high"]).when(tier == "medium", TIER_MINUTES["medium"]).otherwise(TIER_MINUTES["low"])
+def measured_travel_time(speed: Column, sampled_s: Column, length: Column, least_s: float = 5.0, slowest: float = 0.5, most: float = 1800.0) -> Column:
+    """Seconds over a road where it was seen for long enough; null elsewhere, never free flow. Speed in metres a second."""
+    return F.when(speed.isNotNull() & (F.coalesce(sampled_s, F.lit(0.0)) >= least_s), F.least(length / F.greatest(speed, F.lit(slowest)), F.lit(most)))
 
 
-def event_impact_radius(crowd: Column) -> Column:
-    return F.least(F.lit(1200.0), F.greatest(F.lit(150.0), 100 + 120 * F.sqrt(crowd / 1000)))
+def local_seconds_to_utc(date: Column, seconds: Column, zone: str = LOCAL_ZONE) -> Column:
+    """UTC of the clock that shows seconds after the local midnight of a date; in the hour that a change of clocks skips, the later one."""
+    return F.to_utc_timestamp(F.timestamp_seconds(F.unix_date(date) * 86400 + seconds.cast("long")), zone)
 
 
-def distance_factor(d: Column, near: float = 200.0, far: float = 700.0) -> Column:
-    """1 up to near, fading to 0 at far."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (far - d) / (far - near)))
+def local_day_bounds(text: Column, pattern: str = "MM/dd/yyyy", zone: str = LOCAL_ZONE) -> tuple[Column, Column]:
+    """UTC of a local day's start and of the next one's; null for blank and for what is no day."""
+    day = F.try_to_timestamp(F.trim(text), F.lit(pattern)).cast("date")
+    return local_seconds_to_utc(day, F.lit(0), zone), local_seconds_to_utc(F.date_add(day, 1), F.lit(0), zone)
 
 
-def redact(text: Column) -> Column:
-    """Masks credentials: user and password of a URL, and values of key-like names."""
-    no_user = F.regexp_replace(text, "://[^/@\\s]+@", "://***@")
-    return F.regexp_replace(no_user, "(?i)((?:key|token|secret|password)[\"']?\\s*[=:]\\s*[\"']?)[^\\s&\"',]+", "$1***")
+def dispatch_time(text: Column, zone: str = LOCAL_ZONE) -> Column:
+    """UTC of a local "Sep 25 2026 5:59PM", whatever the blanks between."""
+    return F.to_utc_timestamp(F.try_to_timestamp(F.regexp_replace(F.trim(text), "\\s+", " "), F.lit("MMM d yyyy h:mma")), zone)
+
+
+def typical_buckets(t: Column, now: Column, weeks: int = 4, zone: str = LOCAL_ZONE) -> Column:
+    """Starts of the ten-minute buckets at the same local weekday and clock in the `weeks` last weeks that are before now, newest first."""
+    local = F.from_utc_timestamp(t, zone)
+    ahead = F.greatest(F.lit(0), F.ceil((F.unix_timestamp(t) - F.unix_timestamp(now)) / 604800.0)).cast("int")
+    starts = F.transform(F.sequence(F.lit(1), ahead + weeks + 1), lambda k: bucket10(F.to_utc_timestamp(local - F.make_dt_interval(k * 7), zone)))
+    return F.slice(F.filter(starts, lambda x: x <= now), 1, weeks)
+
+
+def stable_key(*parts: Column, length: int = 16) -> Column:
+    return F.substring(F.sha1(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))), 1, length)
+
 
+def unit_draw(*parts: Column) -> Column:
+    """A number in [0, 1) from a hash; the same parts give the same number."""
+    text = F.concat_ws(":", *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def congestion_ratio(speed: Column, free_flow: Column) -> Column:
+    """1 - speed / free flow, within 0 and 1; null without a speed or a free flow."""
+    return F.when((free_flow > 0) & speed.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - speed / free_flow)))
 
-def settle_reward(offered: Column, arrived: Column, same_route: Column, drive_s: Column, expected_s: Column) -> Column:
-    return F.when(~offered, "no_offer").when(~arrived, "not_arrived").when(~same_route, "wrong_route").when(drive_s < expected_s / 2, "too_soon").otherwise("payable")
+
+def z_transform(tt: Column, free_flow_tt: Column, floor: float = 0.1) -> Column:
+    return F.log(F.greatest(tt, F.lit(floor)) / F.greatest(free_flow_tt, F.lit(floor)))
+
+
+def from_z(z: Column, length: Column, free_flow: Column, fastest: float = 1.3, slowest: float = 0.5, most: float = 1800.0) -> dict[str, Column]:
+    """Travel time, speed (metres a second) and congestion ratio of a z, within physical bounds."""
+    least = length / (free_flow * fastest)
+    tt = F.greatest(least, F.least(length / free_flow * F.exp(z), length / slowest, F.lit(most)))
+    speed = length / tt
+    return {"travel_time": tt, "speed": speed, "ratio": congestion_ratio(speed, free_flow)}
+
+
+def redact(text: Column) -> Column:
+    """Masks user and password before an address's host, and the values of key-like names."""
+    no_user = F.regexp_replace(text, "(?i)\\b([a-z][a-z0-9+.-]*://)[^/\\s:@]*:[^@\\s]*@", "$1***@")
+    return F.regexp_replace(no_user, "(?i)\\b(token|app_token|access_token|api_key|apikey|key|password|pwd)=[^&\\s\"']+", "$1=***")
+
+
+def redact_nested(value: Column, kind: DataType) -> Column:
+    """redact on every text inside a value of this type: fields of structs, elements of arrays, values of maps."""
+    if isinstance(kind, StringType):
+        return redact(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: redact_nested(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: redact_nested(x, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*(redact_nested(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return value
+
+
+def settle_reward(offered: Column, arrived: Column, same_route: Column, claimed: Column, drive_s: Column, expected_s: Column) -> Column:
+    """State of a finished trip's reward."""
+    return first_match([(~offered, "no_offer"), (~arrived, "not_arrived"), (~same_route, "wrong_route"), (claimed, "taken"), (drive_s < expected_s / 2, "too_soon")], "payable")
 
 
 def errors_of(*rules: tuple[str, Column]) -> Column:

@@ -15,35 +15,86 @@ def degrees(arcs: DataFrame) -> DataFrame:
 
 
 def neighbour_mean(arcs: DataFrame, values: DataFrame) -> DataFrame:
-    """node and the mean value of the nodes it leads to; nulls don't count. values: node, value."""
-    return arcs.join(values.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.avg("value").alias("mean_down"))
+    """node and the mean value of the nodes it leads to and of those that lead to it; nulls don't count, and without any the mean is null.
+    values: node, value."""
+    one = lambda here, there, name: arcs.join(values.withColumnRenamed("node", there), there).groupBy(F.col(here).alias("node")).agg(F.avg("value").alias(name))
+    return one("src", "dst", "mean_down").join(one("dst", "src", "mean_up"), "node", "full")
 
 
-def bfs_hops(arcs: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """node, hops from the nearest source, up to most: a frontier join a hop, each node once."""
-    seen = sources.select("node", F.lit(0).alias("hops")).distinct()
-    frontier = seen
+def bfs_hops(arcs: DataFrame, sources: DataFrame, most: int, upstream: bool = False) -> DataFrame:
+    """node, hops from the nearest source, up to most, along the arcs or against them: a frontier join a hop, each node once. Each hop's lineage is
+    cut, so plans stay the same size."""
+    a, b = ("dst", "src") if upstream else ("src", "dst")
+    seen = frontier = cut(sources.select("node", F.lit(0).alias("hops")).distinct())
     for k in range(1, most + 1):
-        step = arcs.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k))
-        seen = seen.unionByName(frontier)
+        step = arcs.join(frontier, F.col(a) == F.col("node")).select(F.col(b).alias("node")).distinct()
+        frontier = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier))
     return seen
 
 
-def earliest_arrival(arcs: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """node, cost of the cheapest path of at most rounds arcs. arcs: src, dst, cost; a label-correcting round is one join and one minimum."""
-    best = sources.select("node", F.lit(0.0).alias("cost"))
-    for _ in range(rounds):
-        step = arcs.join(best.withColumnRenamed("cost", "so_far"), F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost"))
-        best = best.unionByName(step).groupBy("node").agg(F.min("cost").alias("cost"))
+def earliest_arrival(arcs: DataFrame, sources: DataFrame, forecast: DataFrame, bucket_s: int, horizon: int) -> DataFrame:
+    """node, arrive_s, beyond: the earliest time at the end of each node that legal arcs lead to, and whether the way there needs times past the
+    horizon, for which the last bucket stands.
+
+    arcs: src, dst (roads); sources: node, depart_s; forecast: node, bucket (0 to horizon - 1), seconds (over the road), closed. A road takes the
+    seconds of the bucket in which it is entered; one closed then, or without a forecast, isn't entered. Labels are corrected until none changes:
+    a round is a join of what changed with arcs and forecast and one minimum, and ends with its lineage cut.
+    """
+    f = forecast.select("node", "bucket", "seconds").filter(~F.coalesce(F.col("closed"), F.lit(False)) & F.col("seconds").isNotNull())
+    enter = lambda df: df.withColumn("slot", F.floor(F.col("at") / bucket_s)).withColumn("bucket", F.greatest(F.lit(0), F.least(F.col("slot"), F.lit(horizon - 1))))
+    drive = lambda df: enter(df).join(f, ["node", "bucket"]).select("node", (F.col("at") + F.col("seconds")).alias("arrive_s"), (F.col("beyond") | (F.col("slot") >= horizon)).alias("beyond"))
+    first = lambda df: df.groupBy("node").agg(F.min(F.struct("arrive_s", "beyond")).alias("x")).select("node", "x.*")
+    best = changed = cut(first(drive(sources.select("node", F.col("depart_s").cast("double").alias("at"), F.lit(False).alias("beyond")))))
+    while not changed.isEmpty():
+        onward = arcs.join(changed, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), F.col("arrive_s").alias("at"), "beyond")
+        found = first(drive(onward))
+        old = best.select("node", F.col("arrive_s").alias("old_s"))
+        changed = cut(found.join(old, "node", "left").filter("old_s is null or arrive_s < old_s - 1e-9").select("node", "arrive_s", "beyond"))
+        best = cut(best.join(changed.select("node"), "node", "left_anti").unionByName(changed))
     return best
 
 
+def footprint_subgraph(arcs: DataFrame, near: DataFrame) -> DataFrame:
+    """node, entry, exit: nodes near a footprint that can reach each other, and whether arcs from elsewhere come in there or go out.
+    arcs: src, dst; near: node."""
+    inside = arcs.join(near.select(F.col("node").alias("src")), "src", "left_semi").join(near.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    core = largest_scc(inside)
+    edge = lambda here, there: arcs.join(core.withColumnRenamed("node", here), here, "left_semi").join(core.withColumnRenamed("node", there), there, "left_anti").select(F.col(here).alias("node")).distinct()
+    entry, exit_ = edge("dst", "src").withColumn("entry", F.lit(True)), edge("src", "dst").withColumn("exit", F.lit(True))
+    return core.join(entry, "node", "left").join(exit_, "node", "left").select("node", F.coalesce("entry", F.lit(False)).alias("entry"), F.coalesce("exit", F.lit(False)).alias("exit"))
+
+
+def route_loads(arcs: DataFrame, footprint: DataFrame, most: int, decay_m: float = 5000.0) -> DataFrame:
+    """node, load: the share of demand that passes each road on shortest ways out of a footprint; a road's own demand is exp(-metres / decay_m) by its
+    distance along the roads. arcs: src, dst, metres (of dst); footprint: node. Distances are corrected for up to `most` rounds; each node
+    hangs on the predecessor of its shortest way, and demand is summed from the farthest hop inwards, a join a level."""
+    best = cut(footprint.select("node", F.lit(0.0).alias("metres"), F.lit(0).alias("level"), F.col("node").alias("parent")))
+    for _ in range(most):
+        step = arcs.withColumnRenamed("metres", "more").join(best, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.col("metres") + F.col("more")).alias("metres"), (F.col("level") + 1).alias("level"), F.col("src").alias("parent"))
+        now = cut(best.unionByName(step).groupBy("node").agg(F.min(F.struct("metres", "level", "parent")).alias("x")).select("node", "x.*"))
+        same = now.join(best, ["node", "metres", "level"], "left_anti").isEmpty()
+        best = now
+        if same:
+            break
+    load = cut(best.select("node", "parent", "level", F.exp(-F.col("metres") / decay_m).alias("load")))
+    total = load.agg(F.sum("load")).first()[0] or 1.0
+    for level in range(load.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0], 0, -1):
+        up = load.filter(F.col("level") == level).groupBy(F.col("parent").alias("node")).agg(F.sum("load").alias("more"))
+        load = cut(load.join(up, "node", "left").select("node", "parent", "level", (F.col("load") + F.coalesce("more", F.lit(0.0))).alias("load")))
+    return load.select("node", (F.col("load") / total).alias("load"))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the checkpoint folder that the cluster names; one of its own only where none is set."""
+    """df with its lineage cut in the checkpoint folder that the cluster names; a local session that names none gets one made."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

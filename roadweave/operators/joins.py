@@ -6,20 +6,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.functions.events import crowd_phase, crowd_windows, distance_factor, event_crowd, event_tier, tier_seconds, time_factor
 from roadweave.functions.scalars import haversine_m
 
 
-def cell(lon: Column, lat: Column, size: float) -> Column:
-    return F.struct(F.floor(lon / size).alias("x"), F.floor(lat / size).alias("y"))
+def band_cell(lon: Column, band: Column, size: float) -> Column:
+    """Column of cells in a band of latitude. Cells are wider towards the poles, so that none is narrower than the radius it is made for."""
+    farthest = F.least(F.lit(89.0), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * size)
+    return F.floor(lon / (size / F.greatest(F.lit(0.017), F.cos(F.radians(farthest)))))
+
+
+def own_cell(lon: Column, lat: Column, radius_m: float) -> Column:
+    size = radius_m / 110_000.0  # degrees; a degree of latitude has over 110 km
+    band = F.floor(lat / size)
+    return F.struct(band_cell(lon, band, size).alias("x"), band.alias("y"))
+
+
+def cells_around(lon: Column, lat: Column, radius_m: float) -> Column:
+    """The nine cells that hold all within the radius; at the date line, those of one side only."""
+    size = radius_m / 110_000.0
+    around = [F.struct((band_cell(lon, F.floor(lat / size) + j, size) + i).alias("x"), (F.floor(lat / size) + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    return F.array(*around)
 
 
 def near_pairs(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     """Pairs within the radius, with all columns of both and metres. points: lon, lat, ...; places: plon, plat, ... A place lies in one cell and
     a point looks into the nine around it, so a pair comes up once."""
-    size = radius_m / 75_000.0  # degrees; a degree of longitude has over 75 km up to 47 degrees of latitude
-    around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((F.floor(F.col("lon") / size) + i).alias("x"), (F.floor(F.col("lat") / size) + j).alias("y"))))))
-    p = points.withColumn("__cell", around)
-    q = places.withColumn("__cell", cell(F.col("plon"), F.col("plat"), size))
+    p = points.withColumn("__cell", F.explode(cells_around(F.col("lon"), F.col("lat"), radius_m)))
+    q = places.withColumn("__cell", own_cell(F.col("plon"), F.col("plat"), radius_m))
     return p.join(q, "__cell").withColumn("metres", haversine_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))).filter(F.col("metres") <= radius_m).drop("__cell")
 
 
@@ -70,17 +84,70 @@ def closure_cover(closures: DataFrame, bucket_s: int) -> DataFrame:
 
 def cross_source_pairs(records: DataFrame, radius_m: float, seconds: int) -> DataFrame:
     """Pairs of records of different sources, one category, near in place and time. records: id, source, category, lon, lat, t."""
-    size = radius_m / 75_000.0
-    at = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "source", "lon", "lat", "t")), "category", cell(F.col("lon"), F.col("lat"), size).alias("cell"), F.floor(F.col("t") / seconds).alias("slot"))
-    nine = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((F.col("cell.x") + i).alias("x"), (F.col("cell.y") + j).alias("y"))))))
-    a = at(records, "a").withColumn("cell", nine).withColumn("slot", F.explode(F.array(*(F.col("slot") + k for k in (-1, 0, 1)))))
-    both = a.join(at(records, "b"), ["category", "cell", "slot"])
+    at = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "source", "lon", "lat", "t")), "category", F.floor(F.col("t") / seconds).alias("slot"))
+    a = at(records, "a").withColumn("cell", F.explode(cells_around(F.col("a_lon"), F.col("a_lat"), radius_m))).withColumn("slot", F.explode(F.array(*(F.col("slot") + k for k in (-1, 0, 1)))))
+    b = at(records, "b").withColumn("cell", own_cell(F.col("b_lon"), F.col("b_lat"), radius_m))
     near = haversine_m(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat")) <= radius_m
+    both = a.join(b, ["category", "cell", "slot"])
     return both.filter((F.col("a_id") < F.col("b_id")) & (F.col("a_source") != F.col("b_source")) & (F.abs(F.col("a_t") - F.col("b_t")) <= seconds) & near).select("a_id", "b_id", "category")
 
 
-def incidents_on_route(routes: DataFrame, incidents: DataFrame) -> DataFrame:
-    """route, incident, first_pos: incidents on a segment of the route that are active when it is first reached. routes: route, pos, seg, arrive_s;
-    incidents: incident, seg, start_s, end_s (null: open)."""
-    hit = routes.join(incidents, "seg").filter((F.col("start_s") <= F.col("arrive_s")) & (F.col("end_s").isNull() | (F.col("end_s") >= F.col("arrive_s"))))
-    return hit.groupBy("route", "incident").agg(F.min("pos").alias("first_pos"))
+def cross_source_closures(records: DataFrame, radius_m: float = 100.0, overlap: float = 0.5) -> DataFrame:
+    """Pairs of closures of different sources that are near, overlap in time and share at least overlap of their distinct address tokens.
+    records: id, source, lon, lat, start_s, end_s (null: open), tokens. No tokens on either side match nothing."""
+    at = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "source", "lon", "lat", "start_s", "end_s", "tokens")))
+    a = at(records, "a").withColumn("cell", F.explode(cells_around(F.col("a_lon"), F.col("a_lat"), radius_m)))
+    b = at(records, "b").withColumn("cell", own_cell(F.col("b_lon"), F.col("b_lat"), radius_m))
+    starts_first = lambda p, q: F.col(f"{p}_start_s").isNull() | F.col(f"{q}_end_s").isNull() | (F.col(f"{p}_start_s") <= F.col(f"{q}_end_s"))
+    alike = F.try_divide(F.size(F.array_intersect("a_tokens", "b_tokens")).cast("double"), F.size(F.array_union("a_tokens", "b_tokens")))
+    near = haversine_m(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat")) <= radius_m
+    both = a.join(b, "cell").filter((F.col("a_id") < F.col("b_id")) & (F.col("a_source") != F.col("b_source")) & starts_first("a", "b") & starts_first("b", "a") & near)
+    return both.withColumn("alike", alike).filter(F.col("alike") >= overlap).select("a_id", "b_id", "alike")
+
+
+def incidents_on_route(routes: DataFrame, incidents: DataFrame, open_end_s: int = 10_800) -> DataFrame:
+    """route, incident, pos, label, is_closure: incidents that are active when the route comes to the first place it shares with them, one of a
+    label and kind a route (that of the least id). routes: route, pos, seg, arrive_s; incidents: incident, seg (a row each), label,
+    is_closure, start_s (null: always), end_s (null: open_end_s after the start, or never).
+
+    Both are dealt to days: a route to those of its span, an incident to those it is active on, so a road's incidents of other days are
+    never met; an incident without a start is met by road alone.
+    """
+    day = 86_400
+    span = routes.groupBy("route").agg(F.min("arrive_s").alias("a"), F.max("arrive_s").alias("b"))
+    first = routes.groupBy("route", "seg").agg(F.min(F.struct("pos", "arrive_s")).alias("at"))
+    first = first.join(span, "route").select("route", "seg", "at.pos", "at.arrive_s", "a", "b")
+    known = incidents.withColumn("end_s", F.coalesce("end_s", F.col("start_s") + open_end_s))
+    to_days = lambda df, a, b: df.withColumn("__day", F.explode(F.sequence(F.floor(F.col(a) / day), F.floor(F.col(b) / day))))
+    timed = known.filter("start_s is not null and end_s >= start_s")
+    met = to_days(first, "a", "b").join(to_days(timed, "start_s", "end_s"), ["seg", "__day"]).unionByName(first.join(known.filter("start_s is null"), "seg").withColumn("__day", F.lit(0).cast("long")))
+    met = met.groupBy("route", "incident").agg(F.min(F.struct("pos", "arrive_s", "start_s", "end_s", "label", "is_closure")).alias("x")).select("route", "incident", "x.*")
+    active = met.filter("(start_s is null or start_s <= arrive_s) and (end_s is null or arrive_s <= end_s)")
+    return active.groupBy("route", "label", "is_closure").agg(F.min(F.struct("incident", "pos")).alias("x")).select("route", "x.incident", "x.pos", "label", "is_closure")
+
+
+def incident_delay(hits: DataFrame, closure_s: int = 1200, incident_s: int = 90, most_s: int = 300) -> DataFrame:
+    """route, delay_s, blocked: one penalty for any closure, and a share for each other incident up to a cap. hits: see incidents_on_route."""
+    minor = F.least(F.lit(most_s), incident_s * F.count_if(~F.col("is_closure")))
+    return hits.groupBy("route").agg((F.when(F.bool_or("is_closure"), closure_s).otherwise(0) + minor).cast("long").alias("delay_s"), F.bool_or("is_closure").alias("blocked"))
+
+
+def planar_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres on a plane that touches the points' middle."""
+    return F.hypot((lon1 - lon2) * 111_320 * F.cos(F.radians((lat1 + lat2) / 2)), (lat1 - lat2) * 111_132)
+
+
+def events_on_route(vertices: DataFrame, events: DataFrame, least_s: float = 30.0) -> DataFrame:
+    """route, event, metres, delay_s, impact, crowd, rank: events whose crowd is out when the route passes nearest to them, worst first.
+    vertices: route, pos (from 0), lon, lat, last (the greatest pos), depart_s, duration_s; events: event, plon, plat, start_s, end_s,
+    all_day, category, attendance, capacity. Delay is that of the tier, faded by distance (none from 700 m on) and time."""
+    near = near_pairs(vertices, events, 705.0).withColumn("metres", planar_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat")))
+    rest = [c for c in events.columns if c not in ("event", "plon", "plat")] + ["last", "depart_s", "duration_s"]
+    near = near.groupBy("route", "event").agg(F.min(F.struct("metres", "pos", *rest)).alias("x")).select("route", "event", "x.*")
+    tier = event_tier(event_crowd(F.col("attendance"), F.col("capacity"), F.col("category")))
+    near = near.withColumn("passing", F.col("depart_s") + F.col("duration_s") * F.col("pos") / F.greatest(F.lit(1), F.col("last")))
+    near = near.withColumn("windows", crowd_windows(F.col("start_s"), F.col("end_s"), F.col("all_day"), F.col("category"))).withColumn("impact", tier)
+    delay = tier_seconds(F.col("impact")) * distance_factor(F.col("metres")) * time_factor(F.col("passing"), F.col("windows"))
+    hits = near.withColumn("exact", delay).filter(F.col("exact") >= least_s).withColumn("delay_s", F.bround("exact"))
+    rank = F.row_number().over(Window.partitionBy("route").orderBy(F.desc("delay_s"), "event"))
+    return hits.select("route", "event", "metres", F.col("delay_s").cast("long").alias("delay_s"), "impact", crowd_phase(F.col("passing"), F.col("windows")).alias("crowd"), rank.alias("rank"))

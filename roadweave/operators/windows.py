@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from roadweave.functions.scalars import haversine_m, unit_draw
 
+#: Amplitude, and minutes around a declared start and end, of the rule for events.
+RULE_ARRIVAL, RULE_DEPARTURE = (0.3, -60, 120), (0.5, -30, 90)
+
 
 def latest_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
@@ -82,11 +85,13 @@ def steady(df: DataFrame, key: str, order: str, flag: str) -> DataFrame:
     return df.withColumn("steady", F.col(flag) & F.coalesce(F.lag(flag, 1).over(w), F.lit(False)) & F.coalesce(F.lag(flag, 2).over(w), F.lit(False)))
 
 
-def choose_issue(counts: DataFrame, back: int = 6, share: float = 0.5) -> DataFrame:
-    """The newest bucket that has at least share of the median of the back counts before it. counts: time, n."""
+def choose_issue(counts: DataFrame, now_s: Column, bucket_s: int = 600, back: int = 6, share: float = 0.5) -> DataFrame:
+    """issued_at: the end of the newest bucket that has closed by now_s and holds at least share of the median of the back closed buckets before
+    it; the first bucket is held against none. counts: time (a bucket's start in seconds), n."""
     w = Window.orderBy("time").rowsBetween(-back, -1)
     # One row a bucket of one map: a short series.
-    return counts.withColumn("typical", F.percentile("n", F.lit(0.5)).over(w)).filter(F.col("n") >= share * F.col("typical")).agg(F.max("time").alias("issued_at"))
+    closed = counts.filter(F.col("time") + bucket_s <= now_s).withColumn("typical", F.percentile("n", F.lit(0.5)).over(w))
+    return closed.filter(F.col("typical").isNull() | (F.col("n") >= share * F.col("typical"))).agg((F.max("time") + bucket_s).alias("issued_at"))
 
 
 def window_origins(df: DataFrame, key: str, order: str, ok: str, history: int, horizon: int) -> DataFrame:
@@ -102,16 +107,40 @@ def segment_arrivals(route: DataFrame, *ties: str) -> DataFrame:
     return route.withColumn("share", before / F.sum("length").over(w))
 
 
-def group_split(df: DataFrame, group: str, salt: str, shares: tuple[float, float]) -> DataFrame:
-    """train, validation or test by a hash of the group."""
-    u = unit_draw(F.lit(salt), F.col(group))
-    return df.withColumn("split", F.when(u < shares[0], "train").when(u < sum(shares), "validation").otherwise("test"))
-
-
-def balanced_sample(df: DataFrame, strata: list[str], quota: int, id_col: str) -> DataFrame:
-    """At most quota rows of each stratum, those of the lowest hash: the operator is a sample."""
-    order = Window.partitionBy(*strata).orderBy(F.sha1(F.col(id_col).cast("string")), id_col)
-    return df.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= quota).drop("__n")
+def group_split(df: DataFrame, group: str, salt: str, test: int, validation: int) -> DataFrame:
+    """df with split: groups in the order of sha256 of salt:group, the first `test` of them test, the next validation, all others train. Only
+    the held-out groups, test + validation many, are ranked together, by a top-k."""
+    key = F.sha2(F.concat_ws(":", F.lit(salt), F.col(group).cast("string")), 256)
+    first = df.select(F.col(group).alias("__group")).distinct().withColumn("__key", F.sha2(F.concat_ws(":", F.lit(salt), F.col("__group").cast("string")), 256)).orderBy("__key").limit(test + validation)
+    held = first.agg(F.array_sort(F.collect_list("__key")).alias("__held"))  # one row of test + validation keys
+    at = F.array_position("__held", key)
+    return df.join(F.broadcast(held)).withColumn("split", F.when(at == 0, "train").when(at <= test, "test").otherwise("validation")).drop("__held")
+
+
+def hash_draw(df: DataFrame, salt: str, key: str, share: float) -> DataFrame:
+    """Rows whose draw, a hash of salt and key in [0, 1), is under the share: the operator is a sample."""
+    return df.filter(unit_draw(F.lit(salt), F.col(key)) < share)
+
+
+def balanced_sample(windows: DataFrame, per_family: int, salt: str, targets: tuple[tuple[str, float], ...] = (("pre_start", 0.5), ("pre_end", 0.25), ("other", 0.25))) -> DataFrame:
+    """family, window, with_event, phase, draw: per_family draws of each family, half of event windows (the odd one too) and half of controls,
+    and in each half by the targets; the share of a phase without windows goes to the others in proportion. Places go down to whole numbers,
+    then one more each to the largest targets. Windows come in the order of a hash, again from the first where a phase has too few.
+    windows: family, window, with_event, phase."""
+    half = F.when(F.col("with_event"), per_family - per_family // 2).otherwise(per_family // 2)
+    phases = F.create_map(*(F.lit(x) for pair in targets for x in pair))
+    order = F.create_map(*(F.lit(x) for k, (name, _) in enumerate(targets) for x in (name, k)))
+    have = windows.filter(F.col("phase").isin(*(n for n, _ in targets))).groupBy("family", "with_event", "phase").agg(F.count("*").alias("have"))
+    half_of = Window.partitionBy("family", "with_event")
+    have = have.withColumn("target", F.element_at(phases, F.col("phase"))).withColumn("quota", F.col("target") / F.sum("target").over(half_of)).withColumn("n", half)
+    have = have.withColumn("whole", F.floor(F.col("n") * F.col("quota") + 1e-9))
+    place = F.row_number().over(half_of.orderBy(F.desc("quota"), F.element_at(order, F.col("phase"))))
+    have = have.withColumn("take", F.col("whole") + F.when(place <= F.col("n") - F.sum("whole").over(half_of), 1).otherwise(0)).filter("take > 0")
+    mixed = F.sha1(F.concat_ws(":", F.lit(salt), F.col("window").cast("string")))
+    ranked = windows.withColumn("rank", F.row_number().over(Window.partitionBy("family", "with_event", "phase").orderBy(mixed, "window")))
+    times = F.when(F.col("rank") <= F.col("take"), F.floor((F.col("take") - F.col("rank")) / F.col("have")) + 1).otherwise(0)
+    out = ranked.join(have.select("family", "with_event", "phase", "have", "take"), ["family", "with_event", "phase"]).withColumn("draw", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    return out.select("family", "window", "with_event", "phase", "draw")
 
 
 def attendance_weights(df: DataFrame, attendance: Column, is_event: Column) -> DataFrame:
@@ -124,3 +153,87 @@ def attendance_weights(df: DataFrame, attendance: Column, is_event: Column) -> D
 
 def top_per(df: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def phase_of(issued: Column, start: Column, end: Column, lead_s: float) -> Column:
+    """pre_start or pre_end where a window is issued within lead_s before, the start first; other elsewhere and without a schedule."""
+    ahead = lambda t: F.coalesce((issued >= t - lead_s) & (issued < t), F.lit(False))
+    return F.when(ahead(start), "pre_start").when(ahead(end), "pre_end").otherwise("other")
+
+
+def lead_category(issued: Column, start: Column, end: Column, bands_min: list[int]) -> Column:
+    """start_a_b or end_a_b: the band of minutes that a window leads the start by, else the end; other elsewhere."""
+    out = F.lit("other")
+    for name, t in (("end", end), ("start", start)):  # the start is asked first
+        lead = (t - issued) / 60.0
+        for lo, hi in zip(bands_min, bands_min[1:]):
+            out = F.when(F.coalesce((lead > lo) & (lead <= hi), F.lit(False)), f"{name}_{lo}_{hi}").otherwise(out)
+    return out
+
+
+def clear_roads(df: DataFrame, key: str, order: str, strict: bool = False, most: float = 0.3) -> DataFrame:
+    """df with clear: seen, open and under `most` congestion in the bucket before, and in the one before that where strict. Needs a dense
+    spine and columns observed, closed, ratio."""
+    w = Window.partitionBy(key).orderBy(order)
+    ok = F.col("observed") & F.col("ratio").isNotNull() & ~F.col("closed") & (F.col("ratio") < most)
+    before = lambda k: F.coalesce(F.lag("__ok", k).over(w), F.lit(False))
+    return df.withColumn("__ok", F.coalesce(ok, F.lit(False))).withColumn("clear", before(1) & before(2) if strict else before(1)).drop("__ok")
+
+
+def training_windows(cells: DataFrame, origins: DataFrame, horizons: int, step_s: int) -> DataFrame:
+    """run, seg, origin, horizon, target, labelled: for each origin and horizon the value then, labelled where it was measured on an open road in
+    the demand phase. cells: run, seg, t, value, observed, closed, phase; origins: run, seg, t."""
+    ahead = origins.select("run", "seg", F.col("t").alias("origin"), F.explode(F.sequence(F.lit(1), F.lit(horizons))).alias("horizon")).withColumn("t", F.col("origin") + F.col("horizon") * step_s)
+    ok = F.col("observed") & ~F.col("closed") & F.col("value").isNotNull() & ~F.isnan(F.coalesce(F.col("value"), F.lit(0.0))) & (F.col("phase") == "demand")
+    return ahead.join(cells, ["run", "seg", "t"], "left").select("run", "seg", "origin", "horizon", F.col("value").alias("target"), F.coalesce(ok, F.lit(False)).alias("labelled"))
+
+
+def event_rule(base: Column, target_s: Column, start_s: Column, end_s: Column, metres: Column, most: float = 1800.0) -> Column:
+    """Persistence, lengthened near a declared event: by up to 0.3 from 60 minutes before to 120 after its start and by up to 0.5 from 30 before
+    to 90 after its end, fading over 400 m and nothing beyond 1000."""
+    inside = lambda t, a, b: F.coalesce(((target_s - t) / 60).between(a, b), F.lit(False))
+    amp = F.greatest(F.when(inside(start_s, *RULE_ARRIVAL[1:]), RULE_ARRIVAL[0]).otherwise(0.0), F.when(inside(end_s, *RULE_DEPARTURE[1:]), RULE_DEPARTURE[0]).otherwise(0.0))
+    near = F.when(metres <= 1000.0, F.exp(-metres / 400.0)).otherwise(0.0)
+    return F.least(base * (1 + amp * near), F.lit(most))
+
+
+def rank_event_cases(edges: DataFrame, lo: float, hi: float, margin_s: float = 3600.0, most: int = 24) -> DataFrame:
+    """case, rank: public events, and other cases with an edge within margin_s of the window; events first, then the nearest in time, `most` of
+    them at most. edges: case, kind, t (starts and ends of a case, a row each)."""
+    gap = F.when(F.col("t").between(lo, hi), 0.0).otherwise(F.least(F.abs(F.col("t") - lo), F.abs(F.col("t") - hi)))
+    cases = edges.groupBy("case", "kind").agg(F.min(gap).alias("gap"))
+    cases = cases.filter((F.col("kind") == "public_event") | (F.col("gap") <= margin_s)).withColumn("later", F.col("kind") != "public_event")
+    top = cases.orderBy("later", F.coalesce("gap", F.lit(float("inf"))), "case").limit(most)
+    return top.select("case", F.row_number().over(Window.orderBy("later", F.coalesce("gap", F.lit(float("inf"))), "case")).alias("rank"))
+
+
+def fill_totals(counts: DataFrame, key: str, seconds: int, carried: list[str], ended: list[str]) -> DataFrame:
+    """key, t, and all counts for each second from 0 to seconds - 1: the last known before the run's last second, and after it the last of
+    `carried`, 0 of `ended`; 0 before the first. counts: key, t, carried, ended."""
+    spine = counts.groupBy(key).agg(F.max("t").alias("__end")).select(key, "__end", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(seconds - 1).cast("long"))).alias("t"))
+    w = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    known = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0))
+    return spine.join(counts, [key, "t"], "left").select(key, "t", *(known(c).alias(c) for c in carried), *(F.when(F.col("t") > F.col("__end"), 0).otherwise(known(c)).alias(c) for c in ended))
+
+
+def balanced_patches(points: DataFrame, size: int) -> DataFrame:
+    """id, patch: compact patches of at most size points, by cutting at exact ranks along the longer side, parts in proportion. points: id, x, y.
+    A round a level, log2 of the number of patches; each is two windows over the patches of that level."""
+    n = points.count()
+    parts = max(1, -(-n // size))
+    out = points.select("id", "x", "y", F.lit(0).alias("patch"), F.lit(parts).alias("parts"))
+    while parts > 1:
+        mine = Window.partitionBy("patch")
+        wide = F.max("y").over(mine) - F.min("y").over(mine) > F.max("x").over(mine) - F.min("x").over(mine)
+        out = out.withColumn("a", F.when(wide, F.col("y")).otherwise(F.col("x"))).withColumn("b", F.when(wide, F.col("x")).otherwise(F.col("y"))).withColumn("left", F.floor(F.col("parts") / 2).cast("int"))
+        cut = F.floor(F.count("*").over(mine) * F.col("left") / F.col("parts"))
+        first = F.row_number().over(mine.orderBy("a", "b", "id")) <= cut
+        out = out.withColumn("first", (F.col("parts") > 1) & first).select("id", "x", "y", F.when((F.col("parts") == 1) | F.col("first"), F.col("patch")).otherwise(F.col("patch") + F.col("left")).alias("patch"), F.when(F.col("parts") == 1, 1).when(F.col("first"), F.col("left")).otherwise(F.col("parts") - F.col("left")).alias("parts"))
+        parts = -(-parts // 2)
+    return out.select("id", "patch")
+
+
+def subsample_cells(cells: DataFrame, salt: str, shares: dict[str, float]) -> DataFrame:
+    """Rows of each stratum whose draw is under its share (1: all); other strata go. cells: id, stratum. The operator is a sample."""
+    share = F.try_element_at(F.create_map(*(F.lit(x) for k, v in shares.items() for x in (k, float(v)))), F.col("stratum"))
+    return cells.filter(unit_draw(F.lit(salt), F.col("id")) < share)

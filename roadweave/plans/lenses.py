@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,12 @@ def trips(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("route"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("seg"), F.col("l_quantity").alias("length"), F.col("l_extendedprice").alias("cost"), seconds("l_shipdate").alias("arrive_s"))
 
 
+def drives(spark: SparkSession, d: str) -> DataFrame:
+    """route, pos, seg, arrive_s: a road every ten minutes from the first day of a route on."""
+    start = F.min(seconds("l_shipdate")).over(Window.partitionBy("l_orderkey"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("route"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("seg"), (start + (F.col("l_linenumber") - 1) * 600).alias("arrive_s"))
+
+
 def arcs(spark: SparkSession, d: str) -> DataFrame:
     """Supplier to the supplier of an order's next line."""
     a = trips(spark, d).select("route", "pos", F.col("seg").alias("src"))
@@ -60,6 +66,7 @@ SQL = {
     "places": "places AS (SELECT s_suppkey AS place_id, -122.53 + ((s_suppkey * 31) % 179) / 1000.0 AS plon, 37.69 + ((s_suppkey * 47) % 149) / 1000.0 AS plat FROM supplier)",
     "closures": "closures AS (SELECT o_orderkey AS closure, o_custkey % 150 AS seg, floor(epoch(o_orderdate))::BIGINT AS start_s, CASE WHEN o_orderkey % 7 <> 0 THEN floor(epoch(o_orderdate))::BIGINT + (o_orderkey % 5) * 86400 END AS end_s FROM orders)",
     "trips": "trips AS (SELECT l_orderkey AS route, l_linenumber AS pos, l_suppkey AS seg, l_quantity AS length, l_extendedprice AS cost, floor(epoch(l_shipdate))::BIGINT AS arrive_s FROM lineitem)",
+    "drives": "drives AS (SELECT l_orderkey AS route, l_linenumber AS pos, l_suppkey AS seg, min(floor(epoch(l_shipdate))::BIGINT) OVER (PARTITION BY l_orderkey) + (l_linenumber - 1) * 600 AS arrive_s FROM lineitem)",
     "arcs": "arcs AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey)",
     "runs": "runs AS (SELECT o_orderpriority AS policy, o_custkey % 50 AS block, round(avg(o_totalprice), 4) AS metric FROM orders GROUP BY 1, 2)",
     "buckets": "buckets AS (SELECT t - t % 600 AS bucket, seg, source, sum(speed * weight) / sum(weight) AS speed, count(*) AS n FROM readings GROUP BY 1, 2, 3)",

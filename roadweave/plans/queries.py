@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadweave.functions import events as EV
 from roadweave.functions import scalars as S
 from roadweave.operators import aggregates as A
 from roadweave.operators import graph as G
 from roadweave.operators import joins as J
 from roadweave.operators import matching as M
+from roadweave.operators import quality as Q
 from roadweave.operators import scoring as P
 from roadweave.operators import windows as W
 from roadweave.plans import lenses as L
@@ -114,13 +116,17 @@ def window_origins(spark, d):
     return W.window_origins(spine(spark, d).withColumn("ok", F.col("speed").isNotNull()), "seg", "t", "ok", 2, 1).select("seg", "t")
 
 
-@query("SELECT max(time) AS issued_at FROM (SELECT time, n, quantile_cont(n, 0.5) OVER (ORDER BY time ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS typical FROM (SELECT t - t % 3600 AS time, count(*) AS n FROM readings GROUP BY 1)) WHERE n >= 0.5 * typical", "readings")
+@query(
+    """, n AS (SELECT t - t % 3600 AS time, count(*) AS n FROM readings GROUP BY 1), c AS (SELECT * FROM n WHERE time + 3600 <= 1706644800), m AS (SELECT time, n, quantile_cont(n, 0.5) OVER (ORDER BY time ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS typical FROM c)
+    SELECT max(time) + 3600 AS issued_at FROM m WHERE typical IS NULL OR n >= 0.5 * typical""".lstrip(),
+    "readings",
+)
 def choose_issue(spark, d):
-    r = L.readings(spark, d)
-    return W.choose_issue(r.groupBy((F.col("t") - F.col("t") % 3600).alias("time")).agg(F.count("*").alias("n")))
+    counts = L.readings(spark, d).groupBy((F.col("t") - F.col("t") % 3600).alias("time")).agg(F.count("*").alias("n"))
+    return W.choose_issue(counts, F.lit(1_706_644_800), 3600)
 
 
-HAV = "2 * 6371000.0 * asin(sqrt(least(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2), 1.0)))"
+HAV = "2 * 6371008.8 * asin(sqrt(least(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2), 1.0)))"
 
 
 @query(
@@ -197,17 +203,35 @@ def closure_cover(spark, d):
 
 
 @query(
-    "SELECT a.event_id AS a_id, b.event_id AS b_id, a.event_type AS category FROM points a JOIN points b ON a.event_type = b.event_type AND a.event_id < b.event_id AND a.user_id <> b.user_id AND abs(a.t - b.t) <= 1800 AND " + HAV.format(a="a.", b="b.") + " <= 2000",
+    "SELECT a.event_id AS a_id, b.event_id AS b_id, a.event_type AS category FROM points a JOIN points b ON a.event_type = b.event_type AND a.event_id < b.event_id AND a.user_id <> b.user_id AND abs(a.t - b.t) <= 7200 AND " + HAV.format(a="a.", b="b.") + " <= 5000",
     "points",
 )
 def cross_source_pairs(spark, d):
     rows = L.points(spark, d).select(F.col("event_id").alias("id"), F.col("user_id").alias("source"), F.col("event_type").alias("category"), "lon", "lat", "t")
-    return J.cross_source_pairs(rows, 2000.0, 1800)
+    return J.cross_source_pairs(rows, 5000.0, 7200)
+
 
+def incident_rows(spark, d):
+    """Closures as incidents on two roads each."""
+    c = L.closures(spark, d)
+    k = F.col("closure")
+    both = c.withColumn("seg", F.explode(F.array(F.col("seg"), (F.col("seg") + 37) % 150)))
+    return both.select(k.alias("incident"), "seg", F.concat(F.lit("k"), (k % 7).cast("string")).alias("label"), (k % 3 == 0).alias("is_closure"), F.when(k % 1000 != 0, F.col("start_s")).alias("start_s"), "end_s")
 
-@query("SELECT t.route, c.closure AS incident, min(t.pos)::INT AS first_pos FROM trips t JOIN closures c ON t.seg = c.seg AND c.start_s <= t.arrive_s AND (c.end_s IS NULL OR c.end_s >= t.arrive_s) GROUP BY 1, 2", "trips", "closures")
+
+HITS = """, f AS (SELECT route, seg, min(pos) AS pos, arg_min(arrive_s, pos) AS arrive_s FROM drives GROUP BY 1, 2), c AS (SELECT closure AS incident, unnest([seg, (seg + 37) % 150]) AS seg, 'k' || (closure % 7) AS label, closure % 3 = 0 AS is_closure, CASE WHEN closure % 1000 <> 0 THEN start_s END AS start_s, end_s FROM closures),
+    m AS (SELECT route, incident, min(pos) AS pos, arg_min(arrive_s, pos) AS arrive_s, any_value(label) AS label, any_value(is_closure) AS is_closure, any_value(start_s) AS start_s, any_value(coalesce(end_s, start_s + 10800)) AS end_s FROM f JOIN c USING (seg) GROUP BY 1, 2),
+    hit AS (SELECT route, label, is_closure, min(incident) AS incident, arg_min(pos, incident) AS pos FROM m WHERE (start_s IS NULL OR start_s <= arrive_s) AND (end_s IS NULL OR arrive_s <= end_s) GROUP BY 1, 2, 3)"""
+
+
+@query(HITS + " SELECT route, incident, pos::INT AS pos, label, is_closure FROM hit", "drives", "closures")
 def incidents_on_route(spark, d):
-    return J.incidents_on_route(L.trips(spark, d), L.closures(spark, d).withColumnRenamed("closure", "incident")).withColumn("first_pos", F.col("first_pos").cast("int"))
+    return J.incidents_on_route(L.drives(spark, d), incident_rows(spark, d)).withColumn("pos", F.col("pos").cast("int"))
+
+
+@query(HITS + " SELECT route, (CASE WHEN bool_or(is_closure) THEN 1200 ELSE 0 END + least(300, 90 * count_if(NOT is_closure)))::BIGINT AS delay_s, bool_or(is_closure) AS blocked FROM hit GROUP BY route", "drives", "closures")
+def incident_delay(spark, d):
+    return J.incident_delay(J.incidents_on_route(L.drives(spark, d), incident_rows(spark, d)))
 
 
 @query("SELECT route, pos::INT AS pos, round(coalesce(sum(length) OVER (PARTITION BY route ORDER BY pos, seg, length, cost ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(length) OVER (PARTITION BY route), 6) AS share FROM trips", "trips")
@@ -253,10 +277,10 @@ def paired_summary(spark, d):
     return out.select("policy", "n", *(F.round(c, 2).alias(c) for c in ("mean_diff", "median_diff", "std_diff", "worst")), "better", "worse")
 
 
-@query("SELECT block FROM (SELECT DISTINCT o_custkey % 50 AS block, o_orderpriority AS p FROM orders WHERE o_orderkey % 11 <> 0) GROUP BY block HAVING count(*) = 5")
+@query("SELECT block FROM (SELECT DISTINCT o_custkey % 2503 AS block, o_orderpriority AS p FROM orders) GROUP BY block HAVING count(*) = 5")
 def common_blocks(spark, d):
-    o = L.table(spark, d, "orders").filter(F.col("o_orderkey") % 11 != 0)
-    return A.common_blocks(o.select(F.col("o_orderpriority").alias("policy"), (F.col("o_custkey") % 50).alias("block")), 5)
+    o = L.table(spark, d, "orders")
+    return A.common_blocks(o.select(F.col("o_orderpriority").alias("policy"), (F.col("o_custkey") % 2503).alias("block")), 5)
 
 
 @query("SELECT policy, round(avg(metric), 2) AS mean, rank() OVER (ORDER BY round(avg(metric), 2))::INT AS place FROM runs GROUP BY policy", "runs")
@@ -301,14 +325,24 @@ def dedupe_first(spark, d):
     return W.dedupe_first(L.readings(spark, d), ["seg", "source"], "event_id").select("seg", "source", "event_id", "copies")
 
 
-@query("SELECT c_custkey, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS split FROM (SELECT c_custkey, ('0x' || substr(sha1('v1:' || c_custkey), 1, 8))::BIGINT / 4294967296.0 AS u FROM customer)")
+@query("SELECT c_custkey, CASE WHEN k <= 20 THEN 'test' WHEN k <= 50 THEN 'validation' ELSE 'train' END AS split FROM customer JOIN (SELECT c_nationkey, c_mktsegment, row_number() OVER (ORDER BY sha256('v1:' || c_nationkey || c_mktsegment)) AS k FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)) USING (c_nationkey, c_mktsegment)")
 def group_split(spark, d):
-    return W.group_split(L.table(spark, d, "customer"), "c_custkey", "v1", (0.7, 0.15)).select("c_custkey", "split")
+    c = L.table(spark, d, "customer").withColumn("g", F.concat(F.col("c_nationkey").cast("string"), F.col("c_mktsegment")))
+    return W.group_split(c, "g", "v1", 20, 30).select("c_custkey", "split")
 
 
-@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY sha1(event_id::VARCHAR), event_id) AS k FROM events) WHERE k <= 40")
+@query(
+    """WITH w AS (SELECT event_id AS win, user_id AS family, event_id % 3 = 0 AS with_event, CASE event_type WHEN 'click' THEN 'pre_start' WHEN 'view' THEN 'pre_end' WHEN 'error' THEN 'idle' ELSE 'other' END AS phase, CASE event_type WHEN 'click' THEN 0.5 ELSE 0.25 END AS target FROM events),
+    h AS (SELECT family, with_event, phase, count(*) AS have, any_value(target) AS target FROM w WHERE phase <> 'idle' GROUP BY 1, 2, 3),
+    q AS (SELECT *, target / sum(target) OVER p AS quota, 6 AS n FROM h WINDOW p AS (PARTITION BY family, with_event)), f AS (SELECT *, floor(n * quota + 1e-9) AS whole FROM q),
+    t AS (SELECT *, whole + (row_number() OVER (PARTITION BY family, with_event ORDER BY quota DESC, CASE phase WHEN 'pre_start' THEN 0 WHEN 'pre_end' THEN 1 ELSE 2 END) <= n - sum(whole) OVER (PARTITION BY family, with_event))::INT AS take FROM f),
+    r AS (SELECT *, row_number() OVER (PARTITION BY family, with_event, phase ORDER BY sha1('s:' || win), win) AS k FROM w) SELECT family, win AS window, with_event, phase, unnest(range(1, (floor((take - k) / have) + 2)::BIGINT))::BIGINT * 0 + 1 AS draw FROM r JOIN t USING (family, with_event, phase) WHERE k <= take"""
+)
 def balanced_sample(spark, d):
-    return W.balanced_sample(L.table(spark, d, "events"), ["event_type"], 40, "event_id").select("event_type", "event_id")
+    e = L.table(spark, d, "events")
+    phase = F.when(F.col("event_type") == "click", "pre_start").when(F.col("event_type") == "view", "pre_end").when(F.col("event_type") == "error", "idle").otherwise("other")
+    w = e.select(F.col("event_id").alias("window"), F.col("user_id").alias("family"), (F.col("event_id") % 3 == 0).alias("with_event"), phase.alias("phase"))
+    return W.balanced_sample(w, 12, "s").withColumn("draw", F.col("draw").cast("long"))
 
 
 @query("SELECT o_orderkey, round(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 0 THEN least(2.0, greatest(0.5, exp((ln(o_totalprice) - (SELECT avg(ln(o_totalprice)) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 0)) / 2))) ELSE 1.0 END, 4) AS weight FROM orders")
@@ -326,9 +360,9 @@ def degrees(spark, d):
     return G.degrees(L.arcs(spark, d))
 
 
-@query("SELECT a.src AS node, round(avg(s.s_acctbal) + 1e-7, 4) AS mean_down FROM arcs a JOIN supplier s ON s.s_suppkey = a.dst GROUP BY 1", "arcs")
+@query("SELECT coalesce(d.node, u.node) AS node, mean_down, mean_up FROM (SELECT a.src AS node, round(avg(s.s_acctbal) + 1e-7, 4) AS mean_down FROM arcs a JOIN supplier s ON s.s_suppkey = a.dst GROUP BY 1) d FULL JOIN (SELECT a.dst AS node, round(avg(s.s_acctbal) + 1e-7, 4) AS mean_up FROM arcs a JOIN supplier s ON s.s_suppkey = a.src GROUP BY 1) u ON d.node = u.node", "arcs")
 def neighbour_mean(spark, d):
-    return G.neighbour_mean(L.arcs(spark, d), L.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("value"))).withColumn("mean_down", r4(F.col("mean_down") + 1e-7))
+    return G.neighbour_mean(L.arcs(spark, d), L.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("value"))).withColumn("mean_down", r4(F.col("mean_down") + 1e-7)).withColumn("mean_up", r4(F.col("mean_up") + 1e-7))
 
 
 @query("SELECT node, min(hops)::INT AS hops FROM (SELECT 1::BIGINT AS node, 0 AS hops UNION ALL SELECT dst, 1 FROM arcs WHERE src = 1 UNION ALL SELECT b.dst, 2 FROM arcs a JOIN arcs b ON a.dst = b.src WHERE a.src = 1) GROUP BY node", "arcs")
@@ -353,9 +387,10 @@ def upsert_last_wins(spark, d):
     return T.last_wins(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["key"], "event_id")
 
 
-@query("SELECT c_custkey, c_custkey NOT IN (SELECT o_custkey FROM orders) AS archived FROM customer")
+@query("SELECT c_custkey, gone AS archived, CASE WHEN gone THEN 'missing_from_pull' END AS archived_reason FROM (SELECT c_custkey, c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_nationkey < 20 AS gone FROM customer)")
 def archive_missing(spark, d):
-    return T.archive_missing(L.table(spark, d, "customer"), L.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", True).select("c_custkey", "archived")
+    pulled = L.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return T.archive_missing(L.table(spark, d, "customer"), pulled, "c_custkey", True, F.col("c_nationkey") < 20).select("c_custkey", "archived", "archived_reason")
 
 
 @query("SELECT closure, seg FROM closures WHERE start_s <= 820454400 AND (end_s IS NULL OR end_s >= 820454400)", "closures")
@@ -363,27 +398,40 @@ def active_at(spark, d):
     return T.active_at(L.closures(spark, d), F.col("start_s"), F.col("end_s"), F.lit(820454400)).select("closure", "seg")
 
 
-@query("SELECT event_id, regexp_replace(regexp_replace(CASE WHEN event_id % 2 = 0 THEN 'https://u' || user_id || ':pw@host/x?id=1' ELSE 'api_key=' || event_id || '&x=1' END, '://[^/@\\s]+@', '://***@', 'g'), '(?i)((?:key|token|secret|password)[\"'']?\\s*[=:]\\s*[\"'']?)[^\\s&\"'',]+', '\\1***', 'g') AS message FROM events")
+@query(r"""SELECT event_id, regexp_replace(regexp_replace(m, '(?i)\b([a-z][a-z0-9+.-]*://)[^/\s:@]*:[^@\s]*@', '\1***@', 'g'), '(?i)\b(token|app_token|access_token|api_key|apikey|key|password|pwd)=[^&\s"'']+', '\1=***', 'g') AS message
+    FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'https://u' || user_id || ':pw@host/x?id=1' WHEN 1 THEN 'api_key=' || event_id || '&x=1' ELSE 'https://u' || user_id || '@host/key: ' || event_id END AS m FROM events)""")
 def redact_messages(spark, d):
-    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(":pw@host/x?id=1"))).otherwise(F.concat(F.lit("api_key="), F.col("event_id").cast("string"), F.lit("&x=1")))
+    k, u = F.col("event_id"), F.col("user_id").cast("string")
+    text = F.when(k % 3 == 0, F.concat(F.lit("https://u"), u, F.lit(":pw@host/x?id=1"))).when(k % 3 == 1, F.concat(F.lit("api_key="), k.cast("string"), F.lit("&x=1"))).otherwise(F.concat(F.lit("https://u"), u, F.lit("@host/key: "), k.cast("string")))
     return L.table(spark, d, "events").select("event_id", S.redact(text).alias("message"))
 
 
-@query("SELECT p_partkey, regexp_replace(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), '^the ', '') AS name, substr(sha1(p_name || '|' || p_brand), 1, 16) AS key FROM part")
+@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '^the\\s+', ''), '[^a-z0-9]+', ' ', 'g')) AS name, substr(sha1(p_name || '|' || p_brand), 1, 16) AS key FROM part")
 def names_and_keys(spark, d):
     return L.table(spark, d, "part").select("p_partkey", S.norm_name(F.col("p_name")).alias("name"), S.stable_key(F.col("p_name"), F.col("p_brand")).alias("key"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(upper(coalesce(text, '')), 'COLLISION|CRASH|HIT AND RUN|ACCIDENT') THEN 'collision' WHEN regexp_matches(upper(coalesce(text, '')), 'HAZARD|DEBRIS|OBSTRUCT') THEN 'hazard' WHEN regexp_matches(upper(coalesce(text, '')), 'CLOSURE|CLOSED|ROAD WORK') THEN 'closure' WHEN regexp_matches(upper(coalesce(text, '')), 'STALL|DISABLED') THEN 'stalled' WHEN regexp_matches(upper(coalesce(text, '')), 'EVENT|PARADE|FAIR') THEN 'event' ELSE 'other' END AS category FROM conversations")
+CALLS = ["TRAFFIC STOP accident", "1183-Trfc Collision-Unkn Inj", "Stalled vehicle", "Car fire", "SigAlert", "road closure hazard", "HIT & RUN no injuries", "animal on road", "noise"]
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN regexp_matches(t, 'TRAFFIC STOP') THEN 'other' WHEN regexp_matches(t, 'COLLISION|COLLN|ACCIDENT|HIT AND RUN|HIT & RUN|HIT/RUN|1179|1180|1181|1182|1183|20001|20002') THEN 'collision' WHEN regexp_matches(t, 'ROAD CLOSURE|SIGALERT|SIG ALERT|1184') THEN 'closure'
+    WHEN regexp_matches(t, 'HAZARD|DEBRIS|OBSTRUCTION|BLOCKED|STALL|DISABLED|ANIMAL|FLOOD|SPILL|1125|1126') THEN 'hazard' WHEN regexp_matches(t, 'FIRE') THEN 'fire' ELSE 'other' END AS category FROM (SELECT event_id, upper({CALLS}[event_id % {len(CALLS)} + 1] || ' ' || event_type) AS t FROM events)"""
+)
 def incident_category(spark, d):
-    return L.table(spark, d, "conversations").select("conv_id", "turn", S.incident_category(F.col("text")).alias("category"))
+    call = F.element_at(F.array(*map(F.lit, CALLS)), (F.col("event_id") % len(CALLS) + 1).cast("int"))
+    return L.table(spark, d, "events").select("event_id", S.incident_category(F.concat_ws(" ", call, "event_type")).alias("category"))
 
 
-@query("SELECT o_orderkey, CASE WHEN c >= 15000 THEN 'high' WHEN c >= 5000 THEN 'medium' ELSE 'low' END AS tier, round(least(1200, greatest(150, 100 + 120 * sqrt(c / 1000))), 4) AS radius FROM (SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 10 END, 3000.0) * CASE o_orderstatus WHEN 'F' THEN 1.2 ELSE 0.8 END AS c FROM orders)")
+@query(
+    """SELECT o_orderkey, CASE WHEN c >= 15000 THEN 'high' WHEN c >= 5000 THEN 'medium' ELSE 'low' END AS tier, CASE WHEN c >= 15000 THEN 600.0 WHEN c >= 5000 THEN 300.0 ELSE 120.0 END AS delay_s
+    FROM (SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 10 END, 3000.0) * CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.6 ELSE 0.7 END AS c FROM orders)"""
+)
 def event_tiers(spark, d):
     o = L.table(spark, d, "orders")
-    crowd = S.event_crowd(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") / 10), F.lit(None).cast("double"), F.when(F.col("o_orderstatus") == "F", "sports").otherwise("other"))
-    return o.select("o_orderkey", S.event_tier(crowd).alias("tier"), r4(S.event_impact_radius(crowd)).alias("radius"))
+    kind = F.when(F.col("o_orderstatus") == "F", "sports").when(F.col("o_orderstatus") == "O", "conference").otherwise("other")
+    tier = EV.event_tier(EV.event_crowd(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") / 10), F.lit(None).cast("double"), kind))
+    return o.select("o_orderkey", tier.alias("tier"), EV.tier_seconds(tier).alias("delay_s"))
 
 
 @query("SELECT event_id, round(sin(m / 1440.0 * 6.283185307179586), 4) + 0.0 AS tod_sin, round(cos(m / 1440.0 * 6.283185307179586), 4) + 0.0 AS tod_cos, round(sin(w / 7.0 * 6.283185307179586), 4) + 0.0 AS dow_sin FROM (SELECT event_id, hour(l) * 60 + minute(l) AS m, isodow(l) - 1 AS w FROM (SELECT event_id, ts - INTERVAL 8 HOUR AS l FROM events))")
@@ -392,9 +440,9 @@ def calendar_features(spark, d):
     return L.table(spark, d, "events").select("event_id", *((r4(c[k]) + 0.0).alias(k) for k in ("tod_sin", "tod_cos", "dow_sin")))
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT k, 'missing' AS side FROM (SELECT p_partkey % 1300 AS k FROM part EXCEPT SELECT c_custkey AS k FROM customer) UNION ALL SELECT k, 'unexpected' FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT p_partkey % 1300 AS k FROM part)")
 def missing_references(spark, d):
-    return L.table(spark, d, "supplier").select("s_suppkey").join(L.table(spark, d, "lineitem").filter("l_returnflag = 'R'"), F.col("s_suppkey") == F.col("l_suppkey"), "left_anti")
+    return Q.missing_and_unexpected(L.table(spark, d, "customer").select(F.col("c_custkey").alias("k")), L.table(spark, d, "part").select((F.col("p_partkey") % 1300).alias("k")), "k")
 
 
 @query(", w AS (SELECT lon, lat, sum(1.0) AS w FROM points GROUP BY 1, 2), d AS (SELECT a.lon, a.lat, sum(b.w * pow(1 - (pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) / 0.000025, 2)) AS density FROM w a JOIN w b ON (pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) / 0.000025 < 1 GROUP BY 1, 2) SELECT event_id AS id, round(density, 2) AS density FROM points p JOIN d ON p.lon = d.lon AND p.lat = d.lat", "points")
@@ -403,10 +451,10 @@ def heat_density(spark, d):
     return A.heat_density(p, 0.005).withColumn("density", F.round("density", 2))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'no_offer' WHEN o_orderstatus = 'O' THEN 'not_arrived' WHEN o_orderkey % 5 = 0 THEN 'wrong_route' WHEN o_totalprice < 60000 THEN 'too_soon' ELSE 'payable' END AS state FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'no_offer' WHEN o_orderstatus = 'O' THEN 'not_arrived' WHEN o_orderkey % 5 = 0 THEN 'wrong_route' WHEN o_orderkey % 4 = 0 THEN 'taken' WHEN o_totalprice < 60000 THEN 'too_soon' ELSE 'payable' END AS state FROM orders")
 def settle_reward(spark, d):
     k = F.col("o_orderkey")
-    return L.table(spark, d, "orders").select("o_orderkey", S.settle_reward(k % 7 != 0, F.col("o_orderstatus") != "O", k % 5 != 0, F.col("o_totalprice"), F.lit(120_000.0)).alias("state"))
+    return L.table(spark, d, "orders").select("o_orderkey", S.settle_reward(k % 7 != 0, F.col("o_orderstatus") != "O", k % 5 != 0, k % 4 == 0, F.col("o_totalprice"), F.lit(120_000.0)).alias("state"))
 
 
 def doubles(df: DataFrame, *columns: str) -> DataFrame:
@@ -488,7 +536,7 @@ def near_far_mask(spark, d):
     return M.near_far_mask(roads, L.places(spark, d).filter("place_id % 10 = 1"))
 
 
-PAIRED = "SELECT o_custkey % 40 AS family, o_orderkey % 9 AS seed, o_orderkey AS run, o_orderkey % 2 = 0 AS with_event, o_custkey % 5 AS part FROM orders WHERE o_totalprice < 60000"
+PAIRED = "SELECT o_custkey AS family, o_orderkey % 9 AS seed, o_orderkey AS run, o_orderkey % 2 = 0 AS with_event, o_orderkey % 5 AS part FROM orders"
 
 
 @query(
@@ -496,8 +544,8 @@ PAIRED = "SELECT o_custkey % 40 AS family, o_orderkey % 9 AS seed, o_orderkey AS
     (SELECT family, seed, count(*) FILTER (WHERE with_event) AS e, count(*) FILTER (WHERE NOT with_event) AS c, min(run) FILTER (WHERE with_event) AS event_run, min(run) FILTER (WHERE NOT with_event) AS control_run, count(DISTINCT part) AS parts FROM ({PAIRED}) GROUP BY 1, 2)"""
 )
 def event_control_pairs(spark, d):
-    o = L.table(spark, d, "orders").filter("o_totalprice < 60000")
-    runs = o.select((F.col("o_custkey") % 40).alias("family"), (F.col("o_orderkey") % 9).alias("seed"), F.col("o_orderkey").alias("run"), (F.col("o_orderkey") % 2 == 0).alias("with_event"), (F.col("o_custkey") % 5).alias("part"))
+    o = L.table(spark, d, "orders")
+    runs = o.select(F.col("o_custkey").alias("family"), (F.col("o_orderkey") % 9).alias("seed"), F.col("o_orderkey").alias("run"), (F.col("o_orderkey") % 2 == 0).alias("with_event"), (F.col("o_orderkey") % 5).alias("part"))
     return doubles(M.event_control_pairs(runs, "family", "seed"), "event_run", "control_run")
 
 

@@ -2,30 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date, timedelta
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def scan_day_files(spark: SparkSession, path: str, schema: StructType, since: str, until: str) -> DataFrame:
-    """JSON lines of files named YYYY-MM-DD.jsonl from since to until; lines that aren't objects come as _corrupt_record."""
-    rows = spark.read.schema(schema.add("_corrupt_record", "string")).option("columnNameOfCorruptRecord", "_corrupt_record").json(path, pathGlobFilter="????-??-??.jsonl")
-    day = F.regexp_extract(F.input_file_name(), "([0-9]{4}-[0-9]{2}-[0-9]{2})\\.jsonl", 1)
-    return rows.withColumn("day", day).filter(F.col("day").between(since, until))
+    """JSON lines of files named YYYY-MM-DD.jsonl from since to until, each with its day; only those files are listed and read. Lines that aren't
+    objects come as _corrupt_record (count them with bad_lines)."""
+    first, last = (date.fromisoformat(x) for x in (since, until))
+    days = [(first + timedelta(k)).isoformat() for k in range((last - first).days + 1)]
+    # Days share prefixes of months; a glob of their alternatives lists the folder once.
+    rows = spark.read.schema(StructType([*schema.fields, StructField("_corrupt_record", StringType())])).option("columnNameOfCorruptRecord", "_corrupt_record").json(path, pathGlobFilter="{" + ",".join(f"{d}.jsonl" for d in days) + "}")
+    return rows.withColumn("day", F.regexp_extract(F.col("_metadata.file_name"), "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1))
+
+
+def bad_lines(rows: DataFrame) -> DataFrame:
+    """day, lines, bad: how many lines of a day aren't objects."""
+    return rows.groupBy("day").agg(F.count("*").alias("lines"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad"))
+
+
+def scan_snapshot(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """Records of {source, pulled_at, records} envelopes, each with its place; and the files that are no snapshots, for the caller to refuse. Files
+    without records give none."""
+    raw = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    sound = F.col("source").isNotNull() & F.col("pulled_at").isNotNull() & F.col("records").isNotNull()
+    return raw.filter(sound).select("source", "pulled_at", F.posexplode("records").alias("place", "record")), raw.filter(~sound).select("file")
+
+
+def scan_forecast(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The forecast of a folder and the closures beside it."""
+    return spark.read.parquet(f"{path}/forecast.parquet"), spark.read.parquet(f"{path}/closures.parquet")
+
+
+def scan_history(rows: DataFrame, issued_s: int, buckets: int, bucket_s: int = 600) -> DataFrame:
+    """The rows of the `buckets` buckets that ended by issued_s; an error if a bucket is missing or the last is unfinished. rows: t (a bucket's
+    start in seconds). The filter reaches the scan, and one aggregate checks what it finds."""
+    held = rows.filter((F.col("t") >= issued_s - buckets * bucket_s) & (F.col("t") < issued_s))
+    found, newest = held.agg(F.count_distinct("t"), F.max("t")).first()
+    if newest is not None and newest + bucket_s > issued_s:
+        raise ValueError("the history holds an unfinished bucket")
+    if found != buckets:
+        raise ValueError(f"{buckets} completed buckets are needed, {found} were found")
+    return held
 
 
-def scan_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Records of {source, pulled_at, records} envelopes, each with its place; files without records give none."""
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    return raw.filter("source is not null and pulled_at is not null").select("source", "pulled_at", F.posexplode("records").alias("place", "record"))
+def backfill(spark: SparkSession, day: str, path: str, schema: StructType, job: Callable[[DataFrame, str], DataFrame], table: str) -> None:
+    """Rebuilds one past day: the job over that day's file alone, into that day's partition; other days stay."""
+    rows = scan_day_files(spark, path, schema, day, day)
+    out = job(rows, day).withColumn("day", F.lit(day))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(table)
 
 
 def active_at(df: DataFrame, start: Column, end: Column, t: Column) -> DataFrame:
     return df.filter((start <= t) & (end.isNull() | (end >= t)))
 
 
-def active_or_upcoming(df: DataFrame, start: Column, end: Column, now: Column, days: int = 30) -> DataFrame:
-    return df.filter((end.isNull() | (end >= now)) & (start <= now + F.expr(f"interval {days} days")))
+def active_or_upcoming(df: DataFrame, start: Column, end: Column, now: Column, days: int = 30, status: str | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that end now or later and start within the days; rows of a status in `without` go."""
+    kept = df.filter((end.isNull() | (end >= now)) & (start <= now + F.expr(f"interval {days} days")))
+    return kept.filter(F.col(status).isNull() | ~F.col(status).isin(*without)) if status and without else kept
 
 
 def latest_n(df: DataFrame, time: str, n: int, not_after: Column, tie: str) -> DataFrame:
@@ -54,12 +94,33 @@ def upsert_doc(old: DataFrame, new: DataFrame, key: str, sets: list[str], now: C
     return both.select(*values, seen, last)
 
 
-def archive_missing(current: DataFrame, pulled: DataFrame, key: str, complete: bool) -> DataFrame:
-    """current with archived: active rows that a complete pull no longer has. An incomplete pull archives nothing."""
+def archive_missing(current: DataFrame, pulled: DataFrame, key: str, complete: bool, window: Column | None = None, reason: str = "missing_from_pull") -> DataFrame:
+    """current with archived and archived_reason: rows inside the window (null: all) that a complete pull no longer has. An incomplete pull archives nothing."""
     if not complete:
-        return current.withColumn("archived", F.lit(False))
+        return current.withColumn("archived", F.lit(False)).withColumn("archived_reason", F.lit(None).cast("string"))
     here = pulled.select(F.col(key).alias("__key")).distinct().withColumn("__here", F.lit(True))
-    return current.join(here, F.col(key) == F.col("__key"), "left").withColumn("archived", F.col("__here").isNull()).drop("__key", "__here")
+    inside = F.lit(True) if window is None else F.coalesce(window, F.lit(False))
+    out = current.join(here, F.col(key) == F.col("__key"), "left").withColumn("archived", F.col("__here").isNull() & inside)
+    return out.withColumn("archived_reason", F.when(F.col("archived"), reason)).drop("__key", "__here")
+
+
+def upsert_batch(table: str, key: list[str], version: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that puts a batch into a table partitioned by date: the partitions of the batch are rewritten, last wins. The merge
+    is staged first, so that a batch that is run again finds what it needs."""
+
+    def batch(new: DataFrame, batch_id: int) -> None:
+        spark = new.sparkSession
+        days = [r["date"] for r in new.select("date").distinct().collect()]  # a day each
+        try:
+            old = spark.read.parquet(table)
+        except AnalysisException:
+            old = new.limit(0)
+        merged = last_wins(old.filter(F.col("date").isin(*days)), new, key, version)
+        staged = f"{table}-batch-{batch_id}"
+        merged.write.mode("overwrite").parquet(staged)
+        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(table)
+
+    return batch
 
 
 def quarantine(df: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
