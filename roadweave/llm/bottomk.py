@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import pieces, small_batches, written
 from .components import connected_components
 
 K, LEAST_SHARE = 48, 0.42
@@ -31,7 +31,7 @@ ESTIMATE = 0.44
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -149,6 +149,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     if not 80 <= threshold <= 100:
         raise ValueError("threshold must be 80 to 100")
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     all_rows = written(sketches(docs, width), "sketches")
     known = all_rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
@@ -187,24 +188,3 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     out = all_rows.select("doc_id", "text_mark", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_mark")
-
-
-def exact_components(rows: list[tuple[int, str | None]], width: int, threshold: int) -> dict[int, int]:
-    """The same by comparing all with all, for small tables: smallest id reachable of each id."""
-    sets = {i: set(shingle_set(t, width).tolist()) for i, t in rows}
-    root = {i: i for i in sets}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    by = sorted(i for i in sets if sets[i])
-    for k, i in enumerate(by):
-        for j in by[k + 1 :]:
-            common = len(sets[i] & sets[j])
-            if 100 * common >= threshold * (len(sets[i]) + len(sets[j]) - common):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return {i: find(i) for i in sets}
-

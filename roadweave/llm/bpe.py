@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import pieces
+from .common import pieces, small_batches
 
 #: Chunks and words kept by a worker; at the bound they are forgotten and built anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 
 def byte_symbols() -> list[str]:
@@ -156,6 +156,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     rows["decoded"].append(decoded)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | rows, schema=schema)
 
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + ([("ids", pa.list_(pa.int64())), ("decoded", pa.string())] if keep_ids else []))

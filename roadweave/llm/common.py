@@ -47,11 +47,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that this session sends to Python by BATCH_BYTES, or one row, where the bound is higher. A bound in bytes suits rows of
+    any length, so queries that run later are none the worse for it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, "64m").lower().rstrip("b")
+    size = int(held[:-1]) << {"k": 10, "m": 20, "g": 30}[held[-1]] if held[-1] in "kmg" else int(held)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 4096, text: int | None = None, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most rows rows and, where text names a column, about most bytes of it, one row at least.
 
-    Spark bounds a batch by 64 MB or one row (spark.sql.execution.arrow.maxBytesPerBatch), whatever the texts' lengths; a slice bounds
-    what a task makes of it at once.
+    small_batches bounds a batch, whatever the texts' lengths; a slice bounds what a task makes of it at once.
     """
     for batch in batches:
         at = 0

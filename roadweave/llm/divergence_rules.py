@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import pieces, small_batches, written
 
 CLASSES = ("lower", "upper", "other letter", "digit", "space", "line end", "stop", "symbol", "other")
 STOPS, SYMBOLS, SPACES = ".,;:!?'\"()-", "#*$%&|<>", " \t\n\v\f\r"
@@ -139,6 +139,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 yield out()
         yield out()
 
+    small_batches(docs.sparkSession)
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counted = rows.mapInArrow(run, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     counted = written(counted, "histograms")
@@ -191,6 +192,7 @@ def judge(docs: DataFrame, refs: list[Reference], limits: Limits = Limits(), id_
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
+    small_batches(docs.sparkSession)
     long, real = pa.int64(), pa.float64()
     schema = pa.schema([(n, long) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("nearest", pa.string()), ("class_distance", real), ("word_distance", real)])
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import pieces, small_batches, written
 
 #: Head words and their longest length in bytes (together 8 MB at most), words with a row of their own, words in a class, bands, units.
 HEAD, LONGEST, TOP, WIDTH, BANDS, UNITS = 1 << 17, 64, 1024, 32, 8, 16
@@ -442,6 +442,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     A null or empty text is one end token. Repeated ids are scored row by row. If nothing is learned from, all words are unknown and
     the network is untrained. Scores are log10 and finite. Other columns are left out.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     lessons = docs.filter("learn")
     counts = written(count_words(lessons), "word-counts")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import pieces
+from .common import pieces, small_batches
 
 DIMS = 1 << 13
 #: Rows whose features, 32 kB each, are held at once.
@@ -144,6 +144,7 @@ def fit(docs: DataFrame, learn: Column, rows_a_language: int = 400, id_col: str
             found = [(a, m, v) for a, t, m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if (v := features(t)) is not None]
             yield pa.RecordBatch.from_pydict({"lang": [a for a, _, _ in found], "mixed": [m for _, m, _ in found], "v": [v.astype(np.float16).tobytes() for _, _, v in found]}, schema=pa.schema([("lang", pa.string()), ("mixed", pa.int64()), ("v", pa.binary())]))
 
+    small_batches(docs.sparkSession)
     held = defaultdict(list)
     for r in rows.filter(low).mapInArrow(embed, "lang string, mixed long, v binary").collect():
         held[r["lang"]].append((r["mixed"], bytes(r["v"])))
@@ -184,6 +185,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     lang_pred is `und` with score 0 if the text is null or has no letter, or if nothing was learned. Other columns are left out.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, SLICE):
             lang, score = told(batch.column(1), model)
@@ -197,6 +200,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", lang_to: s
     if {lang_to, score_to} & set(docs.columns):
         raise ValueError(f"docs has a column {lang_to} or {score_to} already")
     text = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, SLICE):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 #: Rows of the sample, or SAMPLE_A_PART for each part if those are more; neighbours in its graph; vectors a part should hold; parts at most;
 #: rows of a block and of a slice of queries, about.
@@ -183,6 +183,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     answered for each vector. Rows that take no part: see usable. Empty tables and lone rows give no rows.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = usable(vectors, id_col, vector_col)
     total = rows.count()
     parts = int(min(MAX_PARTS, total // part_rows))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_path, written
+from .common import pieces, shared_path, small_batches, written
 
 #: Fixed values of the seekable zstandard format.
 SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -215,6 +215,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id
             fs.move(tried, path)
             yield pa.RecordBatch.from_pylist([{"part": part, "path": f"part-{part:07d}.tok", "width": own.width, "documents": n, "tokens": tokens}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
+    small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     order = [F.col("doc_id").asc_nulls_last()]

@@ -87,7 +87,7 @@ def test_extra_columns_of_any_name_pass(spark, docs):
     wide = docs
     for k, n in enumerate(names):
         wide = wide.withColumn(n, F.lit(f"v{k}"))
-    wide = wide.unionByName(spark.createDataFrame([(None,) * len(wide.columns)], wide.schema))
+    wide = wide.unionByName(wide.limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in wide.schema.fields)))
     for stage in (C.language, C.near_duplicates, C.secrets, C.mix):
         out = stage(spark, wide, DATA)
         assert out.columns == wide.columns and out.count() > 0
