@@ -3,6 +3,7 @@
 import io
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -50,9 +51,9 @@ def test_bpe_and_token_files_equal_the_library(spark, docs):
 
 
 def test_letters_of_every_script_split_as_in_the_library(spark):
-    """Every code point beside Latin letters, digits and marks, in words that the tokenizer tells apart by what it calls a letter."""
+    """Every assigned code point, and one in 16 of the others, beside Latin letters, digits and marks, in words that the tokenizer tells apart by what it calls a letter."""
     lib = Tokenizer.from_file(PATH)
-    points = [c for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000]
+    points = [c for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000 and (c % 16 == 0 or unicodedata.category(chr(c)) not in ("Cn", "Co"))]
     texts = [" ".join(f"a{chr(c)}b {chr(c)}1 !{chr(c)}" for c in points[k : k + 400]) for k in range(0, len(points), 400)]
     own = bpe.codec(PATH)
     for t in texts:
