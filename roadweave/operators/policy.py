@@ -72,11 +72,11 @@ def assign_in_order(candidates: DataFrame, load: DataFrame, weight: float, scale
 def residual_model(train: DataFrame, validation: DataFrame, features: list[str], grid: tuple[tuple[int, float], ...] = ((3, 0.1), (5, 0.1)), rounds: int = 20, seed: int = 4):
     """A gradient-boosted model of target less base, by Spark's own trainer: of the grid (depth, step) the one of least mean absolute error over
     validation rows, and that error. train, validation: features, base, target; rows with a null feature teach nothing."""
-    rows = lambda df: VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip").transform(df.withColumn("residual", F.col("target") - F.col("base")).filter("residual is not null"))
+    rows = lambda df: VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="skip").transform(df.withColumn("residual", F.col("target") - F.col("base")).filter("residual is not null"))
     fit_on, look_at = rows(train), rows(validation)
     best = None
     for depth, step in grid:
-        model = GBTRegressor(featuresCol="x", labelCol="residual", maxDepth=depth, stepSize=step, maxIter=rounds, seed=seed).fit(fit_on)
+        model = GBTRegressor(featuresCol="__features", labelCol="residual", maxDepth=depth, stepSize=step, maxIter=rounds, seed=seed).fit(fit_on)
         error = model.transform(look_at).agg(F.avg(F.abs(F.col("prediction") - F.col("residual")))).first()[0]
         if best is None or (error is not None and error < best[1]):
             best = (model, error)
@@ -85,10 +85,10 @@ def residual_model(train: DataFrame, validation: DataFrame, features: list[str],
 
 def residual_predictions(rows: DataFrame, model, features: list[str], least: Column, most: Column) -> DataFrame:
     """rows with predicted: base plus the model's residual within physical bounds; rows with a null feature keep their base."""
-    x = VectorAssembler(inputCols=features, outputCol="x", handleInvalid="keep").transform(rows)
+    x = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep").transform(rows)
     whole = ~F.array_contains(F.transform(F.array(*(F.col(c).cast("double") for c in features)), lambda v: v.isNull()), True)
     out = model.transform(x).withColumn("predicted", F.when(whole, F.greatest(least, F.least(most, F.col("base") + F.col("prediction")))).otherwise(F.col("base")))
-    return out.drop("x", "prediction")
+    return out.drop("__features", "prediction")
 
 
 def export_predictions(forecast: DataFrame, roads: DataFrame, history: DataFrame) -> DataFrame:

@@ -128,12 +128,13 @@ def facts(spark, d):
 @query(
     FACTS + """, c AS (SELECT t.route, t.length * 10 AS length, f.*, coalesce(free_flow, 25.0) AS free, greatest(coalesce(speed, coalesce(free_flow, 25.0) * (1 - ratio)), 3.0) AS seen, f.seg IS NOT NULL AND coalesce(speed, ratio) IS NOT NULL AS known FROM trips t LEFT JOIN facts f ON f.seg = t.seg)
     SELECT route, round_even(coalesce(sum(greatest(0, length / (seen * 0.44704) - length / (free * 0.44704))) FILTER (WHERE known), 0), 0)::BIGINT AS delay_s, count_if(known AND coalesce(ratio, 0) >= 0.5)::BIGINT AS slow,
-    round_even(coalesce(sum(length) FILTER (WHERE known), 0) / sum(length), 2) AS coverage, (max(bucket) FILTER (WHERE known))::DOUBLE AS as_of, coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (WHERE known), '') AS sources FROM c GROUP BY route""",
+    round(coalesce(sum(length) FILTER (WHERE known), 0) / sum(length) + 1e-9, 6) AS coverage, (max(bucket) FILTER (WHERE known))::DOUBLE AS as_of, coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (WHERE known), '') AS sources FROM c GROUP BY route""",
     "trips", "readings",
 )
 def route_traffic(spark, d):
     cells = L.trips(spark, d).select("route", "seg", (F.col("length") * 10).alias("length"))
-    return doubles(R.route_traffic(cells, facts(spark, d)), "as_of")
+    out = R.route_traffic(cells, facts(spark, d)).withColumn("coverage", F.round(F.col("coverage") + 1e-9, 6))
+    return doubles(out, "as_of")
 
 
 @query(
