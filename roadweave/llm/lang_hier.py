@@ -205,6 +205,8 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", lang_to: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, SLICE):
             lang, score = told(batch.column(text), model)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, lang_to, score_to])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, lang_to, score_to])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_to, StringType()), StructField(score_to, DoubleType())]))
+    # Columns go in by place: a name with a dot would be taken for a field of a struct.
+    names = docs.columns
+    return docs.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_to, StringType()), StructField(score_to, DoubleType())]))
