@@ -42,15 +42,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     An id stays once: of several rows with it whose text is kept, that of the lowest text hash. Rows without an id stay. Texts without
     words are alone. An empty table stays empty.
     """
-    decided = bottomk.near_duplicates(docs, width=5, threshold=80).filter("doc_id is not null")
-    groups = written(decided.groupBy("doc_id").agg(F.min(F.when(F.col("kept"), F.col("text_mark"))).alias("mark"), F.count("*").alias("rows")).filter("mark is not null"), "kept")
-    n, most = groups.agg(F.count("*"), F.max("rows")).first()
-    kept_id, kept_mark = unused(docs, "kept_id"), unused(docs, "kept_mark")
-    ids = groups.select(F.col("doc_id").alias(kept_id), F.col("mark").alias(kept_mark))
-    # Few ids, 16 MB at most, go to the texts; more are joined by a shuffle. Texts are dealt by id only if an id does repeat.
-    kept = docs.join(F.broadcast(ids) if n <= bottomk.MAX_BROADCAST else ids, (F.col("doc_id") == F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_mark)), "left_semi")
-    kept = kept.dropDuplicates(["doc_id"]) if (most or 1) > 1 else kept
-    return kept.select(*own_columns(docs)).unionByName(docs.filter(F.col("doc_id").isNull()))
+    decided = written(bottomk.near_duplicates(docs, width=5, threshold=80).filter("doc_id is not null").select("doc_id", "text_mark", "kept"), "decided")
+    repeated = decided.groupBy("doc_id").agg(F.min(F.when(F.col("kept"), F.col("text_mark"))).alias("mark"), F.count("*").alias("rows")).filter("rows > 1")
+    repeated = written(repeated.select("doc_id", "mark"), "repeated-ids")
+    gone = decided.filter("not kept").drop("kept").unionByName(decided.filter("kept").join(repeated, "doc_id").filter("text_mark <> mark").select("doc_id", "text_mark"))
+    gone = written(gone.distinct(), "gone")
+    gone_id, gone_mark = unused(docs, "gone_id"), unused(docs, "gone_mark")
+    ids = gone.select(F.col("doc_id").alias(gone_id), F.col("text_mark").alias(gone_mark))
+    # Few rows that go, 16 MB at most, are sent to the texts; more are joined by a shuffle.
+    ids = F.broadcast(ids) if gone.count() <= bottomk.MAX_BROADCAST else ids
+    kept = docs.join(ids, (F.col("doc_id") == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_mark)), "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return kept.select(*own_columns(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
