@@ -137,6 +137,18 @@ def planar_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.hypot((lon1 - lon2) * 111_320 * F.cos(F.radians((lat1 + lat2) / 2)), (lat1 - lat2) * 111_132)
 
 
+def event_heat(points: DataFrame, radius_m: float, least_peak: float = 4.0) -> DataFrame:
+    """id, density, level: the kernel (1 - x^2)^2 of all points within the radius by weight, and density over the strongest one, which counts
+    as least_peak at least, to the power of 0.75. points: id, lon, lat, w. Points of one place are one of their weights' sum."""
+    places = points.groupBy("lon", "lat").agg(F.sum("w").alias("w"))
+    near = near_pairs(places.select("lon", "lat"), places.select(F.col("lon").alias("plon"), F.col("lat").alias("plat"), "w"), radius_m * 1.005)
+    x = F.hypot((F.col("lon") - F.col("plon")) * 111_320 * F.cos(F.radians((F.col("lat") + F.col("plat")) / 2)), (F.col("lat") - F.col("plat")) * 111_320) / radius_m
+    density = near.withColumn("x", x).filter("x < 1").groupBy("lon", "lat").agg(F.sum(F.col("w") * F.pow(1 - F.col("x") * F.col("x"), 2)).alias("density"))
+    peak = density.agg(F.greatest(F.max("density"), F.lit(least_peak)).alias("peak"))
+    found = density.join(F.broadcast(peak)).withColumn("level", F.pow(F.least(F.lit(1.0), F.col("density") / F.col("peak")), F.lit(0.75)))  # one row
+    return points.join(found, ["lon", "lat"]).select("id", "density", "level")
+
+
 def events_on_route(vertices: DataFrame, events: DataFrame, least_s: float = 30.0) -> DataFrame:
     """route, event, metres, delay_s, impact, crowd, rank: events whose crowd is out when the route passes nearest to them, worst first.
     vertices: route, pos (from 0), lon, lat, last (the greatest pos), depart_s, duration_s; events: event, plon, plat, start_s, end_s,

@@ -42,9 +42,31 @@ def hour_spine(buckets: DataFrame, value: str, step_s: int = 3600) -> DataFrame:
 
 
 def ffill_limited(df: DataFrame, key: str, order: str, value: str, k: int = 2) -> DataFrame:
-    """Adds filled (at most k steps old, never from the future) and was_filled. Needs a dense spine."""
+    """Adds filled (at most k steps old, never from the future), was_filled, filled_at (the step it is from) and missing. Needs a dense spine."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-k, 0)
-    return df.withColumn("filled", F.last(value, ignorenulls=True).over(w)).withColumn("was_filled", F.col(value).isNull() & F.col("filled").isNotNull())
+    out = df.withColumn("filled", F.last(value, ignorenulls=True).over(w)).withColumn("was_filled", F.col(value).isNull() & F.col("filled").isNotNull())
+    return out.withColumn("filled_at", F.last(F.when(F.col(value).isNotNull(), F.col(order)), ignorenulls=True).over(w)).withColumn("missing", F.col("filled").isNull())
+
+
+def persistence_times(df: DataFrame, key: str, order: str, slowest: float = 0.5, most: float = 1800.0) -> DataFrame:
+    """df with seconds over the road as of now, and basis: 0 from a speed at most two steps old, 1 from a level at most three steps old, 2 free
+    flow. Speeds have a floor and seconds a cap. Needs a dense spine and columns speed (metres a second), level (congestion ratio), length, free_flow."""
+    last = lambda c, k: F.last(c, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(-k, 0))
+    d = df.withColumn("__speed", last("speed", 2)).withColumn("__level", last("level", 3))
+    by = lambda v: F.col("length") / F.greatest(v, F.lit(slowest))
+    seconds = F.when(F.col("__speed").isNotNull(), by(F.col("__speed"))).when(F.col("__level").isNotNull(), by(F.col("free_flow") * (1 - F.col("__level")))).otherwise(F.col("length") / F.col("free_flow"))
+    basis = F.when(F.col("__speed").isNotNull(), 0).when(F.col("__level").isNotNull(), 1).otherwise(2)
+    return d.withColumn("seconds", F.least(seconds, F.lit(most))).withColumn("basis", basis).drop("__speed", "__level")
+
+
+def newest_within(df: DataFrame, keys: list[str], t: str, at: Column, max_age_s: int, *ties: Column) -> DataFrame:
+    """The newest row of each key that isn't of the future of `at` nor older than max_age_s then."""
+    return latest_per(df.filter((F.col(t) <= at) & (F.col(t) > at - max_age_s)), keys, F.desc(t), *ties)
+
+
+def capped_by_class(df: DataFrame, kind: str, most: int, *order: Column) -> DataFrame:
+    """The first `most` rows of each class in the given order: the list's own length, so that one class doesn't crowd out another."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).filter(F.col("__n") <= most).drop("__n")
 
 
 def persistence(df: DataFrame, free_flow: Column) -> Column:

@@ -153,6 +153,40 @@ def unwritten_buckets(spark, d):
     return R.unwritten(r.select("event_id", "source", F.col("ts").alias("t")), marks, F.lit(1_706_000_000)).select("event_id")
 
 
+@query(
+    """, s AS (SELECT seg, t, CASE WHEN speed < 60 THEN speed / 3 END AS speed, CASE WHEN speed >= 40 THEN (seg % 5) / 5.0 END AS level FROM spine), f AS (SELECT seg, t, last_value(speed IGNORE NULLS) OVER (PARTITION BY seg ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS v, last_value(level IGNORE NULLS) OVER (PARTITION BY seg ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l FROM s)
+    SELECT seg, t, round(least(CASE WHEN v IS NOT NULL THEN 200.0 / greatest(v, 0.5) WHEN l IS NOT NULL THEN 200.0 / greatest((10.0 + seg % 7) * (1 - l), 0.5) ELSE 200.0 / (10.0 + seg % 7) END, 1800), 4) AS seconds, CASE WHEN v IS NOT NULL THEN 0 WHEN l IS NOT NULL THEN 1 ELSE 2 END AS basis FROM f""".lstrip(),
+    "readings", "buckets", "spine",
+)
+def persistence_times(spark, d):
+    from roadweave.plans.queries import spine
+
+    s = spine(spark, d).select("seg", "t", F.when(F.col("speed") < 60, F.col("speed") / 3).alias("speed"), F.when(F.col("speed") >= 40, (F.col("seg") % 5) / 5.0).alias("level"), F.lit(200.0).alias("length"), (10.0 + F.col("seg") % 7).alias("free_flow"))
+    return W.persistence_times(s, "seg", "t").select("seg", "t", r4("seconds").alias("seconds"), "basis")
+
+
+@query(
+    """, a AS (SELECT seg AS key, event_id AS id, t, speed AS value FROM readings WHERE source = 'click'), r AS (SELECT seg AS key, event_id AS id, t, (event_id % 20) / 20.0 AS value FROM readings WHERE source = 'view'),
+    n AS (SELECT a.key, a.value / r.value AS x FROM a JOIN r ON a.key = r.key AND abs(a.t - r.t) <= 3600 WHERE true QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY abs(a.t - r.t), r.id) = 1 AND r.value >= 0.05) SELECT key, round(quantile_cont(x, 0.5) + 1e-7, 4) AS free_flow, count(*) AS samples FROM n GROUP BY key""".lstrip(),
+    "readings",
+)
+def line_free_flow(spark, d):
+    r = L.readings(spark, d)
+    side = lambda s, v: r.filter(F.col("source") == s).select(F.col("seg").alias("key"), F.col("event_id").alias("id"), "t", v.alias("value"))
+    out = R.line_free_flow(side("click", F.col("speed")), side("view", (F.col("event_id") % 20) / 20.0), 3600)
+    return out.withColumn("free_flow", r4(F.col("free_flow") + 1e-7))
+
+
+@query("SELECT seg, source, t, round(speed, 4) AS speed FROM readings WHERE t <= 1705500000 AND t > 1705500000 - 43200 QUALIFY row_number() OVER (PARTITION BY seg, source ORDER BY t DESC, event_id) = 1", "readings")
+def newest_within(spark, d):
+    return W.newest_within(L.readings(spark, d), ["seg", "source"], "t", F.lit(1_705_500_000), 43_200, F.asc("event_id")).select("seg", "source", "t", r4("speed").alias("speed"))
+
+
+@query("SELECT o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) <= 500")
+def capped_by_class(spark, d):
+    return W.capped_by_class(L.table(spark, d, "orders"), "o_orderstatus", 500, F.asc("o_orderdate"), F.asc("o_orderkey")).select("o_orderstatus", "o_orderkey")
+
+
 # Events
 
 
@@ -194,6 +228,16 @@ def events_on_route(spark, d):
     return J.events_on_route(v, venues(spark, d)).withColumn("metres", F.round("metres", 3))
 
 
+@query(
+    """, p AS (SELECT lon, lat, sum(1 + event_id % 3) AS w FROM points GROUP BY 1, 2), n AS (SELECT a.lon, a.lat, b.w, sqrt(pow((a.lon - b.lon) * 111320 * cos(radians((a.lat + b.lat) / 2)), 2) + pow((a.lat - b.lat) * 111320, 2)) / 900 AS x FROM p a JOIN p b ON abs(a.lat - b.lat) < 0.0085 AND abs(a.lon - b.lon) < 0.011),
+    d AS (SELECT lon, lat, sum(w * pow(1 - x * x, 2)) AS density FROM n WHERE x < 1 GROUP BY 1, 2) SELECT event_id AS id, round(density, 3) AS density, round(pow(least(1, density / (SELECT greatest(max(density), 4) FROM d)), 0.75), 5) AS level FROM points JOIN d USING (lon, lat)""".lstrip(),
+    "points",
+)
+def event_heat(spark, d):
+    p = L.points(spark, d).select(F.col("event_id").alias("id"), "lon", "lat", (1 + F.col("event_id") % 3).alias("w"))
+    return J.event_heat(p, 900.0).withColumn("density", F.round("density", 3)).withColumn("level", F.round("level", 5))
+
+
 @query(
     """SELECT p_partkey, CASE WHEN lower(p_brand) = 'none' THEN 'x' WHEN regexp_matches(n, '\\bmusic\\b|concert|symphony|opera|\\bjazz\\b|\\bdj\\b') THEN 'music' WHEN regexp_matches(n, '\\bsports?\\b|\\bgame\\b|tournament|marathon|\\brace\\b|\\bbike\\b|\\b\\d+k\\b|cornhole|giants|warriors|49ers') THEN 'sports'
     WHEN regexp_matches(n, 'parade|fleet week|procession|blessing|sunday streets') THEN 'parade' WHEN regexp_matches(n, 'market') THEN 'market' WHEN regexp_matches(n, 'festival|\\bfest\\b|\\bfair\\b') THEN 'festival' ELSE 'other' END AS kind

@@ -229,6 +229,11 @@ def event_view(events: DataFrame, venues: DataFrame) -> DataFrame:
     return out.select("event", F.col("title").alias("name"), event_kind(F.col("category"), F.col("title")).alias("kind"), F.coalesce("venue_name", "__venue").alias("venue"), "start", "end", F.coalesce("closure_ids", F.array().cast("array<string>")).alias("closures"))
 
 
+def lookup_events(events: DataFrame, ids: DataFrame, venues: DataFrame) -> DataFrame:
+    """The public fields of listed events with the ids asked for; ids of no listed event give none. ids: event."""
+    return event_view(events.join(ids.select("event").distinct(), "event", "left_semi"), venues)
+
+
 def condition_view(records: DataFrame) -> DataFrame:
     """Public fields of placed records: id, kind, is_closure, description, street, lon, lat, start, end. Withheld and unlocated ones aren't shown."""
     a = lambda k: F.try_element_at("attributes", F.lit(k))
