@@ -61,6 +61,35 @@ def event_crowd(attendance: Column, capacity: Column, category: Column) -> Colum
     return F.coalesce(some(attendance), some(capacity), F.lit(DEFAULT_CROWD)) * factor
 
 
+#: Estimated attendance by a pattern in the name, the first that matches: likely (None: by closed blocks), least and most.
+ATTENDANCE_RULES = (
+    (r"block part(y|ies)", 300, 100, 800),
+    (r"preschool|nursery|school|church|parish|anniversar", 500, 200, 1_500),
+    (r"trick.?or.?treat|treat or treat|halloween", 3_000, 1_000, 10_000),
+    (r"night market", 10_000, 5_000, 15_000),
+    (r"farmers'? market|market", 2_000, 500, 5_000),
+    (r"sunday streets", 15_000, 5_000, 25_000),
+    (r"triathlon|marathon|race|\brun\b|walk", 5_000, 2_000, 10_000),
+    (r"parade", 20_000, 5_000, 50_000),
+    (r"street fair|festival|fest\b|fair\b|street party|celebration", None, 2_000, 50_000),
+)
+PER_BLOCK, OTHER_ATTENDANCE = 500, (300, 10_000)
+
+
+def attendance_estimate(name: Column, blocks: Column, published: Column) -> dict[str, Column]:
+    """attendance, low, high and basis: the published figure where there is one, else by the name, else 500 for each closed block within bounds."""
+    text, by_blocks = F.lower(F.coalesce(name, F.lit(""))), F.coalesce(blocks, F.lit(0)) * PER_BLOCK
+    within = lambda lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), by_blocks)).cast("long")
+    pick = lambda of, otherwise: first_match([(text.rlike(r[0]), of(r)) for r in ATTENDANCE_RULES], otherwise)
+    lo, hi = OTHER_ATTENDANCE
+    point = pick(lambda r: F.lit(r[1]).cast("long") if r[1] else within(r[2], r[3]), within(lo, hi))
+    known = pick(lambda r: F.lit("category"), F.lit("default"))
+    return {
+        "attendance": F.coalesce(published.cast("long"), point), "low": F.coalesce(published.cast("long"), pick(lambda r: F.lit(r[2]).cast("long"), F.lit(lo).cast("long"))),
+        "high": F.coalesce(published.cast("long"), pick(lambda r: F.lit(r[3]).cast("long"), F.lit(hi).cast("long"))), "basis": F.when(published.isNotNull(), "published").otherwise(known),
+    }
+
+
 def event_tier(crowd: Column, high: float = 15_000, medium: float = 5_000) -> Column:
     return F.when(crowd >= high, "high").when(crowd >= medium, "medium").otherwise("low")
 

@@ -73,8 +73,10 @@ def common_blocks(runs: DataFrame, policies: int) -> DataFrame:
     return runs.groupBy("block").agg(F.count_distinct("policy").alias("n")).filter(F.col("n") == policies).select("block")
 
 
-def fit_norm(rows: DataFrame, columns: list[str], train: Column, floor: float = 1e-3) -> DataFrame:
-    """Mean and population deviation, not under floor, of training rows, a row for each column."""
+def fit_norm(rows: DataFrame, columns: list[str], train: Column, floor: float = 1e-3, origins: Column | None = None) -> DataFrame:
+    """Mean and population deviation, not under floor, of training rows, a row for each column. origins keeps to some of the windows, every third one
+    for instance, as neighbouring windows hold the same readings."""
+    rows = rows if origins is None else rows.filter(origins)
     stats = [F.struct(F.lit(c).alias("column"), F.avg(c).alias("mean"), F.greatest(F.stddev_pop(c), F.lit(floor)).alias("std")) for c in columns]
     return rows.filter(train).agg(F.array(*stats).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 

@@ -132,6 +132,21 @@ def incident_delay(hits: DataFrame, closure_s: int = 1200, incident_s: int = 90,
     return hits.groupBy("route").agg((F.when(F.bool_or("is_closure"), closure_s).otherwise(0) + minor).cast("long").alias("delay_s"), F.bool_or("is_closure").alias("blocked"))
 
 
+def concurrent_restrictions(cases: DataFrame, closures: DataFrame, margin_deg: float = 0.0) -> DataFrame:
+    """case, closure, own: full closures that overlap a case's window, its own ones, and those of other cases whose place lies in its box. Of several
+    versions of a closure the newest counts. cases: case, from_s, to_s, west, south, east, north; closures: closure, of_case, version,
+    restriction, lon, lat, start_s, end_s. Both are dealt to days, and a pair comes up on the first day of its overlap alone."""
+    day = 86_400
+    newest = closures.withColumn("__n", F.row_number().over(Window.partitionBy("closure").orderBy(F.desc("version")))).filter("__n = 1 and restriction = 'full' and end_s >= start_s").drop("__n")
+    to_days = lambda df, a, b: df.withColumn("__day", F.explode(F.sequence(F.floor(F.col(a) / day), F.floor(F.col(b) / day))))
+    both = to_days(cases.filter("to_s >= from_s"), "from_s", "to_s").join(to_days(newest, "start_s", "end_s"), "__day")
+    inside = F.col("lon").between(F.col("west") - margin_deg, F.col("east") + margin_deg) & F.col("lat").between(F.col("south") - margin_deg, F.col("north") + margin_deg)
+    own = F.coalesce(F.col("case") == F.col("of_case"), F.lit(False))
+    first = F.floor(F.greatest("from_s", "start_s") / day)
+    hit = both.filter((F.col("start_s") <= F.col("to_s")) & (F.col("end_s") >= F.col("from_s")) & (F.col("__day") == first))
+    return hit.filter(own | inside).select("case", "closure", own.alias("own"))
+
+
 def planar_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Metres on a plane that touches the points' middle."""
     return F.hypot((lon1 - lon2) * 111_320 * F.cos(F.radians((lat1 + lat2) / 2)), (lat1 - lat2) * 111_132)

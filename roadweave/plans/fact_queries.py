@@ -260,6 +260,34 @@ def event_importance(spark, d):
     return o.select("o_custkey", tier.alias("tier"), F.round(score, 6).alias("score"), basis.alias("basis"), F.round(EV.heat_weight(F.size("ids")).cast("double"), 4).alias("weight"))
 
 
+TITLES = ["Block Party", "Parish picnic", "Halloween", "Night Market", "Farmers Market", "Sunday Streets", "City Run", "Pride Parade", "Street Fair", "Opening"]
+
+
+@query(
+    f"""WITH e AS (SELECT o_orderkey, ({TITLES})[o_orderkey % 10 + 1] AS n, o_custkey % 40 AS b, CASE WHEN o_orderkey % 13 = 0 THEN o_custkey END AS p FROM orders),
+    r AS (SELECT *, CASE n WHEN 'Block Party' THEN [300, 100, 800] WHEN 'Parish picnic' THEN [500, 200, 1500] WHEN 'Halloween' THEN [3000, 1000, 10000] WHEN 'Night Market' THEN [10000, 5000, 15000] WHEN 'Farmers Market' THEN [2000, 500, 5000] WHEN 'Sunday Streets' THEN [15000, 5000, 25000] WHEN 'City Run' THEN [5000, 2000, 10000] WHEN 'Pride Parade' THEN [20000, 5000, 50000] WHEN 'Street Fair' THEN [greatest(2000, least(50000, b * 500)), 2000, 50000] ELSE [greatest(300, least(10000, b * 500)), 300, 10000] END AS x FROM e)
+    SELECT o_orderkey, coalesce(p, x[1])::BIGINT AS attendance, coalesce(p, x[2])::BIGINT AS low, coalesce(p, x[3])::BIGINT AS high, CASE WHEN p IS NOT NULL THEN 'published' WHEN n = 'Opening' THEN 'default' ELSE 'category' END AS basis FROM r"""
+)
+def attendance_estimates(spark, d):
+    k = F.col("o_orderkey")
+    o = L.table(spark, d, "orders")
+    found = EV.attendance_estimate(F.element_at(F.array(*map(F.lit, TITLES)), (k % 10 + 1).cast("int")), F.col("o_custkey") % 40, F.when(k % 13 == 0, F.col("o_custkey")))
+    return o.select("o_orderkey", *(c.alias(n) for n, c in found.items()))
+
+
+@query(
+    """, c AS (SELECT place_id AS "case", 1704067200 + (place_id * 7919) % 2400000 AS a, 1704067200 + (place_id * 7919) % 2400000 + 7200 AS b, plon, plat FROM places), x AS (SELECT event_id AS closure, user_id AS of_case, lon, lat, t, t + (event_id % 6) * 3600 AS e FROM points WHERE event_id % 3 > 0)
+    SELECT "case", closure, "case" = of_case AS own FROM c JOIN x ON t <= b AND e >= a WHERE "case" = of_case OR (lon BETWEEN plon - 0.02 AND plon + 0.02 AND lat BETWEEN plat - 0.02 AND plat + 0.02)""".lstrip(),
+    "points", "places",
+)
+def concurrent_restrictions(spark, d):
+    start = 1_704_067_200 + (F.col("place_id") * 7919) % 2_400_000
+    cases = L.places(spark, d).select(F.col("place_id").alias("case"), start.alias("from_s"), (start + 7200).alias("to_s"), (F.col("plon") - 0.02).alias("west"), (F.col("plat") - 0.02).alias("south"), (F.col("plon") + 0.02).alias("east"), (F.col("plat") + 0.02).alias("north"))
+    k = F.col("event_id")
+    closures = L.points(spark, d).select(k.alias("closure"), F.col("user_id").alias("of_case"), F.lit(1).alias("version"), F.when(k % 3 > 0, "full").otherwise("lane").alias("restriction"), "lon", "lat", F.col("t").alias("start_s"), (F.col("t") + (k % 6) * 3600).alias("end_s"))
+    return J.concurrent_restrictions(cases, closures)
+
+
 @query("SELECT event_id, start_s FROM (SELECT event_id, t AS start_s, CASE WHEN event_id % 3 > 0 THEN t + (event_id % 9) * 3600 END AS end_s FROM points) WHERE 1705000000 < coalesce(end_s, start_s + 10800)", "points")
 def live_events(spark, d):
     k = F.col("event_id")
