@@ -103,14 +103,14 @@ def best_by_priority(spark, d):
 
 
 @query(
-    f""", f AS (SELECT bucket, seg, source, avg(1 - speed / 100) AS ratio FROM (SELECT t - t % 3600 AS bucket, seg, source, speed FROM readings WHERE t < 1704153600 + 43200) GROUP BY 1, 2, 3), g AS (SELECT * FROM f WHERE {PRIORITY} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bucket, seg ORDER BY {PRIORITY}) = 1)
+    f""", f AS (SELECT bucket, seg, source, avg(1 - speed / 100) AS ratio FROM (SELECT t - t % 3600 AS bucket, seg, source, speed FROM readings) GROUP BY 1, 2, 3), g AS (SELECT * FROM f WHERE {PRIORITY} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bucket, seg ORDER BY {PRIORITY}) = 1)
     SELECT b.bucket, r.seg, round(CASE WHEN ratio IS NOT NULL THEN (30.0 + r.seg % 20) * (1 - least(1, greatest(0, ratio))) END, 4) AS speed, ratio IS NOT NULL AS observed FROM (SELECT DISTINCT bucket FROM f) b CROSS JOIN (SELECT DISTINCT seg FROM readings) r LEFT JOIN g ON g.bucket = b.bucket AND g.seg = r.seg""".lstrip(),
     "readings",
 )
 def fused_history(spark, d):
-    """The first day and a half as one history."""
+    """All hours as one history."""
     r = L.readings(spark, d)
-    facts = r.filter(F.col("t") < 1_704_153_600 + 43_200).groupBy((F.col("t") - F.col("t") % 3600).alias("bucket"), "seg", "source").agg(F.avg(1 - F.col("speed") / 100).alias("ratio"))
+    facts = r.groupBy((F.col("t") - F.col("t") % 3600).alias("bucket"), "seg", "source").agg(F.avg(1 - F.col("speed") / 100).alias("ratio"))
     roads = r.select("seg").distinct().select("seg", (30.0 + F.col("seg") % 20).alias("free_flow"))
     return R.fused_history(facts, ["purchase", "click", "view"], roads, facts.select("bucket")).withColumn("speed", r4("speed"))
 
@@ -330,14 +330,14 @@ def clear_roads(spark, d):
 
 @query(
     """, c AS (SELECT seg, t - t % 3600 AS t, round(avg(speed), 6) AS value, max(event_id) AS k FROM readings GROUP BY 1, 2) SELECT o.seg, o.t AS origin, h::INT AS horizon, round(c.value, 4) AS target, coalesce(c.value IS NOT NULL AND c.k % 3 > 0 AND c.k % 5 > 0 AND c.k % 2 = 0, false) AS labelled
-    FROM (SELECT seg, t FROM c WHERE t % 14400 = 0) o CROSS JOIN range(1, 4) r(h) LEFT JOIN c ON c.seg = o.seg AND c.t = o.t + h * 3600""".lstrip(),
+    FROM c o CROSS JOIN range(1, 4) r(h) LEFT JOIN c ON c.seg = o.seg AND c.t = o.t + h * 3600""".lstrip(),
     "readings",
 )
 def training_windows(spark, d):
     k = F.col("k")
     c = L.readings(spark, d).groupBy("seg", (F.col("t") - F.col("t") % 3600).alias("t")).agg(F.round(F.avg("speed"), 6).alias("value"), F.max("event_id").alias("k"))
     cells = c.select(F.lit(1).alias("run"), "seg", "t", "value", (k % 3 > 0).alias("observed"), (k % 5 == 0).alias("closed"), F.when(k % 2 == 0, "demand").otherwise("drain").alias("phase"))
-    return W.training_windows(cells, cells.filter("t % 14400 = 0"), 3, 3600).select("seg", "origin", "horizon", r4("target").alias("target"), "labelled")
+    return W.training_windows(cells, cells, 3, 3600).select("seg", "origin", "horizon", r4("target").alias("target"), "labelled")
 
 
 @query(
@@ -452,8 +452,8 @@ def route_stress(spark, d):
 def trip_status(spark, d):
     o, k = L.table(spark, d, "orders"), F.col("trip")
     expected = o.select(F.col("o_orderkey").alias("trip"), F.col("o_orderpriority").alias("cohort"))
-    trips = o.select(F.col("o_orderkey").alias("trip"), F.col("o_totalprice").alias("total_s")).filter(k % 13 != 0)
-    trips = trips.select("trip", "total_s", (k % 11 == 0).alias("failed"), F.when(k % 7 == 0, -1).otherwise(5).alias("depart"), F.when(k % 5 == 0, -1).otherwise(9).alias("arrival"))
+    trips = o.select(F.col("o_orderkey").alias("trip"), F.col("o_totalprice").alias("total_s"))
+    trips = trips.select("trip", "total_s", (k % 11 == 0).alias("failed"), F.when(k % 13 == 0, None).when(k % 7 == 0, -1).otherwise(5).alias("depart"), F.when(k % 5 == 0, -1).otherwise(9).alias("arrival"))
     return E.trip_status(expected, trips).withColumn("mean_s", F.round("mean_s", 3))
 
 
@@ -497,7 +497,7 @@ def run_inventory(spark, d):
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT l_suppkey AS seg FROM lineitem WHERE l_suppkey % 5 > 0), r AS (SELECT s_suppkey AS seg, CASE WHEN s_suppkey % 4 = 0 THEN 'no' ELSE 'yes' END AS access, CASE WHEN s_suppkey % 10 = 5 THEN s_suppkey + 1 END AS other FROM supplier), x AS (SELECT r.*, m.seg IS NOT NULL AS modelled, CASE WHEN other IN (SELECT seg FROM m) THEN other END AS rep FROM r LEFT JOIN m USING (seg))
+    """WITH m AS (SELECT s_suppkey AS seg FROM supplier WHERE s_acctbal > 2000), r AS (SELECT s_suppkey AS seg, CASE WHEN s_suppkey % 4 = 0 THEN 'no' ELSE 'yes' END AS access, s_suppkey + 1 AS other FROM supplier), x AS (SELECT r.*, m.seg IS NOT NULL AS modelled, CASE WHEN other IN (SELECT seg FROM m) THEN other END AS rep FROM r LEFT JOIN m USING (seg))
     SELECT seg, CASE WHEN modelled AND access = 'yes' THEN 'open' WHEN modelled THEN 'restricted' WHEN rep IS NOT NULL THEN 'open' ELSE 'unavailable' END AS availability, CASE WHEN modelled THEN NULL WHEN rep IS NOT NULL THEN 'merged_parallel' ELSE 'not_in_network' END AS gap, (CASE WHEN NOT modelled THEN rep END)::DOUBLE AS represented_by FROM x"""
 )
 def segment_catalog(spark, d):
@@ -507,17 +507,17 @@ def segment_catalog(spark, d):
 def catalog(spark, d):
     s = L.table(spark, d, "supplier").select(F.col("s_suppkey").alias("seg"))
     roads = s.withColumn("access", F.when(F.col("seg") % 4 == 0, "no").otherwise("yes"))
-    modelled = L.table(spark, d, "lineitem").filter("l_suppkey % 5 > 0").select(F.col("l_suppkey").alias("seg"))
-    return E.segment_catalog(roads, modelled, s.filter("seg % 10 = 5").select("seg", (F.col("seg") + 1).alias("into")))
+    modelled = L.table(spark, d, "supplier").filter("s_acctbal > 2000").select(F.col("s_suppkey").alias("seg"))
+    return E.segment_catalog(roads, modelled, s.select("seg", (F.col("seg") + 1).alias("into")))
 
 
-@query("WITH r AS (SELECT s_suppkey AS seg, 100.0 + s_suppkey % 7 AS length, s_suppkey // 2 AS shape FROM supplier), u AS (SELECT DISTINCT l_linenumber AS run, l_suppkey AS seg FROM lineitem WHERE l_partkey % 9 = 0), e AS (SELECT run, seg FROM u UNION SELECT NULL, seg FROM u), s AS (SELECT run, shape, sum(length) AS d, max(length) AS p FROM e JOIN r USING (seg) GROUP BY 1, 2) SELECT run::DOUBLE AS run, sum(d) AS directed_m, sum(p) AS physical_m FROM s GROUP BY run")
+@query("WITH r AS (SELECT s_suppkey AS seg, 100.0 + s_suppkey % 7 AS length, s_suppkey // 2 AS shape FROM supplier), u AS (SELECT DISTINCT l_linenumber AS run, l_suppkey AS seg FROM lineitem), e AS (SELECT run, seg FROM u UNION SELECT NULL, seg FROM u), s AS (SELECT run, shape, sum(length) AS d, max(length) AS p FROM e JOIN r USING (seg) GROUP BY 1, 2) SELECT run::DOUBLE AS run, sum(d) AS directed_m, sum(p) AS physical_m FROM s GROUP BY run")
 def length_coverage(spark, d):
     k = F.col("seg")
     s = L.table(spark, d, "supplier").select(F.col("s_suppkey").alias("seg"))
     a, b = F.array(F.expr("seg div 2").cast("double"), F.lit(1.0)), F.array(F.expr("seg div 2").cast("double"), F.lit(2.0))
     roads = s.select("seg", (100.0 + k % 7).alias("length"), F.when(k % 2 == 0, F.array(a, b)).otherwise(F.array(b, a)).alias("coords"))
-    used = L.table(spark, d, "lineitem").filter("l_partkey % 9 = 0").select(F.col("l_linenumber").alias("run"), F.col("l_suppkey").alias("seg"))
+    used = L.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("run"), F.col("l_suppkey").alias("seg"))
     return doubles(E.length_coverage(roads, used), "run")
 
 
@@ -581,9 +581,9 @@ def plan_rows(spark, d):
     o, k = L.table(spark, d, "orders"), F.col("route")
     r = o.select(F.col("o_custkey").alias("trip"), F.col("o_orderkey").alias("route"))
     routes = r.withColumn("place", F.row_number().over(W.Window.partitionBy("trip").orderBy("route")) - 1).withColumn("duration_s", 500.0 + k % 900).withColumn("has_live", k % 2 == 0).withColumn("starts_in_s", k % 3600)
-    forecast = r.filter("route % 5 = 0").select("route", (k % 77).alias("delay"))
-    events = r.filter("route % 3 = 0").select("route", (k % 300).alias("delay_s"), F.lit(1).alias("rank"))
-    incidents = r.filter("route % 7 = 0").select("route", F.when(k % 14 == 0, 1290).otherwise(90).alias("delay_s"), (k % 14 == 0).alias("blocked"))
+    forecast = r.select("route", F.when(k % 5 == 0, k % 77).alias("delay"))
+    events = r.select("route", F.when(k % 3 == 0, k % 300).alias("delay_s"), F.lit(1).alias("rank"))
+    incidents = r.select("route", F.when(k % 14 == 0, 1290).when(k % 7 == 0, 90).alias("delay_s"), (k % 14 == 0).alias("blocked"))
     out = P.plan_rows(routes, forecast, events, incidents, r.select("route", (k % 60).alias("delay_s")))
     return out.select("trip", "route", "events_s", "incidents_s", "traffic_s", "delay_s", "best", "saved_s", "tag")
 
@@ -659,10 +659,10 @@ def freshness(spark, d):
     return Q.freshness(L.readings(spark, d), "t", 1_706_659_200, 1800, 10_800, "source")
 
 
-@query("WITH k AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT count(*) AS distinct_keys, count_if(k % 3 > 0)::BIGINT AS segments, count_if(k % 3 = 0 AND k % 2 = 0)::BIGINT AS nodes, CASE WHEN count_if(k % 3 > 0 OR k % 2 = 0) >= 0.95 * count(*) THEN 'PASS' ELSE 'WARN' END AS level FROM k")
+@query("WITH k AS (SELECT DISTINCT o_custkey AS k, c_nationkey < 16 AS s, c_acctbal > 0 AS n FROM orders JOIN customer ON c_custkey = o_custkey) SELECT count(*) AS distinct_keys, count_if(s)::BIGINT AS segments, count_if(NOT s AND n)::BIGINT AS nodes, CASE WHEN count_if(s OR n) >= 0.95 * count(*) THEN 'PASS' ELSE 'WARN' END AS level FROM k")
 def join_coverage(spark, d):
-    keys = L.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    return Q.join_coverage(L.table(spark, d, "orders").select(F.col("o_custkey").alias("k")), keys.filter("k % 3 > 0"), keys.filter("k % 2 = 0"), "k").withColumnRenamed("distinct", "distinct_keys")
+    keys = L.table(spark, d, "customer").withColumnRenamed("c_custkey", "k")
+    return Q.join_coverage(L.table(spark, d, "orders").select(F.col("o_custkey").alias("k")), keys.filter("c_nationkey < 16"), keys.filter("c_acctbal > 0"), "k").withColumnRenamed("distinct", "distinct_keys")
 
 
 @query("SELECT p_brand, round(count_if(m > 0 AND m <> 99) / count(*), 6) AS posted, count_if(m > 0 AND m <> 99 AND (m % 5 <> 0 OR m > 65))::BIGINT AS odd, count_if(m = 99)::BIGINT AS sentinels, count_if(m = 0)::BIGINT AS unposted, CASE WHEN count_if(m > 0 AND m <> 99 AND (m % 5 <> 0 OR m > 65)) > 0 THEN 'WARN' ELSE 'PASS' END AS level FROM (SELECT p_brand, CASE p_partkey % 11 WHEN 0 THEN 99 WHEN 1 THEN 0 ELSE 5 * (p_size % 14) + (p_partkey % 50 = 0)::INT END AS m FROM part) GROUP BY 1")
@@ -731,15 +731,15 @@ def export_audit(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE {L.SQL["arcs"]}, a AS (SELECT src, dst FROM arcs WHERE (src * 7 + dst) % 11 = 0), f AS (SELECT src AS node, bucket, 60.0 + (src * 13 + bucket * 29) % 400 AS seconds FROM (SELECT DISTINCT src FROM arcs UNION SELECT DISTINCT dst FROM arcs), range(6) b(bucket) WHERE (src + bucket) % 17 > 0),
-    w AS (SELECT 1::BIGINT AS node, 60.0 + 13 AS t, 0 AS k UNION ALL SELECT node, min(t) AS t, k FROM (SELECT a.dst AS node, w.t + f.seconds AS t, w.k + 1 AS k FROM w JOIN a ON a.src = w.node JOIN f ON f.node = a.dst AND f.bucket = least(5, floor(w.t / 600)) WHERE w.k < 10) GROUP BY node, k)
+    f"""WITH RECURSIVE {L.SQL["arcs"]}, f AS (SELECT src AS node, bucket, 60.0 + (src * 13) % 400 + bucket * 20 AS seconds FROM (SELECT DISTINCT src FROM arcs UNION SELECT DISTINCT dst FROM arcs), range(6) b(bucket) WHERE src % 17 > 0),
+    w AS (SELECT 1::BIGINT AS node, 60.0 + 13 AS t, 0 AS k UNION ALL SELECT node, min(t) AS t, k FROM (SELECT a.dst AS node, w.t + f.seconds AS t, w.k + 1 AS k FROM w JOIN arcs a ON a.src = w.node JOIN f ON f.node = a.dst AND f.bucket = least(5, floor(w.t / 600)) WHERE w.k < 10) GROUP BY node, k)
     SELECT node, round(min(t), 2) AS arrive_s FROM w GROUP BY node"""
 )
 def earliest_arrival(spark, d):
-    """From road 1, over times that rise and fall by bucket. Roads of one arc in eleven; some are closed in a bucket."""
-    arcs = L.arcs(spark, d).filter("(src * 7 + dst) % 11 = 0")
+    """From road 1, over times that rise from bucket to bucket; some roads are closed."""
+    arcs = L.arcs(spark, d)
     roads = L.arcs(spark, d).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    f = roads.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(5)))).select("node", F.col("bucket").cast("long").alias("bucket"), (60.0 + (F.col("node") * 13 + F.col("bucket") * 29) % 400).alias("seconds"), ((F.col("node") + F.col("bucket")) % 17 == 0).alias("closed"))
+    f = roads.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(5)))).select("node", F.col("bucket").cast("long").alias("bucket"), (60.0 + (F.col("node") * 13) % 400 + F.col("bucket") * 20).alias("seconds"), (F.col("node") % 17 == 0).alias("closed"))
     start = roads.filter("node = 1").select("node", F.lit(0.0).alias("depart_s"))
     return G.earliest_arrival(arcs, start, f, 600, 6).select("node", F.round("arrive_s", 2).alias("arrive_s"))
 
