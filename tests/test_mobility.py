@@ -52,11 +52,6 @@ def test_incomplete_pull_archives_nothing(spark):
     assert [r["archived"] for r in T.archive_missing(df, df.filter("id = 1"), "id", True).orderBy("id").collect()] == [False, True]
 
 
-def test_earliest_arrival(spark):
-    arcs = spark.createDataFrame([(1, 2, 5.0), (1, 3, 1.0), (3, 2, 1.0)], "src int, dst int, cost double")
-    assert {r["node"]: r["cost"] for r in G.earliest_arrival(arcs, spark.createDataFrame([(1,)], "node int"), 3).collect()} == {1: 0.0, 2: 2.0, 3: 1.0}
-
-
 def test_published_runs_need_a_marker(spark, tmp_path):
     table, runs = str(tmp_path / "t"), str(tmp_path / "r")
     T.publish(spark.range(3), table, runs, "a")
