@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, bpe, cube_mix, divergence_rules, gru_lm, jump_shards, lang_hier, learned_partitions, secret_forest, token_files
+from . import bottomk, bpe, cube_mix, divergence_rules, gru_lm, hard_negatives, jump_shards, lang_hier, learned_partitions, pair_ranking, secret_forest, token_files, whitening
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,6 +60,23 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_cube_mix, op3_gru_lm, op4_learned_partitions, op5_divergence_rules, op6_bpe, op7_secret_forest, op8_bottomk, op9_language_families, op10_jump_shards)}
+def op11_pair_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = pair_ranking.fit(docs, table(spark, sf_dir, "labels"), learn=fold != 1)
+    return pair_ranking.score(docs, model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), keep=16).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), is_anchor=F.col("vec_id") % 100 == 0, label=label, positives=5, negatives=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_cube_mix, op3_gru_lm, op4_learned_partitions, op5_divergence_rules, op6_bpe, op7_secret_forest, op8_bottomk, op9_language_families, op10_jump_shards, op11_pair_ranking, op12_whitening, op13_hard_negatives)}
 
 ORACLE_SQL: dict[str, str] = {}
