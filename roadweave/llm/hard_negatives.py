@@ -259,6 +259,8 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, positives: int =
     """
     small_batches(vectors.sparkSession)
     rows, total, d = finite_rows(vectors, id_col, vector_col, label=label.cast("long"))
+    if not d:
+        return vectors.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long, positive_rank int, anchor_mark long")
     parts = max(1, math.ceil(total / TILE_ROWS))
     # Rows of a label stand together, so that few tiles have to do with an anchor's own label; a label of very many rows is many ranges.
     near = rows.withColumns({"mixed": F.xxhash64("vec_id", "v"), "row": F.monotonically_increasing_id()}).repartitionByRange(parts, "label", "mixed", "row").sortWithinPartitions("label", "mixed", "row")
