@@ -4,6 +4,7 @@ scanned, and redacted, where it is read."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -21,24 +22,32 @@ COMMON_WORDS = "the|and|that|with|this|from|have|not|are|was|you|for|key|name|us
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|ch|ge|un|ie|el|la|qu|ci"
 PREFIXES = "^(AKIA|ASIA|ghp_|gho_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ)"
 TEST_PATHS = "test|example|fixture|sample|docs?/|mock"
-#: A token: a known prefix and 8 characters or more, or 12 or more of a token's alphabet up to a prefix; = only at the end.
+#: A token: a known prefix and 8 characters or more, or 12 or more of a token's alphabet up to a prefix; = only at the end. Each repetition
+#: is possessive or bounded and starts where such a run starts, so that a long run is read once.
 _STARTS = f"(?:{PREFIXES[2:-1]})"
-_PREFIXED = rf"{_STARTS}[A-Za-z0-9+/_.-]{{8,}}={{0,2}}"
+_PREFIXED = rf"{_STARTS}[A-Za-z0-9+/_.-]{{8,}}+={{0,2}}"
 _RUN = rf"(?:(?!(?<![A-Za-z0-9]){_STARTS}[A-Za-z0-9+/_.-]{{8}})[A-Za-z0-9+/_.-]){{12,}}+={{0,2}}"
-#: What follows a secret's name may be shorter and hold other marks.
-_WIDE = r"""[^\s"'<>,;&(){}\[\]\\]{6,}"""
-_NAMED = f"(?i:{SECRET_WORDS})[A-Za-z0-9_.-]{{0,60}}[\"']?[=:]+[\"']?"
-#: A lone token; candidates of a word. Groups: a URL's password; a secret's name, its value in quotes of either kind or bare; a key and its token; a lone token.
-LONE = rf"((?<![A-Za-z0-9]){_PREFIXED}|(?<![A-Za-z0-9+/_.-]){_RUN})"
-PIECE = (
-    r"""://[^\s/:@"']{0,64}:([^\s/@"']{4,})@"""
-    rf"""|((?=[A-Za-z0-9_.-]{{0,60}}?(?i:{SECRET_WORDS}))[A-Za-z_][A-Za-z0-9_.-]{{0,80}})["']?[=:]+(?:"([^"\s\\]{{6,}})"|'([^'\s\\]{{6,}})'|["']?({_WIDE}))"""
-    rf"""|([A-Za-z_][A-Za-z0-9_.-]{{0,60}})["']?[=:]+["']?({_PREFIXED}|{_RUN})"""
-    rf"|{LONE}"
+#: Characters that mark candidates in a text, and those that stand for them where a text holds them itself; no value holds one.
+_ESCAPE, _OPEN, _SHUT = "\ufdd0", "\ufdd1", "\ufdd2"
+_ESCAPED = {_ESCAPE: "\ufdd3", _OPEN: "\ufdd4", _SHUT: "\ufdd5"}
+_NOT = "\ufdd0-\ufdd5"
+#: A name with a secret's word in it, and what stands between a name and its value.
+_NAME = rf"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]{{0,100}}?(?i:{SECRET_WORDS}))[A-Za-z0-9+/_.-]{{1,160}}+[\"']?"
+_BETWEEN = r"(?:\s{0,4}+(?:=>|:=|[=:]{1,3})|\s{1,4}+(?:is|ist)(?=\s))"
+#: A candidate: the password of a URL; a value behind a secret's name, in quotes of either kind, behind white space, or bare; a lone token.
+CANDIDATE = (
+    rf"""(://[^\s/:@"'{_NOT}]{{0,64}}+:)([^\s/@"'{_NOT}]{{4,1024}}+)(?=@)"""
+    rf"""|({_NAME}{_BETWEEN})(?:(\s{{0,4}}+")([^"\s{_NOT}]{{6,1024}}+)(?=")|(\s{{0,4}}+')([^'\s{_NOT}]{{6,1024}}+)(?=')|(\s{{1,4}}+["']?)([^\s"'<>{_NOT}]{{6,}}+)|(["']?)([^\s"'<>,;&(){{}}\[\]\\{_NOT}]{{6,}}+))"""
+    rf"""|((?<![A-Za-z0-9]){_PREFIXED}|(?<![A-Za-z0-9+/_.-]){_RUN})"""
 )
-#: A word with a candidate; a word that ends in a secret's name and = or :; a word that is such a mark.
-HIT = rf"[A-Za-z0-9+/_.-]{{12}}|://[^\s/:@]{{0,64}}:[^\s/@]{{4,}}@|{_NAMED}[^\s]{{6}}"
-NAME_AHEAD, NAME, MARK = f"{_NAMED}$", f"(?i:{SECRET_WORDS})", "^(=|:|=>|:=)$"
+_MARKED = f"$1$3$4$6$8$10{_OPEN}$2$5$7$9$11$12{_SHUT}"
+#: The name at the end of what stands before a value; a URL there; marks at a value's end that aren't part of it; the ends of pieces of a text.
+_KEY = r"""([A-Za-z_][A-Za-z0-9_.-]{0,60})["']?(?:\s{0,4}(?:=>|:=|[=:]{1,3})|\s{1,4}(?:is|ist)(?=\s))\s{0,4}["']?$"""
+_URL = r"""://[^\s/:@"']{0,64}:$"""
+_TAIL = "(?<![.:,;)])[.:,;)]++$"
+_PIECES = r"""(?<=[\s"'<>,;&(){}\[\]\\=:])|(?=[\s"'<>,;&(){}\[\]\\=:])"""
+#: Parts that the secrets of a text are dealt to, so that a piece is looked for among few.
+PARTS = 256
 
 FEATURES = ("length", "digits", "uppers", "lowers", "marks", "transitions", "distinct", "covered", "pairs", "hex", "only_digits", "prefix", "placeholder", "key_secret", "key_harmless", "near_secret", "near_harmless", "slashes", "dotted", "test_path")
 
@@ -49,7 +58,7 @@ def lower(c: Column) -> Column:
 
 def features(value: Column, key: Column, left: Column, right: Column, path: Column) -> list[Column]:
     """One double for each of FEATURES. value is the candidate, key the name it is given, left and right the words beside it."""
-    n = F.length(value).cast("double")
+    n = F.greatest(F.length(value), F.lit(1)).cast("double")
     low = F.lower(value)
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9]", "."), "[A-Z]", "U"), "[a-z]", "L"), "[0-9]", "D")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
@@ -62,7 +71,7 @@ def features(value: Column, key: Column, left: Column, right: Column, path: Colu
         F.regexp_count(low, F.lit(f"(?=({PAIRS}))")) / n,
         flag(low.rlike("^[0-9a-f]+$")), flag(value.rlike("^[0-9.-]+$")), flag(value.rlike(PREFIXES)), flag(low.rlike(PLACEHOLDERS)),
         flag(lower(key).rlike(SECRET_WORDS)), flag(lower(key).rlike(HARMLESS_WORDS)), flag(lower(left).rlike(SECRET_WORDS)), flag(F.concat_ws(" ", lower(left), lower(right)).rlike(HARMLESS_WORDS)),
-        F.regexp_count(value, F.lit("/")).cast("double"), flag(value.rlike("[A-Za-z]{2,}[.][A-Za-z]{2,5}$")), flag(lower(path).rlike(TEST_PATHS)),
+        F.regexp_count(value, F.lit("/")).cast("double"), flag(value.rlike("(?<![A-Za-z])[A-Za-z]{2,}+[.][A-Za-z]{2,5}$")), flag(lower(path).rlike(TEST_PATHS)),
     ]
 
 
@@ -103,6 +112,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (F.concat(near("T", "r", "K"), F.substring(letters, 1, 4), near("@", "!", "#", "$", "%"), F.substring(mixed, 6, 5), near("!", "", "%")), secret_key, near("the", "set", "und"), True),
         (F.concat(word(1), near("@", "!", "#", "$", "%"), word(2), near("!", "", "$")), secret_key, near("the", "set", "und"), True),
         (F.concat(word(1), F.substring(digits, 1, 3)), near("password", "passwd", "pwd", "PASSWORD", "url_password"), near("the", "set", "und"), True),
+        (F.concat(F.lower(F.substring(letters, 1, 6)), cut(digits, 1, 3)), near("password", "passwd", "pwd", "passphrase", "db_password"), near("the", "my", "und"), True),
         (prose(1), none, near("the", "of", "and", "die", "la"), False),
         *((case(F.concat(*(syllable(k) for k in range(n)))), none, near("the", "of", "and", "secret", "die", None), False) for case in (F.lower, F.initcap, F.upper) for n in (5, 7)),
         (prose(1), none, near("secret", "access token", "password", "private"), False),
@@ -139,57 +149,88 @@ def as_column(model: RandomForestClassificationModel, cols: list[Column]) -> Col
     return reduce(lambda a, b: a + b, trees) / F.lit(float(len(trees)))
 
 
-def with_findings(docs: DataFrame, model: RandomForestClassificationModel, text_col: str, path_col: str | None, limit: float) -> DataFrame:
-    """docs with findings: for each candidate its place among them, key, value, probability and whether it is a secret."""
-    text = F.col(f"`{text_col}`")
-    docs = docs.withColumn("__words", F.split(text, "\\s+"))
-    at = lambda k: F.coalesce(F.get("__words", k), F.lit(""))
-    ahead = lambda i: F.when(F.substring(at(i - 1), -1, 1).isin("=", ":", '"', "'"), F.when(at(i - 1).rlike(MARK), at(i - 2).rlike(NAME)).otherwise(at(i - 1).rlike(NAME_AHEAD))).otherwise(F.lit(False))
-    words = F.transform("__words", lambda w, i: F.when(((F.length(w) >= 10) & w.rlike(HIT)) | ((F.length(w) >= 6) & ahead(i)), F.struct(w.alias("w"), i.alias("i"))))
-    docs = docs.withColumn("__hits", F.filter(words, lambda x: x.isNotNull()))
-    path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
-
-    def pieces(x: Column) -> Column:
-        """The candidates in a word: those with a key of their own, else what follows a secret's name, else lone tokens."""
-        found = F.arrays_zip(*(F.regexp_extract_all(x["w"], F.lit(PIECE), F.lit(k)).alias(f"g{k}") for k in range(1, 9)))
-        i = x["i"]
-        named = F.when(at(i - 1).rlike(MARK), at(i - 2)).otherwise(at(i - 1))
-        left = F.concat(F.substring(at(i - 2), -40, 40), F.lit(" "), F.substring(at(i - 1), -40, 40), F.lit(" "))
-        side = [left.alias("left"), F.substring(at(i + 1), 1, 30).alias("right")]
-        full = F.transform(found, lambda g: F.struct(F.when(g["g1"] != "", F.lit("url_password")).otherwise(F.concat(g["g2"], g["g6"])).alias("key"), F.regexp_replace(F.concat(*(g[f"g{k}"] for k in (1, 3, 4, 5, 7, 8))), "[.:]+$", "").alias("value"), *side))
-        lone = F.transform(F.regexp_extract_all(x["w"], F.lit(LONE), F.lit(1)), lambda v: F.struct(F.lit("").alias("key"), F.regexp_replace(v, "[.:]+$", "").alias("value"), *side))
-        named = F.array(F.struct(F.regexp_replace(named, "^[^A-Za-z_]+|[^A-Za-z0-9]+$", "").alias("key"), F.regexp_replace(F.regexp_extract(x["w"], _WIDE, 0), "[.:]+$", "").alias("value"), *side))
-        # Only a word with a mark can hold a key; in an array of one, so that it is worked out once.
-        own = F.array(F.when(x["w"].rlike("[=:]"), full).otherwise(lone))
-        return F.flatten(F.transform(own, lambda o: F.when(ahead(i) & ~F.exists(o, lambda p: p["key"] != ""), named).otherwise(o)))
-
-    raw = F.filter(F.flatten(F.transform("__hits", pieces)), lambda x: x["value"] != "")
-    raw = F.transform(raw, lambda x, i: F.struct(i.alias("place"), x["key"].alias("key"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
-    docs = docs.withColumn("__raw", F.coalesce(raw, F.array().cast("array<struct<place:int,key:string,value:string,left:string,right:string>>")))
-    seen = F.transform("__raw", lambda x: F.struct(x.alias("x"), F.array(*features(x["value"], x["key"], x["left"], x["right"], path)).alias("f")))
-    docs = docs.withColumn("__seen", seen)
-    chance = lambda s: as_column(model, [s["f"][k] for k in range(len(FEATURES))])
-    judged = F.transform("__seen", lambda s: F.struct(s["x"]["place"].alias("place"), s["x"]["key"].alias("key"), s["x"]["value"].alias("value"), chance(s).alias("probability")))
-    docs = docs.withColumn("__judged", judged)
-    final = F.transform("__judged", lambda s: F.struct(s["place"].alias("place"), s["key"].alias("key"), s["value"].alias("value"), s["probability"].alias("probability"), (s["probability"] >= limit).alias("secret")))
-    return docs.withColumn("__findings", final).drop("__words", "__hits", "__raw", "__seen", "__judged")
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def escaped(text: Column) -> Column:
+    """text without the characters that mark candidates, which few texts hold."""
+    out = text
+    for c, code in _ESCAPED.items():
+        out = F.replace(out, F.lit(c), F.lit(_ESCAPE + code))
+    return F.when(text.rlike(f"[{_ESCAPE}{_OPEN}{_SHUT}]"), out).otherwise(text)
+
+
+def restored(text: Column) -> Column:
+    out = text
+    for c, code in reversed(_ESCAPED.items()):
+        out = F.replace(out, F.lit(_ESCAPE + code), F.lit(c))
+    return F.when(text.contains(_ESCAPE), out).otherwise(text)
+
+
+def parted(text: Column) -> Column:
+    """The text cut at its candidates, in one pass: what is no candidate at even places, candidates at odd ones."""
+    return F.split(F.regexp_replace(escaped(text), CANDIDATE, _MARKED), f"[{_OPEN}{_SHUT}]")
+
+
+def judged(parts: Column, model: RandomForestClassificationModel, path: Column, limit: float) -> Column:
+    """For each candidate of a parted text: place, key, value, probability, secret."""
+    path = F.coalesce(path.cast("string"), F.lit(""))
+
+    def one(i: Column) -> Column:
+        before, after = F.substring(F.get(parts, 2 * i), -160, 160), F.substring(F.get(parts, 2 * i + 2), 1, 60)
+        value = F.regexp_replace(F.get(parts, 2 * i + 1), _TAIL, "")
+        key = F.when(after.startswith("@") & before.rlike(_URL), "url_password").otherwise(F.regexp_extract(before, _KEY, 1))
+        left, right = F.regexp_extract(before, r"(\S*\s+\S*\s+|\S*\s+)\S*$", 1), F.regexp_extract(after, r"^\S*\s+(\S{1,30})", 1)
+        seen = let(F.struct(value.alias("v"), key.alias("k")), lambda x: F.struct(x["v"].alias("v"), x["k"].alias("k"), F.array(*features(x["v"], x["k"], left, right, path)).alias("f")))
+        chance = lambda x: as_column(model, [x["f"][k] for k in range(len(FEATURES))])
+        found = let(seen, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"), chance(x).alias("probability")))
+        return let(found, lambda x: F.struct(i.alias("place"), x["key"].alias("key"), x["value"].alias("value"), x["probability"].alias("probability"), ((x["probability"] >= limit) & (x["value"] != "")).alias("secret")))
+
+    none = F.array().cast("array<struct<place:int,key:string,value:string,probability:double,secret:boolean>>")
+    candidates = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), one)
+    return F.when(F.size(parts) > 1, candidates).otherwise(none)
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", limit: float = 0.5) -> DataFrame:
     """A row for each candidate: doc_id, place (among the text's candidates, from 0), key (or ""), value, probability, secret (false: removed as a false finding).
 
-    Words are separated by space and U+0009 to U+000D. Null and empty texts have no candidates; repeated rows are scanned each; a null
-    path is no path; the whole text counts. No shuffle.
+    Null and empty texts have no candidates; repeated rows are scanned each; a null path is no path; the whole text counts, and its
+    candidates are found in one pass, so time grows in proportion to it. Other columns, of any name, are left out. No shuffle.
     """
-    # explode would have its filter pushed down, which puts the split of the text in for each word.
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), (F.col(f"`{path_col}`") if path_col else F.lit("")).alias("path"))
-    return with_findings(rows, model, "text", "path", limit).select("doc_id", F.explode_outer("__findings").alias("x")).filter("x is not null").select("doc_id", "x.*")
+    path = F.col(f"`{path_col}`") if path_col else F.lit("")
+    found = let(parted(F.col(f"`{text_col}`")), lambda parts: judged(parts, model, path, limit))
+    # explode would have its filter pushed down, which puts the work in twice.
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.explode_outer(F.when(F.col(f"`{text_col}`").isNotNull(), found)).alias("x"))
+    return rows.filter("x is not null").select("doc_id", "x.place", "x.key", restored(F.col("x.value")).alias("value"), "x.probability", "x.secret")
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str | None = "source", limit: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in the text replaced by mask; all rows stay, and other columns are as they were."""
-    found = with_findings(docs, model, text_col, path_col, limit)
-    values = F.transform(F.filter("__findings", lambda x: x["secret"]), lambda x: x["value"])
-    whole = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9](?=[A-Za-z0-9]))\Q"), v, F.lit(r"\E(?!(?<=[A-Za-z0-9])[A-Za-z0-9])"))
-    clean = F.aggregate(F.array_distinct(values), F.col(f"`{text_col}`"), lambda text, v: F.regexp_replace(text, whole(v), F.lit(mask)))
-    return found.withColumn(text_col, clean).drop("__findings")
+    """docs with every secret in the text replaced by mask; all rows stay, and other columns, of any name, are as they were.
+
+    A secret is cut out at its own place. Candidates of an equal value, and pieces between white space, quotes, brackets, = : , ; and & that
+    equal it, go too, whatever stands beside them. Null and empty texts stay as they are; repeated rows are masked each. A text is read
+    once, whatever the number of its secrets.
+    """
+    path = F.col(f"`{path_col}`") if path_col else F.lit("")
+    text = F.col(f"`{text_col}`")
+
+    def clean(x: Column) -> Column:
+        """From parts, found, and the distinct secret values, dealt to PARTS where they are many."""
+        few, each = F.size(x["values"]) <= 32, x["dealt"]
+        known = lambda v: F.when(few, F.array_contains(x["values"], v)).otherwise(F.array_contains(F.get(each, F.pmod(F.hash(v), F.lit(PARTS))), v))
+        plain = lambda p: F.array_join(F.transform(F.split(p, _PIECES), lambda w: F.when((F.length(w) >= 6) & known(w), F.lit(mask)).otherwise(w)), "")
+        value = lambda p, f: F.when(f["secret"] | known(f["value"]), F.concat(F.lit(mask), F.substring(p, F.length(f["value"]) + 1, F.length(p)))).otherwise(p)
+        return F.array_join(F.transform(x["parts"], lambda p, k: F.when(k % 2 == 0, plain(p)).otherwise(value(p, F.get(x["found"], F.floor(k / 2).cast("int"))))), "")
+
+    def dealt(x: Column) -> Column:
+        parts = F.when(F.size(x["values"]) > 32, F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda b: F.filter(x["values"], lambda v: F.pmod(F.hash(v), F.lit(PARTS)) == b)))
+        return F.struct(x["parts"].alias("parts"), x["found"].alias("found"), x["values"].alias("values"), parts.alias("dealt"))
+
+    def masked(x: Column) -> Column:
+        values = F.array_distinct(F.transform(F.filter(x["found"], lambda f: f["secret"]), lambda f: f["value"]))
+        whole = let(F.struct(x["parts"].alias("parts"), x["found"].alias("found"), values.alias("values")), lambda y: let(dealt(y), clean))
+        return F.when(F.exists(x["found"], lambda f: f["secret"]), restored(whole)).otherwise(text)
+
+    return docs.withColumn(text_col, F.when(text.isNotNull(), let(let(parted(text), lambda p: F.struct(p.alias("parts"), judged(p, model, path, limit).alias("found"))), masked)))
