@@ -144,16 +144,16 @@ def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((c * c).sum(axis=1)))
 
 
-def nearest_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
-    """Index of the query, id and cosine of the k best of a block for each query; ties to the smaller id."""
+def nearest_in_block(query_marks: np.ndarray, queries: np.ndarray, ids: np.ndarray, marks: np.ndarray, rows: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
+    """Index of the query, id and cosine of the k best of a block for each query; ties to the smaller id. Marks tell rows: a query's own is left out."""
     order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
+    ids, marks, rows = ids[order], marks[order], rows[order]
     near = unit(rows).T
     out: tuple[list[int], list[int], list[float]] = ([], [], [])
     for a in range(0, len(queries), 256):
         about = unit(queries[a : a + 256]) @ near
         for i, s in enumerate(about):
-            s = np.where(ids == query_ids[a + i], -np.inf, s)
+            s = np.where(marks == query_marks[a + i], -np.inf, s)
             at = np.flatnonzero(s >= (np.partition(s, -k)[-k] if len(s) > k else -2.0) - 1e-9)
             if not len(at):
                 continue
@@ -176,11 +176,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", part_rows: int = PART_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each row where is_query (over vec_id) holds, its own id left out.
+    """query_id, rank, vec_id, score, query_mark: the k nearest rows found for each row where is_query (over vec_id) holds, that row left out.
 
     Fitted on a sample that grows with the parts, the rows of lowest hash; every row is filed. A part of many rows is split into blocks by
-    a hash of the id, and its queries into slices; each slice visits each block. Repeated ids are candidates row by row; a query id that repeats with another vector is
-    answered for each vector. Rows that take no part: see usable. Empty tables and lone rows give no rows.
+    a hash of the row, and its queries into slices; each slice visits each block. Repeated ids and rows are candidates and queries row by row; query_mark, a
+    number of the row, tells queries of one id apart. Rows that take no part: see usable. Empty tables and lone rows give no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -198,24 +198,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
             if batch.num_rows:
                 x = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
                 ranked = np.argsort(-router.chances(unit(x)), axis=1, kind="stable")[:, : router.visits]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(ranked.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(ranked.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "v", "mark", "parts"])
 
-    filed = written(rows.mapInArrow(file, "vec_id long, v array<double>, parts array<int>"), "filed")
+    filed = written(rows.withColumn("mark", F.monotonically_increasing_id()).mapInArrow(file, "vec_id long, v array<double>, mark long, parts array<int>"), "filed")
     sizes = filed.groupBy(F.col("parts")[0].alias("part")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     calls = filed.filter(is_query).select(F.explode("parts").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("slices"))
     sizes = F.broadcast(sizes.join(F.broadcast(calls), "part"))  # one row a part that has rows and queries, MAX_PARTS at most
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = filed.select("vec_id", "v", F.col("parts")[0].alias("part")).join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("slice", each("slices"))
-    asked = filed.filter(is_query).dropDuplicates(["vec_id", "v"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.xxhash64("v").alias("mark"), F.explode("parts").alias("part")).join(sizes, "part")
-    asked = asked.withColumn("slice", F.pmod(F.xxhash64("query_id", "mark"), "slices").cast("int")).select("query_id", "q", "mark", "part", "slice", each("blocks").alias("block"))
+    base = filed.select("vec_id", "v", "mark", F.col("parts")[0].alias("part")).join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("vec_id", "mark"), "blocks").cast("int")).withColumn("slice", each("slices"))
+    asked = filed.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("mark").alias("query_mark"), F.explode("parts").alias("part")).join(sizes, "part")
+    asked = asked.withColumn("slice", F.pmod(F.xxhash64("query_id", "query_mark"), "slices").cast("int")).select("query_id", "q", "query_mark", "part", "slice", each("blocks").alias("block"))
 
     def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "mark": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "mark": "int64", "vec_id": "int64"})
-        i, ids, scores = nearest_in_block(right["query_id"].to_numpy(), np.stack(right["q"].to_list()), left["vec_id"].to_numpy(), np.stack(left["v"].to_list()), k)
-        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[i], "mark": right["mark"].to_numpy()[i], "vec_id": ids, "score": scores})
-
-    asked = asked.select("query_id", "q", "mark", F.col("part").alias("to_part"), F.col("block").alias("to_block"), F.col("slice").alias("to_slice"))
-    found = base.groupBy("part", "block", "slice").cogroup(asked.groupBy("to_part", "to_block", "to_slice")).applyInPandas(visit, "query_id long, mark long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            return pd.DataFrame({"query_id": [], "query_mark": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "query_mark": "int64", "vec_id": "int64"})
+        i, ids, scores = nearest_in_block(right["query_mark"].to_numpy(), np.stack(right["q"].to_list()), left["vec_id"].to_numpy(), left["mark"].to_numpy(), np.stack(left["v"].to_list()), k)
+        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[i], "query_mark": right["query_mark"].to_numpy()[i], "vec_id": ids, "score": scores})
+
+    asked = asked.select("query_id", "q", "query_mark", F.col("part").alias("to_part"), F.col("block").alias("to_block"), F.col("slice").alias("to_slice"))
+    found = base.groupBy("part", "block", "slice").cogroup(asked.groupBy("to_part", "to_block", "to_slice")).applyInPandas(visit, "query_id long, query_mark long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_mark").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_mark")
