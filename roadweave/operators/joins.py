@@ -10,23 +10,42 @@ from roadweave.functions.events import crowd_phase, crowd_windows, distance_fact
 from roadweave.functions.scalars import haversine_m
 
 
+#: Cells of a band are counted from 0, below this number.
+BAND_CELLS = 1 << 32
+
+
 def band_cell(lon: Column, band: Column, size: float) -> Column:
     """Column of cells in a band of latitude. Cells are wider towards the poles, so that none is narrower than the radius it is made for."""
     farthest = F.least(F.lit(89.0), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * size)
     return F.floor(lon / (size / F.greatest(F.lit(0.017), F.cos(F.radians(farthest)))))
 
 
+def cell_number(x: Column, band: Column) -> Column:
+    return band * BAND_CELLS + x
+
+
 def own_cell(lon: Column, lat: Column, radius_m: float) -> Column:
+    """The number of a point's cell."""
     size = radius_m / 110_000.0  # degrees; a degree of latitude has over 110 km
     band = F.floor(lat / size)
-    return F.struct(band_cell(lon, band, size).alias("x"), band.alias("y"))
+    return cell_number(band_cell(lon, band, size), band)
 
 
 def cells_around(lon: Column, lat: Column, radius_m: float) -> Column:
-    """The nine cells that hold all within the radius; at the date line, those of one side only."""
+    """The nine cells that hold all within the radius; at the date line, those of one side only. A band's width is worked out once."""
     size = radius_m / 110_000.0
-    around = [F.struct((band_cell(lon, F.floor(lat / size) + j, size) + i).alias("x"), (F.floor(lat / size) + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    return F.array(*around)
+    bands = F.array(*(F.floor(lat / size) + j for j in (-1, 0, 1)))
+    middles = F.transform(bands, lambda band: cell_number(band_cell(lon, band, size), band))
+    return F.flatten(F.transform(middles, lambda c: F.array(c - 1, c, c + 1)))
+
+
+#: Rows of places that may be sent to every task: at a few numbers a row, some MB.
+MOST_SENT = 20_000
+
+
+def sent_if_few(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """df with a broadcast hint if counting up to most rows shows that it has no more."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def near_pairs(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
@@ -34,7 +53,7 @@ def near_pairs(points: DataFrame, places: DataFrame, radius_m: float) -> DataFra
     a point looks into the nine around it, so a pair comes up once."""
     p = points.withColumn("__cell", F.explode(cells_around(F.col("lon"), F.col("lat"), radius_m)))
     q = places.withColumn("__cell", own_cell(F.col("plon"), F.col("plat"), radius_m))
-    return p.join(q, "__cell").withColumn("metres", haversine_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))).filter(F.col("metres") <= radius_m).drop("__cell")
+    return p.join(sent_if_few(q), "__cell").withColumn("metres", haversine_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))).filter(F.col("metres") <= radius_m).drop("__cell")
 
 
 def nearest_within(points: DataFrame, places: DataFrame, radius_m: float, k: int | None = None) -> DataFrame:
@@ -132,19 +151,29 @@ def incident_delay(hits: DataFrame, closure_s: int = 1200, incident_s: int = 90,
     return hits.groupBy("route").agg((F.when(F.bool_or("is_closure"), closure_s).otherwise(0) + minor).cast("long").alias("delay_s"), F.bool_or("is_closure").alias("blocked"))
 
 
+#: Degrees of a side of the squares that boxes of cases are dealt to.
+CASE_SQUARE_DEG = 0.01
+
+
 def concurrent_restrictions(cases: DataFrame, closures: DataFrame, margin_deg: float = 0.0) -> DataFrame:
     """case, closure, own: full closures that overlap a case's window, its own ones, and those of other cases whose place lies in its box. Of several
     versions of a closure the newest counts. cases: case, from_s, to_s, west, south, east, north; closures: closure, of_case, version,
-    restriction, lon, lat, start_s, end_s. Both are dealt to days, and a pair comes up on the first day of its overlap alone."""
+    restriction, lon, lat, start_s, end_s. Own ones are joined by case; others by day and square, a pair on the first day of its overlap alone."""
     day = 86_400
     newest = closures.withColumn("__n", F.row_number().over(Window.partitionBy("closure").orderBy(F.desc("version")))).filter("__n = 1 and restriction = 'full' and end_s >= start_s").drop("__n")
     to_days = lambda df, a, b: df.withColumn("__day", F.explode(F.sequence(F.floor(F.col(a) / day), F.floor(F.col(b) / day))))
-    both = to_days(cases.filter("to_s >= from_s"), "from_s", "to_s").join(to_days(newest, "start_s", "end_s"), "__day")
+    case = cases.filter("to_s >= from_s")
+    hits = lambda df: df.filter((F.col("start_s") <= F.col("to_s")) & (F.col("end_s") >= F.col("from_s")))
+    own = hits(case.join(newest, F.col("case") == F.col("of_case"))).select("case", "closure", F.lit(True).alias("own"))
+    # Those of other cases meet by day and by square of the box, so a day's cases elsewhere are never met.
+    square = lambda c: F.floor(c / CASE_SQUARE_DEG)
+    side = lambda a, b: F.explode(F.sequence(square(F.col(a) - margin_deg), square(F.col(b) + margin_deg)))
+    wide = to_days(case.filter("east >= west and north >= south"), "from_s", "to_s").withColumn("__x", side("west", "east")).withColumn("__y", side("south", "north"))
+    there = to_days(newest.filter("lon is not null and lat is not null"), "start_s", "end_s").withColumn("__x", square(F.col("lon"))).withColumn("__y", square(F.col("lat")))
     inside = F.col("lon").between(F.col("west") - margin_deg, F.col("east") + margin_deg) & F.col("lat").between(F.col("south") - margin_deg, F.col("north") + margin_deg)
-    own = F.coalesce(F.col("case") == F.col("of_case"), F.lit(False))
     first = F.floor(F.greatest("from_s", "start_s") / day)
-    hit = both.filter((F.col("start_s") <= F.col("to_s")) & (F.col("end_s") >= F.col("from_s")) & (F.col("__day") == first))
-    return hit.filter(own | inside).select("case", "closure", own.alias("own"))
+    others = hits(wide.join(there, ["__day", "__x", "__y"])).filter((F.col("__day") == first) & inside & ~F.coalesce(F.col("case") == F.col("of_case"), F.lit(False)))
+    return own.unionByName(others.select("case", "closure", F.lit(False).alias("own")))
 
 
 def planar_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.operators.joins import cells_around
+from roadweave.operators.joins import cells_around, own_cell
 
 #: Metres of a degree; a city is a plane.
 LAT_M = 111_132.0
@@ -48,15 +48,16 @@ def off_piece(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Colu
 
 def near_pieces(points: DataFrame, pieces: DataFrame, radius_m: float, step_m: float = 50.0) -> DataFrame:
     """Each point with the pieces within the radius, and metres. points: point, lon, lat, ...; pieces: see pieces_of. A piece is dealt to the
-    cells of samples every step_m along it, with a radius that reaches between them, and a pair that comes up in several cells is one."""
+    cells of samples every step_m along it, with a radius that reaches between them; a pair comes up in the first cell that both have alone."""
     reach = radius_m + step_m
     length = F.hypot((F.col("bx") - F.col("ax")) * lon_m(F.col("ay")), (F.col("by") - F.col("ay")) * LAT_M)
     n = F.greatest(F.lit(1), F.ceil(length / step_m).cast("int"))
-    sampled = pieces.withColumn("__n", n).withColumn("__t", F.explode(F.transform(F.sequence(F.lit(0), F.col("__n")), lambda k: k / F.col("__n"))))
-    q = sampled.withColumn("__cell", cells_around(F.col("ax") + F.col("__t") * (F.col("bx") - F.col("ax")), F.col("ay") + F.col("__t") * (F.col("by") - F.col("ay")), reach)[4]).drop("__t", "__n").distinct()
-    p = points.withColumn("__cell", F.explode(cells_around(F.col("lon"), F.col("lat"), reach)))
-    both = p.join(q, "__cell").withColumn("metres", off_piece(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    return both.filter(F.col("metres") <= radius_m).drop("__cell").distinct()
+    at = F.transform(F.sequence(F.lit(0), n), lambda k: own_cell(F.col("ax") + k / n * (F.col("bx") - F.col("ax")), F.col("ay") + k / n * (F.col("by") - F.col("ay")), reach))
+    q = pieces.withColumn("__cells", F.array_distinct(at)).withColumn("__cell", F.explode("__cells"))
+    p = points.withColumn("__around", cells_around(F.col("lon"), F.col("lat"), reach)).withColumn("__cell", F.explode("__around"))
+    both = p.join(q, "__cell").filter(F.get(F.array_intersect("__cells", "__around"), 0) == F.col("__cell"))
+    both = both.withColumn("metres", off_piece(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    return both.filter(F.col("metres") <= radius_m).drop("__cell", "__cells", "__around")
 
 
 def nearest_lines(points: DataFrame, pieces: DataFrame, radius_m: float) -> DataFrame:
@@ -72,18 +73,19 @@ def nearest_heading(points: DataFrame, pieces: DataFrame, radius_m: float, most_
 
 
 def prune_detours(path: list[tuple[str, float]], ends: dict[str, tuple[str, str]]) -> list[tuple[str, float]]:
-    """A path without its detours: a match that doesn't lead on, between two that do join. Repeats in a row are one. ends: road -> its nodes."""
-    names = [s for k, (s, _) in enumerate(path) if k == 0 or s != path[k - 1][0]]
-    k = 1
-    while k < len(names) - 1:
-        before, here, after = (ends[s] for s in names[k - 1 : k + 2])
-        if before[1] == after[0] and not (before[1] == here[0] and here[1] == after[0]):
-            del names[k]
-            k = 1
-        else:
-            k += 1
-    kept = set(names)
-    return [x for x in path if x[0] in kept]
+    """A path without its side steps: a road goes if its neighbours join each other without it and it doesn't lie between them. ends: road -> its
+    nodes. One pass: roads are stacked, and a new one first takes away those on top that it makes a side step; what is below was settled
+    before. A road that is kept anywhere keeps all its rows."""
+    stack: list[str] = []
+    for road, _ in path:
+        if stack and stack[-1] == road:
+            continue
+        enters = ends[road][0]
+        while len(stack) > 1 and ends[stack[-2]][1] == enters and ends[stack[-1]] != (enters, enters):
+            stack.pop()
+        stack.append(road)
+    kept = set(stack)
+    return [row for row in path if row[0] in kept]
 
 
 def snap_lines(lines: DataFrame, pieces: DataFrame, roads: DataFrame, radius_m: float = 20.0, most_angle: float = 45.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -104,6 +104,32 @@ def archive_missing(current: DataFrame, pulled: DataFrame, key: str, complete: b
     return out.withColumn("archived_reason", F.when(F.col("archived"), reason)).drop("__key", "__here")
 
 
+def of_path(spark: SparkSession, path: str):
+    """A path and its file system, as Spark sees them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = of_path(spark, path)
+    return files.exists(place)
+
+
+def claimed(spark: SparkSession, path: str, owner: str) -> str:
+    """Who holds the claim of a path: owner, if it was free. The file is created without overwriting, which only one of several callers can do."""
+    place, files = of_path(spark, path)
+    if not files.exists(place):
+        try:
+            out = files.create(place, False)
+            out.write(owner.encode())
+            out.close()
+        except Py4JJavaError:  # another one was first
+            if not files.exists(place):
+                raise
+    lines = spark.read.text(path).collect()  # one line
+    return lines[0][0] if lines else ""
+
+
 def upsert_batch(table: str, key: list[str], version: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that puts a batch into a table partitioned by date: the partitions of the batch are rewritten, last wins. The merge
     is staged first, so that a batch that is run again finds what it needs."""
@@ -111,14 +137,13 @@ def upsert_batch(table: str, key: list[str], version: str) -> Callable[[DataFram
     def batch(new: DataFrame, batch_id: int) -> None:
         spark = new.sparkSession
         days = [r["date"] for r in new.select("date").distinct().collect()]  # a day each
-        try:
-            old = spark.read.parquet(table)
-        except AnalysisException:
-            old = new.limit(0)
+        old = spark.read.parquet(table) if exists(spark, table) else new.limit(0)
         merged = last_wins(old.filter(F.col("date").isin(*days)), new, key, version)
         staged = f"{table}-batch-{batch_id}"
         merged.write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(table)
+        spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(table)
+        place, files = of_path(spark, staged)
+        files.delete(place, True)
 
     return batch
 

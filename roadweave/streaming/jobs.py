@@ -148,18 +148,26 @@ def assignment_lifecycle(commands: DataFrame) -> DataFrame:
     return commands.groupBy("assignment").applyInPandasWithState(run, "assignment string, t long, state string, version int, result string", "state string, version int, until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def forecast_trigger(runs: str, model: str, make: Callable[[DataFrame, int], DataFrame], table: str, now_s: Callable[[], int]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: when a batch completes a bucket, makes and publishes the map of that issue, at most once for a model and issue."""
+def forecast_trigger(runs: str, model: str, make: Callable[[DataFrame, int], DataFrame], table: str, now_s: Callable[[], int], stored: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: when a batch completes a bucket, makes and publishes the map of that issue, once for a model and issue.
 
-    def batch(readings: DataFrame, _: int) -> None:
+    stored gives the readings that are counted, those of the batch if it is left out: a bucket that came in several batches counts whole if
+    they are kept in a table. An issue is claimed before its map is made, by a file that only one of several streams can create; a stream
+    that is started again from its checkpoint keeps its claims, and makes the map of one whose run has no marker. The first run starts
+    from nothing: the folders need not exist.
+    """
+
+    def batch(readings: DataFrame, batch_id: int) -> None:
         spark = readings.sparkSession
-        counts = readings.groupBy((F.floor(F.unix_timestamp("ts") / 600) * 600).alias("time")).agg(F.count("*").alias("n"))
+        counts = (stored(readings) if stored else readings).groupBy((F.floor(F.unix_timestamp("ts") / 600) * 600).alias("time")).agg(F.count("*").alias("n"))
         issue = W.choose_issue(counts, F.lit(now_s())).first()[0]
         if issue is None:
             return
         run_id = f"{model}-{int(issue)}"
-        done = spark.read.schema("run_id string").option("ignoreMissingFiles", True).parquet(runs).filter(F.col("run_id") == run_id)
-        if done.isEmpty():
+        if T.exists(spark, runs) and not spark.read.schema("run_id string").parquet(runs).filter(F.col("run_id") == run_id).isEmpty():
+            return
+        owner = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or spark.sparkContext.applicationId
+        if T.claimed(spark, f"{table}-claims/{run_id}", owner) == owner:
             T.publish(make(readings, int(issue)), table, runs, run_id)
 
     return batch

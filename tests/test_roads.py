@@ -2,6 +2,7 @@
 
 import json
 import time
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -120,6 +121,33 @@ def test_lines_snap_to_roads_without_detours(spark, streets):
     assert X.prune_detours([("a", 1.0), ("q", 2.0), ("b", 3.0)], ends) == [("a", 1.0), ("b", 3.0)] and X.prune_detours([], ends) == []
 
 
+def test_side_steps_go_as_the_rule_says():
+    """Against the rule itself: while a road stands between two that join without it, and doesn't lie between them, the first such one goes."""
+    rng = random.Random(6)
+    ends = {f"r{k}": (rng.randrange(4), rng.randrange(4)) for k in range(12)}
+    for _ in range(400):
+        path = [(f"r{rng.randrange(12)}", float(k)) for k in range(rng.randrange(9))]
+        left = [r for k, (r, _) in enumerate(path) if not k or r != path[k - 1][0]]
+        while bad := [k for k in range(1, len(left) - 1) if ends[left[k - 1]][1] == ends[left[k + 1]][0] and ends[left[k]] != (ends[left[k - 1]][1], ends[left[k + 1]][0])]:
+            del left[bad[0]]
+        assert X.prune_detours(path, ends) == [x for x in path if x[0] in left]
+
+
+def test_upserts_start_from_nothing_and_keep_faults(spark, tmp_path):
+    table = str(tmp_path / "t")
+    put = T.upsert_batch(table, ["id"], "v")
+    rows = lambda *x: spark.createDataFrame(x, "id int, v int, date string")
+    put(rows((1, 1, "a"), (2, 1, "b")), 0)
+    put(rows((1, 2, "a"), (1, 1, "a"), (3, 1, "a")), 1)
+    assert sorted(tuple(r) for r in spark.read.parquet(table).select("id", "v", "date").collect()) == [(1, 2, "a"), (2, 1, "b"), (3, 1, "a")]
+    assert [x.name for x in tmp_path.iterdir()] == ["t"]
+    (tmp_path / "bad" / "date=a").mkdir(parents=True)
+    (tmp_path / "bad" / "date=a" / "x.parquet").write_text("not a table")
+    with pytest.raises(Exception):
+        T.upsert_batch(str(tmp_path / "bad"), ["id"], "v")(rows((1, 1, "a")), 0)
+    assert (tmp_path / "bad" / "date=a" / "x.parquet").read_text() == "not a table"
+
+
 def test_lines_cover_edges(spark, streets):
     lines = spark.createDataFrame([("up", [[-122.40005, 37.7], [-122.40005, 37.7 + K * 200]])], "owner string, coords array<array<double>>")
     edges = streets.select(F.col("seg").alias("owner"), "coords")
@@ -361,9 +389,14 @@ def test_one_map_for_each_issue(spark, tmp_path):
     made = []
     rows = spark.createDataFrame([(datetime.fromtimestamp(1_700_000_000 + k, timezone.utc).replace(tzinfo=None),) for k in range(0, 2000, 50)], "ts timestamp")
     trigger = jobs.forecast_trigger(str(tmp_path / "runs"), "m", lambda df, issue: made.append(issue) or spark.createDataFrame([(issue,)], "issued long"), str(tmp_path / "maps"), lambda: 1_700_001_500)
-    (tmp_path / "runs").mkdir()
     trigger(rows, 0)
     trigger(rows, 1)
+    assert T.claimed(spark, str(tmp_path / "maps-claims" / f"m-{made[0]}"), "another") == spark.sparkContext.applicationId
+    assert T.claimed(spark, str(tmp_path / "maps-claims" / "m-0"), "another") == "another"
+    jobs.forecast_trigger(str(tmp_path / "other-runs"), "m", lambda df, issue: 1 / 0, str(tmp_path / "maps2"), lambda: 0)(rows, 0)  # nothing has closed yet
+    (tmp_path / "maps3-claims").mkdir()
+    (tmp_path / "maps3-claims" / f"m-{made[0]}").write_text("another")
+    jobs.forecast_trigger(str(tmp_path / "runs3"), "m", lambda df, issue: 1 / 0, str(tmp_path / "maps3"), lambda: 1_700_001_500)(rows, 0)  # claimed by another
     assert len(made) == 1 and T.read_published(spark, str(tmp_path / "maps"), str(tmp_path / "runs")).count() == 1
     live = spark.createDataFrame([("a", 1, 10.0), ("b", 4, 20.0)], "assignment string, version int, arrive_s double")
     timed = spark.createDataFrame([("a", 15.0, 0), ("b", 99.0, 2)], "assignment string, arrive_s double, missing int")
