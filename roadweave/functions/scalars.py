@@ -101,6 +101,27 @@ def norm_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
+#: Kinds of streets, as they end a name, and the first ordinals.
+STREET_KINDS = {"STREET": "ST", "AVENUE": "AVE", "BOULEVARD": "BLVD", "DRIVE": "DR", "ROAD": "RD", "PLACE": "PL", "TERRACE": "TER", "COURT": "CT", "LANE": "LN", "WAY": "WAY", "ALLEY": "ALY", "HIGHWAY": "HWY"}
+ORDINALS = {"FIRST": "01ST", "SECOND": "02ND", "THIRD": "03RD", "FOURTH": "04TH", "FIFTH": "05TH", "SIXTH": "06TH", "SEVENTH": "07TH", "EIGHTH": "08TH", "NINTH": "09TH"}
+
+
+def norm_street(name: Column) -> Column:
+    """A street's identity: upper case words of letters and digits without the kind at the end, ordinals with two digits; empty for null."""
+    words = F.filter(F.split(F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), "[^A-Z0-9 ]", " "), " +"), lambda w: w != "")
+    kinds = [*STREET_KINDS, *STREET_KINDS.values()]
+    words = F.when(F.get(words, F.size(words) - 1).isin(*kinds), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+    ordinal = F.create_map(*(F.lit(x) for pair in ORDINALS.items() for x in pair))
+    two = lambda w: F.when(w.rlike("^[0-9]+(ST|ND|RD|TH)$"), F.concat(F.lpad(F.regexp_replace(F.regexp_extract(w, "^[0-9]+", 0), "^0+(?=[0-9])", ""), 2, "0"), F.substring(w, -2, 2))).otherwise(w)
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(ordinal, w), two(w))), " ")
+
+
+def same_street(a: Column, b: Column, compact: bool = True) -> Column:
+    """Whether two names mean one street; compact leaves spaces out, which an apostrophe may stand for."""
+    bare = lambda c: F.replace(norm_street(c), F.lit(" "), F.lit("")) if compact else norm_street(c)
+    return bare(a) == bare(b)
+
+
 def street_title(text: Column) -> Column:
     """Words capitalized but for between and and; null for an empty text."""
     words = F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")

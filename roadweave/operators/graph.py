@@ -35,6 +35,21 @@ def bfs_hops(arcs: DataFrame, sources: DataFrame, most: int, upstream: bool = Fa
     return seen
 
 
+def case_hops(arcs: DataFrame, sources: DataFrame, most: int, upstream: bool = False) -> DataFrame:
+    """case, node, hops from the nearest source of the case, up to most, along the arcs or against them, for all cases in one search: a round is
+    a join of the frontiers with the arcs and one anti-join, whatever the number of cases. arcs: src, dst; sources: case, node."""
+    a, b = ("dst", "src") if upstream else ("src", "dst")
+    steps = arcs.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    seen = frontier = cut(sources.select("case", "node", F.lit(0).alias("hops")).distinct())
+    for k in range(1, most + 1):
+        step = frontier.join(steps, "node").select("case", F.col("next").alias("node")).distinct()
+        frontier = cut(step.join(seen.select("case", "node"), ["case", "node"], "left_anti").withColumn("hops", F.lit(k)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)  # of written tables, one a round
+    return seen
+
+
 def earliest_arrival(arcs: DataFrame, sources: DataFrame, forecast: DataFrame, bucket_s: int, horizon: int) -> DataFrame:
     """node, arrive_s, beyond: the earliest time at the end of each node that legal arcs lead to, and whether the way there needs times past the
     horizon, for which the last bucket stands.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.scalars import haversine_m, unit_draw
+from roadweave.operators.graph import cut
 
 #: Amplitude, and minutes around a declared start and end, of the rule for events.
 RULE_ARRIVAL, RULE_DEPARTURE = (0.3, -60, 120), (0.5, -30, 90)
@@ -29,9 +30,20 @@ def change_only(df: DataFrame, key: str, order: list[str], content: Column) -> D
     return df.withColumn("__hash", F.xxhash64(content)).withColumn("__past", past).filter("__past is null or __past <> __hash").drop("__hash", "__past")
 
 
-def collapse_repeats(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    past = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("__past", past).filter(F.col("__past").isNull() | (F.col("__past") != F.col(value))).drop("__past")
+def collapse_repeats(df: DataFrame, key: str, order: list[str], value: str, day: Column | None = None) -> DataFrame:
+    """Rows whose value differs from that of the row before of their key. With day, a non-decreasing function of the order that is never null,
+    rows are compared within each (key, day), and only a day's first row is held against the last value of the day before that has rows: a
+    key of very many rows is as many groups as it has days, and one row a key and day is all that is compared across them."""
+    if day is None:
+        past = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+        return df.withColumn("__past", past).filter(F.col("__past").isNull() | (F.col("__past") != F.col(value))).drop("__past")
+    mine = Window.partitionBy("__key", "__day")
+    own = df.withColumns({"__key": F.col(key), "__day": day}).withColumns({"__past": F.lag(value).over(mine.orderBy(*order)), "__n": F.row_number().over(mine.orderBy(*order))})
+    lasts = df.select(F.col(key).alias("__key"), day.alias("__day"), F.struct(*order, value).alias("x")).groupBy("__key", "__day").agg(F.max("x").getField(value).alias("__last"))
+    lasts = lasts.select("__key", "__day", F.lag("__last").over(Window.partitionBy("__key").orderBy("__day")).alias("__before"))
+    both = own.join(lasts.withColumnsRenamed({"__key": "__key2", "__day": "__day2"}), F.col("__key").eqNullSafe(F.col("__key2")) & (F.col("__day") == F.col("__day2")))
+    past = F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__past"))
+    return both.filter(past.isNull() | (past != F.col(value))).select(*df.columns)
 
 
 def hour_spine(buckets: DataFrame, value: str, step_s: int = 3600) -> DataFrame:
@@ -240,17 +252,24 @@ def fill_totals(counts: DataFrame, key: str, seconds: int, carried: list[str], e
 
 def balanced_patches(points: DataFrame, size: int) -> DataFrame:
     """id, patch: compact patches of at most size points, by cutting at exact ranks along the longer side, parts in proportion. points: id, x, y.
-    A round a level, log2 of the number of patches; each is two windows over the patches of that level."""
+
+    A round a level, log2 of the number of patches. A level knows its patches' boxes and counts (one row a patch, by partial aggregates), deals
+    rows to ranges of (patch, place along the cut), numbers them within each range, and adds the rows of the ranges before (one count a range
+    and patch): no task holds a patch. Each level is written to the checkpoint folder.
+    """
     n = points.count()
     parts = max(1, -(-n // size))
-    out = points.select("id", "x", "y", F.lit(0).alias("patch"), F.lit(parts).alias("parts"))
+    out = cut(points.select("id", "x", "y", F.lit(0).alias("patch"), F.lit(parts).alias("parts")))
     while parts > 1:
-        mine = Window.partitionBy("patch")
-        wide = F.max("y").over(mine) - F.min("y").over(mine) > F.max("x").over(mine) - F.min("x").over(mine)
-        out = out.withColumn("a", F.when(wide, F.col("y")).otherwise(F.col("x"))).withColumn("b", F.when(wide, F.col("x")).otherwise(F.col("y"))).withColumn("left", F.floor(F.col("parts") / 2).cast("int"))
-        cut = F.floor(F.count("*").over(mine) * F.col("left") / F.col("parts"))
-        first = F.row_number().over(mine.orderBy("a", "b", "id")) <= cut
-        out = out.withColumn("first", (F.col("parts") > 1) & first).select("id", "x", "y", F.when((F.col("parts") == 1) | F.col("first"), F.col("patch")).otherwise(F.col("patch") + F.col("left")).alias("patch"), F.when(F.col("parts") == 1, 1).when(F.col("first"), F.col("left")).otherwise(F.col("parts") - F.col("left")).alias("parts"))
+        boxes = out.groupBy("patch").agg(F.count("*").alias("n"), (F.max("y") - F.min("y") > F.max("x") - F.min("x")).alias("wide"))
+        row = out.join(boxes, "patch").withColumns({"a": F.when(F.col("wide"), F.col("y")).otherwise(F.col("x")), "b": F.when(F.col("wide"), F.col("x")).otherwise(F.col("y")), "left": F.floor(F.col("parts") / 2).cast("int")})
+        dealt = cut(row.repartitionByRange("patch", "a", "b", "id").sortWithinPartitions("patch", "a", "b", "id").withColumn("range", F.spark_partition_id()))
+        before = dealt.groupBy("patch", "range").agg(F.count("*").alias("rows"))
+        before = before.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("patch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        within = F.row_number().over(Window.partitionBy("range", "patch").orderBy("a", "b", "id"))
+        ranked = dealt.withColumn("within", within).join(before.select("patch", "range", "before"), ["patch", "range"])
+        whole, first = F.col("parts") == 1, F.col("before") + F.col("within") <= F.floor(F.col("n") * F.col("left") / F.col("parts"))
+        out = cut(ranked.select("id", "x", "y", F.when(whole | first, F.col("patch")).otherwise(F.col("patch") + F.col("left")).alias("patch"), F.when(whole, 1).when(first, F.col("left")).otherwise(F.col("parts") - F.col("left")).alias("parts")))
         parts = -(-parts // 2)
     return out.select("id", "patch")
 

@@ -312,7 +312,7 @@ def change_only(spark, d):
 
 @query("SELECT event_id, seg, source FROM (SELECT event_id, seg, source, lag(seg) OVER (PARTITION BY source ORDER BY ts, event_id) AS past FROM readings) WHERE past IS NULL OR past <> seg", "readings")
 def collapse_repeats(spark, d):
-    return W.collapse_repeats(L.readings(spark, d), "source", ["ts", "event_id"], "seg").select("event_id", "seg", "source")
+    return W.collapse_repeats(L.readings(spark, d), "source", ["ts", "event_id"], "seg", day=F.floor(F.col("t") / 86_400)).select("event_id", "seg", "source")
 
 
 @query(", g AS (SELECT seg, t - lag(t) OVER (PARTITION BY seg ORDER BY t) AS gap FROM readings), m AS (SELECT seg, quantile_cont(gap, 0.5) AS typical_s FROM g WHERE gap IS NOT NULL GROUP BY seg) SELECT g.seg, round(any_value(typical_s), 4) AS typical_s, count_if(gap > 2.5 * typical_s)::BIGINT AS gaps FROM g JOIN m ON g.seg = m.seg WHERE gap IS NOT NULL GROUP BY g.seg", "readings")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from roadweave.operators import windows as W
+from roadweave.operators.navigation import fixes_on_routes
 from roadweave.sources import tables as T
 
 
@@ -76,6 +77,37 @@ def stream_vehicle_speeds(fixes: DataFrame, max_gap_s: int = 180, max_hop_m: flo
     return fixes.groupBy("vehicle").applyInPandasWithState(run, "vehicle long, t long, gap_s long, mps double", "t long, line string, lon double, lat double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def stream_nav_progress(fixes: DataFrame, routes: DataFrame, forget_ms: int = 3_600_000) -> DataFrame:
+    """The rows of navigation.nav_progress over a stream of fixes: what a fix shows is worked out by columns; only the last trusted progress of a
+    trip is state, and is forgotten when no fix came for forget_ms. Fixes that are late within a batch are put in order; over batches they
+    come as they come. trip string, t long; see fixes_on_routes."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        x = gathered(frames, "t")
+        held = x["step"].isna()
+        if state.exists:
+            past = pd.DataFrame([tuple(state.get)], columns=NAV_STATE)
+            x = pd.concat([past, x], ignore_index=True)
+        x[NAV_STATE] = x[NAV_STATE].astype("float64").ffill()
+        x = x.iloc[len(x) - len(held) :].assign(held=held.to_numpy(), trip=key[0])
+        last = x.iloc[-1]
+        if pd.notna(last["step"]):
+            state.update(tuple(float(last[c]) for c in NAV_STATE))
+        if state.exists:
+            state.setTimeoutDuration(forget_ms)
+        yield x.assign(step=x["step"].astype("Int32"))[["trip", "t", "arrived", "held", *NAV_STATE]]
+
+    seen = fixes_on_routes(fixes, routes).select("trip", "t", "arrived", "seen.*")
+    return seen.groupBy("trip").applyInPandasWithState(run, "trip string, t long, arrived boolean, held boolean, step int, to_next_m double, left_m double, left_s double", "step double, to_next_m double, left_m double, left_s double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+#: What a trusted fix shows, and a trip's state holds.
+NAV_STATE = ["step", "to_next_m", "left_m", "left_s"]
+
+
 def stream_asof_ratio(lines: DataFrame, most_s: int = 12 * 3600, least: float = 0.05) -> DataFrame:
     """key, t, value, free_flow of absolute readings: over the line's latest relative one that is at most most_s old, and null without one. Event time
     rules the age; state goes when no reading came for most_s. lines: key string, t long, style string, value double."""
