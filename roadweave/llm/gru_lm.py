@@ -30,9 +30,9 @@ TAIL_IN, END_IN = TOP + BANDS, TOP + BANDS + 1
 TAIL_CLASS = TOP // WIDTH + BANDS
 INPUTS, CLASSES = END_IN + 1, TAIL_CLASS + 2
 #: Documents side by side; steps that are learned from, or scored, at a time, at least and, where few documents run, at most.
-LANES, WINDOW, LONG_WINDOW, SCORE_WINDOW = 256, 16, 96, 64
+LANES, WINDOW, LONG_WINDOW, SCORE_WINDOW = 384, 16, 128, 64
 #: Documents of up to so many tokens wait together, until there are so many tokens of them: lanes then end at about the same step.
-POOLS = ((1024, 300_000), (4096, 1_200_000), (1 << 62, 4_000_000))
+POOLS = ((1024, 400_000), (4096, 1_600_000), (1 << 62, 4_000_000))
 FLUSH = 600_000
 #: A word's row holds its weights, then its bias.
 SHAPES = {"gates": (INPUTS, 3 * UNITS), "state": (3 * UNITS, UNITS), "classes": (CLASSES, UNITS + 1), "words": (TOP, UNITS + 1)}
@@ -432,8 +432,8 @@ def train(codes: DataFrame, documents: int, warm_rows: int = 1000) -> dict[str,
 
     share = min(1.0, 1.2 * warm_rows / max(1, documents))
     few = rows.filter(F.xxhash64("inputs") <= int(-(2**63) + share * (2**64 - 2**12))).limit(2 * warm_rows)
-    weights = mean(few.coalesce(1).mapInArrow(learner(start_weights(), 0.01, 2), "tokens long, weights binary"), start_weights())
-    return mean(averaged(written(rows.mapInArrow(learner(weights, 0.01, 1), "tokens long, weights binary"), "weights")), weights)
+    weights = mean(few.coalesce(1).mapInArrow(learner(start_weights(), 0.015, 2), "tokens long, weights binary"), start_weights())
+    return mean(averaged(written(rows.mapInArrow(learner(weights, 0.015, 1), "tokens long, weights binary"), "weights")), weights)
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
