@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,76 @@ def time_route(cells: DataFrame, departures: DataFrame, forecast: DataFrame, buc
     return timed.select("route", F.coalesce(F.size("roads"), F.lit(0)).alias("roads"), F.col("end.at").alias("arrive_s"), F.col("end.missing").alias("missing"))
 
 
+#: What a route is refused for, by what is found first on its way.
+REFUSALS = ("empty_route", "illegal_connection", "before_issue_time", "beyond_horizon", "not_enterable", "closure")
+
+
+def time_checked(routes: DataFrame, cells: DataFrame, forecast: DataFrame, closures: DataFrame, arcs: DataFrame, issued_s: int, bucket_s: int, horizon: int) -> tuple[DataFrame, DataFrame]:
+    """Routes timed road by road, and refused where they can't be driven: (route, arrive_s, reason, seg, at_s, metres, flags) and (route, class,
+    seconds).
+
+    routes: route, depart_s, first_share (of the first road, where it begins), last_share (of the last, where it ends); cells: route, pos, seg,
+    class, metres, free_s; forecast: seg, bucket (0 to horizon - 1), seconds (null: not to be entered); closures: seg, begin_s, end_s, kind
+    (full, else partial); arcs: src, dst. A road takes its share of the seconds of the bucket in which it is entered; the first may be
+    entered without a forecast, at its free time. A refused route has its reason, the road and the time, and no arrival; exposure is given
+    for routes that arrive. A road brings the buckets of one issue and its own closures, and a route's roads are folded in one row.
+    """
+    by_road = forecast.filter("seconds is not null").groupBy("seg").agg(F.collect_list(F.struct("bucket", "seconds")).alias("times"))
+    shut = closures.groupBy("seg").agg(F.collect_list(F.struct("begin_s", "end_s", (F.col("kind") == "full").alias("full"))).alias("shut"))
+    before = F.lag("seg").over(Window.partitionBy("route").orderBy("pos"))
+    steps = cells.withColumn("src", before).join(arcs.select("src", F.col("dst").alias("seg"), F.lit(True).alias("legal")).distinct(), ["src", "seg"], "left").join(by_road, "seg", "left").join(shut, "seg", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(steps.schema[c].dataType)).alias(c)
+    step = F.struct("pos", "seg", "class", "metres", "free_s", (F.col("src").isNull() | F.coalesce("legal", F.lit(False))).alias("legal"), none("times"), none("shut"))
+    rows = routes.join(steps.groupBy("route").agg(F.sort_array(F.collect_list(step)).alias("roads")), "route", "left")
+    last = F.size("roads") - 1
+
+    def enter(so_far: Column, x: Column) -> Column:
+        first, final = so_far["n"] == 0, so_far["n"] == last
+        slot = F.floor((so_far["at"] - issued_s) / bucket_s)
+        known = F.get(F.filter(x["times"], lambda f: f["bucket"] == slot), 0)["seconds"]
+        share = F.greatest(F.when(final, F.col("last_share")).otherwise(1.0) - F.when(first, F.col("first_share")).otherwise(0.0), F.lit(0.0))
+        spent = F.coalesce(known, F.when(first, x["free_s"])) * share
+        out = so_far["at"] + spent
+        met = lambda full: ~first & F.exists(x["shut"], lambda c: (c["full"] == full) & (c["begin_s"] < out) & (so_far["at"] < c["end_s"]))
+        reason = F.when(~x["legal"], "illegal_connection").when(slot < 0, "before_issue_time").when(slot >= horizon, "beyond_horizon").when(spent.isNull(), "not_enterable").when(met(True), "closure")
+        flags = F.filter(F.array(F.when(first & known.isNull(), "origin_cost_free_flow"), F.when(met(False), "partial_restriction_on_route")), lambda f: f.isNotNull())
+        going = F.struct((so_far["n"] + 1).alias("n"), out.alias("at"), (so_far["metres"] + x["metres"] * share).alias("metres"), F.array_union(so_far["flags"], flags).alias("flags"), F.lit(None).cast("string").alias("reason"), x["seg"].alias("seg"), F.concat(so_far["spent"], F.array(F.struct(x["class"].alias("class"), spent.alias("seconds")))).alias("spent"))
+        refused = F.struct(so_far["n"].alias("n"), so_far["at"].alias("at"), so_far["metres"].alias("metres"), so_far["flags"].alias("flags"), reason.alias("reason"), x["seg"].alias("seg"), so_far["spent"].alias("spent"))
+        return F.when(so_far["reason"].isNotNull(), so_far).when(reason.isNotNull(), refused).otherwise(going)
+
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in ("seg", "class")}
+    start = F.struct(F.lit(0).alias("n"), F.col("depart_s").cast("double").alias("at"), F.lit(0.0).alias("metres"), F.array().cast("array<string>").alias("flags"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast(kinds["seg"]).alias("seg"), F.array().cast(f"array<struct<class:{kinds['class']},seconds:double>>").alias("spent"))
+    end = F.aggregate("roads", start, enter)
+    timed = rows.withColumn("end", F.when(F.col("roads").isNotNull(), end))
+    late = F.col("end.reason").isNull() & (F.col("end.at") > issued_s + horizon * bucket_s)
+    reason = F.when(F.col("roads").isNull(), "empty_route").when(late, "beyond_horizon").otherwise(F.col("end.reason"))
+    timed = timed.withColumn("why", reason)
+    fine = F.col("why").isNull()
+    routes_out = timed.select("route", F.when(fine, F.col("end.at")).alias("arrive_s"), F.col("why").alias("reason"), F.when(~fine, F.col("end.seg")).alias("seg"), F.when(~fine, F.col("end.at")).alias("at_s"), F.when(fine, F.col("end.metres")).alias("metres"), F.array_join(F.array_sort("end.flags"), ",").alias("flags"))
+    exposure = timed.filter(fine).select("route", F.explode("end.spent").alias("x")).groupBy("route", F.col("x.class").alias("class")).agg(F.sum("x.seconds").alias("seconds"))
+    return routes_out, exposure
+
+
+def candidate_overlaps(cells: DataFrame, order: str = "candidate") -> DataFrame:
+    """request, candidate, most, with_first: the largest share of a candidate's time on roads that another candidate of the request uses too, and
+    that share with the request's first one by order (1 for itself). cells: request, candidate, seg, eta. Pairs are made within a request,
+    over the roads that two candidates share, and a request has few candidates."""
+    roads = cells.groupBy("request", "candidate", "seg").agg(F.sum("eta").alias("eta"))
+    total = roads.groupBy("request", "candidate").agg(F.sum("eta").alias("total"))
+    first = roads.groupBy("request").agg(F.min(order).alias("first"))
+    other = roads.select("request", F.col("candidate").alias("other"), "seg")
+    shared = roads.join(other, ["request", "seg"]).groupBy("request", "candidate", "other").agg(F.sum("eta").alias("shared")).join(total, ["request", "candidate"]).join(first, "request")
+    share = F.coalesce(F.try_divide("shared", "total"), F.lit(0.0))
+    found = shared.groupBy("request", "candidate").agg(F.max(F.when(F.col("other") != F.col("candidate"), share)).alias("most"), F.max(F.when(F.col("other") == F.col("first"), share)).alias("with_first"))
+    return total.join(found, ["request", "candidate"], "left").select("request", "candidate", F.coalesce("most", F.lit(0.0)).alias("most"), F.coalesce("with_first", F.lit(0.0)).alias("with_first"))
+
+
+def decided_in_time(decisions: DataFrame) -> DataFrame:
+    """decisions, and leak: whether the forecast that a decision rests on was issued after it, by over a microsecond, or isn't known. decisions: issued_s,
+    decided_s. A row that leaks is to be refused."""
+    return decisions.withColumn("leak", F.coalesce(F.col("issued_s") > F.col("decided_s") + 1e-6, F.lit(True)))
+
+
 def candidate_totals(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The roads of each candidate, once each, and its eta, length and path digest. cells: request, candidate, seg, length, eta."""
     roads = cells.groupBy("request", "candidate", "seg").agg(F.sum("length").alias("length"), F.sum("eta").alias("eta"))

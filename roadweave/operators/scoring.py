@@ -66,6 +66,23 @@ def pair_impact(cells: DataFrame, share: float = 0.1) -> DataFrame:
     return d.join(top, "seg").groupBy("seg", "peak_bucket", "peak").agg(F.min(F.when(after, F.col("bucket"))).alias("recovered"))
 
 
+def run_impact(cells: DataFrame, ends: DataFrame, share: float = 0.1) -> DataFrame:
+    """pair, peak_bucket, peak, recovered: of the delay of all roads together, the largest difference of the event run to its control (the earliest
+    among equals), and the first bucket from it and from the event's end on under that share of it, 1 second at least (null: none).
+    cells: pair, bucket, seg, event, control (a null adds nothing); ends: pair, end_bucket. One row a pair and bucket is what is compared."""
+    d = cells.groupBy("pair", "bucket").agg(F.sum(F.coalesce("event", F.lit(0.0)) - F.coalesce("control", F.lit(0.0))).alias("diff"))
+    top = d.groupBy("pair").agg(F.max(F.struct("diff", (-F.col("bucket")).alias("b"))).alias("top")).select("pair", (-F.col("top.b")).alias("peak_bucket"), F.col("top.diff").alias("peak"))
+    late = (F.col("bucket") >= F.greatest("peak_bucket", F.coalesce("end_bucket", "peak_bucket"))) & (F.col("diff") < share * F.greatest("peak", F.lit(1.0)))
+    return d.join(top, "pair").join(ends, "pair", "left").groupBy("pair", "peak_bucket", "peak").agg(F.min(F.when(late, F.col("bucket"))).alias("recovered"))
+
+
+def detour_roads(volumes: DataFrame, hours: float, more: float = 30.0, times: float = 1.5) -> DataFrame:
+    """pair, seg, event, control: open roads that carry `more` vehicles an hour more in the event run, and so many times as many as in the control,
+    over the declared hours. volumes: pair, seg, bucket, event, control, closed (at any time: no detour)."""
+    v = volumes.groupBy("pair", "seg").agg(F.sum(F.coalesce("event", F.lit(0))).alias("event"), F.sum(F.coalesce("control", F.lit(0))).alias("control"), F.bool_or(F.coalesce("closed", F.lit(False))).alias("shut"))
+    return v.filter(~F.col("shut") & (F.col("event") - F.col("control") >= more * hours) & (F.col("event") >= times * F.greatest("control", F.lit(1)))).select("pair", "seg", "event", "control")
+
+
 def validate_forecast(forecast: DataFrame) -> DataFrame:
     """problem, rows: what breaks the contract of a forecast. forecast: seg, valid_from, valid_to, speed, ratio."""
     after = F.lead("valid_from").over(Window.partitionBy("seg").orderBy("valid_from"))

@@ -10,10 +10,14 @@ from roadweave.functions import scalars as S
 from roadweave.operators import features as FT
 from roadweave.operators import navigation as NV
 from roadweave.operators import review as RV
+from roadweave.operators import routing as R
+from roadweave.operators import scoring as P
 from roadweave.operators import streets as X
 from roadweave.operators import windows as W
 from roadweave.plans import lenses as L
 from roadweave.plans.queries import HAV, buckets, query
+from roadweave.plans.road_queries import candidates
+from roadweave.sources import normalizers as N
 
 
 def rounded(df, digits: int, *names: str):
@@ -160,3 +164,81 @@ def same_streets(spark, d):
     a = F.when(m == 0, F.concat("k", F.lit("th Street"))).when(m == 1, "O'Farrell Street").when(m == 2, "Sea Cliff Ave.").when(m == 3, "Third St").otherwise(F.concat(F.lit("Avenue "), "k"))
     b = F.when(n == 0, F.concat("k", F.lit("TH ST"))).when(n == 1, "OFARRELL ST").when(n == 2, "SEACLIFF AVE").when(n == 3, "03RD ST").when(n == 4, F.concat(F.lit("AVENUE "), "k")).when(n == 6, "Third Street")
     return p.select("part", S.norm_street(a).alias("name"), S.norm_street(b).alias("other"), S.same_street(a, b, False).alias("same"), S.same_street(a, b).alias("same_compact"))
+
+
+IMPACT = """x AS (SELECT seg % 5 AS pair, t - t % 86400 AS bucket, seg, round(avg(CASE WHEN source = 'click' THEN speed END), 6) AS event, round(avg(CASE WHEN source = 'view' THEN speed END), 6) AS control FROM readings GROUP BY 1, 2, 3)"""
+
+
+def run_cells(spark, d):
+    side = lambda s: F.round(F.avg(F.when(F.col("source") == s, F.col("speed"))), 6)
+    return L.readings(spark, d).groupBy((F.col("seg") % 5).alias("pair"), (F.col("t") - F.col("t") % 86_400).alias("bucket"), "seg").agg(side("click").alias("event"), side("view").alias("control"))
+
+
+@query(
+    f""", {IMPACT}, s AS (SELECT pair, bucket, sum(coalesce(event, 0) - coalesce(control, 0)) AS diff FROM x GROUP BY 1, 2), p AS (SELECT pair, bucket AS peak_bucket, diff AS peak FROM s QUALIFY row_number() OVER (PARTITION BY pair ORDER BY diff DESC, bucket) = 1)
+    SELECT p.pair, peak_bucket, round(peak, 3) AS peak, (min(bucket) FILTER (WHERE bucket >= greatest(peak_bucket, 1704844800 + p.pair * 86400) AND diff < 0.1 * greatest(peak, 1)))::DOUBLE AS recovered FROM p JOIN s USING (pair) GROUP BY 1, 2, 3""".lstrip(),
+    "readings",
+)
+def run_impact(spark, d):
+    cells = run_cells(spark, d)
+    ends = cells.select("pair", (F.lit(1_704_844_800) + F.col("pair") * 86_400).alias("end_bucket")).distinct()
+    return P.run_impact(cells, ends).withColumns({"peak": F.round("peak", 3), "recovered": F.col("recovered").cast("double")})
+
+
+@query(
+    """, v AS (SELECT seg % 5 AS pair, seg, count_if(source = 'click') AS event, count_if(source = 'view') AS control, bool_or(event_id % 97 = 0) AS shut FROM readings GROUP BY 1, 2) SELECT pair, seg, event::BIGINT AS event, control::BIGINT AS control FROM v WHERE NOT shut AND event - control >= 1 AND event >= 1.5 * greatest(control, 1)""".lstrip(),
+    "readings",
+)
+def detour_roads(spark, d):
+    r = L.readings(spark, d)
+    v = r.groupBy((F.col("seg") % 5).alias("pair"), "seg", (F.col("t") - F.col("t") % 86_400).alias("bucket")).agg(F.count_if(F.col("source") == "click").alias("event"), F.count_if(F.col("source") == "view").alias("control"), F.bool_or(F.col("event_id") % 97 == 0).alias("closed"))
+    return P.detour_roads(v, hours=0.5, more=2.0)
+
+
+@query(
+    """, c AS (SELECT route // 8 AS request, route AS candidate, seg % 7 AS seg, sum(cost) AS eta FROM trips GROUP BY 1, 2, 3), t AS (SELECT request, candidate, sum(eta) AS total, min(candidate) OVER (PARTITION BY request) AS first FROM c GROUP BY 1, 2),
+    s AS (SELECT a.request, a.candidate, b.candidate AS other, sum(a.eta) AS shared FROM c a JOIN c b ON a.request = b.request AND a.seg = b.seg GROUP BY 1, 2, 3)
+    SELECT t.request, t.candidate, round(coalesce(max(shared / total) FILTER (WHERE other <> t.candidate), 0), 6) AS most, round(coalesce(max(shared / total) FILTER (WHERE other = first), 0), 6) AS with_first FROM t LEFT JOIN s ON s.request = t.request AND s.candidate = t.candidate GROUP BY 1, 2""".lstrip(),
+    "trips",
+)
+def candidate_overlaps(spark, d):
+    return rounded(R.candidate_overlaps(candidates(spark, d)), 6, "most", "with_first")
+
+
+@query("SELECT floor(epoch(o_orderdate))::BIGINT AS start_s, floor(epoch(o_orderdate))::BIGINT + (o_orderkey % 5) * 86400 AS end_s, count(*) AS rows, array_to_string(list_sort(list(DISTINCT o_custkey % 150)), ',') AS cnns FROM orders GROUP BY 1, 2")
+def closure_occurrences(spark, d):
+    k = F.col("o_orderkey")
+    rows = L.table(spark, d, "orders").select(L.seconds("o_orderdate").alias("start_s"), (L.seconds("o_orderdate") + (k % 5) * 86_400).alias("end_s"), (F.col("o_custkey") % 150).alias("cnn"))
+    return N.closure_occurrences(rows).withColumn("cnns", F.array_join(F.col("cnns").cast("array<string>"), ","))
+
+
+CHECKED = """WITH RECURSIVE v AS (SELECT l_orderkey AS route, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS j, count(*) OVER (PARTITION BY l_orderkey) AS n, l_suppkey AS seg, l_partkey % 3 AS class, l_quantity * 10 AS metres FROM lineitem),
+    u AS (SELECT *, lag(seg) OVER (PARTITION BY route ORDER BY j) AS src FROM v),
+    w AS (SELECT route, 0::BIGINT AS j, ((route % 40) * 60.0 - 120)::DOUBLE AS clk, 0.0::DOUBLE AS metres, NULL::VARCHAR AS reason, NULL::BIGINT AS seg, FALSE AS free, FALSE AS part FROM v WHERE v.j = 1
+        UNION ALL SELECT route, j, CASE WHEN why IS NULL THEN done ELSE clk END, CASE WHEN why IS NULL THEN so_far + own * share ELSE so_far END, why, seg, free OR (why IS NULL AND j = 1 AND known IS NULL), part OR (why IS NULL AND j > 1 AND seg % 10 = 1 AND clk < 1200 AND done > 600) FROM (
+            SELECT *, CASE WHEN NOT legal THEN 'illegal_connection' WHEN slot < 0 THEN 'before_issue_time' WHEN slot >= 6 THEN 'beyond_horizon' WHEN done IS NULL THEN 'not_enterable' WHEN j > 1 AND seg % 10 = 0 AND clk < 1200 AND done > 600 THEN 'closure' END AS why FROM (
+                SELECT *, clk + coalesce(known, CASE WHEN j = 1 THEN 45.0 END) * share AS done FROM (
+                    SELECT u.route, u.j, w.clk, w.metres AS so_far, u.metres AS own, u.seg, w.free, w.part, floor(w.clk / 300) AS slot, coalesce((u.src * 31 + u.seg) % 29 <> 0, TRUE) AS legal, CASE WHEN (u.seg + floor(w.clk / 300)) % 17 <> 0 AND floor(w.clk / 300) BETWEEN 0 AND 5 THEN 60.0 + (u.seg * 7 + floor(w.clk / 300) * 13) % 50 END AS known,
+                    greatest(CASE WHEN u.j = u.n THEN 0.75 ELSE 1.0 END - CASE WHEN u.j = 1 THEN 0.25 ELSE 0.0 END, 0.0) AS share FROM w JOIN u ON u.route = w.route AND u.j = w.j + 1 WHERE w.reason IS NULL)))),
+    z AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY route ORDER BY j DESC) = 1), y AS (SELECT *, CASE WHEN reason IS NULL AND clk > 1800 THEN 'beyond_horizon' ELSE reason END AS why FROM z)"""
+
+
+def checked(spark, d):
+    v = vertices(spark, d)
+    j, seg = F.col("j"), F.col("seg")
+    lines = L.table(spark, d, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    cells = lines.select(F.col("l_orderkey").alias("route"), F.row_number().over(order).alias("pos"), F.col("l_suppkey").alias("seg"), (F.col("l_partkey") % 3).alias("class"), (F.col("l_quantity") * 10).alias("metres"), F.lit(45.0).alias("free_s"))
+    routes = v.select("route").distinct().select("route", ((F.col("route") % 40) * 60.0 - 120).alias("depart_s"), F.lit(0.25).alias("first_share"), F.lit(0.75).alias("last_share"))
+    segs = L.places(spark, d).select(F.col("place_id").alias("seg"))
+    forecast = segs.select("seg", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("bucket")).withColumn("seconds", F.when((seg + F.col("bucket")) % 17 != 0, 60.0 + (seg * 7 + F.col("bucket") * 13) % 50))
+    closures = segs.filter("seg % 10 < 2").select("seg", F.lit(600).alias("begin_s"), F.lit(1200).alias("end_s"), F.when(seg % 10 == 0, "full").otherwise("lane").alias("kind"))
+    w = Window.partitionBy("route").orderBy("pos")
+    arcs = cells.select(F.lag("seg").over(w).alias("src"), F.col("seg").alias("dst")).filter((F.col("src") * 31 + F.col("dst")) % 29 != 0).distinct()
+    return R.time_checked(routes, cells, forecast, closures, arcs, 0, 300, 6)
+
+
+@query(f"{CHECKED} SELECT route, CASE WHEN why IS NULL THEN round(clk, 4) END AS arrive_s, why AS reason, (CASE WHEN why IS NOT NULL THEN seg END)::DOUBLE AS seg, CASE WHEN why IS NOT NULL THEN round(clk, 4) END AS at_s, CASE WHEN why IS NULL THEN round(metres, 4) END AS metres, array_to_string(list_filter([CASE WHEN free THEN 'origin_cost_free_flow' END, CASE WHEN part THEN 'partial_restriction_on_route' END], lambda f: f IS NOT NULL), ',') AS flags FROM y")
+def time_checked(spark, d):
+    """Routes that are refused at illegal turns, closures, roads without a forecast, and outside its horizon."""
+    return rounded(checked(spark, d)[0].withColumn("seg", F.col("seg").cast("double")), 4, "arrive_s", "at_s", "metres")

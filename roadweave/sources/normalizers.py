@@ -260,3 +260,17 @@ def listed_events(*sources: DataFrame, box: tuple[float, float, float, float] =
     """Events of all sources inside the box, soonest first, `most` of them (the list's own length). Each: event, lon, lat, start, ..."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
     return rows.filter(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])).orderBy("start", "event").limit(most)
+
+
+def closure_occurrences(rows: DataFrame) -> DataFrame:
+    """start_s, end_s, rows, cnns: the rows of each exact span and their distinct streets, sorted. rows: start_s, end_s, cnn."""
+    return rows.groupBy("start_s", "end_s").agg(F.count("*").alias("rows"), F.array_sort(F.collect_set("cnn")).alias("cnns"))
+
+
+def local_time_issues(rows: DataFrame, zone: str = "America/Los_Angeles") -> DataFrame:
+    """id, side, utc, local_as_utc of starts and ends whose local time, by the rules of the zone, isn't the time given in UTC, which is the one that
+    counts and is never rewritten. rows: id, start_utc, end_utc (timestamps), start_local, end_local (local texts without an offset). Sides that
+    lack either are no issue; a local time that can't be read is one, with a null."""
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_utc").alias("utc"), F.to_utc_timestamp(F.try_to_timestamp(f"{s}_local"), zone).alias("local_as_utc"), F.col(f"{s}_local").alias("given"))
+    both = rows.select("id", F.explode(F.array(side("start"), side("end"))).alias("x")).select("id", "x.*").filter("utc is not null and given is not null")
+    return both.filter(~F.col("utc").eqNullSafe(F.col("local_as_utc"))).drop("given")

@@ -8,7 +8,9 @@ from roadweave.operators import features as FT
 from roadweave.operators import graph as G
 from roadweave.operators import navigation as NV
 from roadweave.operators import review as RV
+from roadweave.operators import routing as R
 from roadweave.operators import windows as W
+from roadweave.sources import normalizers as N
 from roadweave.streaming import jobs
 
 K = 1 / 111_132.0
@@ -90,3 +92,24 @@ def test_repeats_over_days_and_patches_of_ties(spark):
     same = spark.range(100).select(F.col("id"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))
     counts = W.balanced_patches(same, 30).groupBy("patch").count().collect()
     assert sorted(r["count"] for r in counts) == [25, 25, 25, 25] and W.balanced_patches(same.limit(0), 5).collect() == []
+
+
+def test_local_times_are_held_against_utc(spark):
+    rows = spark.createDataFrame([(1, "2024-01-10 16:00:00", "2024-07-10 16:00:00", "2024-01-10T08:00:00", "2024-07-10T09:00:00"), (2, "2024-07-10 16:00:00", None, "2024-07-10T08:00:00", "x"), (3, "2024-07-10 16:00:00", "2024-07-10 16:00:00", "soon", None)], "id int, s string, e string, start_local string, end_local string")
+    rows = rows.select("id", F.col("s").cast("timestamp").alias("start_utc"), F.col("e").cast("timestamp").alias("end_utc"), "start_local", "end_local")
+    got = {(r["id"], r["side"]): r["local_as_utc"] for r in N.local_time_issues(rows).collect()}
+    assert set(got) == {(2, "start"), (3, "start")} and got[3, "start"] is None and got[2, "start"].hour == 15
+
+
+def test_decisions_on_later_forecasts_leak(spark):
+    rows = spark.createDataFrame([(1, 10.0, 10.0), (2, 10.1, 10.0), (3, None, 10.0), (4, 9.0, 10.0)], "id int, issued_s double, decided_s double")
+    assert {r["id"] for r in R.decided_in_time(rows).filter("leak").collect()} == {2, 3}
+
+
+def test_routes_without_roads_are_refused(spark):
+    routes = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 1.0)], "route long, depart_s double, first_share double, last_share double")
+    cells = spark.createDataFrame([(2, 1, 7, "a", 100.0, 9.0)], "route long, pos int, seg long, class string, metres double, free_s double")
+    timed, spent = R.time_checked(routes, cells, spark.createDataFrame([], "seg long, bucket int, seconds double"), spark.createDataFrame([], "seg long, begin_s long, end_s long, kind string"), spark.createDataFrame([], "src long, dst long"), 0, 60, 6)
+    got = {r["route"]: r for r in timed.collect()}
+    assert got[1]["reason"] == "empty_route" and got[2]["arrive_s"] == 9.0 and got[2]["flags"] == "origin_cost_free_flow" and got[2]["metres"] == 100.0
+    assert [tuple(r) for r in spent.collect()] == [(2, "a", 9.0)]
