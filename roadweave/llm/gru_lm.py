@@ -30,7 +30,7 @@ TAIL_IN, END_IN = TOP + BANDS, TOP + BANDS + 1
 TAIL_CLASS = TOP // WIDTH + BANDS
 INPUTS, CLASSES = END_IN + 1, TAIL_CLASS + 2
 #: Documents side by side; steps that are learned from, or scored, at a time, at least and, where few documents run, at most.
-LANES, WINDOW, LONG_WINDOW, SCORE_WINDOW = 384, 16, 128, 64
+LANES, WINDOW, LONG_WINDOW, SCORE_WINDOW = 384, 16, 128, 16
 #: Documents of up to so many tokens wait together, until there are so many tokens of them: lanes then end at about the same step.
 POOLS = ((1024, 400_000), (4096, 1_600_000), (1 << 62, 4_000_000))
 FLUSH = 600_000
