@@ -49,7 +49,7 @@ def vertices(spark, d):
     x AS (SELECT m.route, m.t, c.j - 1 AS step, greatest(0, c.stop - m.at) AS to_next_m, greatest(0, m.total - m.at) AS left_m, c.later + c.seconds * greatest(0, c.stop - m.at) / c.metres AS left_s FROM m JOIN s c ON c.route = m.route AND c.start <= m.at AND (m.at < c.stop OR c.j = c.n)),
     y AS (SELECT f.route, f.t, f.accuracy <= 50 AND sqrt(((elon - lon) * cos(radians(lat))) ** 2 + (elat - lat) ** 2) * 111320.0 <= 40 AS arrived, x.step IS NULL AS held, struct_pack(step, to_next_m, left_m, left_s) AS seen, x.step AS has FROM f JOIN e USING (route) LEFT JOIN x USING (route, t)),
     z AS (SELECT route, t, arrived, held, last_value(CASE WHEN has IS NOT NULL THEN seen END IGNORE NULLS) OVER (PARTITION BY route ORDER BY t ROWS UNBOUNDED PRECEDING) AS known FROM y)
-    SELECT route AS trip, t::BIGINT AS t, arrived, held, known.step::DOUBLE AS step, round(known.to_next_m, 2) AS to_next_m, round(known.left_m, 2) AS left_m, round(known.left_s, 4) AS left_s FROM z""".lstrip(),
+    SELECT route AS trip, t::BIGINT AS t, arrived, held, known.step::DOUBLE AS step, round(known.to_next_m, 2) AS to_next_m, round(known.left_m, 2) AS left_m, round(known.left_s, 4) + 0.0 AS left_s FROM z""".lstrip(),
     "places",
 )
 def nav_progress(spark, d):
