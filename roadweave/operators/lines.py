@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.functions.scalars import haversine_m
 from roadweave.operators.joins import cells_around, own_cell
 
 #: Metres of a degree; a city is a plane.
@@ -194,3 +195,27 @@ def enrich_from_streets(records: DataFrame, streets: DataFrame, nodes: DataFrame
     return r.select("id", F.coalesce("cnn", "near_cnn").alias("cnn"), F.coalesce("lon", "slon", "nlon").alias("lon"), F.coalesce("lat", "slat", "nlat").alias("lat"), match.alias("match"))
 
 
+
+
+#: Seconds and metres between two fixes at most; a hop under so many metres is none.
+GAP_S, HOP_M, STOPPED_M = 180, 1500.0, 5.0
+
+
+def service_speeds(fixes: DataFrame, pieces: DataFrame, since_s: int | None = None, radius_m: float = 20.0, most_angle: float = 45.0) -> DataFrame:
+    """id, vehicle, seg, t, mps: the speed of a vehicle in service between two fixes, on the road that it ran along.
+
+    Both fixes must be of one line, at most GAP_S and HOP_M apart. A move is on the nearest road to its middle that runs its way; a vehicle that
+    hardly moved is on the road that its bearing points along, and without one nowhere. Fixes before since_s only start a move. A fix
+    without a vehicle or place is left out. fixes: id (once each), vehicle, line, t, lon, lat, bearing; pieces: of roads, their owner the road.
+    """
+    w = Window.partitionBy("vehicle").orderBy("t", "id")
+    f = fixes.filter("vehicle is not null and t is not null and lon is not null and lat is not null")
+    f = f.select("*", *(F.lag(c).over(w).alias(f"p_{c}") for c in ("line", "t", "lon", "lat"))).filter("line = p_line")
+    f = f.filter(F.col("t") >= since_s) if since_s is not None else f
+    gap = F.col("t") - F.col("p_t")
+    f = f.withColumn("gap", gap).withColumn("hop", haversine_m(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat"))).filter((F.col("gap") > 0) & (F.col("gap") <= GAP_S) & (F.col("hop") <= HOP_M))
+    moved = F.col("hop") >= STOPPED_M
+    middle = lambda c: F.when(moved, (F.col(f"p_{c}") + F.col(c)) / 2).otherwise(F.col(c)).alias(c)
+    way = F.when(moved, heading(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat"))).otherwise(F.col("bearing"))
+    at = nearest_heading(f.select(F.col("id").alias("point"), middle("lon"), middle("lat"), way.alias("heading")).filter("heading is not null"), pieces, radius_m, most_angle)
+    return f.join(at.select(F.col("point").alias("id"), F.col("owner").alias("seg")), "id").select("id", "vehicle", "seg", "t", (F.col("hop") / F.col("gap")).alias("mps"))

@@ -85,28 +85,33 @@ def assign_timed(candidates: DataFrame, cells: DataFrame, load: DataFrame, roads
     """batch, request, candidate, eta, growth, cost, reason: requests of a batch choose one after another (by place, then request), as score_timed
     does, each on top of the load and what those before it in its batch chose. A request without an allowed candidate has a null choice.
 
-    Requests touch each other only where allowed candidates share a road and bin, so a batch falls apart into connected sets of requests, which
-    choose in parallel with the same result; a task holds the largest such set, not a batch. candidates: batch, request (of one batch only),
-    place, candidate, eta, allowed; cells: request, candidate, seg, bin, share.
+    Requests touch each other only where allowed candidates share a road and bin. One that touches none is scored as it is; the others fall apart
+    into connected sets, which choose in parallel with the same result, so a task holds the largest such set, not a batch. candidates: batch,
+    request (of one batch only), place, candidate, eta, allowed; cells: request, candidate, seg, bin, share.
     """
-    c = candidates.withColumn("allowed", F.coalesce(F.col("allowed") & F.col("eta").isNotNull(), F.lit(False)))
+    c = candidates.withColumn("allowed", F.coalesce(F.col("allowed") & F.col("eta").isNotNull(), F.lit(False))).withColumn("eta", F.col("eta").cast("double"))
     own = cells.groupBy("request", "candidate", "seg", "bin").agg(F.sum("share").alias("share"))
     own = own.join(c.filter("allowed").select("batch", "request", "candidate"), ["request", "candidate"])
     met = own.select("batch", "request", "seg", "bin").distinct()
     first = met.groupBy("batch", "seg", "bin").agg(F.min("request").alias("first"))
-    sets = connected_components(met.join(first, ["batch", "seg", "bin"]).select(F.col("request").alias("src"), F.col("first").alias("dst")).distinct())
+    touching = met.join(first, ["batch", "seg", "bin"]).filter("request <> first")
+    sets = connected_components(touching.select(F.col("request").alias("src"), F.col("first").alias("dst")).distinct()).select(F.col("node").alias("request"), F.col("component").alias("set"))
+    alone = c.join(sets, "request", "left_anti")
+    scored = score_timed(alone.drop("batch", "place"), cells, load, roads, weight, tie_s, seed).filter("best")
+    chosen = ["request", "candidate", "eta", "growth", "cost", "reason"]
+    settled = alone.select("batch", "request").distinct().join(scored, "request", "left").withColumn("reason", F.coalesce("reason", F.lit(NO_CANDIDATE))).select("batch", *chosen)
     known = own.join(load, ["seg", "bin"], "left").join(roads.select("seg", "coef"), "seg", "left")
     cell = F.struct("seg", "bin", "share", F.coalesce(F.col("load").cast("double"), F.lit(0.0)).alias("load"), F.coalesce(F.col("coef").cast("double"), F.lit(0.0)).alias("coef"))
     by_candidate = known.groupBy("request", "candidate").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     none = F.array().cast(by_candidate.schema["cells"].dataType)
-    rows = c.join(by_candidate, ["request", "candidate"], "left").join(sets.withColumnRenamed("node", "request"), "request", "left")
-    rows = rows.select("batch", F.coalesce("component", "request").alias("set"), "request", "place", "candidate", F.col("eta").cast("double").alias("eta"), "allowed", F.coalesce("cells", none).alias("cells"))
+    rows = c.join(sets, "request").join(by_candidate, ["request", "candidate"], "left")
+    rows = rows.select("batch", "set", "request", "place", "candidate", "eta", "allowed", F.coalesce("cells", none).alias("cells"))
     kind = lambda name: rows.schema[name].dataType.simpleString()
-    chosen = ["request", "candidate", "eta", "growth", "cost", "reason"]
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(choose(x, weight, tie_s, seed), columns=chosen).astype({"candidate": object})
         out.insert(0, "batch", x["batch"].iloc[0])
         return out
 
-    return rows.groupBy("batch", "set").applyInPandas(run, f"batch {kind('batch')}, request {kind('request')}, candidate {kind('candidate')}, eta double, growth double, cost double, reason string")
+    ordered = rows.groupBy("batch", "set").applyInPandas(run, f"batch {kind('batch')}, request {kind('request')}, candidate {kind('candidate')}, eta double, growth double, cost double, reason string")
+    return settled.unionByName(ordered)
