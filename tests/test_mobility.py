@@ -13,7 +13,7 @@ from roadweave.operators import routing as R
 from roadweave.operators import scoring as P
 from roadweave.operators import streets as X
 from roadweave.operators import windows as W
-from roadweave.plans import detail_queries, experiment_queries, fact_queries, lenses, policy_queries, queries, road_queries  # noqa: F401
+from roadweave.plans import detail_queries, experiment_queries, fact_queries, feed_queries, lenses, policy_queries, queries, road_queries  # noqa: F401
 from roadweave.sources import tables as T
 from roadweave.streaming import jobs
 
