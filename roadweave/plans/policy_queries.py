@@ -128,3 +128,17 @@ def snap_trips(spark, d):
 def snap_totals(spark, d):
     _, totals = M.snap_trips(stop_requests(spark, d), L.places(spark, d), 1500.0, 2000.0)
     return totals.withColumn("p95_m", F.round("p95_m", 3))
+
+
+@query(
+    """, c AS (SELECT route, pos, seg, arrive_s % 8640000 AS t FROM trips), p AS (SELECT seg % 100 AS seg, t % 8640000 AS t, max(speed) AS delay, CASE WHEN t % 8640000 % 5 > 0 THEN 'm' || (t % 8640000 % 3) END AS model FROM readings GROUP BY 1, 2),
+    a AS (SELECT c.*, p.t AS t1, p.model AS m1 FROM c ASOF LEFT JOIN p ON c.seg = p.seg AND c.t >= p.t), b AS (SELECT a.*, p.t AS t2, p.model AS m2 FROM a ASOF LEFT JOIN p ON a.seg = p.seg AND a.t <= p.t),
+    h AS (SELECT route, CASE WHEN t2 IS NULL OR t - t1 <= t2 - t THEN t - t1 ELSE t2 - t END AS gap, coalesce(CASE WHEN t2 IS NULL OR t - t1 <= t2 - t THEN m1 ELSE m2 END, '?') AS m FROM b)
+    SELECT route, string_agg(DISTINCT m, ',' ORDER BY m) FILTER (WHERE gap <= 86400) AS models FROM h GROUP BY route""",
+    "trips", "readings",
+)
+def forecast_models(spark, d):
+    cells = L.trips(spark, d).select("route", "pos", "seg", (F.col("arrive_s") % 8_640_000).alias("t"))
+    preds = L.readings(spark, d).groupBy((F.col("seg") % 100).alias("seg"), (F.col("t") % 8_640_000).alias("t")).agg(F.max("speed").alias("delay"))
+    preds = preds.withColumn("model", F.when(F.col("t") % 5 > 0, F.concat(F.lit("m"), (F.col("t") % 3).cast("string"))))
+    return M.nearest_forecast(cells, preds, 86_400).select("route", "models")
