@@ -219,3 +219,24 @@ def service_speeds(fixes: DataFrame, pieces: DataFrame, since_s: int | None = No
     way = F.when(moved, heading(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat"))).otherwise(F.col("bearing"))
     at = nearest_heading(f.select(F.col("id").alias("point"), middle("lon"), middle("lat"), way.alias("heading")).filter("heading is not null"), pieces, radius_m, most_angle)
     return f.join(at.select(F.col("point").alias("id"), F.col("owner").alias("seg")), "id").select("id", "vehicle", "seg", "t", (F.col("hop") / F.col("gap")).alias("mps"))
+
+
+def piece_share(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """How far along a piece its nearest place to a point is, 0 to 1."""
+    dx, dy = (bx - ax) * lon_m(y), (by - ay) * LAT_M
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * lon_m(y) * dx + (y - ay) * LAT_M * dy) / (dx * dx + dy * dy)))
+
+
+def snap_ends(points: DataFrame, pieces: DataFrame, radius_m: float = 75.0, tie_m: float = 3.0) -> DataFrame:
+    """point, owner, metres, share, rank: a point's nearest road within the radius and all that are at most tie_m farther, as both directions of a
+    street are; share is how far along the road (0 to 1) its nearest place is. Roads as near to a millimetre go by owner. A point without a road has no row.
+    points: point, lon, lat; pieces: see pieces_of."""
+    length = F.hypot((F.col("bx") - F.col("ax")) * lon_m((F.col("ay") + F.col("by")) / 2), (F.col("by") - F.col("ay")) * LAT_M)
+    road = Window.partitionBy("owner")
+    measured = pieces.withColumn("long", length).withColumn("before", F.sum("long").over(road.orderBy("piece")) - F.col("long")).withColumn("all", F.sum("long").over(road))
+    near = near_pieces(points.select("point", "lon", "lat"), measured, radius_m)
+    along = (F.col("before") + piece_share(*(F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by"))) * F.col("long")) / F.col("all")
+    roads = near.groupBy("point", "owner").agg(F.min(F.struct("metres", "piece", along.alias("share"))).alias("x")).select("point", "owner", "x.metres", "x.share")
+    mine = Window.partitionBy("point")
+    tied = roads.withColumn("least", F.min("metres").over(mine)).filter(F.col("metres") <= F.col("least") + tie_m).drop("least")
+    return tied.withColumn("rank", F.row_number().over(mine.orderBy(F.round("metres", 3), "owner")))

@@ -129,3 +129,21 @@ def service_speeds(spark, d):
     ends = F.array(F.array("plon", "plat"), F.array(F.when(k % 2 == 0, F.col("plon") + 0.004).otherwise(F.col("plon")), F.when(k % 2 == 0, F.col("plat")).otherwise(F.col("plat") + 0.003)))
     pieces = LN.pieces_of(L.places(spark, d).select(k.alias("owner"), ends.alias("coords")))
     return LN.service_speeds(fixes, pieces).withColumn("mps", F.round("mps", 3))
+
+
+@query(
+    """, p AS (SELECT event_id, lon + (event_id % 7) * 0.0005 AS x, lat + 0.0002 AS y, 111320.0 * cos(radians(lat + 0.0002)) AS k FROM points), n AS (SELECT event_id, place_id, (x - plon) * k / (0.004 * k) AS t, (plon - x) * k AS px, (plat - y) * 111132.0 AS py, 0.004 * k AS dx FROM p JOIN places ON abs(plat - y) < 0.002),
+    m AS (SELECT event_id, place_id, greatest(0, least(1, t)) AS t, sqrt(pow(px + greatest(0, least(1, t)) * dx, 2) + py * py) AS m FROM n), b AS (SELECT event_id, place_id, m, t FROM m WHERE m <= 150 UNION ALL SELECT event_id, place_id + 1000000, m, 1 - t FROM m WHERE m <= 150)
+    SELECT event_id AS point, place_id AS owner, round(m, 3) AS metres, round(t + 1e-9, 5) AS share FROM b QUALIFY round(m, 6) <= round(min(m) OVER (PARTITION BY event_id), 6) + 3""",
+    "points", "places",
+)
+def snap_ends(spark, d):
+    """Each place has a street to the east, and the way back."""
+    k = F.col("place_id")
+    here, there = F.array("plon", "plat"), F.array(F.col("plon") + 0.004, F.col("plat"))
+    p = L.places(spark, d)
+    roads = p.select(k.alias("owner"), F.array(here, there).alias("coords")).unionByName(p.select((k + 1_000_000).alias("owner"), F.array(there, here).alias("coords")))
+    e = F.col("event_id")
+    points = L.points(spark, d).select(e.alias("point"), (F.col("lon") + e % 7 * 0.0005).alias("lon"), (F.col("lat") + 0.0002).alias("lat"))
+    out = LN.snap_ends(points, LN.pieces_of(roads), 150.0)
+    return nudged(out.withColumn("metres", F.round("metres", 3)), "share").drop("rank")

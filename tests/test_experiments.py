@@ -89,3 +89,16 @@ def test_vehicles_in_service(spark):
     # 2 moves east; 3 stands and points west; 4 stands without a bearing; 5 changes the line; 6 comes too late; 7 has no gap; 8 moves west; 11 jumps; 13 serves no line.
     assert got == {2: ("east", 1.47), 3: ("west", 0.0), 8: ("west", 1.47)}
     assert {r["id"] for r in LN.service_speeds(fixes, pieces, since_s=100).collect()} == {3, 8}
+
+
+def test_ends_on_both_ways_of_a_street(spark):
+    there = [[-122.40, 37.70], [-122.39, 37.70], [-122.39, 37.71]]
+    roads = spark.createDataFrame([("a", there), ("b", there[::-1]), ("c", [[-122.40, 37.7001], [-122.39, 37.7001]]), ("far", [[-122.0, 37.0], [-122.1, 37.0]])], "owner string, coords array<array<double>>")
+    points = spark.createDataFrame([(1, -122.395, 37.70), (2, -122.41, 37.70), (3, -122.3899, 37.71), (4, None, None)], "point int, lon double, lat double")
+    got = {(r["point"], r["owner"]): (round(r["metres"], 1), r["share"], r["rank"]) for r in LN.snap_ends(points, LN.pieces_of(roads)).collect()}
+    assert set(got) == {(1, "a"), (1, "b"), (3, "a"), (3, "b")}  # c is 11 m away, 2 too far from all
+    east, north = 0.01 * 111_320 * 0.79122, 0.01 * 111_132
+    assert got[1, "a"][1] == pytest.approx(east / 2 / (east + north), rel=1e-3) and got[1, "b"][1] == pytest.approx(1 - got[1, "a"][1])
+    assert got[3, "a"][:2] == (8.8, 1.0) and got[3, "b"][1] == 0.0 and [got[3, o][2] for o in "ab"] == [1, 2]
+    wide = {r["owner"]: r["rank"] for r in LN.snap_ends(points, LN.pieces_of(roads), tie_m=12.0).filter("point = 1").collect()}
+    assert wide == {"a": 1, "b": 2, "c": 3}
