@@ -410,3 +410,16 @@ def test_fills_splits_and_draws(spark):
     counts = spark.createDataFrame([(1, 2, 5, 3)], "k int, t long, arrived long, running long")
     got = [(r["t"], r["arrived"], r["running"]) for r in W.fill_totals(counts, "k", 5, ["arrived"], ["running"]).orderBy("t").collect()]
     assert got == [(0, 0, 0), (1, 0, 0), (2, 5, 3), (3, 5, 0), (4, 5, 0)]
+
+
+def test_nearest_by_positions_equals_all_pairs(spark, monkeypatch):
+    """Points and places of one position search once: no pair of rows reaches a shuffle, and ranks are those of all pairs."""
+    points = spark.range(3000).select(F.col("id").alias("point_id"), (F.col("id") % 3 / 1000.0).alias("lon"), (F.col("id") % 2 / 1000.0).alias("lat"))
+    places = spark.range(400).select(F.col("id").alias("place_id"), (F.col("id") % 4 / 1000.0).alias("plon"), F.lit(0.0).alias("plat"))
+    want = J.nearest_within(points, places, 250.0).filter("rank <= 3").collect()
+    found = J.nearest_within(points, places, 250.0, 3)
+    assert sorted(found.collect()) == sorted(want) and len(want) == 9000
+    met, pairs = [], J.near_pairs
+    monkeypatch.setattr(J, "near_pairs", lambda p, q, r: met.append((p.count(), q.count())) or pairs(p, q, r))
+    J.nearest_within(points, places, 250.0, 3)
+    assert met == [(6, 12)]
