@@ -132,6 +132,12 @@ def map_status(issues: DataFrame, now_s: Column, most_age_s: int = 1200) -> Data
 
 def cover_by_representatives(cover: DataFrame, represented: DataFrame) -> DataFrame:
     """seg, bucket, cover: closure cover of roads and of those that stand for them, the larger of both. cover: seg, bucket, cover; represented: seg,
-    represented_by (null: none)."""
+    represented_by (null: none). A road with one representative and no cover of its own takes that cover as it is, without a shuffle of its rows;
+    only the others are grouped."""
+    cover = cover.groupBy("seg", "bucket").agg(F.max("cover").alias("cover"))
+    by = represented.filter("represented_by is not null").groupBy("seg").agg(F.min("represented_by").alias("by"), (F.min("represented_by") < F.max("represented_by")).alias("more"))
+    by = by.join(cover.select("seg").distinct().withColumn("own", F.lit(True)), "seg", "left").withColumn("mixed", F.col("more") | F.col("own").isNotNull())
+    plain = by.filter(~F.col("mixed")).select("seg", "by").join(cover.withColumnRenamed("seg", "by"), "by").select("seg", "bucket", "cover")
+    represented = represented.join(by.filter("mixed").select("seg"), "seg", "left_semi")
     through = represented.filter("represented_by is not null").select("seg", F.col("represented_by").alias("by")).distinct().join(cover.withColumnRenamed("seg", "by"), "by").select("seg", "bucket", "cover")
-    return cover.select("seg", "bucket", "cover").unionByName(through).groupBy("seg", "bucket").agg(F.max("cover").alias("cover"))
+    return cover.select("seg", "bucket", "cover").unionByName(through).groupBy("seg", "bucket").agg(F.max("cover").alias("cover")).unionByName(plain)
