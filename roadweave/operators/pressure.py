@@ -43,7 +43,7 @@ def growth(cells: DataFrame, load: DataFrame, roads: DataFrame, *keys: str) -> D
 
 def score_timed(candidates: DataFrame, cells: DataFrame, load: DataFrame, roads: DataFrame, weight: float, tie_s: float = 0.5, seed: int = 0) -> DataFrame:
     """request, candidate, eta, growth, cost, best, reason (of the best): the cost is the time plus weight times the growth. Among the allowed whose
-    cost is within tie_s of the least, the best is that of the least digest of seed, request and candidate. Without weight, the fastest.
+    cost is within tie_s of the least, the best is that of the least digest of seed, request and candidate (of several rows of one candidate the quickest). Without weight, the fastest.
     candidates: request, candidate, eta, allowed; one that isn't allowed has no cost; a null of it is false. cells, load, roads: see growth."""
     c = candidates.join(growth(cells, load, roads, "request", "candidate"), ["request", "candidate"], "left").withColumn("growth", F.coalesce("growth", F.lit(0.0)))
     c = c.withColumn("cost", F.when(F.col("allowed"), F.col("eta") + weight * F.col("growth")))
@@ -51,8 +51,8 @@ def score_timed(candidates: DataFrame, cells: DataFrame, load: DataFrame, roads:
     near = F.coalesce(F.col("cost") <= F.min("cost").over(mine) + tie_s, F.lit(False))
     c = c.withColumn("near", near).withColumn("tied", F.count_if("near").over(mine) > 1)
     digest = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("request").cast("string"), F.col("candidate").cast("string")).cast("binary"))
-    first = F.row_number().over(mine.orderBy(F.desc("near"), digest, "candidate")) == 1
-    quickest = F.row_number().over(mine.orderBy(F.desc(F.col("cost").isNotNull()), "eta", "candidate")) == 1
+    first = F.row_number().over(mine.orderBy(F.desc("near"), digest, "candidate", "eta")) == 1
+    quickest = F.rank().over(mine.orderBy(F.desc(F.col("cost").isNotNull()), "eta", "candidate")) == 1
     c = c.withColumn("best", first & F.col("near")).withColumn("quickest", quickest)
     why = F.concat_ws(",", F.when(F.col("quickest"), FASTEST).otherwise(SPREAD), F.when(F.col("tied"), TIED))
     return c.select("request", "candidate", "eta", "growth", "cost", "best", F.when(F.col("best"), why).alias("reason"))
@@ -73,7 +73,7 @@ def choose(rows: pd.DataFrame, weight: float, tie_s: float, seed: int) -> list[t
             continue
         least = min(c[0] for c in costs)
         near = [c for c in costs if c[0] <= least + tie_s]
-        cost, eta, grown, candidate, cells = min(near, key=lambda c: (hashlib.sha1(f"{seed}|{request}|{c[3]}".encode()).hexdigest(), c[3]))
+        cost, eta, grown, candidate, cells = min(near, key=lambda c: (hashlib.sha1(f"{seed}|{request}|{c[3]}".encode()).hexdigest(), c[3], c[1]))
         fastest = min(costs, key=lambda c: (c[1], c[3]))[3]
         for x in cells:
             brought[x["seg"], x["bin"]] += x["share"]

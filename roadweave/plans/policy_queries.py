@@ -80,8 +80,8 @@ PRESSED = """kernel(j, w) AS (VALUES (-1, 0.25), (0, 0.5), (1, 0.25)), e AS (SEL
 
 @query(
     f"""WITH {PRESSED}, k AS (SELECT request, candidate, eta, growth, CASE WHEN allowed THEN eta + 60.0 * growth END AS cost FROM c LEFT JOIN grown USING (request, candidate)), m AS (SELECT *, min(cost) OVER (PARTITION BY request) AS least FROM k),
-    n AS (SELECT *, coalesce(cost <= least + 0.5, false) AS near FROM m), b AS (SELECT *, near AND row_number() OVER (PARTITION BY request ORDER BY near DESC, sha1('7|' || request || '|' || candidate), candidate) = 1 AS best, count(*) FILTER (WHERE near) OVER (PARTITION BY request) > 1 AS tied,
-    row_number() OVER (PARTITION BY request ORDER BY cost IS NULL, eta, candidate) = 1 AS quickest FROM n) SELECT request, candidate, round(growth + 1e-9, 5) AS growth, best, CASE WHEN best THEN CASE WHEN quickest THEN 'fastest_candidate' ELSE 'lower_concentration_within_detour_bound' END || CASE WHEN tied THEN ',seeded_tie_break' ELSE '' END END AS reason FROM b"""
+    n AS (SELECT *, coalesce(cost <= least + 0.5, false) AS near FROM m), b AS (SELECT *, near AND row_number() OVER (PARTITION BY request ORDER BY near DESC, sha1('7|' || request || '|' || candidate), candidate, eta) = 1 AS best, count(*) FILTER (WHERE near) OVER (PARTITION BY request) > 1 AS tied,
+    rank() OVER (PARTITION BY request ORDER BY cost IS NULL, eta, candidate) = 1 AS quickest FROM n) SELECT request, candidate, round(growth + 1e-9, 5) AS growth, best, CASE WHEN best THEN CASE WHEN quickest THEN 'fastest_candidate' ELSE 'lower_concentration_within_detour_bound' END || CASE WHEN tied THEN ',seeded_tie_break' ELSE '' END END AS reason FROM b"""
 )
 def score_timed(spark, d):
     out = PR.score_timed(choices(spark, d), pressed(spark, d), ledger(spark, d), weighed(spark, d), 60.0, seed=7)

@@ -145,3 +145,13 @@ def test_requests_with_stops(spark):
     assert t["p95_m"] == pytest.approx(np.percentile(ends, 95))
     none = M.snap_trips(q.limit(0), roads)[1].first()
     assert (none["requests"], none["p95_m"]) == (0, None)
+
+
+def test_rows_of_one_candidate_go_by_time(spark):
+    """A candidate that comes twice is chosen in its quicker row, which is also the fastest, in any order of rows."""
+    rows = [(1, 1, 10.25, True), (1, 1, 10.0, True), (1, 1, 10.0, False)]
+    none = spark.createDataFrame([], "request int, candidate int, seg int, bin long, share double"), spark.createDataFrame([], "seg int, bin long, load double"), spark.createDataFrame([], "seg int, coef double")
+    for turned in (rows, rows[::-1]):
+        c = spark.createDataFrame(turned, "request int, candidate int, eta double, allowed boolean").coalesce(1)
+        best = PR.score_timed(c, *none, 60.0).filter("best").collect()
+        assert [(r["eta"], r["reason"]) for r in best] == [(10.0, "fastest_candidate,seeded_tie_break")]
