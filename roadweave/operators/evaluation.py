@@ -107,9 +107,9 @@ def quality_gate(runs: DataFrame, limits: dict[str, float]) -> DataFrame:
 
 
 def road_occupancy(samples: DataFrame, period_s: int, least: float = 0.5) -> DataFrame:
-    """win, seg, cars (mean), speed (share of free flow, in twentieths) of roads with half a car or more. samples: seg, t, car_s, relative."""
+    """win, seg, cars (mean), speed (share of free flow, in twentieths; halves go up, whatever the order of the sums) of roads with half a car or more. samples: seg, t, car_s, relative."""
     g = samples.groupBy((F.floor(F.col("t") / period_s) * period_s).alias("win"), "seg").agg((F.sum("car_s") / period_s).alias("cars"), F.try_divide(F.sum(F.col("relative") * F.col("car_s")), F.sum("car_s")).alias("relative"))
-    return g.filter((F.col("cars") >= least) & F.col("relative").isNotNull()).select("win", "seg", F.round("cars", 1).alias("cars"), (F.round(F.col("relative") * 20) / 20).alias("speed"))
+    return g.filter((F.col("cars") >= least) & F.col("relative").isNotNull()).select("win", "seg", F.round("cars", 1).alias("cars"), (F.round(F.round(F.col("relative") * 20, 9)) / 20).alias("speed"))
 
 
 def vehicle_state_buckets(samples: DataFrame, window_s: int) -> DataFrame:

@@ -12,12 +12,15 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from roadweave.functions import events as EV
 from roadweave.functions import scalars as S
 from roadweave.operators import evaluation as E
+from roadweave.operators import experiments as EX
 from roadweave.operators import graph as G
 from roadweave.operators import joins as J
 from roadweave.operators import lines as X
+from roadweave.operators import matching as M
 from roadweave.operators import policy as P
 from roadweave.operators import quality as Q
 from roadweave.operators import readings as R
+from roadweave.operators import streets as ST
 from roadweave.operators import windows as W
 from roadweave.sources import normalizers as N
 from roadweave.sources import tables as T
@@ -423,3 +426,50 @@ def test_nearest_by_positions_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(J, "near_pairs", lambda p, q, r: met.append((p.count(), q.count())) or pairs(p, q, r))
     J.nearest_within(points, places, 250.0, 3)
     assert met == [(6, 12)]
+
+
+def test_halves_go_up_whatever_the_sum(spark):
+    """0.1 + 0.2 style noise around a half: sums in another order give the same rows."""
+    rows = [(1, 0, w * 900.0, r) for w, r in ((1, 0.1), (1, 0.7), (1, 0.025))]
+    for turned in (rows, rows[::-1]):
+        found = E.road_occupancy(spark.createDataFrame(turned, "seg int, t long, car_s double, relative double").coalesce(1), 3600).first()
+        assert found["speed"] == 0.3  # 0.275 is half way
+    f = spark.createDataFrame([(1, 0, x, 1.0) for x in (1.001, 1.009)], "seg int, t long, free_flow double, metres double")
+    assert R.latest_free_flow(f).first()["free_flow"] == 1.01  # 1.005 is below it as a double
+
+
+def test_records_are_not_sent_whole(spark):
+    rows = spark.createDataFrame([(1, 1, "a", 0.0, 0.0, 0), (2, 2, "a", 0.001, 0.0, 5)], "id long, source long, category string, lon double, lat double, t long")
+    found = J.cross_source_pairs(rows, 500.0, 60)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString() and [tuple(r) for r in found.collect()] == [(1, 2, "a")]
+
+
+def test_cover_of_single_representatives(spark):
+    cover = spark.createDataFrame([(1, 0, 0.5), (1, 10, 0.2), (2, 0, 0.7), (3, 0, 0.1)], "seg long, bucket long, cover double")
+    by = spark.createDataFrame([(7, 1), (8, 1), (8, 2), (3, 2), (9, None), (7, 1)], "seg long, represented_by long")
+    want = [(1, 0, 0.5), (1, 10, 0.2), (2, 0, 0.7), (3, 0, 0.7), (7, 0, 0.5), (7, 10, 0.2), (8, 0, 0.7), (8, 10, 0.2)]
+    assert sorted(map(tuple, EX.cover_by_representatives(cover, by).collect())) == want
+    assert EX.cover_by_representatives(cover, by)._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_cases_meet_by_slots(spark, monkeypatch):
+    met, pairs = [], M.near_pairs
+    monkeypatch.setattr(M, "near_pairs", lambda p, q, r, *keys: met.append(keys) or pairs(p, q, r, *keys))
+    c = spark.createDataFrame([(1, 0.0, 0.0, 100, 40_000), (2, 0.0, 0.0, 5, 3)], "closure long, lon double, lat double, c_start long, c_end long")
+    e = spark.createDataFrame([(5, 0.0, 0.001, 39_000, 50_000), (4, 0.0, 0.0, 40_001, 50_000), (6, 0.0, 0.002, 0, 10)], "event long, plon double, plat double, e_start long, e_end long")
+    found = M.closure_event_cases(c, e, 500.0, 10_800)
+    assert sorted((r["closure"], r["event"]) for r in found.collect()) == [(1, 5), (2, 6)] and met == [("__slot",)]
+
+
+def test_points_of_one_place_search_once(spark, monkeypatch):
+    met, pairs = [], ST.near_pairs
+    monkeypatch.setattr(ST, "near_pairs", lambda p, q, r: met.append(p.count()) or pairs(p, q, r))
+    p = spark.range(40).select(F.col("id").alias("edge"), F.col("id").alias("point_id"), F.col("id").alias("event"), (F.col("id") % 4).alias("route"), F.col("id").alias("pos"), (F.col("id") % 2 / 1000.0).alias("lon"), F.lit(0.0).alias("lat"), F.lit("A").alias("name"))
+    q = spark.createDataFrame([(1, 0.0, 0.0, "A", 30), (2, 0.001, 0.0, None, 20)], "street long, plon double, plat double, sname string, posted long")
+    q = q.select("*", F.col("street").alias("place_id"), F.col("street").alias("road"), F.col("street").alias("condition"))
+    assert {(r["edge"] % 2, r["street"], r["limit"]) for r in ST.link_streets(p, q, 150.0).collect()} == {(0, 1, 30), (1, 2, 20)}
+    assert ST.segments_near(p, q, 150.0, 5.0).count() == 40 and ST.event_road_pairs(p, q, 50.0, 10.0, (500,)).count() == 40
+    assert sorted(map(tuple, ST.conditions_along(p, q, 50.0, 0.5).collect())) == [(0, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (3, 2, 1.0)]
+    assert met == [2, 2, 2, 2]
+    twice = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 0, 0.00001, 0.0), (0, 1, 0.0, 0.0), (0, 2, 0.5, 0.0), (0, None, 0.0, 0.0)], "route long, pos long, lon double, lat double")
+    assert [tuple(r) for r in ST.conditions_along(twice, q, 50.0, 0.5).collect()] == [(0, 1, 2 / 3)]
