@@ -350,7 +350,7 @@ def event_rule(spark, d):
     return p.select("event_id", r4(W.event_rule(F.col("b"), F.col("x"), F.col("s"), F.col("e"), F.col("m"))).alias("seconds"))
 
 
-@query("WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_acctbal AS x, (s_suppkey * 7919) % 1000 AS y FROM supplier), w AS (SELECT id, x, y, 0 AS patch, (SELECT ceil(count(*) / 30.0)::INT FROM p) AS parts, 0 AS level FROM p UNION ALL SELECT id, x, y, CASE WHEN parts = 1 OR k <= cut THEN patch ELSE patch + parts // 2 END, CASE WHEN parts = 1 THEN 1 WHEN k <= cut THEN parts // 2 ELSE parts - parts // 2 END, level + 1 FROM (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY CASE WHEN wide THEN y ELSE x END, CASE WHEN wide THEN x ELSE y END, id) AS k, floor(n * (parts // 2) / parts) AS cut FROM (SELECT *, count(*) OVER q AS n, max(y) OVER q - min(y) OVER q > max(x) OVER q - min(x) OVER q AS wide FROM w WINDOW q AS (PARTITION BY patch))) WHERE level < 8) SELECT id, patch FROM w WHERE level = 8")
+@query("WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_acctbal AS x, (s_suppkey * 7919) % 1000 AS y FROM supplier), w AS (SELECT id, x, y, 0 AS patch, (SELECT ceil(count(*) / 30.0)::INT FROM p) AS parts, 0 AS level FROM p UNION ALL SELECT id, x, y, CASE WHEN parts = 1 OR k <= cut THEN patch ELSE patch + parts // 2 END, CASE WHEN parts = 1 THEN 1 WHEN k <= cut THEN parts // 2 ELSE parts - parts // 2 END, level + 1 FROM (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY CASE WHEN wide THEN y ELSE x END, CASE WHEN wide THEN x ELSE y END, id) AS k, floor(n * (parts // 2) / parts) AS cut FROM (SELECT *, count(*) OVER q AS n, max(y) OVER q - min(y) OVER q > max(x) OVER q - min(x) OVER q AS wide FROM w WINDOW q AS (PARTITION BY patch))) WHERE level < 32) SELECT id, patch FROM w WHERE level = 32")
 def balanced_patches(spark, d):
     s = L.table(spark, d, "supplier")
     return W.balanced_patches(s.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), ((F.col("s_suppkey") * 7919) % 1000).cast("double").alias("y")), 30)
