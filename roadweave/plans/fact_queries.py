@@ -466,9 +466,9 @@ def cohort_comparison(spark, d):
     return out.withColumn("paired_delta", r4("paired_delta"))
 
 
-@query("SELECT l_suppkey AS run, array_to_string([x FOR x IN [CASE WHEN avg(l_discount) > 0.05 THEN 'discount' END, CASE WHEN max(l_quantity) > 49 THEN 'most' END] IF x IS NOT NULL], ',') AS failures, avg(l_discount) <= 0.05 AND max(l_quantity) <= 49 AS passed FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey AS run, array_to_string([x FOR x IN [CASE WHEN round(avg(l_discount), 9) > 0.05 THEN 'discount' END, CASE WHEN max(l_quantity) > 49 THEN 'most' END] IF x IS NOT NULL], ',') AS failures, round(avg(l_discount), 9) <= 0.05 AND max(l_quantity) <= 49 AS passed FROM lineitem GROUP BY 1")
 def quality_gate(spark, d):
-    r = L.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg(F.avg("l_discount").alias("discount"), F.max("l_quantity").alias("most"))
+    r = L.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg(F.round(F.avg("l_discount"), 9).alias("discount"), F.max("l_quantity").alias("most"))
     return E.quality_gate(r, {"discount": 0.05, "most": 49}).withColumn("failures", F.array_join("failures", ","))
 
 
