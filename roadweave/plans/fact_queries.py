@@ -31,7 +31,7 @@ LINES = """lines AS (SELECT user_id AS key, floor(epoch(ts))::BIGINT AS t, CASE
     rel AS (SELECT key, t, max(value) AS share FROM lines WHERE style = 'relative' GROUP BY 1, 2),
     abso AS (SELECT key, t, CASE WHEN closed THEN 0.0 ELSE value * 0.621371192 END AS mph, closed FROM lines WHERE style = 'absolute'),
     measured AS (SELECT a.key, a.t, mph, CASE WHEN NOT closed AND r.share >= 0.05 AND a.t - r.t <= 43200 THEN least(mph / r.share, 100.0) END AS free_flow FROM abso a ASOF LEFT JOIN rel r ON a.key = r.key AND a.t >= r.t WHERE mph BETWEEN 0 AND 100)"""
-LINE_MAP = "line_map AS (SELECT k AS key, (k * 7 + j) % 60 AS seg, 20.0 + (k * 13 + j * 5) % 80 AS metres FROM range(150) a(k), range(2) b(j))"
+LINE_MAP = "line_map AS (SELECT k AS key, (k * 7 + j) % 60 AS seg, 20.0 + (k * 13 + j * 5) % 80 AS metres FROM (SELECT DISTINCT user_id FROM events) a(k), range(2) b(j))"
 
 
 def line_map(spark, d):
@@ -53,12 +53,12 @@ def latest_free_flow(spark, d):
 
 
 @query(
-    f"""WITH {LINES}, {LINE_MAP}, last AS (SELECT seg, round(arg_max(f, day), 2) AS last FROM (SELECT seg, t // 86400 AS day, sum(free_flow * metres) / sum(metres) AS f FROM measured JOIN line_map USING (key) WHERE free_flow IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+    f"""WITH {LINES}, {LINE_MAP}, last AS (SELECT seg, round(arg_max(f, day) + 1e-9, 2) AS last FROM (SELECT seg, t // 86400 AS day, sum(free_flow * metres) / sum(metres) AS f FROM measured JOIN line_map USING (key) WHERE free_flow IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
     levels AS (SELECT user_id AS key, floor(epoch(ts))::BIGINT AS t, CASE WHEN event_id % 29 = 0 THEN 1.0 WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 0.4 WHEN event_id % 5 = 2 THEN 0.65 WHEN event_id % 5 = 3 THEN 0.85 ELSE 0.1 END AS ratio FROM events WHERE event_type = 'signup'),
     rows AS (SELECT seg, 'flow' AS source, t, mph, free_flow, NULL::DOUBLE AS ratio, metres FROM measured JOIN line_map USING (key) UNION ALL SELECT seg, 'tiles', t, NULL, NULL, ratio, metres FROM levels JOIN line_map USING (key) WHERE ratio IS NOT NULL),
     b AS (SELECT t - t % 600 AS bucket, seg, source, sum(mph * metres) / sum(metres) FILTER (WHERE mph IS NOT NULL) AS speed, sum(free_flow * metres) / sum(metres) FILTER (WHERE free_flow IS NOT NULL) AS own, sum(ratio * metres) / sum(metres) FILTER (WHERE ratio IS NOT NULL) AS given FROM rows GROUP BY 1, 2, 3),
-    f AS (SELECT b.*, coalesce(own, last, 25.0 + seg % 3 * 5) AS ff, coalesce(CASE WHEN speed IS NOT NULL THEN greatest(0, least(1, 1 - speed / coalesce(own, last, 25.0 + seg % 3 * 5))) END, given) AS r FROM b LEFT JOIN last USING (seg))
-    SELECT bucket, seg, source, round(speed, 2) AS speed, round(ff, 2) AS free_flow, round(CASE WHEN source = 'flow' AND speed > 0 THEN (100.0 + seg) / (speed * 0.44704) END, 1) AS travel_time, round(r, 4) AS ratio FROM f WHERE NOT (source = 'tiles' AND coalesce(r, 1.0) <= 0.1 + 1e-9)"""
+    f AS (SELECT b.*, coalesce(own, last, 25.0 + seg % 3 * 5) AS ff, coalesce(CASE WHEN speed IS NOT NULL AND coalesce(own, last, 25.0 + seg % 3 * 5) > 0 THEN greatest(0, least(1, 1 - speed / coalesce(own, last, 25.0 + seg % 3 * 5))) END, given) AS r FROM b LEFT JOIN last USING (seg))
+    SELECT bucket, seg, source, round(speed + 1e-9, 2) AS speed, round(ff + 1e-9, 2) AS free_flow, round(CASE WHEN source = 'flow' AND speed > 0 THEN (100.0 + seg) / (speed * 0.44704) END + 1e-9, 1) AS travel_time, round(r + 1e-9, 4) AS ratio FROM f WHERE NOT (source = 'tiles' AND coalesce(r, 1.0) <= 0.1 + 1e-9)"""
 )
 def segment_facts(spark, d):
     segs = line_map(spark, d)
