@@ -230,13 +230,14 @@ def piece_share(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Co
 def snap_ends(points: DataFrame, pieces: DataFrame, radius_m: float = 75.0, tie_m: float = 3.0) -> DataFrame:
     """point, owner, metres, share, rank: a point's nearest road within the radius and all that are at most tie_m farther, as both directions of a
     street are; share is how far along the road (0 to 1) its nearest place is. Roads as near to a millimetre go by owner. A point without a road has no row.
-    points: point, lon, lat; pieces: see pieces_of."""
+    points: point (once each), lon, lat; pieces: see pieces_of. Points of one position search and rank roads once."""
     length = F.hypot((F.col("bx") - F.col("ax")) * lon_m((F.col("ay") + F.col("by")) / 2), (F.col("by") - F.col("ay")) * LAT_M)
     road = Window.partitionBy("owner")
     measured = pieces.withColumn("long", length).withColumn("before", F.sum("long").over(road.orderBy("piece")) - F.col("long")).withColumn("all", F.sum("long").over(road))
-    near = near_pieces(points.select("point", "lon", "lat"), measured, radius_m)
+    near = near_pieces(points.select("lon", "lat").distinct(), measured, radius_m)
     along = (F.col("before") + piece_share(*(F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by"))) * F.col("long")) / F.col("all")
-    roads = near.groupBy("point", "owner").agg(F.min(F.struct("metres", "piece", along.alias("share"))).alias("x")).select("point", "owner", "x.metres", "x.share")
-    mine = Window.partitionBy("point")
-    tied = roads.withColumn("least", F.min("metres").over(mine)).filter(F.col("metres") <= F.col("least") + tie_m).drop("least")
-    return tied.withColumn("rank", F.row_number().over(mine.orderBy(F.round("metres", 3), "owner")))
+    roads = near.groupBy("lon", "lat", "owner").agg(F.min(F.struct("metres", "piece", along.alias("share"))).alias("x")).select("lon", "lat", "owner", "x.metres", "x.share")
+    spot = Window.partitionBy("lon", "lat")
+    tied = roads.withColumn("least", F.min("metres").over(spot)).filter(F.col("metres") <= F.col("least") + tie_m).drop("least")
+    ranked = tied.withColumn("rank", F.row_number().over(spot.orderBy(F.round("metres", 3), "owner")))
+    return points.select("point", "lon", "lat").join(ranked, ["lon", "lat"]).drop("lon", "lat")
