@@ -8,6 +8,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.operators.joins import cells_around, own_cell
+
 
 def departure_times(trips: DataFrame, alternatives: DataFrame, now_s: Column) -> DataFrame:
     """trip, route, depart_s, and the joint window from_s, to_s of all alternatives of the trip. A trip that must arrive leaves its duration earlier,
@@ -117,11 +119,20 @@ def concentration_growth(cells: DataFrame, load: DataFrame, *keys: str) -> DataF
 
 def demand_to_place(trips: DataFrame, places: DataFrame, radius_m: float, window_s: int) -> DataFrame:
     """place, riders: trips that haven't arrived, end in the box around the place and leave within window_s of its time. trips: trip, lon, lat, depart_s,
-    arrived; places: place, plon, plat, at_s. A trip is dealt to latitude bands of the radius, and a place looks into three."""
+    arrived; places: place, plon, plat, at_s.
+
+    No place is paired with trips: it is paired with the positions in its box, and at each of them the trips up to the window's end less those
+    before it are read off one running count, so rows grow with trips and with places times the positions around them."""
     dlat = radius_m / 111_132.0
     dlon = radius_m / (111_320.0 * F.cos(F.radians("plat")))
-    t = trips.filter("not coalesce(arrived, false)").withColumn("__band", F.floor(F.col("lat") / dlat)).withColumn("__slot", F.floor(F.col("depart_s") / window_s))
-    p = places.withColumn("__band", F.explode(F.array(*(F.floor(F.col("plat") / dlat) + k for k in (-1, 0, 1))))).withColumn("__slot", F.explode(F.array(*(F.floor(F.col("at_s") / window_s) + k for k in (-1, 0, 1)))))
-    near = (F.abs(F.col("lat") - F.col("plat")) <= dlat) & (F.abs(F.col("lon") - F.col("plon")) <= dlon) & (F.abs(F.col("depart_s") - F.col("at_s")) <= window_s)
-    counted = p.join(t, ["__band", "__slot"]).filter(near).groupBy("place").agg(F.count("*").alias("riders"))
+    counts = trips.filter("not coalesce(arrived, false) and depart_s is not null").groupBy("lon", "lat", "depart_s").agg(F.count("*").alias("n"))
+    spots = counts.select("lon", "lat").distinct().withColumn("__cell", own_cell(F.col("lon"), F.col("lat"), radius_m))
+    sites = places.select("plon", "plat").distinct().withColumn("__cell", F.explode(cells_around(F.col("plon"), F.col("plat"), radius_m)))
+    box = sites.join(spots, "__cell").filter((F.abs(F.col("lat") - F.col("plat")) <= dlat) & (F.abs(F.col("lon") - F.col("plon")) <= dlon)).drop("__cell")
+    # A reading before the trips of its second leaves them out, one behind them has them in.
+    reads = F.array(F.struct((F.col("at_s") - window_s).alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")), F.struct((F.col("at_s") + window_s).alias("at"), F.lit(2).alias("turn"), F.lit(1).alias("sign")))
+    asked = places.filter("at_s is not null").select("place", "plon", "plat", F.explode(reads).alias("r")).join(box, ["plon", "plat"]).select("lon", "lat", "place", "r.*", F.lit(0).cast("long").alias("n"))
+    both = asked.unionByName(counts.select("lon", "lat", F.lit(None).cast(places.schema["place"].dataType).alias("place"), F.col("depart_s").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("sign"), "n"))
+    upto = F.sum("n").over(Window.partitionBy("lon", "lat").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    counted = both.withColumn("upto", upto).filter("turn <> 1").groupBy("place").agg(F.sum(F.col("upto") * F.col("sign")).alias("riders"))
     return places.select("place").join(counted, "place", "left").select("place", F.coalesce("riders", F.lit(0)).alias("riders"))
