@@ -69,8 +69,18 @@ def nearest_lines(points: DataFrame, pieces: DataFrame, radius_m: float) -> Data
 
 def nearest_heading(points: DataFrame, pieces: DataFrame, radius_m: float, most_angle: float) -> DataFrame:
     """point, owner, metres of the nearest piece that runs within most_angle of the point's heading. points: point, lon, lat, heading."""
-    near = near_pieces(points.withColumnRenamed("heading", "__way").select("point", "lon", "lat", "__way"), pieces, radius_m).filter(turn(F.col("__way"), F.col("heading")) <= most_angle)
-    return near.groupBy("point").agg(F.min(F.struct("metres", "owner")).alias("x")).select("point", "x.owner", "x.metres")
+    found = on_headings(points.select("point", "lon", "lat", "heading"), pieces, radius_m, most_angle)
+    return found.groupBy("point").agg(F.min(F.struct("metres", "owner")).alias("x")).select("point", "x.owner", "x.metres")
+
+
+def on_headings(points: DataFrame, pieces: DataFrame, radius_m: float, most_angle: float) -> DataFrame:
+    """points that have a piece within the radius and most_angle of their heading, with owner and metres of the nearest. points: lon, lat, heading,
+    ... Points of one position and heading search once, and of pieces between the same ends only that of the least owner is met."""
+    one = pieces.groupBy("ax", "ay", "bx", "by").agg(F.min("owner").alias("owner"), F.first("heading").alias("heading"))
+    spots = points.select("lon", "lat", F.col("heading").alias("__way")).distinct()
+    near = near_pieces(spots, one, radius_m).filter(turn(F.col("__way"), F.col("heading")) <= most_angle)
+    best = near.groupBy("lon", "lat", F.col("__way").alias("heading")).agg(F.min(F.struct("metres", "owner")).alias("x")).select("lon", "lat", "heading", "x.owner", "x.metres")
+    return points.join(best, ["lon", "lat", "heading"])
 
 
 def prune_detours(path: list[tuple[str, float]], ends: dict[str, tuple[str, str]]) -> list[tuple[str, float]]:
@@ -217,8 +227,8 @@ def service_speeds(fixes: DataFrame, pieces: DataFrame, since_s: int | None = No
     moved = F.col("hop") >= STOPPED_M
     middle = lambda c: F.when(moved, (F.col(f"p_{c}") + F.col(c)) / 2).otherwise(F.col(c)).alias(c)
     way = F.when(moved, heading(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat"))).otherwise(F.col("bearing"))
-    at = nearest_heading(f.select(F.col("id").alias("point"), middle("lon"), middle("lat"), way.alias("heading")).filter("heading is not null"), pieces, radius_m, most_angle)
-    return f.join(at.select(F.col("point").alias("id"), F.col("owner").alias("seg")), "id").select("id", "vehicle", "seg", "t", (F.col("hop") / F.col("gap")).alias("mps"))
+    moves = f.select("id", "vehicle", "t", (F.col("hop") / F.col("gap")).alias("mps"), middle("lon"), middle("lat"), way.alias("heading")).filter("heading is not null")
+    return on_headings(moves, pieces, radius_m, most_angle).select("id", "vehicle", F.col("owner").alias("seg"), "t", "mps")
 
 
 def piece_share(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
