@@ -21,7 +21,8 @@ def timed_cells(entries: DataFrame, *keys: str, bin_s: int = 300, kernel: tuple[
     are brought to a sum of 1. Entries into one road and bin add up. entries: keys, seg, entry_s; a null time presses nowhere."""
     half, total = len(kernel) // 2, float(sum(kernel))
     spread = F.explode(F.array(*(F.struct(F.lit(j - half).alias("d"), F.lit(w / total).alias("w")) for j, w in enumerate(kernel) if w > 0)))
-    e = entries.filter("entry_s is not null").select(*keys, "seg", F.floor(F.col("entry_s") / bin_s).alias("at"), spread.alias("x"))
+    e = entries.filter("entry_s is not null").select(*keys, "seg", F.floor(F.col("entry_s") / bin_s).alias("at"))
+    e = (e.repartition(*keys) if keys else e).withColumn("x", spread)  # by keys as entries, not as the kernel's copies of them
     return e.groupBy(*keys, "seg", (F.col("at") + F.col("x.d")).alias("bin")).agg(F.sum("x.w").alias("share"))
 
 
