@@ -56,9 +56,11 @@ def earliest_arrival(arcs: DataFrame, sources: DataFrame, forecast: DataFrame, b
 
     arcs: src, dst (roads); sources: node, depart_s; forecast: node, bucket (0 to horizon - 1), seconds (over the road), closed. A road takes the
     seconds of the bucket in which it is entered; one closed then, or without a forecast, isn't entered. Labels are corrected until none changes:
-    a round is a join of what changed with arcs and forecast and one minimum, and ends with its lineage cut.
+    a round is a join of what changed with arcs and forecast and one minimum, and ends with its lineage cut. Arcs and forecast are written
+    once, so that no round works them out again.
     """
-    f = forecast.select("node", "bucket", "seconds").filter(~F.coalesce(F.col("closed"), F.lit(False)) & F.col("seconds").isNotNull())
+    arcs = cut(arcs.select("src", "dst").distinct())
+    f = cut(forecast.filter(~F.coalesce(F.col("closed"), F.lit(False)) & F.col("seconds").isNotNull()).select("node", "bucket", "seconds"))
     enter = lambda df: df.withColumn("slot", F.floor(F.col("at") / bucket_s)).withColumn("bucket", F.greatest(F.lit(0), F.least(F.col("slot"), F.lit(horizon - 1))))
     drive = lambda df: enter(df).join(f, ["node", "bucket"]).select("node", (F.col("at") + F.col("seconds")).alias("arrive_s"), (F.col("beyond") | (F.col("slot") >= horizon)).alias("beyond"))
     first = lambda df: df.groupBy("node").agg(F.min(F.struct("arrive_s", "beyond")).alias("x")).select("node", "x.*")
