@@ -39,7 +39,7 @@ def case_hops(arcs: DataFrame, sources: DataFrame, most: int, upstream: bool = F
     """case, node, hops from the nearest source of the case, up to most, along the arcs or against them, for all cases in one search: a round is
     a join of the frontiers with the arcs and one anti-join, whatever the number of cases. arcs: src, dst; sources: case, node."""
     a, b = ("dst", "src") if upstream else ("src", "dst")
-    steps = arcs.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    steps = cut(arcs.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
     seen = frontier = cut(sources.select("case", "node", F.lit(0).alias("hops")).distinct())
     for k in range(1, most + 1):
         step = frontier.join(steps, "node").select("case", F.col("next").alias("node")).distinct()
