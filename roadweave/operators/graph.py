@@ -146,12 +146,13 @@ def merge_classes(records: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reach(arcs: DataFrame, start: DataFrame) -> DataFrame:
-    """node: all that arcs lead to from the start nodes, themselves included; a frontier join a hop. arcs: src, dst; start: node."""
+    """node: all that arcs lead to from the start nodes, themselves included; a frontier join a hop. arcs: src, dst; start: node. Both sides of a
+    join are shuffled: a frontier that Spark takes for small enough to send goes through the driver, hop by hop."""
     seen = frontier = cut(start.select("node").distinct())
     while not frontier.isEmpty():
-        step = arcs.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti"))
-        seen = cut(seen.unionByName(frontier))
+        step = arcs.join(frontier.hint("merge"), F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen.hint("merge"), "node", "left_anti"))
+        seen = seen.unionByName(frontier)  # of written tables, one a hop
     return seen
 
 
@@ -168,10 +169,11 @@ def largest_scc(arcs: DataFrame) -> DataFrame:
         if d.count() <= most:
             return best
         pivot = cut(d.orderBy(F.desc(F.col("out_degree") * F.col("in_degree")), "node").limit(1).select("node"))
-        scc = reach(e, pivot).join(reach(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivot), "node", "left_semi")
+        scc = reach(e, pivot).join(reach(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivot).hint("merge"), "node", "left_semi")
         scc = cut(scc)
         n = scc.count()
         if n > most and n > 1:
             best, most = scc, n
-        e = e.join(scc.withColumnRenamed("node", "src"), "src", "left_anti").join(scc.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        gone = scc.hint("merge")
+        e = e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
         e = cut(e.select("src", "dst"))
