@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,62 +18,90 @@ def flat_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.hypot((lon2 - lon1) * F.cos(F.radians(lat1)), lat2 - lat1) * DEGREE_M
 
 
-def on_line(lon: Column, lat: Column, coords: Column) -> Column:
-    """along, off, length: metres along a line (array of lon, lat) to its point nearest to a fix, the first of those equal to a hundredth of a
-    millimetre, metres off it, and its length, on a plane at the fix. Null for a line of fewer than two points."""
-    k = F.cos(F.radians(lat))
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("along"), F.lit(float("inf")).alias("off"))
-
-    def piece(so_far: Column, j: Column) -> Column:
-        a, b = F.get(coords, j - 1), F.get(coords, j)
-        bx, by = (F.get(b, 0) - F.get(a, 0)) * k, F.get(b, 1) - F.get(a, 1)
-        px, py = (lon - F.get(a, 0)) * k, lat - F.get(a, 1)
-        square, length = bx * bx + by * by, F.hypot(bx, by) * DEGREE_M
-        t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(px * bx + py * by, square))), F.lit(0.0))
-        off = F.round(F.hypot(px - t * bx, py - t * by) * DEGREE_M, 5)
-        nearer = off < so_far["off"]
-        return F.struct((so_far["run"] + length).alias("run"), F.when(nearer, so_far["run"] + t * length).otherwise(so_far["along"]).alias("along"), F.least(off, so_far["off"]).alias("off"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.size(coords) - 1), start, piece, lambda x: F.struct(x["along"].alias("along"), x["off"].alias("off"), x["run"].alias("length")))
-    return F.when(F.size(coords) >= 2, found)
-
-
-def step_at(at: Column, steps: Column) -> Column:
-    """step (from 0), to_next_m and left_s at `at` metres of a route's steps (array of metres, seconds)."""
-    n = F.size(steps)
-
-    def ahead(so_far: Column, i: Column) -> Column:
-        end = so_far["start"] + F.get(steps, i)["metres"]
-        past = (so_far["step"] == i) & (end <= at)
-        return F.struct(F.when(past, i + 1).otherwise(so_far["step"]).alias("step"), F.when(past, end).otherwise(so_far["start"]).alias("start"))
-
-    start = F.struct(F.lit(0).alias("step"), F.lit(0.0).alias("start"))
-    here = F.when(n > 1, F.aggregate(F.sequence(F.lit(0), n - 2), start, ahead)).otherwise(start)
-
-    def left(x: Column) -> Column:
-        own = F.get(steps, x["step"])
-        to_next = F.greatest(F.lit(0.0), x["start"] + own["metres"] - at)
-        later = F.aggregate(F.slice(steps, x["step"] + 2, n), F.lit(0.0), lambda total, s: total + s["seconds"])
-        share = F.coalesce(F.try_divide(own["seconds"] * to_next, own["metres"]), F.lit(0.0))
-        return F.struct(x["step"].alias("step"), to_next.alias("to_next_m"), (later + share).alias("left_s"))
-
-    return F.transform(F.array(here), left)[0]
+def in_layers(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The lists' numbers, longest first, where each begins among their elements, its size, and how many lists have an element 0, 1, ..."""
+    sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    order = np.argsort(-sizes, kind="stable")
+    sizes = sizes[order]
+    return order, lists.offsets.to_numpy()[:-1][order], sizes, np.searchsorted(-sizes, -np.arange(sizes.max(initial=0))).tolist()
+
+
+def numbers(x: pa.Array) -> np.ndarray:
+    """Doubles, not a number where null."""
+    return x.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def on_lines(lon: np.ndarray, lat: np.ndarray, coords: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """along, off, length: metres along each fix's line (array of lon, lat) to its point nearest to the fix, the first of those equal to a hundredth of
+    a millimetre, metres off it, and its length, on a plane at the fix. Length is 0 for a line of fewer than two points, and not a number for
+    one of a point without lon or lat. Pieces are gone through in order, the first ones of all lines at once, then the second ones, ..."""
+    order, first, sizes, more = in_layers(coords)
+    points, at = numbers(coords.values.values), coords.values.offsets.to_numpy()
+    x, y = (np.full(len(at) - 1, np.nan) for _ in range(2))
+    whole = np.diff(at) >= 2
+    x[whole], y[whole] = points[at[:-1][whole]], points[at[:-1][whole] + 1]
+    lon, lat, k = lon[order], lat[order], np.cos(np.radians(lat[order]))
+    run, along, off = np.zeros(len(lon)), np.zeros(len(lon)), np.full(len(lon), np.inf)
+    for j, n in enumerate(more[1:], 1):
+        i = first[:n] + j
+        ax, ay = x[i - 1], y[i - 1]
+        bx, by, px, py = (x[i] - ax) * k[:n], y[i] - ay, (lon[:n] - ax) * k[:n], lat[:n] - ay
+        square, length = bx * bx + by * by, np.hypot(bx, by) * DEGREE_M
+        t = np.where(square > 0, np.clip((px * bx + py * by) / square, 0.0, 1.0), 0.0)
+        here = np.floor(np.hypot(px - t * bx, py - t * by) * DEGREE_M * 1e5 + 0.5) / 1e5
+        nearer = here < off[:n]
+        along[:n] = np.where(nearer, run[:n] + t * length, along[:n])
+        off[:n] = np.where(nearer, here, off[:n])
+        run[:n] += length
+    back = np.argsort(order)
+    return along[back], off[back], run[back]
+
+
+def on_steps(share: np.ndarray, steps: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """step (from 0), to_next_m, left_m and left_s at a share of each route's steps (array of metres, seconds), metres not a number where a step's are."""
+    order, first, sizes, more = in_layers(steps)
+    metres, seconds = (np.append(numbers(steps.values.field(c)), np.nan) for c in ("metres", "seconds"))
+    total, start, later, step = np.zeros(len(order)), np.zeros(len(order)), np.zeros(len(order)), np.zeros(len(order), np.int32)
+    for i, n in enumerate(more):
+        total[:n] += metres[first[:n] + i]
+    at = share[order] * total
+    for i, n in enumerate(more[1:]):
+        end = start[:n] + metres[first[:n] + i]
+        past = (step[:n] == i) & (end <= at[:n])
+        step[:n] += past
+        start[:n] = np.where(past, end, start[:n])
+    for i, n in enumerate(more):
+        later[:n] += np.where(step[:n] < i, seconds[first[:n] + i], 0.0)
+    own = np.where(sizes > 0, first + step, len(metres) - 1)
+    to_next = np.maximum(0.0, start + metres[own] - at)
+    rest = seconds[own] * to_next / metres[own]
+    back = np.argsort(order)
+    return tuple(c[back] for c in (step, to_next, np.maximum(0.0, total - at), later + np.where(np.isnan(rest), 0.0, rest)))
+
+
+def shown(lon: pa.Array, lat: pa.Array, accuracy: pa.Array, coords: pa.Array, steps: pa.Array) -> pa.Array:
+    """What a fix shows on its route, null where it can't be trusted."""
+    accuracy = numbers(accuracy)
+    with np.errstate(all="ignore"):
+        along, off, length = on_lines(numbers(lon), numbers(lat), coords)
+        step, to_next, left, seconds = on_steps(along / length, steps)
+        fine = (accuracy <= VAGUE_M) & (off <= np.maximum(OFF_ROUTE_M, accuracy)) & (length > 0) & np.isfinite(left) & ~np.isnan(to_next)
+    columns = [pa.array(step), pa.array(to_next), pa.array(left), pa.array(seconds, mask=np.isnan(seconds))]
+    fine &= pc.fill_null(pc.greater(pc.list_value_length(steps), 0), False).to_numpy(zero_copy_only=False)
+    return pa.StructArray.from_arrays(columns, names=["step", "to_next_m", "left_m", "left_s"], mask=pa.array(~fine))
 
 
 def fixes_on_routes(fixes: DataFrame, routes: DataFrame) -> DataFrame:
     """trip, t, arrived and seen (step, to_next_m, left_m, left_s), null for a fix that is too vague, off its route, or on a route without steps or
-    length. fixes: trip, route, t, lon, lat, accuracy; routes: route, coords array<array<double>> (lon, lat), steps array<struct<metres,
-    seconds>>, end_lon, end_lat (null: the line's last point). A fix meets its own route alone; fixes may be a stream."""
+    length, or of which a coordinate or a step's metres aren't known. fixes: trip, route, t, lon, lat, accuracy; routes: route, coords array<array<double>> (lon, lat), steps array<struct<metres,
+    seconds>>, end_lon, end_lat (null: the line's last point). A fix meets its own route alone, batches of them in
+    Arrow; fixes may be a stream."""
     both = fixes.join(routes, "route")
     last = F.get("coords", F.size("coords") - 1)
     off_end = flat_m(F.col("lon"), F.col("lat"), F.coalesce("end_lon", F.get(last, 0)), F.coalesce("end_lat", F.get(last, 1)))
     arrived = F.coalesce((F.col("accuracy") <= SURE_M) & (off_end <= ARRIVED_M), F.lit(False))
-    both = both.withColumn("on", on_line(F.col("lon"), F.col("lat"), F.col("coords")))
-    total = F.aggregate("steps", F.lit(0.0), lambda so_far, s: so_far + s["metres"])
-    fine = (F.col("accuracy") <= VAGUE_M) & (F.size("steps") > 0) & (F.col("on.off") <= F.greatest(F.lit(OFF_ROUTE_M), F.col("accuracy"))) & (F.col("on.length") > 0)
-    both = both.withColumn("total", total).withColumn("at", F.try_divide("on.along", "on.length") * F.col("total")).withColumn("x", F.when(fine, step_at(F.col("at"), F.col("steps"))))
-    seen = F.when(F.col("x").isNotNull(), F.struct("x.step", "x.to_next_m", F.greatest(F.lit(0.0), F.col("total") - F.col("at")).alias("left_m"), "x.left_s"))
-    return both.select("trip", "t", arrived.alias("arrived"), seen.alias("seen"))
+    seen = F.arrow_udf(shown, "step int, to_next_m double, left_m double, left_s double")
+    return both.select("trip", "t", arrived.alias("arrived"), seen("lon", "lat", "accuracy", "coords", "steps").alias("seen"))
 
 
 def nav_progress(fixes: DataFrame, routes: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from roadweave.operators import routing as R
 from roadweave.operators import scoring as P
 from roadweave.operators import streets as X
 from roadweave.operators import windows as W
+from roadweave.operators.joins import in_parts, sent_if_few
 from roadweave.plans import lenses as L
 from roadweave.plans.queries import HAV, buckets, query
 from roadweave.plans.road_queries import candidates
@@ -30,8 +31,11 @@ def nudged(df, *names: str):
 
 
 def vertices(spark, d):
-    """The places of an order's lines in order, each a step of the route: route, j (from 1), plon, plat, metres, seconds, part."""
-    l = L.table(spark, d, "lineitem").join(L.places(spark, d), F.col("l_suppkey") == F.col("place_id"))
+    """The places of an order's lines in order, each a step of the route: route, j (from 1), plon, plat, metres, seconds, part. Dealt to parts by
+    route."""
+    own = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = L.table(spark, d, "lineitem").select(*own)
+    l = in_parts(lines.join(sent_if_few(L.places(spark, d)), F.col("l_suppkey") == F.col("place_id")).select(*own, "plon", "plat"), lines.count(), "l_orderkey")
     j = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     return l.select(F.col("l_orderkey").alias("route"), j.alias("j"), "plon", "plat", (F.col("l_quantity") * 10).alias("metres"), (F.col("l_extendedprice") / 100).alias("seconds"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"))
 

@@ -1,5 +1,8 @@
 """Navigation over streams, the review of closures over lines, hops of many cases, and edges of the feature table."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_roads import run_stream
@@ -45,6 +48,35 @@ def test_progress_of_a_stream_is_that_of_a_batch(spark, tmp_path, routes):
     assert sorted(got, key=str) == sorted(map(tuple, want), key=str)
 
 
+def test_fixes_are_placed_in_batches(spark):
+    """Lines of many lengths, null ones among them, against a plain loop; no fix is folded row by row, and one on a route that isn't wholly known is held."""
+    rng = np.random.default_rng(4)
+    lines = {k: (rng.uniform(0, 0.01, (n, 2)).tolist(), [(float(m), float(s)) for m, s in rng.integers(0, 900, (n, 2))]) for k, n in enumerate(rng.integers(2, 40, 30))}
+    odd = [("null", None, [(1.0, 1.0)]), ("steps", [[0.0, 0.0], [0.0, 0.01]], None), ("point", [[0.0, 0.0], [0.0], [0.0, 0.01]], [(1.0, 1.0)]), ("metres", [[0.0, 0.0], [0.0, 0.01]], [(None, 1.0), (2.0, 1.0)])]
+    routes = spark.createDataFrame([(str(k), *x, None, None) for k, x in lines.items()] + [(*x, None, None) for x in odd], ROUTE)
+    fixes = [(f"{k}/{t}", str(k), t, *map(float, np.add(lines[k][0][t], 1e-5)), 10.0) for k in lines for t in range(len(lines[k][0]))]
+    out = NV.nav_progress(spark.createDataFrame(fixes + [(k, k, 0, 0.0, 0.005, 10.0) for k, *_ in odd], FIX).coalesce(1), routes)
+    got = {r["trip"]: r for r in out.collect()}
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert all(got[k]["held"] for k, *_ in odd)
+    for trip, route, _, lon, lat, _ in fixes:
+        coords, steps = lines[int(route)]
+        k, run, best = math.cos(math.radians(lat)), 0.0, (math.inf, 0.0)
+        for (ax, ay), (bx, by) in zip(coords, coords[1:]):
+            dx, dy, px, py = (bx - ax) * k, by - ay, (lon - ax) * k, lat - ay
+            q = min(1.0, max(0.0, (px * dx + py * dy) / (dx * dx + dy * dy)))
+            off = round(math.hypot(px - q * dx, py - q * dy) * NV.DEGREE_M, 5)
+            best = best if best[0] <= off else (off, run + q * math.hypot(dx, dy) * NV.DEGREE_M)
+            run += math.hypot(dx, dy) * NV.DEGREE_M
+        at, start, step = best[1] / run * sum(m for m, _ in steps), 0.0, 0
+        while step < len(steps) - 1 and start + steps[step][0] <= at:
+            start, step = start + steps[step][0], step + 1
+        to_next = max(0.0, start + steps[step][0] - at)
+        left_s = sum(s for _, s in steps[step + 1 :]) + (steps[step][1] * to_next / steps[step][0] if steps[step][0] else 0.0)
+        r = got[trip]
+        assert not r["held"] and r["step"] == step and (r["to_next_m"], r["left_m"], r["left_s"]) == pytest.approx((to_next, sum(m for m, _ in steps) - at, left_s), abs=1e-6)
+
+
 def test_closures_are_reviewed_over_lines(spark):
     """An own street, its gap over a plaza, a road of another name under the gap, a short closure on a long edge, an alley without a road."""
     at = lambda x, a, b: [[-122.4 + x, 37.7 + K * a], [-122.4 + x, 37.7 + K * b]]
