@@ -31,11 +31,15 @@ TAIL_CLASS = TOP // WIDTH + BANDS
 INPUTS, CLASSES = END_IN + 1, TAIL_CLASS + 2
 #: Documents side by side; steps that are learned from, or scored, at a time, at least and, where few documents run, at most.
 LANES, WINDOW, LONG_WINDOW, SCORE_WINDOW = 384, 16, 128, 16
+#: Tokens of a window that a learner's rate is for.
+RATED = 4096
 #: Documents of up to so many tokens wait together, until there are so many tokens of them: lanes then end at about the same step.
 POOLS = ((1024, 400_000), (4096, 1_600_000), (1 << 62, 4_000_000))
 FLUSH = 600_000
 #: A word's row holds its weights, then its bias.
 SHAPES = {"gates": (INPUTS, 3 * UNITS), "state": (3 * UNITS, UNITS), "classes": (CLASSES, UNITS + 1), "words": (TOP, UNITS + 1)}
+#: Rows of an input in a window from which on they are summed by a product.
+MANY = 32
 #: Logits are held within this, so that no exponent leaves the range of single precision.
 STEEPEST = 60.0
 
@@ -134,72 +138,83 @@ class Window:
         self.source, self.target, self.keep = lanes.source[a:b][runs], lanes.target[a:b][runs], lanes.keep[a:b][runs].astype(np.float32)
 
 
-def forward(w: dict[str, np.ndarray], x: Window, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The state after a window, and what its steps did; arrays are units by tokens, so each gate is one stretch of memory."""
-    n, inputs = len(x.source), np.ascontiguousarray(w["gates"][x.source].T)
-    past = {k: np.empty((UNITS, n), np.float32) for k in ("before", "z", "r", "new", "u")}
-    states = np.ones((UNITS + 1, n), np.float32)
+def forward(w: dict[str, np.ndarray], x: Window, h: np.ndarray, learn: bool = True) -> tuple[np.ndarray, dict]:
+    """The state after a window (units by lanes), its steps' states (units, then ones, by tokens), and, with learn, what each step did. In memory tokens come
+    first and each gate is an array of its own, so a step works on short whole stretches and nothing is turned over."""
+    n = len(x.source)
+    signs = np.array([-1, -1, 1], np.float32)[:, None, None]  # a gate is 1 / (1 + exp of the negative)
+    inputs = (w["gates"].reshape(INPUTS, 3, UNITS).swapaxes(0, 1) * signs).take(x.source, axis=1)
+    turned = np.ascontiguousarray(w["state"].reshape(3, UNITS, UNITS).swapaxes(1, 2) * signs)
+    states, steps, h = np.ones((n, UNITS + 1), np.float32), [], h.T
     for s, e in zip(x.cuts, x.cuts[1:]):
-        before = h[:, : e - s] * x.keep[s:e]
-        u = w["state"] @ before
-        zr = inputs[: 2 * UNITS, s:e] + u[: 2 * UNITS]
-        np.exp(np.negative(zr, out=zr), out=zr)
+        before = h[: e - s] * x.keep[s:e, None]
+        u = before @ turned
+        zr = inputs[:2, s:e]
+        zr += u[:2]
+        np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r, u = zr[:UNITS], zr[UNITS:], u[2 * UNITS :]
+        z, r, u = zr[0], zr[1], u[2]
         new = r * u
-        new += inputs[2 * UNITS :, s:e]
-        np.tanh(new, out=new)
+        new += inputs[2, s:e]
+        new *= -2  # its tanh is 2 / (1 + exp of minus twice it) - 1, faster than np.tanh
+        np.exp(new, out=new)
+        new += 1
+        np.divide(2, new, out=new)
+        new -= 1
         h = before - new
         h *= z
         h += new
-        for k, v in (("before", before), ("z", z), ("r", r), ("new", new), ("u", u)):
-            past[k][:, s:e] = v
-        states[:UNITS, s:e] = h
-    return h, past | {"states": states}
+        if learn:
+            steps.append((before, z, r, new, u))
+        states[s:e, :UNITS] = h
+    return h.T, {"states": states.T, "steps": steps}
 
 
-def softmax(logits: np.ndarray, picked: np.ndarray) -> np.ndarray:
-    """Natural log of the probability that each column gives its picked row; logits become probabilities times their sum."""
-    at = np.arange(logits.shape[1])
+def softmax(logits: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log of the probability that each row gives its picked column, and each row's sum; logits become probabilities times that sum."""
     np.clip(logits, -STEEPEST, STEEPEST, out=logits)
-    own = logits[picked, at]
+    own = logits[np.arange(len(logits)), picked]
     np.exp(logits, out=logits)
-    return own - np.log(logits.sum(axis=0))
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    return own - np.log(total), total
 
 
 def outputs(w: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None, dict]:
-    """log probability (natural) of each target's class and word; with learn, the gradients of the sum's negative."""
+    """log probability (natural) of each target's class and word; with learn, the gradients of the sum's negative, by state (tokens by units) and by
+    weight."""
+    states = states.T
     cls = np.where(target < TOP, target // WIDTH, target - (TOP - TOP // WIDTH)).astype(np.intp)
-    e = w["classes"] @ states
-    logp = softmax(e, cls)
+    e = states @ w["classes"].T
+    logp, e_sum = softmax(e, cls)
     order = np.flatnonzero(target < TOP)
     order = order[np.argsort(target[order], kind="stable")]
     own = target[order]
     cuts = np.searchsorted(own, np.arange(0, TOP + 1, WIDTH)).tolist()
-    s, place = states[:, order], (own % WIDTH).astype(np.intp)
-    f = np.empty((WIDTH, len(order)), np.float32)
+    s, place = states[order], (own % WIDTH).astype(np.intp)
+    f = np.empty((len(order), WIDTH), np.float32)
     spans = [(slice(c * WIDTH, (c + 1) * WIDTH), slice(a, b)) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     for rows, at in spans:
-        f[:, at] = w["words"][rows] @ s[:, at]
-    logp[order] += softmax(f, place)
+        np.matmul(s[at], w["words"][rows].T, out=f[at])
+    inside, f_sum = softmax(f, place)
+    logp[order] += inside
     if not learn:
         return logp, None, {}
-    for x, picked in ((e, cls), (f, place)):
-        x /= x.sum(axis=0)
-        x[picked, np.arange(x.shape[1])] -= 1
-    grads = {"classes": e @ states.T, "words": np.zeros(SHAPES["words"], np.float32)}
-    back, part = w["classes"][:, :-1].T @ e, np.empty((UNITS, len(order)), np.float32)
+    for x, total, picked in ((e, e_sum, cls), (f, f_sum, place)):
+        x *= np.reciprocal(total)[:, None]
+        x[np.arange(len(x)), picked] -= 1
+    grads = {"classes": e.T @ states, "words": np.zeros(SHAPES["words"], np.float32)}
+    back, part = e @ w["classes"][:, :-1], np.empty((len(order), UNITS), np.float32)
     for rows, at in spans:
-        part[:, at] = w["words"][rows, :-1].T @ f[:, at]
-        grads["words"][rows] = f[:, at] @ s[:, at].T
-    back[:, order] += part
+        np.matmul(f[at], w["words"][rows, :-1], out=part[at])
+        np.matmul(f[at].T, s[at], out=grads["words"][rows])
+    back[order] += part
     return logp, back, grads
 
 
 class Learner:
     """Adam on windows of a group of lanes; the state runs through every window, and each is learned from. mean: the weights on the way,
-    averaged by tokens."""
+    averaged by tokens. rate is for windows of up to RATED tokens; longer ones, whose mean gradient is steadier, move as much further."""
 
     def __init__(self, weights: dict[str, np.ndarray], rate: float):
         self.w = {k: v.copy() for k, v in weights.items()}
@@ -220,7 +235,7 @@ class Learner:
         part = np.float32(tokens / self.tokens)
         size = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / tokens
         scale = np.float32(min(1.0, 1.0 / (size + 1e-9)) / tokens)
-        rate = np.float32(self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
+        rate = np.float32(self.rate * max(1.0, tokens / RATED) * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
         for k, g in grads.items():
             g = g * scale
             m, v = self.m[k], self.v[k]
@@ -239,33 +254,46 @@ class Learner:
             self.mean[k] += root
 
 
-def gradients(w: dict[str, np.ndarray], x: Window, past: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def gradients(w: dict[str, np.ndarray], x: Window, past: dict) -> dict[str, np.ndarray]:
     """Gradients of a window's negative log probability, backwards through its steps and no further."""
     _, back, grads = outputs(w, past["states"], x.target, True)
-    before, z, r, new, u = (past[k] for k in ("before", "z", "r", "new", "u"))
-    to_new = (1 - z) * (1 - new * new)
-    to_z = (before - new) * z * (1 - z)
-    to_r = u * r * (1 - r)
-    gates, through = np.empty((3 * UNITS, len(x.target)), np.float32), np.empty((3 * UNITS, len(x.target)), np.float32)
-    turned, later = np.ascontiguousarray(w["state"].T), None
-    for s, e in zip(x.cuts[-2::-1], x.cuts[:0:-1]):
-        d = back[:, s:e]
+    n, state, later = len(x.target), w["state"].reshape(3, UNITS, UNITS), None
+    through, to_new, before = np.empty((3, n, UNITS), np.float32), np.empty((n, UNITS), np.float32), np.empty((n, UNITS), np.float32)
+    for s, e, (held, z, r, new, u) in zip(x.cuts[-2::-1], x.cuts[:0:-1], past["steps"][::-1]):
+        d, (dz, dr, du), dn = back[s:e], through[:, s:e], to_new[s:e]
+        before[s:e] = held
         if later is not None:
-            d[:, : later.shape[1]] += later
-        dn = d * to_new[:, s:e]
-        du = np.concatenate([d * to_z[:, s:e], dn * to_r[:, s:e], dn * r[:, s:e]])
-        through[:, s:e] = du
-        gates[2 * UNITS :, s:e] = dn
-        later = turned @ du
-        later += d * z[:, s:e]
-        later *= x.keep[s:e]
-    gates[: 2 * UNITS] = through[: 2 * UNITS]
+            d[: len(later)] += later
+        kept = d * z
+        np.subtract(held, new, out=dz)  # of z: d (before - new) z (1 - z)
+        dz *= kept
+        np.subtract(d, kept, out=dn)  # of the new state: d (1 - z) (1 - new new)
+        new *= new
+        np.subtract(1, new, out=new)
+        np.subtract(1, z, out=z)
+        dz *= z
+        dn *= new
+        np.multiply(dn, r, out=du)
+        np.subtract(1, r, out=r)
+        np.multiply(du, u, out=dr)  # of r: dn u r (1 - r)
+        dr *= r
+        a, b, c = through[:, s:e] @ state
+        later = kept
+        for part in (a, b, c):
+            later += part
+        later *= x.keep[s:e, None]
     order = np.argsort(x.source, kind="stable")
     source = x.source[order]
-    first = np.flatnonzero(np.diff(source.astype(np.int32), prepend=-1))
-    grads["gates"] = np.zeros(SHAPES["gates"], np.float32)
-    grads["gates"][source[first]] = np.add.reduceat(np.ascontiguousarray(gates.T)[order], first, axis=0)
-    grads["state"] = through @ before.T
+    cuts = np.append(np.flatnonzero(np.diff(source.astype(np.int32), prepend=-1)), n)
+    gates, sizes = np.concatenate([through[0], through[1], to_new], axis=1)[order], np.diff(cuts)
+    grads["gates"], ones = np.zeros(SHAPES["gates"], np.float32), np.ones(sizes.max(), np.float32)
+    few = sizes <= MANY
+    rare = gates[np.repeat(few, sizes)]
+    if len(rare):
+        grads["gates"][source[cuts[:-1][few]]] = np.add.reduceat(rare, np.cumsum(sizes[few]) - sizes[few], axis=0)
+    for a, k in zip(cuts[:-1][~few].tolist(), sizes[~few].tolist()):  # inputs of many rows are summed one by one
+        grads["gates"][source[a]] = ones[:k] @ gates[a : a + k]
+    grads["state"] = (through.swapaxes(1, 2) @ before).reshape(SHAPES["state"])
     return grads
 
 
@@ -275,7 +303,7 @@ def score_documents(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndar
     h = np.zeros((UNITS, lanes.target.shape[1]), np.float32)
     logp = np.zeros(lanes.target.shape, np.float32)
     for x in lanes.windows(SCORE_WINDOW):
-        h, past = forward(w, x, h)
+        h, past = forward(w, x, h, learn=False)
         found, _, _ = outputs(w, past["states"], x.target, False)
         for t, (s, e) in enumerate(zip(x.cuts, x.cuts[1:])):
             logp[x.a + t, : e - s] = found[s:e]
@@ -285,6 +313,12 @@ def score_documents(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndar
     return out / np.log(10)
 
 
+def keep_freed() -> None:
+    """Lets a Python process keep up to some 62 MB of what it frees: glibc raises its own bounds when an array of this size is freed. A window's arrays
+    then take memory that is there, not new pages each time."""
+    np.empty(31 << 20, np.uint8)
+
+
 def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """The first column's values and the second's network inputs, in groups of documents of like length."""
     held: list[tuple[list[int], list[np.ndarray]]] = [([], []) for _ in POOLS]
@@ -416,6 +450,7 @@ def train(codes: DataFrame, documents: int, warm_rows: int = 1000) -> dict[str,
 
     def learner(weights: dict[str, np.ndarray], rate: float, passes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_freed()
             own, tokens = Learner(weights, rate), 0
             for _, docs in pooled(batches):
                 for _ in range(passes):
@@ -432,8 +467,8 @@ def train(codes: DataFrame, documents: int, warm_rows: int = 1000) -> dict[str,
 
     share = min(1.0, 1.2 * warm_rows / max(1, documents))
     few = rows.filter(F.xxhash64("inputs") <= int(-(2**63) + share * (2**64 - 2**12))).limit(2 * warm_rows)
-    weights = mean(few.coalesce(1).mapInArrow(learner(start_weights(), 0.015, 2), "tokens long, weights binary"), start_weights())
-    return mean(averaged(written(rows.mapInArrow(learner(weights, 0.015, 1), "tokens long, weights binary"), "weights")), weights)
+    weights = mean(few.coalesce(1).mapInArrow(learner(start_weights(), 0.01, 2), "tokens long, weights binary"), start_weights())
+    return mean(averaged(written(rows.mapInArrow(learner(weights, 0.01, 1), "tokens long, weights binary"), "weights")), weights)
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -453,6 +488,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     weights = train(codes.filter("learn"), ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         for uids, rows in pooled(batches):
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(score_documents(weights, rows))], names=["uid", "score"])
 

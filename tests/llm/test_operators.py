@@ -349,6 +349,36 @@ def test_a_score_is_of_the_complete_document():
         assert s == pytest.approx(gru_lm.outputs(w, past["states"], d, False)[0].sum() / np.log(10), rel=1e-4)
 
 
+def test_a_long_window_moves_further():
+    """A window of over RATED tokens goes as much further as it is longer; a shorter one by the rate itself."""
+    grads = {k: np.ones(s, np.float32) for k, s in gru_lm.SHAPES.items()}
+    moved = []
+    for tokens in (100, gru_lm.RATED, gru_lm.RATED * 3 // 2):
+        own = gru_lm.Learner(gru_lm.start_weights(), 0.01)
+        own.update(grads, tokens)
+        moved.append(float((gru_lm.start_weights()["state"] - own.w["state"]).mean()))
+    assert moved[0] == pytest.approx(moved[1], rel=1e-3) and moved[2] == pytest.approx(1.5 * moved[1], rel=1e-3)
+
+
+def test_inputs_of_many_rows_are_summed_whole():
+    """The gradient of inputs that come once and of those that come often in a window, against differences."""
+    docs = [np.array([5] * 40 + [k] * 2, np.uint16) for k in range(3)]
+    w, window = gru_lm.start_weights(), next(gru_lm.Lanes(docs).windows(64))
+    h = np.zeros((gru_lm.UNITS, 3), np.float32)
+    found = gru_lm.gradients(w, window, gru_lm.forward(w, window, h)[1])["gates"]
+    assert np.bincount(window.source).max() > gru_lm.MANY and (np.bincount(window.source) == 1).any()
+
+    def loss(at: tuple[int, int], by: float) -> float:
+        x = {k: v.astype(np.float32) for k, v in w.items()}
+        x["gates"][at] += by
+        return -float(gru_lm.outputs(x, gru_lm.forward(x, window, h, learn=False)[1]["states"], window.target, False)[0].astype(float).sum())
+
+    for source in (5, 0, gru_lm.END_IN):
+        at = (source, int(np.abs(found[source]).argmax()))
+        assert (loss(at, 0.02) - loss(at, -0.02)) / 0.04 == pytest.approx(found[at], rel=0.05, abs=0.01)
+    assert not found[np.setdiff1d(np.arange(gru_lm.INPUTS), window.source)].any()
+
+
 def test_every_window_is_learned_from(spark):
     """One partition equals a warm start and a pass over it by hand, with a step for each window."""
     docs = [np.append(np.arange(60, dtype=np.uint16) * k % 31, gru_lm.END_IN).astype(np.uint16) for k in range(1, 30)]
