@@ -228,12 +228,12 @@ CHECKED = """WITH RECURSIVE v AS (SELECT l_orderkey AS route, row_number() OVER
 
 
 def checked(spark, d):
-    v = vertices(spark, d)
-    j, seg = F.col("j"), F.col("seg")
+    seg = F.col("seg")
     lines = L.table(spark, d, "lineitem")
+    lines = in_parts(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), lines.count(), "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     cells = lines.select(F.col("l_orderkey").alias("route"), F.row_number().over(order).alias("pos"), F.col("l_suppkey").alias("seg"), (F.col("l_partkey") % 3).alias("class"), (F.col("l_quantity") * 10).alias("metres"), F.lit(45.0).alias("free_s"))
-    routes = v.select("route").distinct().select("route", ((F.col("route") % 40) * 60.0 - 120).alias("depart_s"), F.lit(0.25).alias("first_share"), F.lit(0.75).alias("last_share"))
+    routes = cells.select("route").distinct().select("route", ((F.col("route") % 40) * 60.0 - 120).alias("depart_s"), F.lit(0.25).alias("first_share"), F.lit(0.75).alias("last_share"))
     segs = L.places(spark, d).select(F.col("place_id").alias("seg"))
     forecast = segs.select("seg", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("bucket")).withColumn("seconds", F.when((seg + F.col("bucket")) % 17 != 0, 60.0 + (seg * 7 + F.col("bucket") * 13) % 50))
     closures = segs.filter("seg % 10 < 2").select("seg", F.lit(600).alias("begin_s"), F.lit(1200).alias("end_s"), F.when(seg % 10 == 0, "full").otherwise("lane").alias("kind"))

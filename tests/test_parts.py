@@ -102,3 +102,18 @@ def test_features_go_to_their_own_road_alone(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "currentrow$(), unboundedfollowing" not in plan.lower() and re.search(r"= own\) THEN (_extract_)?own#", plan)
     assert [r["closures_active_target"] for r in out.filter("seg = 3").orderBy("t").collect()] == [0.0] * 7 + [1.0] * 3
+
+
+def test_roads_are_met_once_and_values_bound_once(spark, cells):
+    """A road's buckets and closures come in one join, and a cell's bucket is sought once in the fold, not wherever it is used."""
+    steps = cells.select("route", "pos", "seg", F.lit("a").alias("class"), F.lit(10.0).alias("metres"), F.lit(45.0).alias("free_s"))
+    routes = steps.select("route").distinct().select("route", F.lit(0.0).alias("depart_s"), F.lit(0.0).alias("first_share"), F.lit(1.0).alias("last_share"))
+    roads = steps.select("seg").distinct()
+    forecast = roads.select("seg", F.lit(0).alias("bucket"), F.lit(1.0).alias("seconds"))
+    closures = roads.filter("seg = 1").select("seg", F.lit(0).alias("begin_s"), F.lit(9).alias("end_s"), F.lit("lane").alias("kind"))
+    arcs = roads.alias("a").crossJoin(roads.alias("b")).select(F.col("a.seg").alias("src"), F.col("b.seg").alias("dst"))
+    timed, _ = R.time_checked(routes, steps, forecast, closures, arcs, 0, 300, 6)
+    plan = timed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 3 and len(re.findall(r"lambda \w+#\d+\.bucket", plan)) == 1
+    assert max(deals(timed)) >= 200 // 10
+    assert sorted((r["route"], r["arrive_s"], r["reason"], r["metres"], r["flags"]) for r in timed.collect()) == [(k, float(n), None, 10.0 * n, "partial_restriction_on_route") for k in range(9) for n in [len(range(k, 200, 9))]]
