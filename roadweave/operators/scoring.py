@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.functions.scalars import sum_once
 from roadweave.operators.joins import in_parts, sent_if_few
 
 
 def score_candidates(cells: DataFrame, load: DataFrame, weight: float, scale: float) -> DataFrame:
     """request, candidate, eta, delta, cost, best: travel time and the growth of squared load over scale that a car more brings to each road of
-    the candidate; the cheapest is best, the smaller number among equals. cells: request, candidate, seg, eta (of the cell); load: seg, load."""
+    the candidate; the cheapest is best, the smaller number among equals. cells: request, candidate, seg, eta (of the cell); load: seg, load. Sums
+    are rounded once, so that the order in which cells arrive decides no tie."""
     grown = (2 * F.coalesce("load", F.lit(0)) + 1) / (scale * scale)
+    total = sum_once("eta") if dict(cells.dtypes)["eta"] == "double" else F.sum("eta")
     met = cells.join(sent_if_few(load), "seg", "left").select("request", "candidate", "eta", grown.alias("grown"))
-    c = in_parts(met, cells.count(), "request").groupBy("request", "candidate").agg(F.sum("eta").alias("eta"), F.sum("grown").alias("delta"))
+    c = in_parts(met, cells.count(), "request").groupBy("request", "candidate").agg(total.alias("eta"), sum_once("grown").alias("delta"))
     c = c.withColumn("cost", F.col("eta") + weight * F.col("delta"))
     return c.withColumn("best", F.row_number().over(Window.partitionBy("request").orderBy("cost", "candidate")) == 1)
 
