@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.functions.scalars import sum_once
 from roadweave.operators.graph import connected_components
 
 # The reasons of a choice.
@@ -39,7 +40,7 @@ def growth(cells: DataFrame, load: DataFrame, roads: DataFrame, *keys: str) -> D
     a whole plan. cells: keys, seg, bin, share; load: seg, bin, load (missing: 0); roads: seg, coef (missing: 0)."""
     more = cells.groupBy(*keys, "seg", "bin").agg(F.sum("share").alias("share")).join(load, ["seg", "bin"], "left").join(roads.select("seg", "coef"), "seg", "left")
     grown = F.coalesce("coef", F.lit(0.0)) * F.col("share") * (2 * F.coalesce("load", F.lit(0.0)) + F.col("share"))
-    return more.groupBy(*keys).agg(F.sum(grown).alias("growth"))
+    return more.groupBy(*keys).agg(sum_once(grown).alias("growth"))
 
 
 def score_timed(candidates: DataFrame, cells: DataFrame, load: DataFrame, roads: DataFrame, weight: float, tie_s: float = 0.5, seed: int = 0) -> DataFrame:

@@ -40,9 +40,10 @@ def sketch_quantiles(spark, d):
 
 
 def choices(spark, d):
-    """A request for each order, on its day, with a candidate for each of its lines; a part of the lines isn't allowed."""
+    """A request for each order, on its day, with a candidate for each of its lines; a part of the lines isn't allowed. Times are rounded as DuckDB
+    does it, as a double times 100: Spark rounds the decimal that a double is written as, which is another hundredth where that ends in 5."""
     l = L.table(spark, d, "lineitem").join(L.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    eta = F.round(F.col("l_extendedprice") / 100, 2).cast("double")
+    eta = F.round(F.col("l_extendedprice") / 100 * 100) / 100
     return l.select(F.to_date("o_orderdate").alias("batch"), F.col("l_orderkey").alias("request"), F.col("o_custkey").alias("place"), F.col("l_linenumber").cast("long").alias("candidate"), eta.alias("eta"), (F.col("l_quantity") < 45).alias("allowed"))
 
 
